@@ -136,7 +136,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sample(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_measure, "doc_id long, m array<double>").toArrow().sort_by("doc_id")
-    return np.array(rows["m"].to_pylist(), float).reshape(rows.num_rows, -1)
+    return np.array(rows["m"].to_pylist(), float).reshape(rows.num_rows, N_CLASSES + 7)
 
 
 def quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
