@@ -16,3 +16,10 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 FLAGSHIP = "site_findings"
+
+
+def load() -> dict[str, Query]:
+    """Import the modules that register queries."""
+    from . import technical  # noqa: F401
+
+    return QUERIES
