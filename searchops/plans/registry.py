@@ -20,6 +20,6 @@ FLAGSHIP = "site_findings"
 
 def load() -> dict[str, Query]:
     """Import the modules that register queries."""
-    from . import technical  # noqa: F401
+    from . import analytics, technical  # noqa: F401
 
     return QUERIES
