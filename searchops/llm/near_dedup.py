@@ -9,8 +9,9 @@
   pairs). That loses no link: with |r| <= |y|, a class ``x`` that is not linked to ``r`` can reach the
   wanted overlap with ``y`` only through shingles outside ``r``, at least
   ``k = need(x, r) - |x & r|`` of them. So members meet again in groups keyed by (r, shingle outside r),
-  of which each indexes all but ``k - 1``, and each such group is a star around its own
-  smallest set. The rank of the centre grows with every round, so the rounds end.
+  of which each indexes all but the ``k - 1`` that are most frequent in the star, and each such group is a star around its own
+  smallest set, or, with at most ``SMALL`` members, compared pair by pair. The rank of the centre grows with
+  every round, so the rounds end.
 * Links become components by alternating large-star and small-star steps.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; fewer than five
@@ -32,6 +33,9 @@ from .textkernel import mix, shingle_sets
 
 PERMUTATIONS, ROWS = 64, 5
 WORDS = 5
+MEMBER = ["r", "class", "size", "linked", "new", "indexed", "n_outside"]
+#: From the second round on, groups of up to this many members are compared pair by pair.
+SMALL = 128
 #: Ids of candidate classes are sent to every executor up to this many (8 bytes each), else joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -115,23 +119,45 @@ def components(links: DataFrame) -> DataFrame:
 def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All links (u, v) that connect what the buckets' members link to; see the module's text."""
     need = lambda a, b: F.ceil((a + b) * percent / (100 + percent))
-    found = None
+    found = done = stars = None
     while True:
-        centre = buckets.groupBy("bucket").agg(F.min(F.struct("size", "class")).alias("centre"), F.count("*").alias("n")).where("n > 1")
-        pairs = buckets.join(centre, "bucket").select(F.col("centre.class").alias("r"), "class").where("r <> class").distinct()
+        first = F.min(F.struct("size", "class"))
+        centre = buckets.groupBy("bucket").agg(first.alias("centre"), F.count("*").alias("n"))
+        small = F.lit(done is not None) & (F.col("n") <= SMALL)
+        met = buckets.join(centre.select("bucket", F.col("centre.class").alias("r"), small.alias("small")), "bucket")
+        star = met.where("not small and r <> class").select("r", "class", F.lit(True).alias("star")).distinct()
+        if done is not None:
+            star = star.join(stars, ["r", "class"], "left_anti")
+            some = met.where("small")
+            other = some.select("bucket", F.col("class").alias("class"), F.col("size").alias("size"))
+            mine = some.select("bucket", F.col("class").alias("r"), F.col("size").alias("r_size"))
+            each = mine.join(other, "bucket").where(F.struct("r_size", "r") < F.struct("size", "class")).select("r", "class").distinct()
+            star = star.unionByName(each.join(done, ["r", "class"], "left_anti").withColumn("star", F.lit(False)))
+        pairs = star.groupBy("r", "class").agg(F.max("star").alias("star"))  # no pair is tested twice in one role
         pairs = pairs.join(sets.select(F.col("class").alias("r"), F.col("shingles").alias("rs")), "r")
         pairs = pairs.join(sets.select("class", F.col("shingles").alias("xs")), "class")
-        tested = pairs.select("r", "class", F.size("rs").alias("nr"), F.size("xs").alias("nx"), F.array_except("xs", "rs").alias("outside"))
+        tested = pairs.select("r", "class", "star", F.size("rs").alias("nr"), F.size("xs").alias("nx"), F.array_except("xs", "rs").alias("outside"))
         tested = tested.withColumn("common", F.col("nx") - F.size("outside")).withColumn("need", need(F.col("nr"), F.col("nx")))
         tested = tested.withColumn("linked", F.col("common") * 100 >= (F.col("nr") + F.col("nx") - F.col("common")) * percent)
-        indexed = F.size("outside") - F.greatest(F.lit(1), F.col("need") - F.col("common")) + 1
-        tested = keep(tested.select("r", "class", F.col("nx").alias("size"), "linked", F.slice("outside", F.lit(1), F.greatest(F.lit(0), indexed.cast("int"))).alias("outside")), "tested")
+        indexed = F.greatest(F.lit(0), F.size("outside") - F.greatest(F.lit(1), F.col("need") - F.col("common")) + 1)
+        outside = F.when(F.col("star"), F.col("outside")).otherwise(F.array().cast("array<bigint>"))
+        tested = keep(tested.select("r", "class", F.col("nx").alias("size"), "star", "linked", indexed.cast("int").alias("indexed"), outside.alias("outside")), "tested")
         now = tested.where("linked").select(F.least("r", "class").alias("u"), F.greatest("r", "class").alias("v"))
         found = now if found is None else found.unionByName(now)
-        open_groups = tested.where("not linked").select("r").distinct()
-        again = tested.join(open_groups, "r", "left_semi").select("r", "class", "size", "linked", F.explode("outside").alias("shingle"))
-        again = again.select(F.xxhash64("r", "shingle").alias("bucket"), "class", "size", "linked")
-        live = again.groupBy("bucket").agg(F.count("*").alias("n"), F.min("linked").alias("all_linked")).where("n > 1 and not all_linked").select("bucket")
+        done = tested.select("r", "class") if done is None else done.unionByName(tested.select("r", "class"))
+        new = tested.where("star").drop("star").withColumn("new", F.lit(True))
+        stars = new if stars is None else stars.withColumn("new", F.lit(False)).unionByName(new)
+        touched = new.select("r").distinct().join(stars.where("not linked").select("r").distinct(), "r", "left_semi")
+        again = stars.join(touched, "r", "left_semi").withColumn("n_outside", F.size("outside"))
+        again = again.select(*MEMBER, F.explode("outside").alias("shingle"))
+        shared = again.groupBy("r", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+        again = again.join(shared, ["r", "shingle"]).groupBy(*MEMBER).agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+        alone = F.col("n_outside") - F.size("s")  # shingles of this member only come first
+        again = again.select(*MEMBER, F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("indexed") - alone))).alias("s"))
+        again = again.select(F.xxhash64("r", "s.shingle").alias("bucket"), "class", "size", "linked", "new")
+        members = F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("members")  # tells groups of the same members
+        live = again.groupBy("bucket").agg(F.count("*").alias("n"), F.min("linked").alias("all_linked"), F.max("new").alias("any_new"), members)
+        live = live.where("n > 1 and any_new and not all_linked").groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
         buckets = keep(again.join(live, "bucket", "left_semi").select("bucket", "class", "size"), "buckets")
         if buckets.isEmpty():
             return found
