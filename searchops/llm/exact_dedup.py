@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .scratch import keep
 
 RUN = "run long, digest binary, length long, other long, doc_id long, row long, copies long"
+_RUN = pa.schema([("run", pa.int64()), ("digest", pa.binary()), *((c, pa.int64()) for c in ("length", "other", "doc_id", "row", "copies"))])
 LEVELS = 4  # binomial rounds done by one multiway merge
 
 
@@ -53,7 +54,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = pa.Table.from_batches([batch])
+        rows = pa.Table.from_batches([batch]).cast(_RUN)
         rows = rows if left is None else pa.concat_tables([left, rows])
         digest = np.frombuffer(b"".join(rows["digest"].to_pylist()), np.uint64).reshape(-1, 4)
         same = rows["run"].to_numpy()[1:] == rows["run"].to_numpy()[:-1]
@@ -64,7 +65,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError("two texts of one digest differ")
         first = np.flatnonzero(np.concatenate([[True], ~same]))
         copies = np.add.reduceat(rows["copies"].to_numpy(), first)
-        rows = rows.take(pa.array(first)).set_column(6, "copies", pa.array(copies, pa.int64()))
+        rows = rows.take(pa.array(first)).set_column(6, _RUN.field("copies"), pa.array(copies, pa.int64()))
         left = rows.slice(rows.num_rows - 1)
         yield from rows.slice(0, rows.num_rows - 1).combine_chunks().to_batches()
     if left is not None:

@@ -58,6 +58,16 @@ def test_exact_dedup_equals_brute_force(spark, odd):
         assert sum(r.kept for r in got) == len(groups)
 
 
+def test_runs_fold_across_arrow_batches(spark):
+    rows = spark.createDataFrame([(i, f"text {i % 37}") for i in range(400)], "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = exact_dedup.exact_duplicates(rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(r.keep_id == r.doc_id % 37 and r.kept == (r.doc_id < 37) for r in got) and len(got) == 400
+
+
 def brute_components(rows, percent):
     sets = {}
     for i, t in rows:
