@@ -30,7 +30,7 @@ from .subword_toxicity import held_out, padded
 from .textkernel import LETTER, LOWER, SpanHasher, slices, spans
 
 BUCKETS = 1 << 17
-TRAIN_ROWS, PIECE, EPOCHS, RATE, BATCH = 3000, 24, 3, 0.25, 64
+TRAIN_ROWS, PIECE, EPOCHS, RATE, BATCH = 1500, 24, 3, 0.25, 64
 SLICE = 4 << 20
 UNKNOWN = "und"
 
