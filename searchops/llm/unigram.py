@@ -25,7 +25,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 LOCKSTEP_BYTES = 512  # longer chunks are streamed one by one
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 class Vocabulary:
