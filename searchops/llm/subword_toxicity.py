@@ -26,7 +26,7 @@ from .textkernel import ALNUM, BYTE_CODES, LOWER, mix, slices, span_hashes, span
 
 BUCKETS, DIM, WINDOW = 1 << 18, 8, 64
 GRAMS = (3, 4, 5)
-TRAIN_ROWS, EPOCHS, RATE = 6000, 6, 0.3
+TRAIN_ROWS, EPOCHS, RATE = 3000, 6, 0.3
 #: Rows of the embedding table that fewer training documents share carry nothing that generalises.
 MIN_DOCUMENTS = 4
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -83,10 +83,10 @@ def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of training texts as (row, y, bucket) arrays."""
+    """The grams of training texts, window by window, and the number of grams of each window."""
     for batch in batches:
         ys = batch["y"].to_pylist()
-        out = {"doc_id": [], "y": [], "buckets": [], "windows": []}
+        out = {"doc_id": [], "y": [], "buckets": [], "sizes": []}
         for a, _, raw, off in slices(padded(batch["text"])):
             parts = list(grams(raw, off))
             of, first = windows(parts[0][2])
@@ -99,10 +99,10 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["doc_id"].append(batch["doc_id"][a + i].as_py())
                 out["y"].append(ys[a + i])
                 out["buckets"].append(bucket[lo:hi])
-                out["windows"].append((window[lo:hi] - first[i]).astype(np.int32))
+                out["sizes"].append(np.bincount(window[lo:hi] - first[i]).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out["doc_id"], pa.int64()), pa.array(out["y"], pa.int32()), pa.array(out["buckets"], pa.list_(pa.int32())), pa.array(out["windows"], pa.list_(pa.int32()))],
-            ["doc_id", "y", "buckets", "windows"],
+            [pa.array(out["doc_id"], pa.int64()), pa.array(out["y"], pa.int32()), pa.array(out["buckets"], pa.list_(pa.int32())), pa.array(out["sizes"], pa.list_(pa.int32()))],
+            ["doc_id", "y", "buckets", "sizes"],
         )
 
 
@@ -124,11 +124,11 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 0) -> tupl
     g_emb, g_soft, g_bias = np.full(BUCKETS, 1e-4, np.float32), np.full((DIM, 2), 1e-4, np.float32), np.full(2, 1e-4, np.float32)
     for epoch in range(EPOCHS):
         for i in rng.permutation(len(bags)):
-            y, bucket, window = bags[i]
+            y, bucket, size = bags[i]
             if not len(bucket):
                 continue
-            edge = np.flatnonzero(np.diff(window, prepend=-1))
-            size = np.diff(np.append(edge, len(window)))
+            size = size[size > 0]
+            edge = np.cumsum(size) - size
             if epoch and len(edge) > 1:
                 share = emb[bucket] @ (soft[:, 1] - soft[:, 0])
                 k = int((np.add.reduceat(share, edge) / size).argmax())
@@ -159,9 +159,9 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 0) -> tupl
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    sample = labelled(docs, labels, "toxic", 4, 2, train_rows).mapInArrow(_bags, "doc_id long, y int, buckets array<int>, windows array<int>")
+    sample = labelled(docs, labels, "toxic", 4, 2, train_rows).mapInArrow(_bags, "doc_id long, y int, buckets array<int>, sizes array<int>")
     table = sample.toArrow().sort_by("doc_id")  # the bounded sample, as gram numbers
-    bags = [(y.as_py(), b.values.to_numpy(), w.values.to_numpy()) for y, b, w in zip(table["y"], table["buckets"], table["windows"], strict=True)]
+    bags = [(y.as_py(), b.values.to_numpy(), w.values.to_numpy()) for y, b, w in zip(table["y"], table["buckets"], table["sizes"], strict=True)]
     model = docs.sparkSession.sparkContext.broadcast(train(bags))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
