@@ -16,15 +16,21 @@ def scoped(rows: DataFrame, tenant: str, project: str = "") -> DataFrame:
     return rows.where(F.col("project_id") == project) if project else rows
 
 
-def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """A function that writes a table to the folder all executors share (spark.checkpoint.dir) and reads it back."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir); one of our own only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a table to the shared folder and reads it back."""
+    root = shared_root(spark)
 
     def keep(df: DataFrame) -> DataFrame:
-        path = f"{root.rstrip('/')}/searchops/round-{uuid.uuid4().hex}"
+        path = f"{root}/searchops/round-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
