@@ -27,7 +27,7 @@ def issue_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 
 def change_verification(spark: SparkSession, sf: str) -> DataFrame:
     changes = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    checks = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey").alias("place"), "l_returnflag")
+    checks = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey", "l_returnflag").alias("place"), "l_returnflag")
     return lifecycle.with_first_verification(changes, checks, "o_orderkey", "place", "l_returnflag")
 
 
@@ -97,7 +97,7 @@ QUERIES.update(
     ),
     change_verification=Query(
         change_verification,
-        """WITH f AS (SELECT l_orderkey AS o_orderkey, first(l_returnflag ORDER BY l_linenumber, l_partkey) AS first_result, count(*) AS n_checks FROM lineitem GROUP BY 1)
+        """WITH f AS (SELECT l_orderkey AS o_orderkey, first(l_returnflag ORDER BY l_linenumber, l_partkey, l_returnflag) AS first_result, count(*) AS n_checks FROM lineitem GROUP BY 1)
         SELECT o_orderkey, o_orderstatus, first_result, coalesce(n_checks, 0) AS n_checks FROM orders LEFT JOIN f USING (o_orderkey)""",
     ),
     evidence_gate=Query(evidence_gate, "SELECT p_partkey, p_type, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45) AS accepted FROM part"),
