@@ -10,9 +10,10 @@
   wanted overlap with ``y`` only through shingles outside ``r``, at least
   ``k = need(x, r) - |x & r|`` of them. So members meet again in groups keyed by (r, shingle outside r),
   of which each indexes all but the ``k - 1`` that are most frequent in the star, and each such group is a star around its own
-  smallest set, or, with at most ``SMALL`` members, compared pair by pair. The rank of the centre grows with
+  smallest set, or, where these are at most ``SMALL_PAIRS``, compared in all pairs of different components. The rank of the centre grows with
   every round, so the rounds end.
-* Links become components by alternating large-star and small-star steps.
+* Links become components by alternating large-star and small-star steps after every round. Members that are
+  one component already need no further comparison: only groups, stars and pairs with several components go on.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; fewer than five
 words make one shingle; null ids are linked to nothing and are their own (null) component; a
@@ -21,21 +22,24 @@ repeated doc_id counts as one document; empty tables give no rows; other columns
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .scratch import keep
+from .scratch import keep, shared_folder
 from .textkernel import mix, shingle_sets
 
 PERMUTATIONS, ROWS = 64, 5
 WORDS = 5
-MEMBER = ["r", "class", "size", "linked", "new", "indexed", "n_outside"]
-#: From the second round on, groups of up to this many members are compared pair by pair.
-SMALL = 128
+MEMBER = ["r", "class", "size", "component", "new", "indexed", "n_outside"]
+#: From the second round on, members outside a group's largest component meet all others if these are so many pairs at most.
+SMALL_PAIRS = 128 * 128
 #: Ids of candidate classes are sent to every executor up to this many (8 bytes each), else joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -116,23 +120,26 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links (u, v) that connect what the buckets' members link to; see the module's text."""
+def _labels(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) over all links between the buckets' members; see the module's text."""
     need = lambda a, b: F.ceil((a + b) * percent / (100 + percent))
-    found = done = stars = None
-    while True:
-        first = F.min(F.struct("size", "class"))
-        centre = buckets.groupBy("bucket").agg(first.alias("centre"), F.count("*").alias("n"))
-        small = F.lit(done is not None) & (F.col("n") <= SMALL)
-        met = buckets.join(centre.select("bucket", F.col("centre.class").alias("r"), small.alias("small")), "bucket")
+    spark = buckets.sparkSession
+    folder = f"{shared_folder(spark)}/searchops/tested-{uuid.uuid4().hex}"
+    every = stars = labels = None
+    buckets = buckets.withColumn("component", F.col("class"))
+    for i in itertools.count():
+        parts = buckets.groupBy("bucket", "component").agg(F.min(F.struct("size", "class")).alias("first"), F.count("*").alias("n"))
+        centre = parts.groupBy("bucket").agg(F.min("first").alias("centre"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+        small = F.lit(i > 0) & ((F.col("n") - F.col("main.n")) * F.col("n") <= SMALL_PAIRS)
+        met = buckets.join(centre.select("bucket", F.col("centre.class").alias("r"), F.col("main.component").alias("main"), small.alias("small")), "bucket")
         star = met.where("not small and r <> class").select("r", "class", F.lit(True).alias("star")).distinct()
-        if done is not None:
-            star = star.join(stars, ["r", "class"], "left_anti")
+        if i:
+            star = star.join(stars.select("r", "class"), ["r", "class"], "left_anti")
             some = met.where("small")
-            other = some.select("bucket", F.col("class").alias("class"), F.col("size").alias("size"))
-            mine = some.select("bucket", F.col("class").alias("r"), F.col("size").alias("r_size"))
-            each = mine.join(other, "bucket").where(F.struct("r_size", "r") < F.struct("size", "class")).select("r", "class").distinct()
-            star = star.unionByName(each.join(done, ["r", "class"], "left_anti").withColumn("star", F.lit(False)))
+            other = some.select("bucket", F.struct("size", "class").alias("x"), "component")
+            mine = some.where("component <> main").select("bucket", F.struct("size", "class").alias("y"), F.col("component").alias("own"))
+            each = mine.join(other, "bucket").where("own <> component").select(F.least("x", "y")["class"].alias("r"), F.greatest("x", "y")["class"].alias("class")).distinct()
+            star = star.unionByName(each.join(every.select("r", "class"), ["r", "class"], "left_anti").withColumn("star", F.lit(False)))
         pairs = star.groupBy("r", "class").agg(F.max("star").alias("star"))  # no pair is tested twice in one role
         pairs = pairs.join(sets.select(F.col("class").alias("r"), F.col("shingles").alias("rs")), "r")
         pairs = pairs.join(sets.select("class", F.col("shingles").alias("xs")), "class")
@@ -141,26 +148,30 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         tested = tested.withColumn("linked", F.col("common") * 100 >= (F.col("nr") + F.col("nx") - F.col("common")) * percent)
         indexed = F.greatest(F.lit(0), F.size("outside") - F.greatest(F.lit(1), F.col("need") - F.col("common")) + 1)
         outside = F.when(F.col("star"), F.col("outside")).otherwise(F.array().cast("array<bigint>"))
-        tested = keep(tested.select("r", "class", F.col("nx").alias("size"), "star", "linked", indexed.cast("int").alias("indexed"), outside.alias("outside")), "tested")
-        now = tested.where("linked").select(F.least("r", "class").alias("u"), F.greatest("r", "class").alias("v"))
-        found = now if found is None else found.unionByName(now)
-        done = tested.select("r", "class") if done is None else done.unionByName(tested.select("r", "class"))
-        new = tested.where("star").drop("star").withColumn("new", F.lit(True))
-        stars = new if stars is None else stars.withColumn("new", F.lit(False)).unionByName(new)
-        touched = new.select("r").distinct().join(stars.where("not linked").select("r").distinct(), "r", "left_semi")
-        again = stars.join(touched, "r", "left_semi").withColumn("n_outside", F.size("outside"))
-        again = again.select(*MEMBER, F.explode("outside").alias("shingle"))
-        shared = again.groupBy("r", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+        tested = tested.select("r", "class", F.col("nx").alias("size"), "star", "linked", indexed.cast("int").alias("indexed"), outside.alias("outside"))
+        tested.write.parquet(f"{folder}/round={i}")  # one folder for all rounds, so that plans do not grow with them
+        every = spark.read.schema(StructType([*tested.schema, StructField("round", IntegerType())])).parquet(folder)
+        links = every.where("linked").where(F.col("round") == i).select(F.least("r", "class").alias("u"), F.greatest("r", "class").alias("v"))
+        if labels is not None:
+            links = links.unionByName(labels.select(F.col("component").alias("u"), F.col("node").alias("v")))
+        labels = components(links)
+        stars = every.where("star")
+        again = stars.join(labels, F.col("class") == F.col("node"), "left")
+        again = again.withColumn("component", F.coalesce("component", "class")).withColumn("new", F.col("round") == i).withColumn("n_outside", F.size("outside"))
+        apart = (F.min("component") != F.max("component")).alias("apart")
+        open_stars = again.groupBy("r").agg(F.max("new").alias("any_new"), apart).where("any_new and apart").select("r")
+        again = keep(again.join(open_stars, "r", "left_semi").select(*MEMBER, F.explode("outside").alias("shingle")), "outside")
+        shared = again.groupBy("r", "shingle").agg(F.count("*").alias("n"), apart).where("apart").drop("apart")
         again = again.join(shared, ["r", "shingle"]).groupBy(*MEMBER).agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))
-        alone = F.col("n_outside") - F.size("s")  # shingles of this member only come first
-        again = again.select(*MEMBER, F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("indexed") - alone))).alias("s"))
-        again = again.select(F.xxhash64("r", "s.shingle").alias("bucket"), "class", "size", "linked", "new")
+        settled = F.col("n_outside") - F.size("s")  # shingles of one component only come first
+        again = again.select(*MEMBER, F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("indexed") - settled))).alias("s"))
+        again = again.select(F.xxhash64("r", "s.shingle").alias("bucket"), "class", "size", "component", "new")
         members = F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("members")  # tells groups of the same members
-        live = again.groupBy("bucket").agg(F.count("*").alias("n"), F.min("linked").alias("all_linked"), F.max("new").alias("any_new"), members)
-        live = live.where("n > 1 and any_new and not all_linked").groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
-        buckets = keep(again.join(live, "bucket", "left_semi").select("bucket", "class", "size"), "buckets")
+        live = again.groupBy("bucket").agg(F.count("*").alias("n"), F.max("new").alias("any_new"), apart, members)
+        live = live.where("any_new and apart").groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
+        buckets = keep(again.join(live, "bucket", "left_semi").select("bucket", "class", "size", "component"), "buckets")
         if buckets.isEmpty():
-            return found
+            return labels
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -184,8 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     ids = keep(buckets.select(F.col("class").alias("doc_id")).distinct(), "candidates")
     sets = _semi_by_id(docs, ids).mapInArrow(_full_sets, "doc_id long, shingles array<long>")
     sets = keep(sets.withColumnRenamed("doc_id", "class").dropDuplicates(["class"]), "sets")
-    links = _links(buckets, sets, percent)
-    labels = classes.join(components(links), F.col("class") == F.col("node"), "left")
+    labels = classes.join(_labels(buckets, sets, percent), F.col("class") == F.col("node"), "left")
     labels = labels.select("n_shingles", "one", "two", F.coalesce("component", "class").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "one", "two").join(labels, ["n_shingles", "one", "two"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
