@@ -20,6 +20,6 @@ FLAGSHIP = "site_findings"
 
 def load() -> dict[str, Query]:
     """Import the modules that register queries."""
-    from . import analytics, lifecycle, technical  # noqa: F401
+    from . import analytics, lifecycle, planning, technical  # noqa: F401
 
     return QUERIES
