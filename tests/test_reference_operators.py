@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from searchops.functions import text as tx
 from searchops.functions import urls as ux
-from searchops.operators import graph, keywords, metrics, opportunities, technical, visibility
+from searchops.operators import graph, keywords, metrics, opportunities, planning, technical, visibility
 from searchops.plans import registry
 from searchops.sources.tables import keeper, scoped
 
@@ -115,3 +115,20 @@ def test_traversal_and_scores(spark):
     assert (c.brand_mentioned, c.brand_position, list(c.competitors), list(c.cited), c.own_url_cited, c.sentiment) == (True, 2, ["Rival"], ["https://www.acme.com/x"], True, "negative")
     rows = spark.createDataFrame([("a", "p"), ("a", "q"), ("b", "p")], "tenant_id string, project_id string")
     assert scoped(rows, "a").count() == 2 and scoped(rows, "a", "q").count() == 1
+
+
+def test_planning_rules(spark):
+    rnd = random.Random(9)
+    rows = [(k, rnd.randrange(12), i, rnd.choice((0.1, -0.15, 0.0))) for k in "abc" for i in range(80)]
+    want = {}
+    for k, _, _, d in sorted(rows):
+        want[k] = min(2.0, max(0.3, want.get(k, 1.0) + d))
+    df = spark.createDataFrame(rows, "k string, day int, i int, d double")
+    got = {r.k: (r.weight, r.steps) for r in planning.weight_folds(df, "k", ["day", "i"], "d").collect()}
+    assert got == {k: (pytest.approx(w, abs=1e-3), 80) for k, w in want.items()}
+    cases = [(0.99, 0, True, False, 0.99, "HIGH"), (0.85, 100, False, False, 0.75, "MEDIUM"), (0.10, 400, False, True, 0.01, "LOW")]
+    df = spark.createDataFrame(cases, "b double, age int, x boolean, p boolean, want double, label string")
+    c = planning.confidence(*map(F.col, ("b", "age", "x", "p")))
+    assert all((r.c, r.l) == (r.want, r.label) for r in df.select("*", c.alias("c"), planning.confidence_label(c).alias("l")).collect())
+    df = spark.createDataFrame([(1, 1, "REVISE"), (1, 2, "PASS"), (1, 3, "FAIL"), (2, 1, "REVISE"), (2, 2, "REVISE"), (2, 4, "PASS")], "k int, n int, v string")
+    assert sorted(map(tuple, planning.revise_loop(df, "k", "n", "v").collect())) == [(1, 2, "PASS"), (2, 2, "REVISE")]
