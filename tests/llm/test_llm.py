@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,23 @@ def test_decontamination(spark, odd):
     assert decontaminate.contaminated(odd, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_finds_edits_anywhere_in_the_item():
+    rnd = random.Random(4)
+    words = " ".join(r for r in pq.read_table(f"{SF1}/documents.parquet")["text"].to_pylist() if r).split()
+    piece = lambda n: words[(a := rnd.randrange(len(words) - n)) : a + n]
+    for n in (9, 12, 23, 24, 47, 48, 59, 300, 700):
+        items, e = [piece(n) for _ in range(12)], n // 5
+        index = decontaminate.build_index(list(range(12)), [" ".join(x) for x in items])
+        for place in ("head", "middle", "tail", "all over"):
+            found = 0
+            for k, x in enumerate(items):
+                gone = set(rnd.sample(range(n), e)) if place == "all over" else set(range(e)) if place == "head" else set(range(n - e, n)) if place == "tail" else set(range(n // 2 - e // 2, n // 2 - e // 2 + e))
+                for put in ([], ["zz"]):  # deleted, replaced
+                    text = " ".join(piece(rnd.randrange(1, 90)) + [y for i, w in enumerate(x) for y in (put if i in gone else [w])] + piece(40))
+                    found += any(r[1] == k for _, h, at in decontaminate.words_of(pa.array([text])) for r in decontaminate.leaks_of(index, h, at))
+            assert found >= 0.95 * 24, (n, place)
+
+
 def test_span_distance_is_exact():
     def slow(a, b):
         row = [0] * (len(b) + 1)
