@@ -6,9 +6,13 @@ and put on a worklist, until nothing new comes out; a layer whose content was al
 the way to it is not taken again, so cycles end. Findings in a layer are mapped to the place in the
 document: exactly for escapes, to the whole encoded run for base64 and compressed data.
 
-Defined results: a null text is the empty text; repeated rows are scanned alike; a compressed layer of more
-than ``MAX_LAYER`` characters is left as it is (the bound keeps a hostile archive from filling a task) and
-counted in ``n_refused``; a table without rows gives none; only ``doc_id`` and ``text`` are read.
+A compressed layer of more than ``MAX_LAYER`` bytes is unzipped as a stream and scanned in overlapping blocks, so
+that a hostile archive can't fill a task; encoded runs longer than the overlap are streams in it again. All
+members of a gzip are read, and of a broken stream what comes out.
+
+Defined results: a null text is the empty text; repeated rows are scanned alike; streams nested deeper than
+``MAX_DEPTH`` (archives that hold themselves) are counted in ``n_refused``; a table without rows gives none; only
+``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,12 @@ HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 MAX_LAYER = 16 << 20
+BLOCK, OVERLAP, MAX_DEPTH = 4 << 20, 1 << 20, 64
+_RUN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n"
+_LEADING = re.compile(r"[A-Za-z0-9+/_\r\n-]*")
+_TO_BASE64 = {ord("-"): "+", ord("_"): "/", ord("\r"): None, ord("\n"): None}
 
 #: Texts without a match hold no finding of any layer (a superset of what each pattern needs).
 _WORTH = r"(?i:passw(or)?d|secret|token|api_?key)|AKIA|[0-9a-f]{16}|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|[A-Za-z0-9+/_-]{16}"
@@ -69,6 +78,8 @@ class Layer:
 
 def _unescaped(layer: Layer) -> Layer | None:
     """The layer with its percent and backslash-u runs decoded; None if nothing changes."""
+    if "%" not in layer.text and "\\u" not in layer.text:
+        return None
     out, places, last, size = [], [], 0, 0
 
     def copy(a: int, b: int) -> None:
@@ -111,26 +122,163 @@ def _readable(data: bytes) -> str | None:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    bad = sum(c < " " and c not in "\t\n\r" for c in text)
-    return text if text and bad == 0 else None
+    return text if text and not _CONTROL.search(text) else None
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """Zlib or gzip content up to MAX_LAYER bytes; None if it is neither; OverflowError beyond."""
-    if not (data[:2] == b"\x1f\x8b" or (len(data) > 1 and data[0] & 0x0F == 8 and (data[0] * 256 + data[1]) % 31 == 0)):
-        return None
-    try:
-        d = zlib.decompressobj(zlib.MAX_WBITS | 32)
-        out = d.decompress(data, MAX_LAYER + 1)
-    except zlib.error:
-        return None
-    if len(out) > MAX_LAYER:
-        raise OverflowError
-    return out if d.eof else None
+def _zipped(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (len(data) > 1 and data[0] & 0x0F == 8 and (data[0] * 256 + data[1]) % 31 == 0)
 
 
-def _wrapped(layer: Layer) -> Iterator[Layer]:
-    """What the base64 runs of a layer hold, unzipped until readable text comes out."""
+def _inflated(data: bytes) -> bytes | None:
+    """Zlib or gzip content, of all members, up to MAX_LAYER bytes; None if it is neither; OverflowError beyond."""
+    out = b""
+    while _zipped(data):
+        d = zlib.decompressobj(zlib.MAX_WBITS | 32)
+        try:
+            for i in range(0, len(data), 1 << 12):  # a broken stream gives what comes before the break
+                out += d.decompress(data[i : i + (1 << 12)], MAX_LAYER + 1 - len(out))
+                if len(out) > MAX_LAYER:
+                    raise OverflowError
+                if d.eof:
+                    break
+        except zlib.error:
+            return out or None
+        if not d.eof:
+            break
+        data = d.unused_data + data[i + (1 << 12) :]
+    return out or None
+
+
+class TextStream:
+    """Kinds of secrets in a text that comes in pieces, and in all that is encoded in it."""
+
+    def __init__(self, depth: int):
+        self.depth, self.text, self.kinds, self.refused = depth, "", set(), 0
+        self.run: RunStream | None = None
+
+    def feed(self, text: str) -> None:
+        if self.run:
+            end = _LEADING.match(text).end()
+            self.run.feed(text[:end])
+            if end < len(text):
+                self._end_run()
+        self.text += text
+        if len(self.text) >= BLOCK:
+            self._scan()
+            self._start_run()
+            self.text = self.text[-OVERLAP:]
+
+    def close(self) -> None:
+        self._end_run()
+        self._scan()
+
+    def _scan(self) -> None:
+        # spaces are as good as any number of them
+        _, found, _, refused = scan(re.sub(" {64,}", " " * 64, self.text))
+        self.kinds |= {k for _, _, k in found}
+        self.refused += refused
+
+    def _start_run(self) -> None:
+        """A run that is longer than the overlap and has not ended is decoded as a stream of its own."""
+        start = len(self.text.rstrip(_RUN))
+        if self.run or start >= len(self.text) - OVERLAP:
+            return
+        lines = self.text[start:].split("\n")
+        for line, after in zip(lines, lines[1:], strict=False):  # wrapped runs begin where lines are alike
+            if len(line) >= 16 and len(after) >= len(line):
+                break
+            start += len(line) + 1
+        if start < len(self.text) - OVERLAP:
+            self.run = RunStream(self.depth + 1)
+            self.run.feed(self.text[start:])
+
+    def _end_run(self) -> None:
+        if self.run:
+            self.run.close()
+            self.kinds |= self.run.bytes.kinds
+            self.refused += self.run.bytes.refused
+            self.run = None
+
+
+class RunStream:
+    """A base64 run that comes in pieces."""
+
+    def __init__(self, depth: int):
+        self.rest, self.bytes = "", ByteStream(depth)
+
+    def feed(self, text: str) -> None:
+        text = self.rest + text.translate(_TO_BASE64)
+        cut = len(text) // 4 * 4
+        self.rest = text[cut:]
+        self.bytes.feed(base64.b64decode(text[:cut]))
+
+    def close(self) -> None:
+        if len(self.rest) > 1:
+            self.bytes.feed(base64.b64decode(self.rest + "=" * (-len(self.rest) % 4)))
+        self.bytes.close()
+
+
+class ByteStream:
+    """Bytes that come in pieces: unzipped, as often as they are zipped, or taken as text.
+
+    All patterns are ASCII and the places within a layer don't matter, so one character a byte will do.
+    """
+
+    def __init__(self, depth: int):
+        self.depth, self.head, self.kinds, self.refused = depth, b"", set(), int(depth > MAX_DEPTH)
+        self.inner: ByteStream | TextStream | None = None
+        self.d = None
+
+    def feed(self, data: bytes) -> None:
+        if self.depth > MAX_DEPTH:
+            return
+        if self.inner is None or (self.d and self.d.eof):
+            data, self.head = self.head + data, b""
+            if len(data) < 2:
+                self.head = data
+                return
+            if _zipped(data):
+                self.d = zlib.decompressobj(zlib.MAX_WBITS | 32)
+                self.inner = self.inner or ByteStream(self.depth + 1)
+            else:
+                self.inner, self.d = self.inner or TextStream(self.depth), None
+        if not self.d:
+            for i in range(0, len(data), 1 << 20):
+                self._inward(data[i : i + (1 << 20)])
+            return
+        rest = data
+        while True:
+            try:
+                out = self.d.decompress(rest, 1 << 20)
+            except zlib.error:  # no stream, or broken: the rest as it is
+                self.d, self.inner = None, self.inner if self.depth == MAX_DEPTH or self._begun() else TextStream(self.depth)
+                return self.feed(rest)
+            if out:
+                self._inward(out)
+            rest = self.d.unconsumed_tail
+            if self.d.eof:
+                return self.feed(self.d.unused_data) if self.d.unused_data else None
+            if not out and not rest:
+                return
+
+    def _begun(self) -> bool:
+        return bool(self.inner.inner or self.inner.head)
+
+    def _inward(self, data: bytes) -> None:
+        self.inner.feed(data if isinstance(self.inner, ByteStream) else data.decode("latin-1"))
+
+    def close(self) -> None:
+        if self.inner is None and self.head:
+            self.inner = TextStream(self.depth)
+            self._inward(self.head)
+        if self.inner:
+            self.inner.close()
+            self.kinds |= self.inner.kinds
+            self.refused += self.inner.refused
+
+
+def _wrapped(layer: Layer) -> Iterator[Layer | tuple[tuple[int, int], ByteStream]]:
+    """What the base64 runs of a layer hold, unzipped until readable text comes out; a stream if it is large."""
     for m in BASE64.finditer(layer.text):
         raw = m.group().rstrip("=").replace("-", "+").replace("_", "/")
         if len(raw) % 4 == 1:
@@ -139,8 +287,16 @@ def _wrapped(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
         except binascii.Error:
             continue
-        while (more := _inflated(data)) is not None:
-            data = more
+        try:
+            below = {data}
+            while (more := _inflated(data)) is not None and more not in below:
+                below.add(data := more)
+        except OverflowError:
+            stream = ByteStream(0)
+            stream.feed(data)
+            stream.close()
+            yield layer.span(m.start(), m.end()), stream
+            continue
         if (text := _readable(data)) is not None:
             yield Layer(text, [(0, *layer.span(m.start(), m.end()))])
 
@@ -157,10 +313,13 @@ def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
             layers += 1
             found |= {(*layer.span(a, b), k) for a, b, k in base_spans(layer.text)}
         new = [x] if (x := _unescaped(layer)) else []
-        try:
-            new += _wrapped(layer)
-        except OverflowError:
-            refused += 1
+        for x in _wrapped(layer):
+            if isinstance(x, Layer):
+                new.append(x)
+            else:
+                place, stream = x
+                layers, refused = layers + 1, refused + stream.refused
+                found |= {(*place, k) for k in stream.kinds}
         for x in new:
             key = x.text if x.places[0][1:] == (0, len(text)) else (x.text, x.places[0][1:])
             if key not in seen:

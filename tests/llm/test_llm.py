@@ -1,5 +1,6 @@
 import base64
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -210,6 +211,26 @@ def test_secret_scan(spark, odd):
         assert r.n_assign + r.n_access + r.n_hex <= len([x for x in r.spans.split(",") if x])
 
 
+def test_secret_scan_refuses_no_layer(monkeypatch):
+    for name, size in (("MAX_LAYER", 1 << 20), ("BLOCK", 1 << 18), ("OVERLAP", 1 << 16)):
+        monkeypatch.setattr(secret_scan, name, size, raising=False)
+    s = b"x password=abcdef1234567890 y\n"
+    b64 = lambda data: base64.b64encode(data).decode()
+    zipped = lambda data: b64(zlib.compress(data, 1))
+    kinds = lambda t: {(a, b) for a, b, _ in secret_scan.scan(t)[1]}
+    small, large, filler = b64(s), zipped(b"-" * (17 << 16)), b"lorem ipsum " * (3 << 15)
+    text = f"{large} {small}"
+    assert kinds(text) == {(len(large) + 1, len(text))} and secret_scan.scan(text)[3] == 0
+    for inner in (s, small.encode() + b"\n", zipped(s).encode(), zlib.compress(filler + s)):
+        run = zipped(filler + b"\n" + inner + b"\n" + filler) if inner[:1] != b"x" or inner == s else b64(zlib.compress(inner))
+        assert kinds(run) == {(0, len(run))}, inner[:20]
+    noise = random.Random(1).randbytes(13 << 16).translate(bytes(33 + i % 14 for i in range(256)))
+    run = zipped(b"," + base64.b64encode(noise + s))  # a layer whose one run is longer than a block
+    assert kinds(run) == {(0, len(run))}
+    several = b64(gzip.compress(b"nothing") + gzip.compress(s))
+    assert kinds(several) == {(0, len(several))}
+
+
 def test_license_scan(spark, odd):
     phrases = {tuple(p.split()): label for p, label in license_scan.PHRASES.items()}
     texts = ["MIT License. mit license", "the GNU\nGeneral public-license v3", "cc by cc BY", "Kcc by K", "licensed under the apache software license version 2 0", None, "", "İ mit license"]
