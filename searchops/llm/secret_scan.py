@@ -4,7 +4,8 @@ Every whole text is scanned by the base patterns. Then each layer that can hide
 - percent escapes, backslash-u escapes, base64 (both alphabets), and zlib, gzip or raw bytes inside it -
 and put on a worklist, until nothing new comes out; a layer whose content was already seen on
 the way to it is not taken again, so cycles end. Findings in a layer are mapped to the place in the
-document: exactly for escapes, to the whole encoded run for base64 and compressed data.
+document: exactly for escapes, to the whole encoded run for base64 and compressed data. Bytes that are not UTF-8 stand for themselves, one
+character a byte; a decoded layer that is not fully readable counts if any pattern matches in it.
 
 A compressed layer of more than ``MAX_LAYER`` bytes is unzipped as a stream and scanned in overlapping blocks, so
 that a hostile archive can't fill a task; encoded runs longer than the overlap are streams in it again. All
@@ -36,7 +37,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of base64, as mail and PEM wrap them.
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}(?![A-Za-z0-9+/_-]))+")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 MAX_LAYER = 16 << 20
 BLOCK, OVERLAP, MAX_DEPTH = 4 << 20, 1 << 20, 64
@@ -95,15 +99,13 @@ def _unescaped(layer: Layer) -> Layer | None:
 
     for m in ESCAPES.finditer(layer.text):
         run = m.group()
-        try:
-            if run[0] == "%":
-                new = bytes.fromhex(run.replace("%", "")).decode()
-                step = [3 * len(c.encode()) for c in new]
-            else:
-                new = bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be")
-                step = [6 * (len(c.encode("utf-16-be")) // 2) for c in new]
-        except UnicodeDecodeError:
-            continue
+        if run[0] == "%":
+            new = bytes.fromhex(run.replace("%", "")).decode(errors="surrogateescape")
+            step = [3 * len(c.encode(errors="surrogateescape")) for c in new]
+            new = [chr(ord(c) - 0xDC00) if 0xDC80 <= ord(c) <= 0xDCFF else c for c in new]
+        else:
+            new = bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "surrogatepass")
+            step = [6 * (len(c.encode("utf-16-be", "surrogatepass")) // 2) for c in new]
         copy(last, m.start())
         at = m.start()
         for c, n in zip(new, step, strict=True):
@@ -118,11 +120,14 @@ def _unescaped(layer: Layer) -> Layer | None:
 
 
 def _readable(data: bytes) -> str | None:
+    """The bytes as text; of what is not fully readable only where a pattern matches."""
     try:
         text = data.decode()
+        if not _CONTROL.search(text):
+            return text or None
     except UnicodeDecodeError:
-        return None
-    return text if text and not _CONTROL.search(text) else None
+        text = data.decode("latin-1")
+    return text if base_spans(text) or BASE64.search(text) or ESCAPES.search(text) else None
 
 
 def _zipped(data: bytes) -> bool:
@@ -131,22 +136,19 @@ def _zipped(data: bytes) -> bool:
 
 def _inflated(data: bytes) -> bytes | None:
     """Zlib or gzip content, of all members, up to MAX_LAYER bytes; None if it is neither; OverflowError beyond."""
-    out = b""
-    while _zipped(data):
+    out, at = bytearray(), 0
+    while _zipped(data[at : at + 2]):
         d = zlib.decompressobj(zlib.MAX_WBITS | 32)
         try:
-            for i in range(0, len(data), 1 << 12):  # a broken stream gives what comes before the break
-                out += d.decompress(data[i : i + (1 << 12)], MAX_LAYER + 1 - len(out))
+            while at < len(data) and not d.eof:  # a broken stream gives what comes before the break
+                part = data[at : at + (1 << 12)]
+                out += d.decompress(part, MAX_LAYER + 1 - len(out))
                 if len(out) > MAX_LAYER:
                     raise OverflowError
-                if d.eof:
-                    break
+                at += len(part) - len(d.unused_data)
         except zlib.error:
-            return out or None
-        if not d.eof:
             break
-        data = d.unused_data + data[i + (1 << 12) :]
-    return out or None
+    return bytes(out) or None
 
 
 class TextStream:
@@ -230,14 +232,17 @@ class ByteStream:
         self.d = None
 
     def feed(self, data: bytes) -> None:
-        if self.depth > MAX_DEPTH:
-            return
+        while data and self.depth <= MAX_DEPTH:
+            data = self._member(data)
+
+    def _member(self, data: bytes) -> bytes:
+        """Takes the bytes up to the end of a zipped member, or all; what follows."""
         if self.inner is None or (self.d and self.d.eof):
             data, self.head = self.head + data, b""
             if len(data) < 2:
                 self.head = data
-                return
-            if _zipped(data):
+                return b""
+            if _zipped(data[:2]):
                 self.d = zlib.decompressobj(zlib.MAX_WBITS | 32)
                 self.inner = self.inner or ByteStream(self.depth + 1)
             else:
@@ -245,24 +250,26 @@ class ByteStream:
         if not self.d:
             for i in range(0, len(data), 1 << 20):
                 self._inward(data[i : i + (1 << 20)])
-            return
-        rest = data
-        while True:
-            try:
-                out = self.d.decompress(rest, 1 << 20)
-            except zlib.error:  # no stream, or broken: the rest as it is
-                self.d, self.inner = None, self.inner if self.depth == MAX_DEPTH or self._begun() else TextStream(self.depth)
-                return self.feed(rest)
-            if out:
-                self._inward(out)
-            rest = self.d.unconsumed_tail
-            if self.d.eof:
-                return self.feed(self.d.unused_data) if self.d.unused_data else None
-            if not out and not rest:
-                return
+            return b""
+        for i in range(0, len(data), 1 << 12):
+            rest = data[i : i + (1 << 12)]
+            while True:
+                try:
+                    out = self.d.decompress(rest, 1 << 20)
+                except zlib.error:  # no stream, or broken: the rest as it is
+                    self.d, self.inner = None, self.inner if self._begun() else TextStream(self.depth)
+                    return rest + data[i + (1 << 12) :]
+                if out:
+                    self._inward(out)
+                rest = self.d.unconsumed_tail
+                if self.d.eof:
+                    return self.d.unused_data + data[i + (1 << 12) :]
+                if not rest and len(out) < 1 << 20:
+                    break
+        return b""
 
     def _begun(self) -> bool:
-        return bool(self.inner.inner or self.inner.head)
+        return bool(self.inner.inner or self.inner.head or self.inner.depth > MAX_DEPTH)
 
     def _inward(self, data: bytes) -> None:
         self.inner.feed(data if isinstance(self.inner, ByteStream) else data.decode("latin-1"))
@@ -277,12 +284,31 @@ class ByteStream:
             self.refused += self.inner.refused
 
 
+def _runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and base64 characters of the runs, and of the lines that make one wrapped run."""
+    plain = str.maketrans("-_", "+/")
+    for m in BASE64.finditer(text):
+        raw = m.group().rstrip("=").translate(plain)
+        if len(raw) % 4 != 1:
+            yield m.start(), m.end(), raw
+    for m in LINES.finditer(text) if "\n" in text else ():
+        lines = [(x.start(), x.end(), x.group()) for x in LINE.finditer(text, m.start(), m.end())]
+        i = 0
+        while i + 1 < len(lines):
+            width, j = max(len(lines[i][2]), len(lines[i + 1][2])), i + 1  # the first may be short behind a name
+            while len(lines[i][2]) >= 16 and j < len(lines) and lines[j - 1][2][-1] != "=" and len(lines[j][2]) <= width:
+                j += 1
+                if len(lines[j - 1][2]) < width:
+                    break
+            if j - i > 1:
+                raw = "".join(x[2] for x in lines[i:j]).rstrip("=").translate(plain)
+                yield lines[i][0], lines[j - 1][1], raw[: len(raw) - (len(raw) % 4 == 1)]
+            i = max(i + 1, j if j - i > 1 else 0)
+
+
 def _wrapped(layer: Layer) -> Iterator[Layer | tuple[tuple[int, int], ByteStream]]:
     """What the base64 runs of a layer hold, unzipped until readable text comes out; a stream if it is large."""
-    for m in BASE64.finditer(layer.text):
-        raw = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(raw) % 4 == 1:
-            continue
+    for start, end, raw in _runs(layer.text):
         try:
             data = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
         except binascii.Error:
@@ -295,10 +321,10 @@ def _wrapped(layer: Layer) -> Iterator[Layer | tuple[tuple[int, int], ByteStream
             stream = ByteStream(0)
             stream.feed(data)
             stream.close()
-            yield layer.span(m.start(), m.end()), stream
+            yield layer.span(start, end), stream
             continue
         if (text := _readable(data)) is not None:
-            yield Layer(text, [(0, *layer.span(m.start(), m.end()))])
+            yield Layer(text, [(0, *layer.span(start, end))])
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], int, int]:

@@ -231,6 +231,33 @@ def test_secret_scan_refuses_no_layer(monkeypatch):
     assert kinds(several) == {(0, len(several))}
 
 
+def test_secret_scan_opens_every_layer():
+    s = "x password=abcdef1234567890 y"
+    b64 = lambda data: base64.b64encode(data).decode()
+    got = lambda t: {(a, b) for a, b, _ in secret_scan.scan(t)[1]}
+    run, zipped = b64(s.encode()), b64(gzip.compress(s.encode() + random.Random(3).randbytes(150).hex(":").encode()))
+    for name in ("data=", "?payload=", "KEY%3D", "a=b=="):
+        assert got(name + zipped) == {(len(name), len(name + zipped))}, name
+    assert got(f"%E9%20{urllib.parse.quote('token=' + 'q' * 13, safe='')}".replace("token", "%74oken")) == {(6, 29)}
+    assert got("%E9%74%6Fken=abcdefabcdef12") == {(3, 27)}
+    assert got("\\ud800\\u0074oken=abcdefabcdef12") == {(6, 31)}
+    for data in (b"\x00\xff" + s.encode(), b"\xe9 " + run.encode(), zlib.compress(b"\x01" + s.encode())):
+        assert got("k " + b64(data)) == {(2, 2 + len(b64(data)))}
+    for width, end in ((76, "\n"), (64, "\r\n"), (40, "\n  ")):
+        wrapped = end.join(zipped[i : i + width] for i in range(0, len(zipped), width))
+        for before, after in (("see:\n\n", "\n\nbye"), ("data=", ""), ("one\n", "\nRegards\n")):
+            ((a, b),) = got(before + wrapped + after)
+            assert a == len(before) and b >= len(before + wrapped)
+        short = "key: " + zipped[:36] + end + end.join(zipped[36:][i : i + width] for i in range(0, len(zipped) - 36, width))
+        assert got(short) == {(5, len(short))}
+    many = b64(b"".join(gzip.compress(b"nothing") for _ in range(3000)) + gzip.compress(s.encode()))
+    assert got(many) == {(0, len(many))}
+    stream = secret_scan.ByteStream(0)
+    stream.feed(base64.b64decode(many))
+    stream.close()
+    assert stream.kinds == {0, 2} and stream.refused == 0
+
+
 def test_license_scan(spark, odd):
     phrases = {tuple(p.split()): label for p, label in license_scan.PHRASES.items()}
     texts = ["MIT License. mit license", "the GNU\nGeneral public-license v3", "cc by cc BY", "Kcc by K", "licensed under the apache software license version 2 0", None, "", "İ mit license"]
