@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that carry no topic.
 STOP_WORDS = ("the", "a", "an", "of", "for", "to", "in", "on", "and", "or")
@@ -17,6 +21,8 @@ CREDENTIALS = (
     r"npg_[A-Za-z0-9]{12,}",
     r"xox[baprs]-[A-Za-z0-9-]{10,}",
 )
+#: The format that runs over lines; it stands apart as the SQL twins read CREDENTIALS.
+PRIVATE_KEY = r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"
 PLACEHOLDER = "[REDACTED]"
 
 
@@ -27,15 +33,15 @@ def unescape(text: Column) -> Column:
 
 
 def title(html: Column) -> Column:
-    return F.trim(unescape(F.regexp_extract(html, "<title>([^<]*)</title>", 1)))
+    return F.trim(unescape(F.regexp_extract(html, r"(?i)<title(?:\s[^>]*)?>([^<]*)</title\s*>", 1)))
 
 
 def headings(html: Column, level: int) -> Column:
-    return F.regexp_extract_all(html, F.lit(f"<h{level}>([^<]*)</h{level}>"), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(rf"(?i)<h{level}(?:\s[^>]*)?>([^<]*)</h{level}\s*>"), F.lit(1))
 
 
 def links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"'), F.lit(1))
 
 
 def body_text(html: Column) -> Column:
@@ -47,9 +53,15 @@ def word_count(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
 
 
+@F.arrow_udf(StringType())
+def folded(term: pa.Array) -> pa.Array:
+    """NFKC and case folding."""
+    return pa.array([t and unicodedata.normalize("NFKC", t).casefold() for t in term.to_pylist()], pa.string())
+
+
 def keyword(term: Column) -> Column:
-    """Lower case, punctuation as spaces, single spaces (ASCII)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(term), r"[^a-z0-9_ '-]", " "), " +", " "))
+    """Folded case, all but letters and digits of any script as spaces, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(folded(term), r"[^\p{L}\p{N}_ '-]", " "), " +", " "))
 
 
 def singular(w: Column) -> Column:
@@ -69,10 +81,14 @@ def tokens(term: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    for pattern in CREDENTIALS:
+    for pattern in (*CREDENTIALS, PRIVATE_KEY):
         text = F.regexp_replace(text, pattern, PLACEHOLDER)
     return text
 
 
+def has_credential(text: Column) -> Column:
+    return text.rlike("|".join((*CREDENTIALS, PRIVATE_KEY)))
+
+
 def approx_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")

@@ -35,12 +35,25 @@ def url_hash(url: Column) -> Column:
     return F.sha2(F.concat(normal(url), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))), 256)
 
 
+def without_dots(url: Column) -> Column:
+    """The URL without the path segments '.' and '..', as RFC 3986 takes them away."""
+    segments = F.split(F.regexp_extract(url, PARTS, 3), "/")
+    kept = F.aggregate(
+        F.slice(segments, F.lit(2), F.size(segments)),
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
+    )
+    end = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    clean = F.concat(F.regexp_extract(url, "^([^:]*://[^/?#]*)", 1), F.lit("/"), F.array_join(kept, "/"), end, F.regexp_extract(url, r"([?#].*)$", 1))
+    return F.when(F.regexp_extract(url, PARTS, 3).rlike(r"/\.\.?(/|$)"), clean).otherwise(url)
+
+
 def resolve(link: Column, base: Column) -> Column:
     """An absolute http(s) URL without fragment, or null for links that lead to no page."""
     link = F.regexp_replace(link, "#.*$", "")
     root = F.concat(scheme(base), F.lit("://"), F.regexp_extract(base, PARTS, 2))
     folder = F.regexp_replace(F.regexp_extract(base, PARTS, 3), "[^/]*$", "")
-    return (
+    return without_dots(
         F.when((link == "") | link.rlike("^(?i)(mailto|tel|javascript|data):"), None)
         .when(link.rlike("^https?://"), link)
         .when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link))

@@ -146,7 +146,7 @@ def label_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 def redacted_documents(spark: SparkSession, sf: str) -> DataFrame:
     key = F.concat(F.lit("ghp_"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 24), F.lit(" npg_"), F.substring(F.md5("source"), 1, 14))
     text = F.concat_ws(" ", "text", key)
-    return _t(spark, sf, "documents").select("doc_id", F.sha2(tx.redact(text), 256).alias("redacted_sha256"), F.col("text").rlike("|".join(tx.CREDENTIALS)).alias("had_credential"))
+    return _t(spark, sf, "documents").select("doc_id", F.sha2(tx.redact(text), 256).alias("redacted_sha256"), tx.has_credential(F.col("text")).alias("had_credential"))
 
 
 def first_positions(spark: SparkSession, sf: str) -> DataFrame:

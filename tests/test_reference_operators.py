@@ -72,6 +72,22 @@ def test_technical_golden_pages(spark):
     }
 
 
+def test_private_keys_terms_and_links_of_all_forms(spark):
+    one = lambda value, f: spark.createDataFrame([(value,)], "v string").select(f(F.col("v"))).first()[0]
+    key = "a -----BEGIN RSA PRIVATE KEY-----\nMIIE\nxyz\n-----END RSA PRIVATE KEY----- b"
+    assert one(key, tx.redact) == f"a {tx.PLACEHOLDER} b" and one(key, tx.has_credential)
+    assert not one("-----BEGIN PUBLIC KEY-----", tx.has_credential) and one("npg_abcdefghijkl", tx.has_credential)
+    assert one("Hotel MÜNCHEN, Straße!", tx.keyword) == "hotel münchen strasse" and one("ﬁne  Ｃａｆé", tx.keyword) == "fine café"
+    assert one("東京 ホテル", tx.tokens) == ["ホテル", "東京"] and one(None, tx.keyword) is None
+    for link, want in (
+        ("../x", "https://h/a/x"), ("./x?y=../z", "https://h/a/b/x?y=../z"), ("../../../x", "https://h/x"), ("/p/./q/../r", "https://h/p/r"),
+        ("..", "https://h/a/"), (".", "https://h/a/b/"), ("x.y/..z", "https://h/a/b/x.y/..z"), ("../..", "https://h/"),
+    ):
+        assert one(link, lambda c: ux.resolve(c, F.lit("https://h/a/b/c"))) == want, link
+    html = '<TITLE lang="en">T</TITLE><h1 class="x">H</h1><a class="k" href="/u">u</a><a href="/v">v</a><abbr href="/w">'
+    assert one(html, tx.title) == "T" and one(html, lambda c: tx.headings(c, 1)) == ["H"] and one(html, tx.links) == ["/u", "/v"]
+
+
 def test_keyword_rules(spark):
     want = {"buy gemstone rings": "transactional", "best gemstone rings": "commercial", "gold vs silver": "comparison", "rings near me": "local", "how to clean rings": "how_to", "what is topaz": "definitional", "gemstones": "informational"}
     got = keywords.intents(spark.createDataFrame([(k,) for k in want], "term string")).where("rank = 1").collect()
