@@ -7,7 +7,7 @@ score, so the longest piece ending at a place wins. Scores are summed in float64
 
 No piece holds a space mark after another character (:func:`load` checks it), so every surviving
 path meets at the start of a run of spaces: those places cut a text into *chunks* that are solved
-once per batch and distinct chunk, all chunks in lockstep.
+once per slice and distinct chunk, all chunks side by side.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .textkernel import slices, span_hashes
+from .textkernel import buffers, slices, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-LOCKSTEP_BYTES = 512  # longer chunks are streamed one by one
-SLICE = 2 << 20
+SLICE = 1 << 20
+PLACES = 1 << 19  # open places of chunks that are solved side by side
 
 
 class Vocabulary:
@@ -75,7 +75,7 @@ class Automaton:
         used = sorted({b for p in v.pieces for b in p})
         self.classes = np.zeros(256, np.int32)
         self.classes[used] = np.arange(1, len(used) + 1)
-        self.next = np.zeros((len(children), len(used) + 1), np.int32)
+        self.next = np.zeros((len(children), len(used) + 1), np.uint16 if len(children) <= 1 << 16 else np.int32)
         fail, outs = [0] * len(children), [[] for _ in children]
         queue = deque([0])
         while queue:
@@ -98,36 +98,36 @@ class Automaton:
         self.window = int(lengths.max(initial=1))
         self.byte_ids = np.array(v.byte_ids, np.int32)
         self.unknown = v.unknown
-        self.bytes_of = [b""] * v.size
-        for i, p in zip(v.ids, v.pieces, strict=True):
-            self.bytes_of[i] = p
-        for b, i in enumerate(v.byte_ids):
-            if i:
-                self.bytes_of[i] = bytes([b])
-        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.size_of = np.array([len(p) for p in self.bytes_of], np.int64)
-        self.at = np.cumsum(self.size_of) - self.size_of
 
 
-_built: dict[tuple, Automaton] = {}
+_built: dict[type, tuple] = {}
+
+
+def _once(kind: type, v: Vocabulary):
+    """Built once in each Python worker; the last one is held."""
+    if kind not in _built or _built[kind][0] != v.key():
+        _built[kind] = v.key(), kind(v)
+    return _built[kind][1]
 
 
 def automaton(v: Vocabulary) -> Automaton:
-    """Built once in each Python worker."""
-    if (k := v.key()) not in _built:
-        _built.clear()
-        _built[k] = Automaton(v)
-    return _built[k]
+    return _once(Automaton, v)
+
+
+def byte_table(v: Vocabulary) -> "ByteTable":
+    return _once(ByteTable, v)
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, chunk starts, chunk ends, offsets of rows into the chunks).
 
-    A non-empty text gets one space in front, and the space mark counts as a space.
+    A non-empty text gets one space in front, and the space mark counts as a space. Rows are cut into slices first, so that
+    only a slice is copied.
     """
-    texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), SPACE_MARK, " ")
-    texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
-    for a, b, buf, off in slices(texts, SLICE):
+    for a, b, _, _ in slices(texts, SLICE):
+        some = pc.replace_substring(texts.slice(a, b - a).cast(pa.large_string()).fill_null(""), SPACE_MARK, " ")
+        some = pc.if_else(pc.equal(some, ""), some, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), some, pa.scalar("", pa.large_string())))
+        buf, off = buffers(some)
         space = buf == 32
         head = space.copy()
         head[1:] &= ~space[:-1]
@@ -197,127 +197,130 @@ def count_pieces(a: Automaton, buf: np.ndarray, starts: np.ndarray, ends: np.nda
     return count[rows, size % width], best[rows, size % width]
 
 
-def encode_lockstep(a: Automaton, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of chunks (falling length) laid end to end, and the number of ids of each chunk."""
+class _Region:
+    """The open places of chunks side by side: the place reached, its best score, piece, step back and number of ids.
+
+    Column ``lead + p - base`` of a row is place ``p`` of its chunk; ``base`` is the boundary up to which ids are committed.
+    The ``lead`` columns in front stand for places before it, from which nothing more can start.
+    """
+
+    def __init__(self, n: int, lead: int, width: int):
+        self.lead, self.base = lead, np.zeros(n, np.int64)
+        self.best = np.full((n, lead + width + 1), -np.inf)
+        self.piece = np.full(self.best.shape, -1, np.int32)
+        self.back, self.count = np.zeros(self.best.shape, np.int16), np.zeros(self.best.shape, np.int32)
+        self.best[:, lead] = 0
+
+    def grow(self) -> None:
+        more = ((0, 0), (0, self.best.shape[1]))
+        self.best = np.pad(self.best, more, constant_values=-np.inf)
+        self.piece, self.back, self.count = np.pad(self.piece, more, constant_values=-1), np.pad(self.back, more), np.pad(self.count, more)
+
+    def boundary(self, rows: np.ndarray, t: int, window: int) -> np.ndarray:
+        """The column at which the best paths of all places met that a piece can still start from, after ``t`` bytes."""
+        columns = np.arange(self.best.shape[1])
+        end = self.lead + t - self.base[rows]
+        live = (self.best[rows] > -np.inf) & (columns > (end - window)[:, None]) & (columns <= end[:, None])
+        while len(many := np.flatnonzero(live.sum(1) > 1)):
+            last = live.shape[1] - 1 - live[many, ::-1].argmax(1)
+            live[many, last] = False
+            live[many, last - self.back[rows[many], last]] = True
+        return live.argmax(1)
+
+    def shift(self, rows: np.ndarray, column: np.ndarray) -> None:
+        """Forget what lies before the column of each row."""
+        by = column - self.lead
+        take = np.arange(self.best.shape[1]) + by[:, None]
+        out = take >= self.best.shape[1]
+        take = np.minimum(take, self.best.shape[1] - 1)
+        for x, fill in ((self.best, -np.inf), (self.piece, -1), (self.back, 0), (self.count, 0)):
+            x[rows] = np.where(out, fill, np.take_along_axis(x[rows], take, 1))
+        self.best[rows, : self.lead] = -np.inf
+        self.base[rows] += by
+
+
+def stream_encode(a: Automaton, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, region: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Streaming Viterbi over chunks of falling length, all side by side: their ids laid end to end, and the number of each.
+
+    A chunk keeps at most ``region`` places, at least twice the longest piece. When these are used up, the best paths of all
+    places that a piece can still start from are followed back to the boundary where they meet: ids up to
+    it can't change, are committed and forgotten. Only where the paths don't meet does the region grow. At its end a chunk
+    has one place left and commits the rest.
+    """
     n, size = len(starts), ends - starts
-    most_bytes = int(size[0]) if n else 0
-    best = np.full((n, most_bytes + 1), -np.inf)
-    piece_at, count = np.full((n, most_bytes + 1), -1, np.int32), np.zeros((n, most_bytes + 1), np.int32)
-    back_by = np.zeros((n, most_bytes + 1), np.int16)
-    best[:, 0] = 0
+    longest = int(size[0]) if n else 0
+    region = max(2 * a.window, region or 0)
+    open_ = _Region(n, a.window if longest > region else 0, min(longest, region))
+    best, piece_at, back_by, count = open_.best, open_.piece, open_.back, open_.count
     state, head = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for t in range(most_bytes):
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # chunk, place among its ids, id
+
+    def commit(rows: np.ndarray, column: np.ndarray) -> None:
+        while len(rows):
+            piece, length = piece_at[rows, column], back_by[rows, column].astype(np.int64)
+            slot, known = count[rows, column] - 1, piece >= 0
+            parts.append((rows[known], slot[known], a.ids[piece[known]]))
+            place = starts[rows] + open_.base[rows] + column - open_.lead
+            for k in range(1, 5):
+                m = ~known & (length >= k)
+                if m.any():
+                    parts.append((rows[m], slot[m] - k + 1, a.byte_ids[buf[place[m] - k]]))
+            column = column - length
+            going = column > open_.lead
+            rows, column = rows[going], column[going]
+
+    for t in range(longest):
         live = n if t == 0 else int(np.searchsorted(-size, -t, "left"))
+        column = t - open_.base[:live] + open_.lead
+        if len(full := np.flatnonzero(column + 1 == best.shape[1])):
+            met = open_.boundary(full, t, a.window)
+            commit(full, met)
+            open_.shift(full, met)
+            if (met == open_.lead).any():
+                open_.grow()
+            best, piece_at, back_by, count = open_.best, open_.piece, open_.back, open_.count
+            column = t - open_.base[:live] + open_.lead
         at, s, h = _advance(a, buf, starts[:live], t, state[:live], head[:live])
         state[:live], head[:live] = s, h
         single, most = np.zeros(live, bool), a.count[s]
         for j in range(int(most.max(initial=0))):
             rows = np.flatnonzero(most > j)
             piece = a.out[s[rows], j]
-            length = a.length[piece]
+            length, to = a.length[piece], column[rows] + 1
             single[rows] |= t + 1 - length == h[rows]
-            score = best[rows, t + 1 - length] + a.score[piece]
-            better = score > best[rows, t + 1]
-            rows, length = rows[better], length[better]
-            best[rows, t + 1], piece_at[rows, t + 1], back_by[rows, t + 1] = score[better], piece[better], length
-            count[rows, t + 1] = count[rows, t + 1 - length] + 1
+            score = best[rows, to - length] + a.score[piece]
+            better = score > best[rows, to]
+            rows, length, to = rows[better], length[better], to[better]
+            best[rows, to], piece_at[rows, to], back_by[rows, to] = score[better], piece[better], length
+            count[rows, to] = count[rows, to - length] + 1
         last = at + 1
         ended = (last >= ends[:live]) | ((buf[np.minimum(last, len(buf) - 1)] & 0xC0) != 0x80)
         rows = np.flatnonzero(ended & ~single)
         if len(rows):
-            length = t + 1 - h[rows]
-            score = best[rows, h[rows]] + a.unknown
-            better = score > best[rows, t + 1]
-            rows, length = rows[better], length[better]
-            best[rows, t + 1], piece_at[rows, t + 1], back_by[rows, t + 1] = score[better], -1, length
-            count[rows, t + 1] = count[rows, t + 1 - length] + length
-    rows = np.arange(n)
-    total = count[rows, size].astype(np.int64)
+            length, to = t + 1 - h[rows], column[rows] + 1
+            score = best[rows, to - length] + a.unknown
+            better = score > best[rows, to]
+            rows, length, to = rows[better], length[better], to[better]
+            best[rows, to], piece_at[rows, to], back_by[rows, to] = score[better], -1, length
+            count[rows, to] = count[rows, to - length] + length
+    every, end = np.arange(n), size - open_.base + open_.lead
+    total = count[every, end].astype(np.int64)
+    left = end > open_.lead
+    commit(every[left], end[left])
     first = np.cumsum(total) - total
     ids = np.zeros(int(total.sum()), np.int32)
-    at = size.copy()
-    while len(rows):
-        piece, length = piece_at[rows, at], back_by[rows, at].astype(np.int64)
-        slot = first[rows] + count[rows, at] - 1
-        known = piece >= 0
-        ids[slot[known]] = a.ids[piece[known]]
-        for k in range(1, 5):
-            m = ~known & (length >= k)
-            if m.any():
-                ids[slot[m] - k + 1] = a.byte_ids[buf[starts[rows[m]] + at[m] - k]]
-        at = at - length
-        going = at > 0
-        rows, at = rows[going], at[going]
+    for rows, slot, found in parts:
+        ids[first[rows] + slot] = found
     return ids, total
 
 
-def stream_encode(a: Automaton, data: bytes) -> Iterator[list[int]]:
-    """Streaming Viterbi over one text: yields ids as soon as they are certain.
-
-    Live places are the last ``a.window`` ones, from which a piece can still start. When the best paths of
-    all live places share a boundary, the ids up to it can't change: they are committed and forgotten.
-    """
-    paths: dict[int, tuple] = {0: (0.0, None, 0, ())}  # place -> score, place before, first byte, ids
-    done, state, head, single = 0, 0, 0, False
-    for t, byte in enumerate(data):
-        state = int(a.next[state, a.classes[byte]])
-        if byte & 0xC0 != 0x80:
-            head, single = t, False
-        found = None
-        single = False
-        for k in a.out[state, : a.count[state]]:
-            back = t + 1 - int(a.length[k])
-            single |= back == head
-            if back in paths and (found is None or paths[back][0] + a.score[k] > found[0]):
-                found = (paths[back][0] + float(a.score[k]), back, 0, (int(a.ids[k]),))
-        if not single and (t + 1 == len(data) or data[t + 1] & 0xC0 != 0x80) and head in paths:
-            score = paths[head][0] + a.unknown
-            if found is None or score > found[0]:
-                found = (score, head, 0, tuple(int(a.byte_ids[b]) for b in data[head : t + 1]))
-        if found is None:
-            continue
-        paths[t + 1] = found
-        if (t + 1) % a.window and t + 1 < len(data):
-            continue
-        live = [p for p in paths if p > t + 1 - a.window] if t + 1 < len(data) else [t + 1]
-        common: set[int] | None = None
-        for p in live:
-            seen = set()
-            while p is not None and p >= done:
-                seen.add(p)
-                p = paths[p][1]
-            common = seen if common is None else common & seen
-        upto = max(common or {done})
-        if upto > done:
-            out: list[tuple] = []
-            p = upto
-            while p != done:
-                out.append(paths[p][3])
-                p = paths[p][1]
-            yield [i for ids in reversed(out) for i in ids]
-            base = paths[upto][0]
-            kept = {q for q in live} | {upto}
-            for q in list(kept):
-                while q is not None and q > upto:
-                    kept.add(q)
-                    q = paths[q][1]
-            paths = {q: x if q != upto else (base, None, 0, ()) for q, x in paths.items() if q in kept and q >= upto}
-            done = upto
-
-
-def encode_chunks(a: Automaton, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of distinct chunks (falling length) laid end to end, and the number of each."""
+def encode_chunks(a: Automaton, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, region: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct chunks (falling length) laid end to end, and the number of each; some chunks of like length at a time."""
     size = ends - starts
-    long = int(np.searchsorted(-size, -LOCKSTEP_BYTES, "left"))
-    ids, totals = [], []
-    for s, e in zip(starts[:long], ends[:long], strict=True):
-        got = [i for part in stream_encode(a, buf[s:e].tobytes()) for i in part]
-        ids.append(np.array(got, np.int32))
-        totals.append(np.array([len(got)]))
-    at = long
-    while at < len(starts):  # pieces of like length, so that the tables stay small
-        n = max(1, (1 << 20) // max(1, int(size[at])))
-        i, k = encode_lockstep(a, buf, starts[at : at + n], ends[at : at + n])
+    ids, totals, at = [], [], 0
+    while at < len(starts):
+        n = max(1, PLACES // max(1, min(int(size[at]), 2 * a.window)))
+        i, k = stream_encode(a, buf, starts[at : at + n], ends[at : at + n], region)
         ids.append(i)
         totals.append(k)
         at += n
@@ -332,30 +335,48 @@ def spread(flat: np.ndarray, counts: np.ndarray, pick: np.ndarray) -> np.ndarray
     return flat[place]
 
 
-def encode(a: Automaton, texts: pa.Array) -> pa.Array:
-    """A list of ids for each text."""
-    parts, sizes = [], []
-    for _, _, buf, starts, ends, at in chunks(texts):
+def encode(a: Automaton, texts: pa.Array, region: int | None = None) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, end row, a list of ids for each text) of the slices of a batch."""
+    for first, end, buf, starts, ends, at in chunks(texts):
         which, back = distinct(buf, starts, ends)
-        ids, counts = encode_chunks(a, buf, starts[which], ends[which])
-        parts.append(spread(ids, counts, back))
-        total = np.append(0, np.cumsum(counts[back]))
-        sizes.append(np.diff(total[at]))
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    ends = np.cumsum(np.concatenate([[0], *sizes])).astype(np.int64)
-    return pa.LargeListArray.from_arrays(ends, pa.array(flat, pa.int32())).cast(pa.list_(pa.int32()))
+        ids, counts = encode_chunks(a, buf, starts[which], ends[which], region)
+        flat = spread(ids, counts, back)
+        total = np.append(0, np.cumsum(counts[back]))[at]
+        lists = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(flat, pa.int32()))
+        yield first, end, pc.if_else(texts.slice(first, end - first).is_valid(), lists, pa.scalar(None, lists.type))
+
+
+class ByteTable:
+    """The bytes of every id: all that decoding needs."""
+
+    def __init__(self, v: Vocabulary):
+        bytes_of = [b""] * v.size
+        for i, p in zip(v.ids, v.pieces, strict=True):
+            bytes_of[i] = p
+        for b, i in enumerate(v.byte_ids):
+            if i:
+                bytes_of[i] = bytes([b])
+        self.flat = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.size = np.array([len(p) for p in bytes_of], np.int64)
 
 
-def decode(a: Automaton, ids: pa.Array) -> pa.Array:
+def decode(table: ByteTable, ids: pa.Array) -> pa.Array:
     """The text of each list of ids: byte pieces joined, the space in front dropped; null gives null,
     an id outside the vocabulary gives nothing, bytes that are no UTF-8 give U+FFFD."""
-    out: list[str | None] = []
-    for i in range(len(ids)):
-        if not ids[i].is_valid:
-            out.append(None)
-            continue
-        x = ids[i].values.to_numpy(zero_copy_only=False) if ids[i].values is not None else np.zeros(0, np.int32)
-        x = x[(x >= 0) & (x < len(a.bytes_of))].astype(np.int64)
-        text = spread(a.flat, a.size_of, x).tobytes()
-        out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
-    return pa.array(out, pa.string())
+    rows = ids.cast(pa.large_list(pa.int32()))
+    end = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
+    flat = pc.fill_null(pc.list_flatten(rows), -1).to_numpy(zero_copy_only=False)
+    known = (flat >= 0) & (flat < len(table.size))
+    size = np.where(known, table.size[np.where(known, flat, 0)], 0)
+    data = spread(table.flat, table.size, flat[known].astype(np.int64))
+    off = np.append(0, np.cumsum(size))[np.append(0, end)]
+    lead = off[:-1][off[:-1] < off[1:]]
+    lead = lead[data[lead] == 32]
+    data = np.delete(data, lead)
+    off = off - np.searchsorted(lead, off, "left")
+    raw = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)])
+    try:
+        text = raw.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        text = pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.string())
+    return pc.if_else(ids.is_valid(), text, pa.scalar(None, pa.string()))

@@ -171,16 +171,51 @@ def test_unigram_segmentation_equals_the_library(spark):
     lib = Tokenizer(models.Unigram([(sp.id_to_piece(i) if i not in special else f"\0{i}", sp.get_score(i)) for i in range(sp.get_piece_size())], 0, False))
     words = sorted({w for r in docs_of(spark).collect() for w in r.text.split()})[:6000] + ["the", "日本語", "a" * 700]
     a = unigram.automaton(own)
-    got = unigram.encode(a, pa.array(words)).to_pylist()
+    got = encoded(a, words)
     known = [k for k, g in enumerate(got) if not set(g) & set(own.byte_ids)]
     assert len(known) > 0.8 * len(words)
     for k in known:
         assert got[k] == lib.encode("▁" + words[k]).ids, words[k]
-    for k in range(0, len(words), 23):
-        assert [i for p in unigram.stream_encode(a, (" " + words[k]).encode()) for i in p] == got[k]
-    text = " " + docs_of(spark).first().text[:4000]
-    parts = list(unigram.stream_encode(a, text.encode()))
-    assert len(parts) > 20 and [i for p in parts for i in p] == unigram.encode(a, pa.array([text[1:]])).to_pylist()[0]
+
+
+def encoded(a, texts, region=None):
+    return [x for _, _, ids in unigram.encode(a, pa.array(texts, pa.string()), region) for x in ids.to_pylist()]
+
+
+def viterbi(v, data):
+    """The whole table of one text, without chunks, regions or commits."""
+    pieces = {p: (i, s) for p, i, s in zip(v.pieces, v.ids, v.scores, strict=True)}
+    best = {0: (0.0, 0, [])}
+    for end in range(1, len(data) + 1):
+        head = end - 1
+        while data[head] & 0xC0 == 0x80:
+            head -= 1
+        ways = [(best[k][0] + pieces[data[k:end]][1], k, [pieces[data[k:end]][0]]) for k in range(max(0, end - 64), end) if k in best and data[k:end] in pieces]
+        if data[head:end] not in pieces and head in best and (end == len(data) or data[end] & 0xC0 != 0x80):
+            ways.append((best[head][0] + v.unknown, head, [v.byte_ids[b] for b in data[head:end]]))
+        if ways:
+            best[end] = max(ways, key=lambda w: (w[0], -w[1]))
+    out, end = [], len(data)
+    while end:
+        out, end = best[end][2] + out, best[end][1]
+    return out
+
+
+def test_streaming_viterbi_equals_the_whole_table(monkeypatch):
+    v = unigram.load()
+    a, rnd = unigram.automaton(v), random.Random(1)
+    docs = [t for t in pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist() if t]
+    texts = ["".join(rnd.choice("abcdeé☃") for _ in range(rnd.randrange(1, 400))) for _ in range(30)]
+    texts += [t.replace(" ", "")[:900] for t in docs[:12]] + [t[:1500] for t in docs[:6]] + ["a" * 2000, " " * 90, "x", "  two  spaces "]
+    want = [viterbi(v, (" " + t).encode()) for t in texts]
+    assert encoded(a, texts) == want == encoded(a, texts, 10_000)
+    monkeypatch.setattr(unigram, "SLICE", 100)
+    monkeypatch.setattr(unigram, "PLACES", 60)
+    assert encoded(a, [*texts, "", None]) == [*want, [], None]
+    table = unigram.byte_table(v)
+    ids = pa.array([*want, [], None, [10**6, -1, *want[0]], [v.byte_ids[0xE9]], [None, want[0][0]]], pa.list_(pa.int32()))
+    back = unigram.decode(table, ids).to_pylist()
+    assert back[: len(texts)] == texts and back[len(texts) : -1] == ["", None, texts[0], "\ufffd"]
 
 
 def test_codec_and_counts(spark, odd):
@@ -191,7 +226,8 @@ def test_codec_and_counts(spark, odd):
     out = sentencepiece_codec.decode(sentencepiece_codec.encode(odd))
     assert all(r.decoded == r.text and (r.ids is None) == (r.text is None) for r in out.collect())
     assert token_counts.token_counts(odd).where("n_tokens = 0").count() == 3
-    assert sentencepiece_codec.encode(odd.limit(0)).count() == 0
+    assert all(r.round_trip and r.row == 3 for r in sentencepiece_codec.transcode(odd.withColumn("round_trip", F.lit("x"))).collect())
+    assert sentencepiece_codec.encode(odd.limit(0)).count() == 0 and token_counts.token_counts(odd.limit(0)).count() == 0
 
 
 def test_secret_scan(spark, odd):
