@@ -3,41 +3,42 @@
 * A document's set holds the hashes of its distinct five-word shingles. Documents of equal sets form
   one *class*; only the class with its smallest doc_id goes on.
 * Min-max hashing: under each of ``PERMUTATIONS`` hash functions both the minimum and the maximum
-  are kept, so 64 evaluations give 128 signature values, cut into bands of ``ROWS``. At similarity
-  0.85 a pair shares no band with a probability of 4e-7, at 0.8 of 5e-5.
+  are kept, so 96 evaluations give 192 signature values, cut into bands of as many rows as keep the share of pairs at the
+  threshold that meet in no band under ``LOSS`` (7 rows at 0.85: 3e-5, 6 rows at 0.8: 6e-5).
 * Classes that share a band are compared with the band's smallest set ``r`` only (a star, not all
   pairs). That loses no link: with |r| <= |y|, a class ``x`` that is not linked to ``r`` can reach the
   wanted overlap with ``y`` only through shingles outside ``r``, at least
   ``k = need(x, r) - |x & r|`` of them. So members meet again in groups keyed by (r, shingle outside r),
   of which each indexes all but the ``k - 1`` that are most frequent in the star, and each such group is a star around its own
-  smallest set, or, where these are at most ``SMALL_PAIRS``, compared in all pairs of different components. The rank of the centre grows with
-  every round, so the rounds end.
+  smallest set, or, where these are at most ``SMALL_PAIRS``, compared in all pairs of different components (both ways
+  are exact; the number only chooses the cheaper one). The rank of the centre grows with every round, so the rounds end.
 * Links become components by alternating large-star and small-star steps after every round. Members that are
   one component already need no further comparison: only groups, stars and pairs with several components go on.
+* A hot group is never one task: centres and counts are pre-aggregated, written, and joined to the members as plain
+  tables, which adaptive execution broadcasts or splits. Tables of a round are removed when the next one has its own.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; fewer than five
-words make one shingle; null ids are linked to nothing and are their own (null) component; a
-repeated doc_id counts as one document; empty tables give no rows; other columns are not read.
+words make one shingle; null ids are linked to nothing and are their own (null) component; rows that repeat a doc_id are
+one document, to which the links of all its texts belong; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import itertools
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .scratch import keep, shared_folder
+from .scratch import Tables
 from .textkernel import mix, shingle_sets
 
-PERMUTATIONS, ROWS = 64, 5
+PERMUTATIONS, LOSS = 96, 1e-4
 WORDS = 5
-MEMBER = ["r", "class", "size", "component", "new", "indexed", "n_outside"]
+SET = ["n_shingles", "one", "two"]
 #: From the second round on, members outside a group's largest component meet all others if these are so many pairs at most.
 SMALL_PAIRS = 128 * 128
 #: Ids of candidate classes are sent to every executor up to this many (8 bytes each), else joined by shuffle.
@@ -46,8 +47,7 @@ MAX_BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(20)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _ORDER = _rng.permutation(2 * PERMUTATIONS)
-_BANDS = 2 * PERMUTATIONS // ROWS
-_SALTS = _rng.integers(1, 1 << 63, (_BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+_SALTS = _rng.integers(1, 1 << 63, 2 * PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -62,33 +62,41 @@ def min_max_signature(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high])
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    rows = signature[_ORDER][: _BANDS * ROWS].reshape(_BANDS, ROWS).astype(np.uint64)
-    return mix((rows * _SALTS).sum(1)).view(np.int64)
+def band_rows(percent: int) -> int:
+    """The most rows of a band with which a pair at the threshold meets in no band with a probability of at most LOSS."""
+    lost = lambda rows: (1 - (percent / 100) ** rows) ** (2 * PERMUTATIONS // rows)
+    return max((rows for rows in range(1, 17) if lost(rows) <= LOSS), default=1)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, one, two, bands = [], [], [], []
-        for s in shingle_sets(batch["text"], WORDS):
-            sizes.append(len(s))
-            one.append(int(s.sum().view(np.int64)) if len(s) else 0)
-            two.append(int(mix(s * _OTHER).sum().view(np.int64)) if len(s) else 0)
-            bands.append(band_keys(min_max_signature(s)) if len(s) else np.zeros(0, np.int64))
-        flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
-        ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(ends, flat)],
-            ["doc_id", "n_shingles", "one", "two", "bands"],
-        )
+def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
+    n = len(signature) // rows
+    values = signature[_ORDER][: n * rows].astype(np.uint64) * _SALTS[: n * rows]
+    return mix(values.reshape(n, rows).sum(1)).view(np.int64)
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s.view(np.int64) for s in shingle_sets(batch["text"], WORDS)]
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(ends, flat)], ["doc_id", "shingles"])
+def _digest(s: np.ndarray) -> tuple[int, int, int]:
+    """Size and two hashes of a whole set: equal sets are told by these."""
+    return (len(s), int(s.sum().view(np.int64)), int(mix(s * _OTHER).sum().view(np.int64))) if len(s) else (0, 0, 0)
+
+
+def _ragged(lists: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *lists]))
+
+
+def _sets(rows: int | None):
+    """A map from doc_id and text to doc_id, size, both hashes and the bands of ``rows`` rows, or the whole set if that is None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, lists = [], []
+            for s in shingle_sets(batch["text"], WORDS):
+                digests.append(_digest(s))
+                lists.append(s.view(np.int64) if rows is None else band_keys(min_max_signature(s), rows) if len(s) else np.zeros(0, np.int64))
+            columns = [pa.array([d[k] for d in digests], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns, _ragged(lists)], ["doc_id", *SET, "shingles" if rows is None else "bands"])
+
+    return run
 
 
 def _semi_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -103,9 +111,10 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until the edges no longer change; the edges stay a
     table and every step is an aggregation and a join on the node.
     """
-    edges = keep(links.select("u", "v").where("u <> v").distinct(), "links")
+    tables = Tables(links.sparkSession, "links")
+    edges = tables.keep(links.select("u", "v").where("u <> v").distinct(), "0")
     seen = None
-    while True:
+    for step in itertools.count(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -113,90 +122,131 @@ def components(links: DataFrame) -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select("u", "v", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = keep(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        edges = tables.keep(small.select("e.u", "e.v").where("u <> v").distinct(), f"{step}")
+        tables.remove(f"{step - 1}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         seen = now
 
 
-def _labels(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) over all links between the buckets' members; see the module's text."""
-    need = lambda a, b: F.ceil((a + b) * percent / (100 + percent))
-    spark = buckets.sparkSession
-    folder = f"{shared_folder(spark)}/searchops/tested-{uuid.uuid4().hex}"
-    every = stars = labels = None
-    buckets = buckets.withColumn("component", F.col("class"))
+def _apart(column: str) -> Column:
+    return (F.min(column) != F.max(column)).alias("apart")
+
+
+def _pairs_of(buckets: DataFrame, tested: DataFrame | None, tables: Tables, i: int) -> DataFrame:
+    """(r, class, star) to compare in round ``i``: every member of a bucket with its centre, or in a small bucket all pairs
+    of different components; pairs of ``tested`` rounds are not tested again in the same role."""
+    if tested is None:
+        centre = tables.keep(buckets.groupBy("bucket").agg(F.min(F.struct("size", "class"))["class"].alias("r")), f"centre-{i}")
+        return buckets.join(centre, "bucket").where("r <> class").select("r", "class", F.lit(True).alias("star")).distinct()
+    parts = buckets.groupBy("bucket", "component").agg(F.min(F.struct("size", "class")).alias("first"), F.count("*").alias("n"))
+    centre = parts.groupBy("bucket").agg(F.min("first")["class"].alias("r"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    small = (F.col("n") - F.col("main.n")) * F.col("n") <= SMALL_PAIRS
+    centre = tables.keep(centre.select("bucket", "r", F.col("main.component").alias("main"), small.alias("small")), f"centre-{i}")
+    met = buckets.join(centre, "bucket")
+    star = met.where("not small and r <> class").select("r", "class", F.lit(True).alias("star")).distinct()
+    star = star.join(tested.where("star").select("r", "class"), ["r", "class"], "left_anti")
+    some = met.where("small")
+    other = some.select("bucket", F.struct("size", "class").alias("x"), "component")
+    mine = some.where("component <> main").select("bucket", F.struct("size", "class").alias("y"), F.col("component").alias("own"))
+    each = mine.join(other, "bucket").where("own <> component").select(F.least("x", "y")["class"].alias("r"), F.greatest("x", "y")["class"].alias("class")).distinct()
+    each = each.join(tested.select("r", "class"), ["r", "class"], "left_anti").withColumn("star", F.lit(False))
+    return star.unionByName(each).groupBy("r", "class").agg(F.max("star").alias("star"))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Whether each pair is linked, and of star pairs the shingles outside the centre and how many of these to index."""
+    pairs = pairs.join(sets.select(F.col("class").alias("r"), F.col("shingles").alias("rs")), "r")
+    pairs = pairs.join(sets.select("class", F.col("shingles").alias("xs")), "class")
+    nr, nx, common, need = (F.col(c) for c in ("nr", "nx", "common", "need"))
+    tested = pairs.select("r", "class", "star", F.size("rs").alias("nr"), F.size("xs").alias("nx"), F.array_except("xs", "rs").alias("outside"))
+    tested = tested.withColumn("common", nx - F.size("outside")).withColumn("need", F.ceil((nr + nx) * percent / (100 + percent)))
+    indexed = F.greatest(F.lit(0), F.size("outside") - F.greatest(F.lit(1), need - common) + 1)
+    outside = F.when(F.col("star"), F.col("outside")).otherwise(F.array().cast("array<bigint>"))
+    linked = common * 100 >= (nr + nx - common) * percent
+    return tested.select("r", "class", nx.alias("size"), "star", linked.alias("linked"), indexed.cast("int").alias("indexed"), outside.alias("outside"))
+
+
+def _next_buckets(tested: DataFrame, labels: DataFrame, tables: Tables, i: int) -> DataFrame:
+    """Members of stars of several components, by the shingles outside the centre that several components share."""
+    members = tested.where("star").join(labels.withColumnRenamed("node", "class"), "class", "left")
+    members = members.withColumn("component", F.coalesce("component", "class")).withColumn("new", F.col("round") == i)
+    open_stars = members.groupBy("r").agg(F.max("new").alias("any_new"), _apart("component")).where("any_new and apart").select("r")
+    open_stars = tables.keep(open_stars, f"open-{i}")
+    members = members.join(open_stars, "r", "left_semi").select("r", "class", "size", "component", "new", "indexed", "outside")
+    members = tables.keep(members, f"members-{i}")
+    key = lambda s: F.xxhash64("r", s)
+    keys = members.select("r", "class", "component", F.explode(F.transform("outside", key)).alias("bucket"))
+    shared = keys.groupBy("bucket").agg(F.count("*").cast("int").alias("n"), _apart("component")).where("apart").drop("apart")
+    shared = tables.keep(shared, f"shared-{i}")
+    own = keys.join(shared, "bucket").groupBy("r", "class").agg(F.array_sort(F.collect_list(F.struct("n", "bucket"))).alias("s"))
+    own = own.join(members.withColumn("n_outside", F.size("outside")).drop("outside"), ["r", "class"])
+    settled = F.col("n_outside") - F.size("s")  # shingles of one component only come first
+    again = own.select("class", "size", "component", "new", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("indexed") - settled))).alias("s"))
+    again = tables.keep(again.select("s.bucket", "class", "size", "component", "new"), f"again-{i}")
+    who = F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("who")  # tells groups of the same members
+    live = again.groupBy("bucket").agg(F.count("*").alias("n"), F.max("new").alias("any_new"), _apart("component"), who)
+    live = tables.keep(live.where("any_new and apart").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket"), f"live-{i}")
+    buckets = tables.keep(again.join(live, "bucket", "left_semi").select("bucket", "class", "size", "component"), f"buckets-{i + 1}")
+    tables.remove(*(f"{x}-{i}" for x in ("open", "members", "shared", "again", "live")))
+    return buckets
+
+
+def _labels(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """(node, component) over ``links`` and all links between the buckets' members; see the module's text."""
+    tested, labels = None, None if links.isEmpty() else components(links)
     for i in itertools.count():
-        parts = buckets.groupBy("bucket", "component").agg(F.min(F.struct("size", "class")).alias("first"), F.count("*").alias("n"))
-        centre = parts.groupBy("bucket").agg(F.min("first").alias("centre"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
-        small = F.lit(i > 0) & ((F.col("n") - F.col("main.n")) * F.col("n") <= SMALL_PAIRS)
-        met = buckets.join(centre.select("bucket", F.col("centre.class").alias("r"), F.col("main.component").alias("main"), small.alias("small")), "bucket")
-        star = met.where("not small and r <> class").select("r", "class", F.lit(True).alias("star")).distinct()
-        if i:
-            star = star.join(stars.select("r", "class"), ["r", "class"], "left_anti")
-            some = met.where("small")
-            other = some.select("bucket", F.struct("size", "class").alias("x"), "component")
-            mine = some.where("component <> main").select("bucket", F.struct("size", "class").alias("y"), F.col("component").alias("own"))
-            each = mine.join(other, "bucket").where("own <> component").select(F.least("x", "y")["class"].alias("r"), F.greatest("x", "y")["class"].alias("class")).distinct()
-            star = star.unionByName(each.join(every.select("r", "class"), ["r", "class"], "left_anti").withColumn("star", F.lit(False)))
-        pairs = star.groupBy("r", "class").agg(F.max("star").alias("star"))  # no pair is tested twice in one role
-        pairs = pairs.join(sets.select(F.col("class").alias("r"), F.col("shingles").alias("rs")), "r")
-        pairs = pairs.join(sets.select("class", F.col("shingles").alias("xs")), "class")
-        tested = pairs.select("r", "class", "star", F.size("rs").alias("nr"), F.size("xs").alias("nx"), F.array_except("xs", "rs").alias("outside"))
-        tested = tested.withColumn("common", F.col("nx") - F.size("outside")).withColumn("need", need(F.col("nr"), F.col("nx")))
-        tested = tested.withColumn("linked", F.col("common") * 100 >= (F.col("nr") + F.col("nx") - F.col("common")) * percent)
-        indexed = F.greatest(F.lit(0), F.size("outside") - F.greatest(F.lit(1), F.col("need") - F.col("common")) + 1)
-        outside = F.when(F.col("star"), F.col("outside")).otherwise(F.array().cast("array<bigint>"))
-        tested = tested.select("r", "class", F.col("nx").alias("size"), "star", "linked", indexed.cast("int").alias("indexed"), outside.alias("outside"))
-        tested.write.parquet(f"{folder}/round={i}")  # one folder for all rounds, so that plans do not grow with them
-        every = spark.read.schema(StructType([*tested.schema, StructField("round", IntegerType())])).parquet(folder)
-        links = every.where("linked").where(F.col("round") == i).select(F.least("r", "class").alias("u"), F.greatest("r", "class").alias("v"))
+        new = _compared(_pairs_of(buckets, tested, tables, i), sets, percent)
+        new.write.parquet(tables.path(f"tested/round={i}"))  # one folder for all rounds, so that plans do not grow with them
+        tables.remove(f"centre-{i}", f"buckets-{i}")
+        tested = tables.spark.read.schema(StructType([*new.schema, StructField("round", IntegerType())])).parquet(tables.path("tested"))
+        links = tested.where("linked").where(F.col("round") == i).select(F.least("r", "class").alias("u"), F.greatest("r", "class").alias("v"))
         if labels is not None:
             links = links.unionByName(labels.select(F.col("component").alias("u"), F.col("node").alias("v")))
         labels = components(links)
-        stars = every.where("star")
-        again = stars.join(labels, F.col("class") == F.col("node"), "left")
-        again = again.withColumn("component", F.coalesce("component", "class")).withColumn("new", F.col("round") == i).withColumn("n_outside", F.size("outside"))
-        apart = (F.min("component") != F.max("component")).alias("apart")
-        open_stars = again.groupBy("r").agg(F.max("new").alias("any_new"), apart).where("any_new and apart").select("r")
-        again = keep(again.join(open_stars, "r", "left_semi").select(*MEMBER, F.explode("outside").alias("shingle")), "outside")
-        shared = again.groupBy("r", "shingle").agg(F.count("*").alias("n"), apart).where("apart").drop("apart")
-        again = again.join(shared, ["r", "shingle"]).groupBy(*MEMBER).agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))
-        settled = F.col("n_outside") - F.size("s")  # shingles of one component only come first
-        again = again.select(*MEMBER, F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("indexed") - settled))).alias("s"))
-        again = again.select(F.xxhash64("r", "s.shingle").alias("bucket"), "class", "size", "component", "new")
-        members = F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("members")  # tells groups of the same members
-        live = again.groupBy("bucket").agg(F.count("*").alias("n"), F.max("new").alias("any_new"), apart, members)
-        live = live.where("any_new and apart").groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
-        buckets = keep(again.join(live, "bucket", "left_semi").select("bucket", "class", "size", "component"), "buckets")
+        buckets = _next_buckets(tested, labels, tables, i)
         if buckets.isEmpty():
             return labels
 
 
+def _repeated_ids(rows: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
+    """Links (u, v) between the classes of rows that repeat a doc_id with different sets."""
+    key = F.struct(*SET)
+    ids = rows.groupBy("doc_id").agg((F.min(key) != F.max(key)).alias("several")).where("several").select("doc_id")
+    ids = tables.keep(ids, "repeated")
+    mine = rows.join(ids, "doc_id", "left_semi").select("doc_id", *SET).distinct().join(classes.select(*SET, "class"), SET)
+    mine = tables.keep(mine.select("doc_id", "class"), "of-repeated")
+    return mine.join(mine.groupBy("doc_id").agg(F.min("class").alias("u")), "doc_id").select("u", F.col("class").alias("v")).where("u <> v")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.
     """
+    tables = Tables(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = keep(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, one long, two long, bands array<long>"), "sketches")
-    classes = (
-        rows.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("n_shingles", "one", "two")
-        .agg(F.min(F.struct("doc_id", "bands")).alias("first"))
-        .select("n_shingles", "one", "two", F.col("first.doc_id").alias("class"), F.col("first.bands").alias("bands"))
-    )
-    classes = keep(classes, "classes")
+    digest = "doc_id long, n_shingles long, one long, two long"
+    rows = tables.keep(docs.mapInArrow(_sets(band_rows(percent)), f"{digest}, bands array<long>"), "sketches")
+    named = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = named.groupBy(*SET).agg(F.min(F.struct("doc_id", "bands")).alias("first"))
+    classes = classes.select(*SET, "first.doc_id", "first.bands", F.monotonically_increasing_id().alias("class"))
+    classes = tables.keep(classes, "classes")  # from here on the numbers of the classes are fixed
     members = classes.select("class", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "key"))
-    members = members.select(F.xxhash64("band", "key").alias("bucket"), "class", "size")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = keep(members.join(shared, "bucket", "left_semi"), "buckets")
-    ids = keep(buckets.select(F.col("class").alias("doc_id")).distinct(), "candidates")
-    sets = _semi_by_id(docs, ids).mapInArrow(_full_sets, "doc_id long, shingles array<long>")
-    sets = keep(sets.withColumnRenamed("doc_id", "class").dropDuplicates(["class"]), "sets")
-    labels = classes.join(_labels(buckets, sets, percent), F.col("class") == F.col("node"), "left")
-    labels = labels.select("n_shingles", "one", "two", F.coalesce("component", "class").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "one", "two").join(labels, ["n_shingles", "one", "two"], "left")
+    members = members.select(F.xxhash64("band", "key").alias("bucket"), "class", "size", F.col("class").alias("component"))
+    shared = tables.keep(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
+    buckets = tables.keep(members.join(shared, "bucket", "left_semi"), "buckets-0")
+    met = buckets.select("class").distinct().join(classes.select("class", "doc_id", *SET), "class")
+    met = tables.keep(met, "candidates")
+    sets = _semi_by_id(docs, met.select("doc_id").distinct()).mapInArrow(_sets(None), f"{digest}, shingles array<long>").drop("doc_id")
+    sets = tables.keep(sets.join(met.select("class", *SET), SET).select("class", "shingles").dropDuplicates(["class"]), "sets")
+    labels = _labels(buckets, sets, _repeated_ids(named, classes, tables), percent, tables)
+    own = classes.select("class", "doc_id", *SET).join(labels.withColumnRenamed("node", "class"), "class", "left")
+    own = tables.keep(own.select("doc_id", *SET, F.coalesce("component", "class").alias("component")), "labels")
+    least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    own = tables.keep(own.join(least, "component").select(*SET, "component_id"), "components")
+    tables.remove("shared", "candidates", "sets", "tested", "classes", "repeated", "of-repeated", "labels")
+    out = rows.select("doc_id", *SET).join(own, SET, "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

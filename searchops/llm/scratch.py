@@ -11,19 +11,36 @@ _FOLDER = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset and all runs on one machine."""
     path = spark.conf.get(_FOLDER, None) or spark.sparkContext.getConf().get(_FOLDER)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_FOLDER} to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_FOLDER, path)
     return path.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back.
+class Tables:
+    """Tables of one job by name. A table that is no longer read can be removed, so disk holds one round and not all."""
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/searchops/{job}-{uuid.uuid4().hex}"
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and return the table read back. A lost executor costs only its running tasks."""
+        df.write.mode("overwrite").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    A lost executor costs only its running tasks: what was written stays readable.
-    """
-    path = f"{shared_folder(df.sparkSession)}/searchops/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def remove(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """A table of a job of its own."""
+    return Tables(df.sparkSession, name).keep(df, "rows")

@@ -87,7 +87,7 @@ def brute_components(rows, percent):
     return {i: (len(sets[i]), low[i]) for i in sets}
 
 
-def test_near_dedup_equals_brute_force(spark, odd):
+def test_near_dedup_equals_brute_force(spark, odd, monkeypatch):
     rnd = random.Random(5)
     base = [f"t{rnd.randrange(10**6)}" for _ in range(120)]
     rows = []
@@ -101,11 +101,23 @@ def test_near_dedup_equals_brute_force(spark, odd):
         got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, percent)
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    monkeypatch.setattr(near_dedup, "SMALL_PAIRS", 0)  # only stars
+    monkeypatch.setattr(near_dedup, "MAX_BROADCAST_IDS", 0)  # only shuffled joins
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 85)
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count() and {r.doc_id: r.component_id for r in got}[6] == 5
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    b, o = " ".join(f"b{i}" for i in range(60)), " ".join(f"o{i}" for i in range(60))
+    rows = [(1, b), (2, o), (2, b + " x"), (3, o + " y"), (4, "lone words"), (5, ""), (5, "some other words of it"), (None, b)]
+    for parts in (1, 2, 5):
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (5, 5), (5, 5)]
+
+
 def test_decontamination(spark, odd):
     items = [r.text for r in spark.read.parquet(f"{SF1}/benchmark.parquet").collect()]
     docs = docs_of(spark, SF1)
