@@ -40,7 +40,7 @@ PERMUTATIONS, LOSS = 96, 1e-4
 WORDS = 5
 SET = ["n_shingles", "one", "two"]
 #: From the second round on, members outside a group's largest component meet all others if these are so many pairs at most.
-SMALL_PAIRS = 128 * 128
+SMALL_PAIRS = 16 * 16
 #: Ids of candidate classes are sent to every executor up to this many (8 bytes each), else joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -193,18 +193,29 @@ def _next_buckets(tested: DataFrame, labels: DataFrame, tables: Tables, i: int)
     return buckets
 
 
+def _merged(labels: DataFrame | None, links: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The labels (node, component) after more links: only components that new links join are solved again."""
+    if labels is None:
+        return tables.keep(components(links), f"labels-{name}")
+    for end in ("u", "v"):
+        own = labels.select(F.col("node").alias(end), F.col("component").alias("own"))
+        links = links.join(own, end, "left").withColumn(end, F.coalesce("own", end)).drop("own")
+    joined = components(tables.keep(links.where("u <> v").distinct(), f"ends-{name}"))
+    joined = tables.keep(joined, f"joined-{name}")
+    moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return tables.keep(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(joined), f"labels-{name}")
+
+
 def _labels(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """(node, component) over ``links`` and all links between the buckets' members; see the module's text."""
-    tested, labels = None, None if links.isEmpty() else components(links)
+    tested, labels = None, _merged(None, links, tables, "repeated")
     for i in itertools.count():
         new = _compared(_pairs_of(buckets, tested, tables, i), sets, percent)
-        new.write.parquet(tables.path(f"tested/round={i}"))  # one folder for all rounds, so that plans do not grow with them
+        tables.write(new, f"tested/round={i}")  # one folder for all rounds, so that plans do not grow with them
         tables.remove(f"centre-{i}", f"buckets-{i}")
         tested = tables.spark.read.schema(StructType([*new.schema, StructField("round", IntegerType())])).parquet(tables.path("tested"))
         links = tested.where("linked").where(F.col("round") == i).select(F.least("r", "class").alias("u"), F.greatest("r", "class").alias("v"))
-        if labels is not None:
-            links = links.unionByName(labels.select(F.col("component").alias("u"), F.col("node").alias("v")))
-        labels = components(links)
+        labels = _merged(labels, links, tables, f"{i}")
         buckets = _next_buckets(tested, labels, tables, i)
         if buckets.isEmpty():
             return labels

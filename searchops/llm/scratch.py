@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "spark.checkpoint.dir"
+#: Spark's setting to remove a query's shuffle files at its end: a table that is written needs them no more.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,9 +32,18 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def write(self, df: DataFrame, name: str) -> None:
+        """Write ``df``. A lost executor costs only its running tasks; the query's shuffle files go when it has ended."""
+        before = self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(_CLEAN, before)
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the table read back. A lost executor costs only its running tasks."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write ``df`` and return the table read back."""
+        self.write(df, name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def remove(self, *names: str) -> None:
