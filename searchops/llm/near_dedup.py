@@ -40,7 +40,9 @@ PERMUTATIONS, LOSS = 96, 1e-4
 WORDS = 5
 SET = ["n_shingles", "one", "two"]
 #: From the second round on, members outside a group's largest component meet all others if these are so many pairs at most.
-SMALL_PAIRS = 16 * 16
+SMALL_PAIRS = 128 * 128
+#: A member carries so many of its earlier groups at most, by which a pair that meets again is told.
+EARLIER = 64
 #: Ids of candidate classes are sent to every executor up to this many (8 bytes each), else joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -148,9 +150,10 @@ def _pairs_of(buckets: DataFrame, tested: DataFrame | None, tables: Tables, i: i
     star = met.where("not small and r <> class").select("r", "class", F.lit(True).alias("star")).distinct()
     star = star.join(tested.where("star").select("r", "class"), ["r", "class"], "left_anti")
     some = met.where("small")
-    other = some.select("bucket", F.struct("size", "class").alias("x"), "component")
-    mine = some.where("component <> main").select("bucket", F.struct("size", "class").alias("y"), F.col("component").alias("own"))
-    each = mine.join(other, "bucket").where("own <> component").select(F.least("x", "y")["class"].alias("r"), F.greatest("x", "y")["class"].alias("class")).distinct()
+    other = some.select("bucket", F.struct("size", "class").alias("x"), "component", "earlier")
+    mine = some.where("component <> main").select("bucket", F.struct("size", "class").alias("y"), F.col("component").alias("own"), F.col("earlier").alias("own_earlier"))
+    first = ~F.arrays_overlap("earlier", "own_earlier")  # members of a star pair at the first group in which both are
+    each = mine.join(other, "bucket").where("own <> component").where(first).select(F.least("x", "y")["class"].alias("r"), F.greatest("x", "y")["class"].alias("class")).distinct()
     each = each.join(tested.select("r", "class"), ["r", "class"], "left_anti").withColumn("star", F.lit(False))
     return star.unionByName(each).groupBy("r", "class").agg(F.max("star").alias("star"))
 
@@ -183,12 +186,17 @@ def _next_buckets(tested: DataFrame, labels: DataFrame, tables: Tables, i: int)
     own = keys.join(shared, "bucket").groupBy("r", "class").agg(F.array_sort(F.collect_list(F.struct("n", "bucket"))).alias("s"))
     own = own.join(members.withColumn("n_outside", F.size("outside")).drop("outside"), ["r", "class"])
     settled = F.col("n_outside") - F.size("s")  # shingles of one component only come first
-    again = own.select("class", "size", "component", "new", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("indexed") - settled))).alias("s"))
-    again = tables.keep(again.select("s.bucket", "class", "size", "component", "new"), f"again-{i}")
+    own = own.withColumn("b", F.transform(F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("indexed") - settled)), lambda x: x["bucket"]))
+    again = own.select("r", "class", "size", "component", "new", F.posexplode("b").alias("at", "bucket"))
+    again = tables.keep(again, f"again-{i}")
     who = F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("who")  # tells groups of the same members
     live = again.groupBy("bucket").agg(F.count("*").alias("n"), F.max("new").alias("any_new"), _apart("component"), who)
     live = tables.keep(live.where("any_new and apart").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket"), f"live-{i}")
-    buckets = tables.keep(again.join(live, "bucket", "left_semi").select("bucket", "class", "size", "component"), f"buckets-{i + 1}")
+    member = again.join(live, "bucket", "left_semi").groupBy("r", "class", "size", "component").agg(F.array_sort(F.collect_list(F.struct("at", "bucket"))).alias("b"))
+    member = member.select("class", "size", "component", F.transform("b", lambda x: x["bucket"]).alias("b"))
+    member = member.select("class", "size", "component", "b", F.posexplode("b").alias("at", "bucket"))
+    earlier = F.slice("b", F.greatest(F.lit(1), F.col("at") - EARLIER + 1), F.least("at", F.lit(EARLIER)))  # of the groups that are left
+    buckets = tables.keep(member.select("bucket", "class", "size", "component", earlier.alias("earlier")), f"buckets-{i + 1}")
     tables.remove(*(f"{x}-{i}" for x in ("open", "members", "shared", "again", "live")))
     return buckets
 
