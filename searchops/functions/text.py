@@ -1,4 +1,4 @@
-"""Text columns: HTML facts, keyword normal form and tokens, redaction, token estimates."""
+"""Text columns: keyword normal form and tokens, redaction, token estimates."""
 
 from __future__ import annotations
 
@@ -23,7 +23,9 @@ CREDENTIALS = (
 )
 #: The format that runs over lines; it stands apart as the SQL twins read CREDENTIALS.
 PRIVATE_KEY = r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"
-PLACEHOLDER = "[REDACTED]"
+PLACEHOLDER = "«REDACTED»"
+#: Shorter known values are not taken as secrets.
+LEAST_SECRET = 8
 
 
 def unescape(text: Column) -> Column:
@@ -32,23 +34,6 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def title(html: Column) -> Column:
-    return F.trim(unescape(F.regexp_extract(html, r"(?i)<title(?:\s[^>]*)?>([^<]*)</title\s*>", 1)))
-
-
-def headings(html: Column, level: int) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?i)<h{level}(?:\s[^>]*)?>([^<]*)</h{level}\s*>"), F.lit(1))
-
-
-def links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"'), F.lit(1))
-
-
-def body_text(html: Column) -> Column:
-    text = F.regexp_replace(html, "(?s)<script.*?</script>|<style.*?</style>|<title.*?</title>|<!--.*?-->", " ")
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(text, "<[^>]*>", " ")), r"[ \t\r\n]+", " "))
-
-
 def word_count(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
 
@@ -80,15 +65,52 @@ def tokens(term: Column) -> Column:
     return F.array_sort(F.array_except(F.array_distinct(F.transform(words, singular)), F.array(*map(F.lit, STOP_WORDS))))
 
 
-def redact(text: Column) -> Column:
+def redact(text: Column, known: list[str] | Column = ()) -> Column:
+    """The text without known secrets (a list, or an array column) and without credentials of the known formats."""
+    if isinstance(known, Column):
+        text = F.aggregate(F.coalesce(known, F.array().cast("array<string>")), text, lambda t, s: F.when(F.length(s) >= LEAST_SECRET, F.replace(t, s, F.lit(PLACEHOLDER))).otherwise(t))
+    else:
+        for secret in known:
+            if len(secret) >= LEAST_SECRET:
+                text = F.replace(text, F.lit(secret), F.lit(PLACEHOLDER))
     for pattern in (*CREDENTIALS, PRIVATE_KEY):
         text = F.regexp_replace(text, pattern, PLACEHOLDER)
     return text
 
 
+def is_clean(text: Column, known: Column) -> Column:
+    """Whether no known secret is left; the gate in front of any text that leaves."""
+    return ~F.exists(known, lambda s: (F.length(s) >= LEAST_SECRET) & text.contains(s))
+
+
 def has_credential(text: Column) -> Column:
     return text.rlike("|".join((*CREDENTIALS, PRIVATE_KEY)))
 
 
 def approx_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
+
+
+def occurrences(text: Column, word: Column) -> Column:
+    """Non-overlapping occurrences of a substring."""
+    n = F.length(word)
+    return F.when(n > 0, ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / n).cast("int")).otherwise(0)
+
+
+def slug(text: Column) -> Column:
+    """Lower-cased words joined by hyphens, 120 characters; "cluster" for no words."""
+    return F.coalesce(F.nullif(F.left(F.regexp_replace(F.trim(F.lower(text)), r"\s+", "-"), F.lit(120)), F.lit("")), F.lit("cluster"))
+
+
+def json_object(text: Column) -> Column:
+    """From the first "{" to the last "}", if that is a JSON object; else null."""
+    cut = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when((cut != "") & F.try_parse_json(cut).isNotNull(), cut)
+
+
+def content_hash(data: Column) -> Column:
+    return F.sha2(data, 256)
+
+
+def monday(day: Column) -> Column:
+    return F.date_trunc("week", day).cast("date")

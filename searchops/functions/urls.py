@@ -21,8 +21,8 @@ def path(url: Column) -> Column:
 
 
 def normal(url: Column) -> Column:
-    """scheme://host/path without trailing slashes, query and fragment."""
-    return F.concat(scheme(url), F.lit("://"), host(url), F.regexp_replace(F.regexp_extract(url, PARTS, 3), "/+$", ""))
+    """scheme://host/path without trailing slashes (but "/" alone), query and fragment."""
+    return F.concat(scheme(url), F.lit("://"), host(url), F.coalesce(F.nullif(F.regexp_replace(F.regexp_extract(url, PARTS, 3), "/+$", ""), F.lit("")), F.lit("/")))
 
 
 def domain(url: Column) -> Column:
@@ -30,9 +30,12 @@ def domain(url: Column) -> Column:
 
 
 def url_hash(url: Column) -> Column:
-    """SHA-256 of the normal form with its query."""
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    return F.sha2(F.concat(normal(url), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))), 256)
+    """SHA-256 of the normal form, a question mark and the query."""
+    return F.sha2(F.concat(normal(url), F.lit("?"), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)), 256)
+
+
+def same_site(a: Column, b: Column) -> Column:
+    return domain(a) == domain(b)
 
 
 def without_dots(url: Column) -> Column:
@@ -48,15 +51,31 @@ def without_dots(url: Column) -> Column:
     return F.when(F.regexp_extract(url, PARTS, 3).rlike(r"/\.\.?(/|$)"), clean).otherwise(url)
 
 
-def resolve(link: Column, base: Column) -> Column:
-    """An absolute http(s) URL without fragment, or null for links that lead to no page."""
-    link = F.regexp_replace(link, "#.*$", "")
+def join(link: Column, base: Column) -> Column:
+    """The link as an absolute URL."""
     root = F.concat(scheme(base), F.lit("://"), F.regexp_extract(base, PARTS, 2))
-    folder = F.regexp_replace(F.regexp_extract(base, PARTS, 3), "[^/]*$", "")
+    own_path = F.regexp_extract(base, PARTS, 3)
+    folder = F.coalesce(F.nullif(F.regexp_replace(own_path, "[^/]*$", ""), F.lit("")), F.lit("/"))
     return without_dots(
-        F.when((link == "") | link.rlike("^(?i)(mailto|tel|javascript|data):"), None)
-        .when(link.rlike("^https?://"), link)
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link))
         .when(link.startswith("/"), F.concat(root, link))
-        .otherwise(F.concat(root, F.coalesce(F.nullif(folder, F.lit("")), F.lit("/")), link))
+        .when(link.startswith("?"), F.concat(root, own_path, link))
+        .when((link == "") | link.startswith("#"), F.concat(F.regexp_extract(base, "^[^#]*", 0), link))
+        .otherwise(F.concat(root, folder, link))
     )
+
+
+def target(link: Column, base: Column) -> Column:
+    """The absolute http(s) URL of a link; null for links that lead to no page."""
+    url = join(link, base)
+    return F.when(~link.rlike("(?i)^(#|mailto:|tel:|javascript:|data:)") & url.rlike("(?i)^https?://"), url)
+
+
+def without_fragment(url: Column) -> Column:
+    return F.regexp_replace(url, "#.*$", "")
+
+
+def resolve(link: Column, base: Column) -> Column:
+    """An absolute http(s) URL without fragment, or null for links that lead to no page."""
+    return F.when(without_fragment(link) != "", without_fragment(target(link, base)))

@@ -1,18 +1,85 @@
-"""Graph operators: edge tables, bounded traversal by frontier joins, recommendations, coverage."""
+"""Knowledge graph: node and edge tables, lookup, neighbours, bounded traversal by frontier joins, search, recommendations, coverage."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Similarity above which a label is found.
+LEAST_SIMILAR = 0.1
 
-def traverse(edges: DataFrame, starts: DataFrame, max_depth: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def node_id(project: Column, kind: Column, ref: Column) -> Column:
+    return F.sha2(F.concat_ws("|", project, kind, ref), 256)
+
+
+def nodes(rows: DataFrame) -> DataFrame:
+    """One node for each (project_id, type, ref_id) of rows(project_id, type, ref_id, label, ordinal); the last label stands."""
+    got = rows.groupBy("project_id", "type", "ref_id").agg(F.max_by("label", F.struct("ordinal", "label")).alias("label"))
+    return got.select(node_id(F.col("project_id"), F.col("type"), F.col("ref_id")).alias("id"), "project_id", "type", "ref_id", "label")
+
+
+def edges(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """One edge for each (src, dst, relation) of rows(src, dst, relation, weight, ordinal) that joins two known nodes, not a node
+    with itself; the last weight stands."""
+    got = rows.where("src <> dst").groupBy("src", "dst", "relation").agg(F.max_by("weight", F.struct("ordinal", "weight")).alias("weight"))
+    ids = known.select("id")
+    return got.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "relation", "weight")
+
+
+def counters(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """kind, name, n: nodes by type and edges by relation."""
+    n = node_table.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "name", "n")
+    return n.unionByName(edge_table.groupBy(F.col("relation").alias("name")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "name", "n"))
+
+
+def lookup(node_table: DataFrame, project: str, kind: str, ref: str) -> DataFrame:
+    return node_table.where((F.col("project_id") == project) & (F.col("type") == kind) & (F.col("ref_id") == ref))
+
+
+def neighbours(node_table: DataFrame, edge_table: DataFrame, of: DataFrame, relation: str | None = None, out: bool = True) -> DataFrame:
+    """id, neighbour, type, label of the nodes that edges of a relation (any if none is named) lead to, or come from."""
+    here, there = ("src", "dst") if out else ("dst", "src")
+    rows = edge_table if relation is None else edge_table.where(F.col("relation") == relation)
+    rows = rows.join(of.select(F.col("id").alias(here)).distinct(), here).select(F.col(here).alias("id"), F.col(there).alias("neighbour"))
+    return rows.distinct().join(node_table.select(F.col("id").alias("neighbour"), "type", "label"), "neighbour").select("id", "neighbour", "type", "label")
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct three-letter pieces of the lower-cased words, each with two spaces in front and one behind."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    pieces = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
+    return F.array_distinct(F.flatten(pieces))
+
+
+def search(node_table: DataFrame, queries: DataFrame, limit: int = 20, kind: str | None = None) -> DataFrame:
+    """query, id, label, similarity, matched, score, rank: the best nodes of each queries(query) by trigram similarity plus the
+    share of the query's words that the label has.
+
+    A node must share a trigram with the query, so labels are joined on trigrams, never with all queries; the counts of a
+    query are reduced to its first ``limit`` rows before they meet.
+    """
+    rows = node_table if kind is None else node_table.where(F.col("type") == kind)
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    mine = rows.select("id", "label", F.size(trigrams(F.col("label"))).alias("nl"), F.explode(trigrams(F.col("label"))).alias("t"))
+    asked = queries.select("query").distinct().select("query", F.size(trigrams(F.col("query"))).alias("nq"), F.explode(trigrams(F.col("query"))).alias("t"))
+    met = mine.join(asked, "t").groupBy("query", "id", "label", "nl", "nq").agg(F.count("*").alias("common"))
+    similarity = F.col("common") / (F.col("nl") + F.col("nq") - F.col("common"))
+    matched = F.size(F.array_intersect(words("query"), words("label"))) / F.greatest(F.lit(1), F.size(words("query")))
+    met = met.withColumns({"similarity": similarity, "matched": matched}).where((F.col("similarity") > LEAST_SIMILAR) | (F.col("matched") == 1))
+    met = met.withColumn("score", F.round(F.col("similarity") + F.col("matched"), 6))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= limit).select("query", "id", "label", F.round("similarity", 6).alias("similarity"), "score", "rank")
+
+
+def traverse(edges: DataFrame, starts: DataFrame, max_depth: int, keep: Callable[[DataFrame], DataFrame], relation: str | None = None) -> DataFrame:
     """start, node, depth: the least depth at which each start(start) reaches a node over edges(src, dst).
 
     One join per level with nodes already seen taken out, so paths never multiply.
     """
+    edges = edges if relation is None else edges.where(F.col("relation") == relation)
     seen = keep(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
     front = seen
     for depth in range(1, max_depth + 1):
@@ -23,16 +90,36 @@ def traverse(edges: DataFrame, starts: DataFrame, max_depth: int, keep: Callable
 
 
 def link_recommendations(links: DataFrame, covers: DataFrame, limit: int) -> DataFrame:
-    """weak target, strong source and topic: both cover the topic, no link exists yet."""
+    """target, source, topic in order, ``limit`` in all: a weak page (one link in at most), a strong one (two at least), both of
+    which cover the topic, with no link from source to target yet.
+
+    Of a topic only so many strong pages can matter to a target as the limit and the links it already has, which are one at
+    most; so each topic keeps its first ``limit`` + 2 strong pages (one may be the target itself), and the first targets are
+    chosen before they are paired. No topic makes all its pairs.
+    """
     degree = links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"))
     pages = covers.select(F.col("src").alias("node"), F.col("dst").alias("topic")).join(degree, "node", "left").fillna(0, ["n_in"])
-    weak, strong = pages.where("n_in <= 1").select(F.col("node").alias("target"), "topic"), pages.where("n_in >= 2").select(F.col("node").alias("source"), "topic")
-    found = weak.join(strong, "topic").where("target <> source")
+    weak = pages.where("n_in <= 1").select(F.col("node").alias("target"), "topic")
+    strong = pages.where("n_in >= 2").select(F.col("node").alias("source"), "topic").distinct()
+    first = F.row_number().over(Window.partitionBy("topic").orderBy("source"))
+    strong = strong.withColumn("k", first).where(F.col("k") <= limit + 2).drop("k")
+    # a target whose topic has three strong pages has a recommendation for sure; of the others all are tried
+    rich = strong.groupBy("topic").agg(F.count("*").alias("n"))
+    weak = weak.distinct().join(rich, "topic")
+    sure = weak.where("n >= 3").select("target").distinct().orderBy("target").limit(limit)
+    chosen = weak.where("n < 3").unionByName(weak.where("n >= 3").join(F.broadcast(sure), "target", "left_semi"))  # at most ``limit`` rows
+    found = chosen.drop("n").join(strong, "topic").where("target <> source")
     have = links.select(F.col("src").alias("source"), F.col("dst").alias("target")).distinct()
-    return found.join(have, ["source", "target"], "left_anti").orderBy("target", "source", "topic").limit(limit)
+    return found.join(have, ["source", "target"], "left_anti").select("source", "target", "topic").distinct().orderBy("target", "source", "topic").limit(limit)
+
+
+def recommendation_texts(found: DataFrame) -> DataFrame:
+    """Recommendations with anchor and reason in words."""
+    reason = F.format_string("'%s' is an authority page on %s; '%s' covers the same topic but has at most one internal link.", "source", "topic", "target")
+    return found.select("source", "target", F.lower("topic").alias("anchor"), reason.alias("reason"), F.lit(0.6).alias("confidence"))
 
 
 def topic_coverage(covers: DataFrame, topics: DataFrame) -> DataFrame:
-    """topic, n_pages, weak: the number of covering nodes of each topics(topic)."""
+    """topic, n_pages, weak: the number of covering nodes of each topics(topic); those with the fewest matter most."""
     n = covers.groupBy(F.col("dst").alias("topic")).agg(F.count_distinct("src").alias("n_pages"))
     return topics.join(n, "topic", "left").fillna(0, ["n_pages"]).withColumn("weak", F.col("n_pages") == 0)

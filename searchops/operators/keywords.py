@@ -1,10 +1,12 @@
-"""Keywords: tokens, intents, similar pairs, volume-seeded clusters."""
+"""Keywords: tokens, intents, similar pairs, volume-seeded clusters, and the keyword, intent and cluster tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 #: Intent, then marker and weight. Their order breaks ties.
 MARKERS = (
     ("transactional", {"buy": 1.0, "cheap": 0.8, "price": 0.9, "cost": 0.7, "for sale": 1.0, "deal": 0.7, "discount": 0.8, "coupon": 0.9, "order": 0.8, "shop": 0.6, "purchase": 1.0, "under $": 0.9}),
@@ -40,23 +42,31 @@ def intents(terms: DataFrame) -> DataFrame:
     good = F.filter("s", lambda x: (-x["minus"] >= LEAST) & (-x["minus"] >= -top * SHARE_OF_TOP))
     none = F.array(F.struct(F.lit(-0.5).alias("minus"), F.lit(99).alias("place"), F.lit("informational").alias("intent")))
     rows = ranked.select("term", F.posexplode(F.when(F.size(good) > 0, F.slice(good, 1, MOST)).otherwise(none)).alias("k", "x"))
-    return rows.select("term", (F.col("k") + 1).alias("rank"), "x.intent", (-F.col("x.minus")).alias("confidence"))
+    return rows.select("term", (F.col("k") + 1).alias("rank"), "x.intent", F.round(F.least(F.lit(0.99), -F.col("x.minus")), 3).alias("confidence"))
 
 
 def similar_pairs(terms: DataFrame) -> DataFrame:
     """a, b (a before b): terms(term, tokens) whose token sets have Jaccard 0.45 or more.
 
-    A pair must share one of each side's ``n - ceil(0.45 n) + 1`` rarest tokens, so only these are joined.
+    Tokens are ordered by rarity. A pair must share one of each side's ``n - ceil(0.45 n) + 1`` rarest tokens, so only
+    these are joined, and of each term with its number of tokens and its prefix alone: the join drops pairs whose sizes differ
+    too much, whose tokens behind the common one are too few, and all meetings of a pair but that at its first common prefix token, so
+    nothing is emitted twice. Token sets come back to the pairs that are left. A frequent token stands in the prefix of a term
+    only if all its tokens are frequent, or it is short.
     """
-    one = terms.select("term", "tokens", F.explode("tokens").alias("token"))
+    one = terms.select("term", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = one.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = one.join(df, "token").groupBy("term", "tokens").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    n = F.size("tokens")
-    prefix = F.slice("o", F.lit(1), (n - F.ceil(n * SIMILAR) + 1).cast("int"))
-    keys = ordered.select("term", "tokens", F.explode(prefix).alias("p")).select("term", "tokens", "p.token")
-    other = keys.select(F.col("term").alias("b"), F.col("tokens").alias("tb"), "token")
-    met = keys.select(F.col("term").alias("a"), F.col("tokens").alias("ta"), "token").join(other, "token").where("a < b")
-    met = met.where(F.least(F.size("ta"), F.size("tb")) >= SIMILAR * F.greatest(F.size("ta"), F.size("tb"))).dropDuplicates(["a", "b"])
+    ordered = one.join(df, "token").groupBy("term", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
+    prefix = F.slice(F.transform("o", lambda x: x["token"]), F.lit(1), (F.col("n") - F.ceil(F.col("n") * SIMILAR) + 1).cast("int"))
+    keys = ordered.select("term", "n", prefix.alias("prefix")).select("*", F.posexplode("prefix").alias("at", "token"))
+    side = lambda x: keys.select("token", F.col("term").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), F.col("prefix").alias(f"p{x}"))
+    met = side("a").join(side("b"), "token").where("a < b").where(F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))
+    first = ~F.arrays_overlap(F.slice("pa", F.lit(1), F.col("ata")), F.slice("pb", F.lit(1), F.col("atb")))
+    need = F.ceil((F.col("na") + F.col("nb")) * SIMILAR / (1 + SIMILAR) - 1e-9)
+    left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    met = met.where(first & (left >= need)).select("a", "b")
+    own = terms.select("term", "tokens")
+    met = met.join(own.toDF("a", "ta"), "a").join(own.toDF("b", "tb"), "b")
     return met.where(F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb")) >= SIMILAR).select("a", "b")
 
 
@@ -87,3 +97,27 @@ def clusters(terms: DataFrame, keep) -> DataFrame:
         state = keep(now.select("term", seed.alias("seed")))
         if state.where("seed is null").isEmpty():
             return state
+
+
+def new_keywords(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows(project_id, ordinal, term, volume) as keywords by (project, normal form) that ``known`` lacks: the first spelling
+    stands, with its volume, which is estimated if it is not given."""
+    named = rows.withColumn("normalized", tx.keyword(F.col("term")))
+    first = named.groupBy("project_id", "normalized").agg(F.min_by(F.struct("term", "volume"), F.struct("ordinal", "term")).alias("f")).select("project_id", "normalized", "f.*")
+    return first.join(known.select("project_id", "normalized"), ["project_id", "normalized"], "left_anti").withColumn("volume_estimated", F.col("volume").isNull())
+
+
+def cluster_rollup(members: DataFrame, first_intents: DataFrame) -> DataFrame:
+    """Clusters of members(term, seed, volume), the largest volume first: name, slug, size, volume, intents of all terms (first
+    one each) and that of the seed, from first_intents(term, intent)."""
+    rows = members.join(first_intents, "term", "left").withColumn("intent", F.coalesce("intent", F.lit("informational")))
+    got = rows.groupBy("seed").agg(
+        F.count("*").alias("size"), F.sum(F.coalesce("volume", F.lit(0))).alias("volume_sum"), F.array_sort(F.collect_set("intent")).alias("intents"), F.max(F.when(F.col("term") == F.col("seed"), F.col("intent"))).alias("primary_intent")
+    )
+    return got.select(F.col("seed").alias("name"), tx.slug(F.col("seed")).alias("slug"), "size", "volume_sum", "intents", "primary_intent")
+
+
+def replaced(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """A replace-all sink: the rows of every key in ``rows`` take the place of the table's."""
+    keep = table.join(rows.select(key).distinct(), key, "left_anti")
+    return keep.unionByName(rows)

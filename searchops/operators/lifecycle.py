@@ -12,15 +12,51 @@ MOST_APART = 30
 
 
 def upsert_issues(old: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
-    """Issues old(keys, status, first_seen, last_seen, seen_count) after a run that saw seen(keys, seen_on), one row a key.
+    """Issues old(keys, status, severity, detail, first_seen, last_seen, seen_count) after a run that saw
+    seen(keys, severity, detail, seen_on), one row a key.
 
-    A new issue is open; one seen again counts up, and if it was resolved it has regressed; others stay as they are.
+    A new issue is open; one seen again counts up with the severity and detail of the run, and if it was resolved it has
+    regressed; others stay as they are.
     """
-    rows = old.join(seen, keys, "full_outer")
+    rows = old.join(seen.withColumnsRenamed({"severity": "new_severity", "detail": "new_detail"}), keys, "full_outer")
     new, again = F.col("status").isNull(), F.col("seen_on").isNotNull()
     status = F.when(new, "open").when(again & (F.col("status") == "resolved"), "regressed").otherwise(F.col("status"))
     count = F.coalesce("seen_count", F.lit(0)) + again.cast("long")
-    return rows.select(*keys, status.alias("status"), F.coalesce("first_seen", "seen_on").alias("first_seen"), F.coalesce("seen_on", "last_seen").alias("last_seen"), count.alias("seen_count"))
+    fresh = [F.when(again, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("severity", "detail")]
+    return rows.select(*keys, status.alias("status"), *fresh, F.coalesce("first_seen", "seen_on").alias("first_seen"), F.coalesce("seen_on", "last_seen").alias("last_seen"), count.alias("seen_count"))
+
+
+def evidence_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Evidence by (content_hash, kind) that ``known`` lacks, one row each."""
+    return rows.dropDuplicates(["content_hash", "kind"]).join(known.select("content_hash", "kind"), ["content_hash", "kind"], "left_anti")
+
+
+def new_links(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (evidence_id, subject_type, subject_id) that are not there yet."""
+    keys = ["evidence_id", "subject_type", "subject_id"]
+    return links.select(*keys).distinct().join(known.select(*keys), keys, "left_anti")
+
+
+#: Form of a domain, letters of a keyword, days of a range, range of a score.
+DOMAIN = r"^(https?://)?([a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}(/[^\s]*)?$"
+KEYWORD_LETTERS, RANGE_DAYS, SCORE = 200, 370, (0.0, 100.0)
+
+
+def validity(domain: Column, keyword: Column, start: Column, end: Column, score: Column) -> dict[str, Column]:
+    """The rules for landed rows by name; dates and score are text, as they come."""
+    a, b = F.try_to_date(start, "yyyy-MM-dd"), F.try_to_date(end, "yyyy-MM-dd")
+    return {
+        "domain": F.regexp_replace(F.trim(domain), "^/+|/+$", "").rlike(DOMAIN),
+        "keyword": F.length(F.trim(keyword)).between(1, KEYWORD_LETTERS),
+        "date_range": F.datediff(b, a).between(0, RANGE_DAYS),
+        "score": score.try_cast("double").between(*SCORE),
+    }
+
+
+def split_valid(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Valid rows, and the quarantined ones with their ``reasons``."""
+    marked = rows.withColumn("reasons", reasons(**rules))
+    return marked.where("reasons = ''").drop("reasons"), marked.where("reasons <> ''")
 
 
 def with_first_verification(changes: DataFrame, checks: DataFrame, key: str, order: str, result: str) -> DataFrame:
@@ -50,3 +86,40 @@ def rate_vitals(rows: DataFrame) -> DataFrame:
     v = F.col("value")
     rating = F.when(v <= F.col("good"), "good").when(v <= F.col("poor"), "needs_improvement").when(v.isNotNull(), "poor")
     return rows.join(F.broadcast(limits), "metric").withColumn("rating", rating).drop("good", "poor")
+
+
+def prf(counts: DataFrame) -> DataFrame:
+    """precision, recall and f1 of rows(tp, fp, fn); 0 where there is nothing to divide by."""
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    p, r = share(F.col("tp"), F.col("tp") + F.col("fp")), share(F.col("tp"), F.col("tp") + F.col("fn"))
+    return counts.withColumns({"precision": F.round(p, 4), "recall": F.round(r, 4), "f1": F.round(share(2 * p * r, p + r), 4)})
+
+
+def confusion(predictions: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """engine, tp, fp, fn of predictions(engine, item, label) against the ledger of the same form: a full outer join by engine, item
+    and label."""
+    both = predictions.select(*keys).distinct().withColumn("said", F.lit(True)).join(ledger.select(*keys).distinct().withColumn("expected", F.lit(True)), keys, "full_outer")
+    count = lambda *c: F.count_if(F.expr(" and ".join(c)))
+    return both.groupBy(keys[0]).agg(count("said", "expected").alias("tp"), count("said", "expected is null").alias("fp"), count("said is null", "expected").alias("fn"))
+
+
+def judged(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """scores(engine, metric, value) against thresholds(engine, metric, bound, lower_is_better); null without a threshold."""
+    ok = F.when(F.col("lower_is_better"), F.col("value") <= F.col("bound")).otherwise(F.col("value") >= F.col("bound"))
+    return scores.join(thresholds, ["engine", "metric"], "left").withColumn("passed", ok).drop("lower_is_better")
+
+
+#: Engine, metric, bound, whether less is better.
+THRESHOLDS = (
+    ("technical_engine", "precision", 0.90, False), ("technical_engine", "recall", 0.85, False), ("intent_classifier", "precision", 0.85, False),
+    ("opportunity_scoring", "rank_correlation", 0.70, False), ("citation_parser", "precision", 0.80, False), ("anomaly_detector", "false_positive_rate", 0.10, True),
+    ("execution_safety", "guardrail_trip_rate", 1.00, False),
+)
+#: Ceilings of tokens of a call, cost of a run and of a tenant's month.
+CALL_TOKENS, RUN_COST, MONTH_COST = 180_000, 5.0, 300.0
+
+
+def usage(calls: DataFrame, keys: list[str], ceiling: float) -> DataFrame:
+    """Tokens and cost of calls(.., input_tokens, output_tokens, cost_usd) by key, and whether the cost is over the ceiling."""
+    got = calls.groupBy(*keys).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
+    return got.withColumn("over_budget", F.col("cost_usd") > ceiling)

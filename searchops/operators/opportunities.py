@@ -1,4 +1,4 @@
-"""Opportunities: findings mapped to actions, scored, bucketed and keyed."""
+"""Opportunities: findings and content signals mapped to actions, scored, keyed, gated by evidence, upserted and listed."""
 
 from __future__ import annotations
 
@@ -43,6 +43,75 @@ def from_findings(findings: DataFrame) -> DataFrame:
     confidence = spark.createDataFrame(list(SEVERITY_CONFIDENCE.items()), "severity string, confidence double")
     rows = findings.join(F.broadcast(issues), "check_code").join(F.broadcast(confidence), "severity")
     score = priority_score(*map(F.col, ("business", "seo", "confidence", "feasibility", "risk")))
-    key = F.sha2(F.concat_ws("|", F.lit("issue"), "type", F.coalesce("url_pattern", "url")), 256)
-    out = rows.select("type", "action_class", "check_code", "site", "url", "url_pattern", score.alias("score"), key.alias("opportunity_key"))
+    key = F.sha2(F.concat_ws("|", F.lit("issue"), "type", F.coalesce("url_pattern", "url", F.lit("*"))), 256)
+    out = rows.select("type", "action_class", "check_code", "site", "page_id", "severity_rank", "url", "url_pattern", score.alias("score"), key.alias("opportunity_key"))
     return out.withColumn("priority", bucket(F.col("score")))
+
+
+#: Business, search, confidence, feasibility and risk of the two content detections.
+CANNIBALIZED = (0.6, 0.7, 0.75, 0.4, 0.4)
+THIN = (0.5, 0.6, 0.8, 0.4, 0.3)
+
+
+def from_content(groups: DataFrame, thin: DataFrame) -> DataFrame:
+    """Opportunities of cannibalized keywords groups(site, keyword, n) and thin pages thin(site, url)."""
+    none = F.lit(None).cast("string")
+
+    def form(rows: DataFrame, kind: str, values: tuple[float, ...], key: Column, url: Column, pattern: Column, title: Column) -> DataFrame:
+        score = priority_score(*map(F.lit, values))
+        out = rows.select("site", F.lit(kind).alias("type"), F.lit("HIGH_RISK_WRITE").alias("action_class"), url.alias("url"), pattern.alias("url_pattern"), title.alias("title"), score.alias("score"), key.alias("opportunity_key"))
+        return out.withColumn("priority", bucket(F.col("score")))
+
+    word, url = F.col("keyword"), F.col("url")
+    title = F.concat(F.col("n").cast("string"), F.lit(" pages competing for '"), word, F.lit("'"))
+    one = form(groups, "consolidate_cannibalization", CANNIBALIZED, F.sha2(F.concat_ws("|", F.lit("cannibalization"), word), 256), none, F.concat(F.lit("keyword:"), word), title)
+    return one.unionByName(form(thin, "improve_thin_content", THIN, F.sha2(F.concat_ws("|", F.lit("thin"), url), 256), url, none, F.concat(F.lit("Thin content: "), url)))
+
+
+def with_evidence(findings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Findings with the ``evidence_id`` of their page, from evidence(url, evidence_id); the smallest of several."""
+    return findings.join(evidence.groupBy("url").agg(F.min("evidence_id").alias("evidence_id")), "url", "left")
+
+
+def folded(detected: DataFrame) -> DataFrame:
+    """One row per (site, opportunity_key) of detected(.., ordinal): fixed fields of the first, score and priority of the
+    last, and how many there were."""
+    fixed = [c for c in ("type", "action_class", "url", "url_pattern") if c in detected.columns]
+    return detected.groupBy("site", "opportunity_key").agg(
+        F.min_by(F.struct(*fixed), "ordinal").alias("f"), F.max_by(F.struct("score", "priority"), "ordinal").alias("l"), F.count("*").alias("times")
+    ).select("site", "opportunity_key", "f.*", "l.*", "times")
+
+
+def upsert(old: DataFrame, detected: DataFrame) -> DataFrame:
+    """old(site, opportunity_key, status, score, priority, first_seen, last_seen, seen_count) after a run that detected
+    detected(site, opportunity_key, score, priority, times, seen_on): score and priority are those of the run, completed and
+    failed ones are detected again. A key that a run meets several times counts each time."""
+    new = detected.select("site", "opportunity_key", F.col("score").alias("new_score"), F.col("priority").alias("new_priority"), "times", "seen_on")
+    rows = old.join(new, ["site", "opportunity_key"], "full_outer")
+    again = F.col("seen_on").isNotNull()
+    status = F.when(F.col("status").isNull() | (again & F.col("status").isin("completed", "failed")), "detected").otherwise(F.col("status"))
+    return rows.select(
+        "site", "opportunity_key", status.alias("status"), F.coalesce("new_score", "score").alias("score"), F.coalesce("new_priority", "priority").alias("priority"),
+        F.coalesce("first_seen", "seen_on").alias("first_seen"), F.coalesce("seen_on", "last_seen").alias("last_seen"), (F.coalesce("seen_count", F.lit(0)) + F.coalesce("times", F.lit(0))).alias("seen_count"),
+        F.when(F.col("status").isNull(), "created").when(again, "updated").otherwise("kept").alias("state"),
+    )
+
+
+def summary(upserted: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Per site the opportunities of this run by priority, created, updated and rejected for want of evidence."""
+    counts = upserted.where("state <> 'kept'").groupBy("site").agg(
+        *(F.count_if(F.col("priority") == p).alias(p.lower()) for p in ("P0", "P1", "P2", "P3")), F.count_if(F.col("state") == "created").alias("created"), F.count_if(F.col("state") == "updated").alias("updated")
+    )
+    lost = rejected.groupBy("site").agg(F.count("*").alias("rejected"))
+    return counts.join(lost, "site", "full_outer").na.fill(0)
+
+
+def listed(rows: DataFrame, limit: int, project: str | None = None, priority: str | None = None, status: str | None = None) -> DataFrame:
+    """The best rows by falling score that meet the filters named; a top-k, so no task sorts all."""
+    for column, value in (("site", project), ("priority", priority), ("status", status)):
+        rows = rows.where(F.col(column) == value) if value else rows
+    return rows.orderBy(F.desc("score"), "site", "opportunity_key").limit(limit)
+
+
+def awaiting_plans(rows: DataFrame) -> DataFrame:
+    return rows.where("status = 'detected' and priority in ('P0', 'P1')")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import graph, keywords, metrics, visibility
+from ..operators import content, graph, keywords, lifecycle, metrics, visibility
 from ..sources.tables import keeper
 from .registry import QUERIES, Query
 
@@ -25,7 +27,10 @@ DAILY_SQL = "daily AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DAT
 
 
 def metric_anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.anomalies(daily(spark, sf))
+    """Hits that are not among those known, which are all of March."""
+    d = keeper(spark)(daily(spark, sf))
+    known = d.where("month(day) = 3").select("series", "day")
+    return metrics.anomalies(d, known)
 
 
 def metric_upsert(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,28 +44,80 @@ def period_report(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.period_report(daily(spark, sf))
 
 
-def experiment_effects(spark: SparkSession, sf: str) -> DataFrame:
+#: Updates of the time of the orders, for the experiments.
+UPDATES = ((datetime.date(1998, 3, 5), datetime.date(1998, 3, 20), "an update"),)
+
+
+def experiments(spark: SparkSession, sf: str) -> DataFrame:
+    """One experiment a priority and month of 1998, of four metrics in turn; those of even months have another priority as control."""
     series = daily(spark, sf).select("series").distinct()
-    months = spark.range(1, 13).select(F.col("id").cast("int").alias("m"))
-    starts = series.join(F.broadcast(months)).select(F.concat_ws("/", "series", "m").alias("experiment_id"), "series", F.make_date(F.lit(1998), F.col("m"), F.lit(1)).alias("start"), F.lit(28).alias("days"))
-    return metrics.experiment_effects(daily(spark, sf), starts)
+    m, months = F.col("m"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m")
+    start = F.make_date(F.lit(1998), m, F.lit(1))
+    metric = F.element_at(F.array(*map(F.lit, ("clicks", "position", "users", "revenue"))), m % 4 + 1)
+    control = F.when(m % 2 == 0, F.when(F.col("series") == "1-URGENT", "2-HIGH").otherwise("1-URGENT"))
+    return series.select("series", months).select(
+        F.concat_ws("/", "series", "m").alias("experiment_id"), "series", control.alias("control_series"), metric.alias("metric"),
+        F.date_sub(start, 28).alias("baseline_start"), F.date_sub(start, 1).alias("baseline_end"), start.alias("start"), F.when(m % 5 == 0, 10).otherwise(28).alias("days"), (m % 7 == 0).alias("tracking_changed"),
+    )
+
+
+def experiment_effects(spark: SparkSession, sf: str) -> DataFrame:
+    keep = keeper(spark)
+    out = metrics.experiment_verdicts(keep(daily(spark, sf)), experiments(spark, sf), UPDATES)
+    return out.withColumn("confounders", F.array_join("confounders", ","))
+
+
+def experiment_learnings(spark: SparkSession, sf: str) -> DataFrame:
+    keep = keeper(spark)
+    v = metrics.experiment_verdicts(keep(daily(spark, sf)), experiments(spark, sf), UPDATES)
+    return metrics.learnings(v.withColumn("kind", F.split_part("experiment_id", F.lit("/"), F.lit(1))), "kind")
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Assistant turns as answers of two providers in four weeks, some of which cite pages."""
     c = _t(spark, sf, "conversations").where("role = 'assistant'")
-    return c.select("conv_id", "turn", F.pmod("conv_id", F.lit(7)).alias("cluster"), "text")
+    day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("conv_id") % 28).cast("int"))
+    return c.select("conv_id", "turn", F.when(F.col("conv_id") % 7 != 0, F.pmod("conv_id", F.lit(7))).alias("cluster"), F.concat(F.lit("p"), F.col("turn") % 2).alias("provider"), tx.monday(day).alias("week"), F.expr(ANSWER).alias("text"))
+
+
+ANSWER = "concat(text, CASE WHEN conv_id % 3 = 0 THEN ' see https://www.example.com/a). and https://rival.org/x, https://rival.org/y' ELSE '' END)"
+BRAND, RIVALS, RIVAL_DOMAINS = "than", ["the", "que", "der", "les"], ["www.rival.org"]
 
 
-BRAND, RIVALS = "than", ["the", "que", "der", "les"]
+def cited(spark: SparkSession, sf: str) -> DataFrame:
+    return visibility.citations(answers(spark, sf), BRAND, "example.com", RIVALS, RIVAL_DOMAINS)
 
 
 def ai_citations(spark: SparkSession, sf: str) -> DataFrame:
-    c = visibility.citations(answers(spark, sf), BRAND, "example.com", RIVALS)
-    return c.select("conv_id", "turn", "brand_mentioned", "brand_position", F.array_join("competitors", ",").alias("competitors"), F.size("cited").alias("n_cited"), "own_url_cited", "sentiment")
+    return cited(spark, sf).select("conv_id", "turn", "brand_mentioned", "brand_position", F.array_join("competitors", ",").alias("competitors"), F.size("cited").alias("n_cited"), "own_url_cited", "sentiment")
 
 
 def ai_visibility(spark: SparkSession, sf: str) -> DataFrame:
-    return visibility.scores(visibility.citations(answers(spark, sf), BRAND, "example.com", RIVALS), ["cluster"])
+    return visibility.scores(cited(spark, sf), ["cluster", "provider", "week"])
+
+
+def weekly_visibility(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of which those of the first provider are known with a score of nothing, and are written again."""
+    new = keeper(spark)(ai_visibility(spark, sf).select("cluster", "provider", "week", "score"))
+    old = new.where("provider = 'p0'").withColumn("score", F.lit(0.0)).unionByName(new.where("provider = 'p0'").withColumn("week", F.date_sub("week", 70)))
+    return visibility.upsert_weekly(old, new)
+
+
+def prompt_params(spark: SparkSession, sf: str) -> DataFrame:
+    """A cluster for each type of part: its names are the keywords, its brands the competitors."""
+    p = _t(spark, sf, "part").groupBy("p_type").agg(F.array_sort(F.collect_set("p_name")).alias("names"), F.array_sort(F.collect_set("p_brand")).alias("brands"))
+    return p.select(F.col("p_type").alias("cluster_id"), F.lit("Acme").alias("brand"), F.lower("p_type").alias("category"), F.slice("names", 1, 3).alias("seed_keywords"), F.slice("brands", 1, 6).alias("competitor_names"))
+
+
+def prompt_library(spark: SparkSession, sf: str) -> DataFrame:
+    return visibility.prompt_library(prompt_params(spark, sf))
+
+
+def prompt_battery(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts that are new, for two providers; what a comparison asks is known."""
+    library = keeper(spark)(prompt_library(spark, sf))
+    known = library.where("kind = 'comparison'").select("kind", F.sha2("text", 256).alias("text_hash"))
+    return visibility.battery(visibility.new_prompts(library.select("kind", "text"), known), ["gemini", "perplexity"])
 
 
 def terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,12 +148,6 @@ def similar_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return keywords.similar_pairs(terms(spark, sf).select("term", tx.tokens(F.col("term")).alias("tokens")))
 
 
-def keyword_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Rounds of the greedy clustering; tests/ compare it with the sequential form."""
-    t = terms(spark, sf).select("term", "volume", tx.tokens(F.col("term")).alias("tokens"))
-    return keywords.clusters(t, keeper(spark))
-
-
 def bought_together(spark: SparkSession, sf: str, least: int = 0) -> DataFrame:
     """Edges from each part of an order, bought in a quantity of ``least`` or more, to the part on its next line."""
     li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
@@ -107,6 +158,11 @@ def bought_together(spark: SparkSession, sf: str, least: int = 0) -> DataFrame:
 EDGES_SQL = "edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"
 
 
+def follows(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges from a part to the part of the next number that is bought with it, so that many parts have few links."""
+    return bought_together(spark, sf).where("dst > src and dst - src <= 40")
+
+
 def graph_traversal(spark: SparkSession, sf: str) -> DataFrame:
     keep = keeper(spark)
     starts = _t(spark, sf, "part").groupBy("p_type").agg(F.max_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("start")).select("start")
@@ -115,32 +171,47 @@ def graph_traversal(spark: SparkSession, sf: str) -> DataFrame:
 
 def link_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     covers = _t(spark, sf, "part").select(F.col("p_partkey").alias("src"), F.concat_ws("/", "p_name", "p_type").alias("dst"))
-    return graph.link_recommendations(bought_together(spark, sf, 48), covers, 50)
+    return graph.recommendation_texts(graph.link_recommendations(keeper(spark)(follows(spark, sf)), covers, 50))
 
 
 def topic_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts as topics that parts cover, and types as topics that none does."""
     p = _t(spark, sf, "part")
-    covers = p.where("p_size > 45").select(F.col("p_partkey").alias("src"), F.col("p_name").alias("dst"))
-    return graph.topic_coverage(covers, p.select(F.col("p_name").alias("topic")).distinct())
+    covers = p.select(F.col("p_partkey").alias("src"), F.col("p_name").alias("dst"))
+    return graph.topic_coverage(covers, p.select(F.explode(F.array("p_name", "p_type")).alias("topic")).distinct())
 
 
 def token_budget(spark: SparkSession, sf: str) -> DataFrame:
     n = F.sum(tx.approx_tokens(F.col("text")))
-    return _t(spark, sf, "conversations").groupBy("conv_id").agg(n.alias("tokens"), F.count("*").alias("messages")).withColumn("over_cap", F.col("tokens") > 1500)
+    return _t(spark, sf, "conversations").groupBy("conv_id").agg(n.alias("tokens"), F.count("*").alias("messages")).withColumn("over_cap", F.col("tokens") > lifecycle.CALL_TOKENS)
+
+
+def calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations as calls of a model: the conversation is the run, its number modulo 3 the tenant."""
+    n = tx.approx_tokens(F.col("text"))
+    return _t(spark, sf, "conversations").select(
+        F.col("conv_id").alias("run"), (F.col("conv_id") % 3).alias("tenant"), F.make_date(F.lit(2026), (F.col("conv_id") % 4 + 1).cast("int"), F.lit(1)).alias("month"),
+        F.when(F.col("role") == "user", n).otherwise(0).alias("input_tokens"), F.when(F.col("role") == "user", 0).otherwise(n).alias("output_tokens"), (n * 0.01).alias("cost_usd"),
+    )
 
 
 def usage_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    e = _t(spark, sf, "events")
-    g = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("cost"))
-    return g.withColumn("over_budget", F.col("cost") > 500)
+    """Usage by run and by tenant and month, against the ceiling of each."""
+    c = keeper(spark)(calls(spark, sf))
+    cols = ["calls", "input_tokens", "output_tokens", "cost_usd", "over_budget"]
+    run = lifecycle.usage(c, ["run"], lifecycle.RUN_COST).select(F.concat(F.lit("run "), "run").alias("of"), *cols)
+    return run.unionByName(lifecycle.usage(c, ["tenant", "month"], lifecycle.MONTH_COST).select(F.concat_ws(" ", F.lit("tenant"), "tenant", "month").alias("of"), *cols))
 
 
 def label_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    d = _t(spark, sf, "documents").select("doc_id", (F.regexp_count("text", F.lit(r"(!!|\|)")) < 20).cast("int").alias("predicted"))
-    rows = d.join(_t(spark, sf, "labels"), "doc_id", "full_outer").where("quality is not null and predicted is not null")
-    tp, fp, fn = (F.count_if(F.expr(c)) for c in ("predicted = 1 and quality = 1", "predicted = 1 and quality = 0", "predicted = 0 and quality = 1"))
-    g = rows.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
-    return g.withColumns({"precision": F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6), "recall": F.round(F.col("tp") / (F.col("tp") + F.col("fn")), 6)})
+    """A rule's label of each document's quality against the labelled ones; both verdicts against the thresholds of two engines."""
+    bad = F.regexp_count("text", F.lit(r"(!!|\|)")) >= 20
+    said = _t(spark, sf, "documents").where(bad).select(F.lit("technical_engine").alias("engine"), "doc_id")
+    true = _t(spark, sf, "labels").where("quality = 0").select(F.lit("technical_engine").alias("engine"), "doc_id")
+    got = lifecycle.prf(lifecycle.confusion(said, true, ["engine", "doc_id"]))
+    tall = got.unpivot(["engine", "tp", "fp", "fn"], ["precision", "recall", "f1"], "metric", "value")
+    bounds = spark.createDataFrame(lifecycle.THRESHOLDS, "engine string, metric string, bound double, lower_is_better boolean")
+    return lifecycle.judged(tall, bounds)
 
 
 def redacted_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,45 +220,51 @@ def redacted_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", F.sha2(tx.redact(text), 256).alias("redacted_sha256"), tx.has_credential(F.col("text")).alias("had_credential"))
 
 
-def first_positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each run (conversation) the first place of each role, as of each domain in a result list."""
-    return _t(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("position"))
-
-
 def cannibalized_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    p = _t(spark, sf, "part").groupBy("p_brand", F.lower(F.trim("p_name")).alias("keyword"))
-    return p.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("p_partkey")), ",").alias("pages")).where("n > 1")
-
-
-def topic_mining(spark: SparkSession, sf: str) -> DataFrame:
-    """Words and word pairs of benchmark texts that occur in two results or more, the 20 most frequent."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1)), lambda w: ~w.isin(*tx.STOP_WORDS))
-    w = _t(spark, sf, "benchmark").select(words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    n = w.select(F.explode(F.concat("w", pairs)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).where("n >= 2")
-    return n.orderBy(F.desc("n"), "phrase").limit(20)
-
-
-def event_relay_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch form of the relay: once per (event, consumer), counted by outcome."""
-    e = _t(spark, sf, "events").select("event_id", "event_type", "value")
-    routed = e.unionByName(e.where("event_id % 10 = 0")).dropDuplicates(["event_id", "event_type"])
-    outcome = F.when(F.col("value") < 0.5, "dead_lettered").when(F.col("event_type") == "error", "failed").otherwise("delivered")
-    return routed.groupBy("event_type", outcome.alias("outcome")).agg(F.count("*").alias("n"))
-
-
+    rows = content.cannibalization(_t(spark, sf, "part").withColumn("page", F.lpad(F.col("p_partkey").cast("string"), 9, "0")), ["p_brand"], "p_name", "page")
+    return rows.select("p_brand", "keyword", "n", F.array_join("urls", ",").alias("pages"))
+
+
+_CHANGE = "CASE WHEN coalesce({0}, 0) <> 0 THEN (coalesce({1}, 0) - {0}) / {0} * 100 * sign ELSE 0 END"
+_EXPERIMENTS = f"""{DAILY_SQL}, x AS (SELECT series || '/' || m AS experiment_id, series, CASE WHEN m % 2 = 0 THEN CASE WHEN series = '1-URGENT' THEN '2-HIGH' ELSE '1-URGENT' END END AS control, ['clicks', 'position', 'users', 'revenue'][m % 4 + 1] AS metric,
+    make_date(1998, m::INT, 1) AS start, CASE WHEN m % 5 = 0 THEN 10 ELSE 28 END AS days, m % 7 = 0 AS moved FROM (SELECT DISTINCT series FROM daily), range(1, 13) r(m)),
+  g AS (SELECT experiment_id, avg(value) FILTER (d.series = x.series AND day < start) AS b, avg(value) FILTER (d.series = x.series AND day >= start) AS t, stddev_pop(value) FILTER (d.series = x.series AND day < start) AS sd, count(value) FILTER (d.series = x.series AND day < start) AS n,
+    avg(value) FILTER (d.series = x.control AND day < start) AS cb, avg(value) FILTER (d.series = x.control AND day >= start) AS ct FROM x JOIN daily d ON d.series IN (x.series, x.control) AND day BETWEEN start - 28 AND start + days GROUP BY 1),
+  e AS (SELECT *, CASE WHEN metric = 'position' THEN -1.0 ELSE 1.0 END AS sign, cb IS NOT NULL AND ct IS NOT NULL AS controlled FROM x LEFT JOIN g USING (experiment_id)),
+  f AS (SELECT *, {_CHANGE.format("b", "t")} + 0.0 AS effect, CASE WHEN controlled THEN {_CHANGE.format("b", "t")} - {_CHANGE.format("cb", "ct")} END AS adjusted, CASE WHEN n >= 3 AND b <> 0 THEN sd / b * 100 ELSE 0 END AS noise,
+    concat_ws(',', CASE WHEN moved THEN 'tracking changed' END, CASE WHEN DATE '1998-03-05' <= start + days AND DATE '1998-03-20' >= start THEN 'an update' END) AS confounders,
+    days >= CASE metric WHEN 'position' THEN 14 WHEN 'clicks' THEN 28 WHEN 'revenue' THEN 42 ELSE 21 END AS window_ok FROM e),
+  h AS (SELECT *, CASE WHEN confounders <> '' OR NOT window_ok THEN 'inconclusive' WHEN abs(coalesce(adjusted, effect)) <= greatest(noise, 3) THEN 'neutral' WHEN coalesce(adjusted, effect) > 0 THEN 'success' ELSE 'regression' END AS verdict FROM f),
+  v AS (SELECT experiment_id, metric, round(effect, 2) AS effect_pct, round(adjusted, 2) AS control_adjusted_pct, round(noise, 2) AS noise_band_pct, window_ok, confounders, CASE WHEN controlled THEN 'difference-in-differences' ELSE 'before/after' END AS method, verdict,
+    CASE WHEN verdict = 'inconclusive' THEN 0.3 WHEN verdict <> 'neutral' AND controlled THEN 0.8 ELSE 0.6 END AS confidence, verdict IN ('success', 'regression') AND controlled AS causal_language_allowed FROM h)"""
 _W28 = "RANGE BETWEEN INTERVAL 28 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING"
 _INTENT = [(i, k, "greatest(" + ", ".join(f"CASE WHEN contains(s, '{m}') THEN {w} ELSE 0.0 END" for m, w in marks.items()) + (", CASE WHEN regexp_matches(trim(lower(term)), '" + keywords.QUESTION + "') THEN 0.7 ELSE 0.0 END" if k == "question" else "") + ")") for i, (k, marks) in enumerate(keywords.MARKERS)]
 _TOKENS = r"""list_sort(list_filter(list_distinct(list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(term), '[^a-z0-9_ ''-]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda w: length(w) >= 2),
   lambda w: CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 4 AND regexp_matches(w, '(s|x|z|ch|sh)es$') THEN left(w, length(w) - 2)
   WHEN length(w) > 3 AND w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) ELSE w END)), lambda w: w NOT IN (""" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")))"
-_CITE = f"""cite AS (SELECT conv_id, turn, conv_id % 7 AS cluster, instr(lower(text), '{BRAND}') AS spot, text,
-   list_filter([{", ".join(f"CASE WHEN contains(lower(text), '{r}') THEN '{r}' END" for r in RIVALS)}], lambda x: x IS NOT NULL) AS rivals,
-   list_distinct(list_transform(regexp_extract_all(text, '(https?://[^\\s)\\]}}>"'']+)', 1), lambda u: regexp_replace(u, '[.,);]+$', ''))) AS cited FROM conversations WHERE role = 'assistant'),
- cites AS (SELECT *, spot > 0 AS brand_mentioned, CASE WHEN spot > 0 THEN length(left(text, spot - 1)) - length(replace(left(text, spot - 1), chr(10), '')) + 1 END AS brand_position,
+_CITE = f"""cite0 AS (SELECT conv_id, turn, CASE WHEN conv_id % 7 <> 0 THEN conv_id % 7 END AS cluster, 'p' || turn % 2 AS provider, CAST(date_trunc('week', DATE '2026-01-01' + CAST(conv_id % 28 AS INT)) AS DATE) AS week, {ANSWER} AS text FROM conversations WHERE role = 'assistant'),
+ cite AS (SELECT *, instr(lower(text), '{BRAND}') AS spot, contains(text, 'rival.org') AS by_domain,
+   list_filter([{", ".join(f"CASE WHEN contains(lower(text), '{r}') THEN '{r}' END" for r in RIVALS)}], lambda x: x IS NOT NULL) AS named,
+   list_distinct(list_transform(regexp_extract_all(text, '(https?://[^\\s)\\]}}>"'']+)', 1), lambda u: regexp_replace(u, '[.,);]+$', ''))) AS cited FROM cite0),
+ cites AS (SELECT *, CASE WHEN by_domain THEN list_append(named, 'rival.org') ELSE named END AS rivals, spot > 0 AS brand_mentioned, CASE WHEN spot > 0 THEN length(left(text, spot - 1)) - length(replace(left(text, spot - 1), chr(10), '')) + 1 END AS brand_position,
    len(list_filter(cited, lambda u: regexp_matches(u, '^https?://(www\\.)?example\\.com([/?#]|$)'))) > 0 AS own_url_cited,
    CASE WHEN spot = 0 THEN 'neutral' WHEN regexp_matches(substring(lower(text), greatest(1, spot - 160), spot + 160 - greatest(1, spot - 160)), '{visibility.NEGATIVE}') THEN 'negative'
-        WHEN regexp_matches(substring(lower(text), greatest(1, spot - 160), spot + 160 - greatest(1, spot - 160)), '{visibility.POSITIVE}') THEN 'positive' ELSE 'neutral' END AS sentiment FROM cite)"""
+        WHEN regexp_matches(substring(lower(text), greatest(1, spot - 160), spot + 160 - greatest(1, spot - 160)), '{visibility.POSITIVE}') THEN 'positive' ELSE 'neutral' END AS sentiment FROM cite),
+ grouped AS (SELECT cluster, provider, week, count(*) AS n, count_if(brand_mentioned) AS k, count_if(own_url_cited) / count(*) AS own, avg(brand_position) AS pos,
+            (count_if(sentiment = 'positive') - count_if(sentiment = 'negative')) / count(*) AS tone, sum(len(rivals)) AS r FROM cites GROUP BY ALL),
+ shares AS (SELECT *, CASE WHEN r + k > 0 THEN r / (r + k) ELSE 0 END AS share FROM grouped),
+ scored AS (SELECT cluster, provider, week, n AS prompts_run, round(k / n, 4) AS mention_rate, round(own, 4) AS own_citation_rate, round(pos, 2) AS avg_brand_position, round(share, 4) AS competitor_share,
+          round(greatest(0, least(100, (0.45 * k / n + 0.30 * own + 0.15 * coalesce(greatest(0, (5 - pos) / 5), 0) + 0.10 * greatest(0, tone)) * 100 * (1 - 0.3 * share))), 2) AS score FROM shares)"""
+_PROMPT_ROWS = " UNION ALL ".join(
+    f"SELECT cluster_id, {part} AS part, i, {k} AS k, '{kind}' AS kind, replace(replace('{text}', '{{{slot}}}', x), '{{brand}}', 'Acme') AS text FROM {slot}s"
+    for part, slot in enumerate(("brand", "category", "keyword", "competitor"))
+    for k, (kind, text) in enumerate((kind, text) for kind, p, text in visibility.TEMPLATES if p == slot)
+)
+_PROMPTS = f"""params AS (SELECT p_type AS cluster_id, list_sort(list_distinct(list(p_name)))[1:3] AS names, list_sort(list_distinct(list(p_brand)))[1:6] AS brands FROM part GROUP BY 1),
+ brands AS (SELECT cluster_id, 0 AS i, 'Acme' AS x FROM params), categorys AS (SELECT cluster_id, 0 AS i, lower(cluster_id) AS x FROM params),
+ keywords AS (SELECT cluster_id, unnest(range(len(names))) AS i, unnest(names) AS x FROM params), competitors AS (SELECT cluster_id, unnest(range(len(brands))) AS i, unnest(brands) AS x FROM params),
+ made AS ({_PROMPT_ROWS}), once AS (SELECT * FROM made QUALIFY row_number() OVER (PARTITION BY cluster_id, lower(text) ORDER BY part, i, k) = 1),
+ library AS (SELECT cluster_id, kind, text, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY part, i, k) AS rank FROM once) WHERE rank <= 50)"""
 _REDACT = "concat_ws(' ', text, concat('ghp_', substring(md5(CAST(doc_id AS VARCHAR)), 1, 24), ' npg_', substring(md5(source), 1, 14)))"
 for _p in tx.CREDENTIALS:
     _REDACT = f"regexp_replace({_REDACT}, '{_p}', '{tx.PLACEHOLDER}', 'g')"
@@ -199,8 +276,8 @@ QUERIES.update(
             count(value) OVER s AS n_s, avg(value) OVER s AS m_s, stddev_pop(value) OVER s AS d_s, count(value) OVER e AS n_e, avg(value) OVER e AS m_e, stddev_pop(value) OVER e AS d_e
           FROM daily WINDOW s AS (PARTITION BY series, dayofweek(day) ORDER BY day {_W28}), e AS (PARTITION BY series ORDER BY day {_W28})),
         p AS (SELECT *, CASE WHEN n_s >= 3 THEN n_s ELSE n_e END AS n, CASE WHEN n_s >= 3 THEN m_s ELSE m_e END AS m, coalesce(nullif(CASE WHEN n_s >= 3 THEN d_s ELSE d_e END, 0), 1e-9) AS sd FROM w)
-        SELECT series, day, CASE WHEN value < m THEN 'drop' ELSE 'spike' END AS direction, value AS observed, round(m, 4) AS baseline, round((value - m) / m * 100, 2) AS magnitude_pct
-        FROM p WHERE place > 4 AND n >= 3 AND abs((value - m) / sd) >= 2.5 AND abs((value - m) / m * 100) >= 15""",
+        SELECT series, day, CASE WHEN value < m THEN 'drop' ELSE 'spike' END AS direction, value AS observed, round(m, 4) AS baseline, round((value - m) / m * 100, 2) AS magnitude_pct, round((value - m) / sd, 3) AS z_score
+        FROM p WHERE place > 4 AND n >= 3 AND abs((value - m) / sd) >= 2.5 AND abs((value - m) / m * 100) >= 15 AND month(day) <> 3""",
     ),
     metric_upsert=Query(
         metric_upsert,
@@ -214,30 +291,24 @@ QUERIES.update(
               FROM m JOIN m p ON p.series = m.series AND CAST(p.month + INTERVAL 1 MONTH AS DATE) = m.month)
         SELECT *, CASE WHEN change_pct > 1 THEN 'up' WHEN change_pct < -1 THEN 'down' ELSE 'flat' END AS arrow FROM b""",
     ),
-    experiment_effects=Query(
-        experiment_effects,
-        f"""WITH {DAILY_SQL}, x AS (SELECT DISTINCT series || '/' || m AS experiment_id, series, make_date(1998, m::INT, 1) AS start FROM daily, range(1, 13) r(m)),
-        a AS (SELECT experiment_id, avg(value) FILTER (day < start) AS b, avg(value) FILTER (day >= start) AS t, stddev_pop(value) FILTER (day < start) AS sd, count(*) FILTER (day < start) AS n_before
-              FROM daily JOIN x USING (series) WHERE day BETWEEN start - 28 AND start + 27 GROUP BY 1),
-        e AS (SELECT experiment_id, round((t - b) / b * 100, 4) AS effect_pct, round(CASE WHEN n_before >= 3 THEN sd / b * 100 ELSE 0 END, 4) AS noise_pct, n_before FROM a)
-        SELECT *, CASE WHEN abs(effect_pct) <= noise_pct THEN 'inconclusive' WHEN effect_pct > 0 THEN 'success' ELSE 'regression' END AS verdict FROM e""",
+    experiment_effects=Query(experiment_effects, f"WITH {_EXPERIMENTS} SELECT experiment_id, metric, effect_pct, control_adjusted_pct, noise_band_pct, window_ok, confounders, method, verdict, confidence, causal_language_allowed FROM v"),
+    experiment_learnings=Query(
+        experiment_learnings,
+        f"""WITH {_EXPERIMENTS} SELECT experiment_id, split_part(experiment_id, '/', 1) AS opportunity_type, verdict, confidence, CASE WHEN confidence < 0.7 THEN 0.0 WHEN verdict = 'success' THEN 0.1 WHEN verdict = 'regression' THEN -0.15 ELSE 0.0 END AS weight_delta,
+          printf('%s: %s (%s %+.1f%% on %s; %s)', split_part(experiment_id, '/', 1), verdict, CASE WHEN causal_language_allowed THEN 'caused' ELSE 'associated with' END, effect_pct, metric, CASE WHEN method LIKE 'diff%' THEN 'controlled' ELSE 'before/after only' END) AS statement FROM v""",
     ),
     ai_citations=Query(ai_citations, f"WITH {_CITE} SELECT conv_id, turn, brand_mentioned, brand_position, array_to_string(rivals, ',') AS competitors, len(cited) AS n_cited, own_url_cited, sentiment FROM cites"),
-    ai_visibility=Query(
-        ai_visibility,
-        f"""WITH {_CITE}, g AS (SELECT cluster, count(*) AS n, count_if(brand_mentioned) AS k, count_if(own_url_cited) / count(*) AS own, avg(brand_position) AS pos,
-            (count_if(sentiment = 'positive') - count_if(sentiment = 'negative')) / count(*) AS tone, sum(len(rivals)) AS r FROM cites GROUP BY 1),
-        s AS (SELECT *, CASE WHEN r + k > 0 THEN r / (r + k) ELSE 0 END AS share FROM g)
-        SELECT cluster, n AS prompts_run, round(k / n, 4) AS mention_rate, round(share, 4) AS competitor_share,
-          round(greatest(0, least(100, (0.45 * k / n + 0.30 * own + 0.15 * coalesce(greatest(0, (5 - pos) / 5), 0) + 0.10 * greatest(0, tone)) * 100 * (1 - 0.3 * share))), 2) AS score FROM s""",
-    ),
+    ai_visibility=Query(ai_visibility, f"WITH {_CITE} SELECT * FROM scored"),
+    weekly_visibility=Query(weekly_visibility, f"WITH {_CITE} SELECT cluster, provider, week, score FROM scored UNION ALL SELECT cluster, provider, week - 70, score FROM scored s WHERE provider = 'p0' AND NOT EXISTS (SELECT 1 FROM scored n WHERE n.cluster IS NOT DISTINCT FROM s.cluster AND n.provider = s.provider AND n.week = s.week - 70)"),
+    prompt_library=Query(prompt_library, f"WITH {_PROMPTS} SELECT * FROM library"),
+    prompt_battery=Query(prompt_battery, f"WITH {_PROMPTS}, n AS (SELECT DISTINCT kind, text FROM library WHERE kind <> 'comparison') SELECT kind, text, sha256(text) AS text_hash, provider FROM n, (SELECT unnest(['gemini', 'perplexity']) AS provider)"),
     keyword_tokens=Query(keyword_tokens, f"WITH {TERMS_SQL} SELECT term, volume, array_to_string({_TOKENS}, ' ') AS tokens FROM terms"),
     keyword_intents=Query(
         keyword_intents,
         f"""WITH {TERMS_SQL}, s AS (SELECT term, ' ' || lower(trim(term)) || ' ' AS s FROM terms), l AS ({" UNION ALL ".join(f"SELECT term, {i} AS place, '{k}' AS intent, CAST({x} AS DOUBLE) AS confidence FROM s" for i, k, x in _INTENT)}),
         t AS (SELECT *, max(confidence) OVER (PARTITION BY term) AS top FROM l),
         r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY confidence DESC, place) AS rank FROM t WHERE confidence >= 0.35 AND confidence >= 0.6 * top)
-        SELECT term, rank, intent, confidence FROM r WHERE rank <= 3 UNION ALL SELECT term, 1, 'informational', 0.5 FROM terms WHERE term NOT IN (SELECT term FROM r)""",
+        SELECT term, rank, intent, round(least(0.99, confidence), 3) AS confidence FROM r WHERE rank <= 3 UNION ALL SELECT term, 1, 'informational', 0.5 FROM terms WHERE term NOT IN (SELECT term FROM r)""",
     ),
     similar_keywords=Query(
         similar_keywords,
@@ -245,7 +316,6 @@ QUERIES.update(
         SELECT a.term AS a, b.term AS b FROM t a JOIN t b ON a.term < b.term WHERE len(a.k) > 0 AND len(b.k) > 0
           AND len(list_intersect(a.k, b.k)) >= 0.45 * (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k)))""",
     ),
-    keyword_clusters=Query(keyword_clusters),
     graph_traversal=Query(
         graph_traversal,
         f"""WITH RECURSIVE {EDGES_SQL}, walk AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS depth FROM part QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey DESC) = 1
@@ -254,31 +324,31 @@ QUERIES.update(
     ),
     link_recommendations=Query(
         link_recommendations,
-        f"""WITH {EDGES_SQL.replace(" WHERE ", " WHERE a.l_quantity >= 48 AND ")}, l AS (SELECT * FROM edges), d AS (SELECT dst AS node, count(*) AS n_in FROM l GROUP BY 1),
+        f"""WITH {EDGES_SQL}, l AS (SELECT * FROM edges WHERE dst > src AND dst - src <= 40), d AS (SELECT dst AS node, count(*) AS n_in FROM l GROUP BY 1),
         p AS (SELECT p_partkey AS node, concat_ws('/', p_name, p_type) AS topic, coalesce(n_in, 0) AS n_in FROM part LEFT JOIN d ON d.node = p_partkey)
-        SELECT s.node AS source, w.node AS target, w.topic FROM p w JOIN p s ON s.topic = w.topic AND s.node <> w.node WHERE w.n_in <= 1 AND s.n_in >= 2
-          AND NOT EXISTS (SELECT 1 FROM l WHERE l.src = s.node AND l.dst = w.node) ORDER BY target, source, topic LIMIT 50""",
+        SELECT source, target, lower(topic) AS anchor, printf('''%s'' is an authority page on %s; ''%s'' covers the same topic but has at most one internal link.', source::VARCHAR, topic, target::VARCHAR) AS reason, 0.6 AS confidence FROM (SELECT s.node AS source, w.node AS target, w.topic FROM p w JOIN p s ON s.topic = w.topic AND s.node <> w.node WHERE w.n_in <= 1 AND s.n_in >= 2
+          AND NOT EXISTS (SELECT 1 FROM l WHERE l.src = s.node AND l.dst = w.node) ORDER BY target, source, topic LIMIT 50)""",
+    ),
+    topic_coverage=Query(topic_coverage, "SELECT topic, count(DISTINCT p_partkey) AS n_pages, count(DISTINCT p_partkey) = 0 AS weak FROM (SELECT p_name AS topic, p_partkey FROM part UNION ALL SELECT DISTINCT p_type, NULL FROM part) GROUP BY 1"),
+    token_budget=Query(token_budget, "SELECT conv_id, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens, count(*) AS messages, sum(greatest(1, length(text) // 4)) > 180000 AS over_cap FROM conversations GROUP BY 1"),
+    usage_rollup=Query(
+        usage_rollup,
+        """WITH c AS (SELECT conv_id, make_date(2026, (conv_id % 4 + 1)::INT, 1) AS month, role, greatest(1, length(text) // 4) AS n FROM conversations),
+        u AS (SELECT 'run ' || conv_id AS of, n, role, 5.0::DOUBLE AS most FROM c UNION ALL SELECT 'tenant ' || conv_id % 3 || ' ' || month, n, role, 300.0 FROM c)
+        SELECT of, count(*) AS calls, sum(CASE WHEN role = 'user' THEN n ELSE 0 END)::BIGINT AS input_tokens, sum(CASE WHEN role = 'user' THEN 0 ELSE n END)::BIGINT AS output_tokens, round(sum(n * 0.01::DOUBLE), 4) AS cost_usd, round(sum(n * 0.01::DOUBLE), 4) > max(most) AS over_budget FROM u GROUP BY 1""",
     ),
-    topic_coverage=Query(topic_coverage, "SELECT p_name AS topic, count(DISTINCT p_partkey) FILTER (p_size > 45) AS n_pages, count(DISTINCT p_partkey) FILTER (p_size > 45) = 0 AS weak FROM part GROUP BY 1"),
-    token_budget=Query(token_budget, "SELECT conv_id, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens, count(*) AS messages, sum(greatest(1, length(text) // 4)) > 1500 AS over_cap FROM conversations GROUP BY 1"),
-    usage_rollup=Query(usage_rollup, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS calls, round(sum(value), 2) AS cost, round(sum(value), 2) > 500 AS over_budget FROM events GROUP BY 1, 2"),
     label_evaluation=Query(
         label_evaluation,
-        r"""WITH r AS (SELECT quality, CAST(len(regexp_extract_all(text, '(!!|\|)')) < 20 AS INT) AS predicted FROM documents JOIN labels USING (doc_id)),
-        g AS (SELECT count_if(predicted = 1 AND quality = 1) AS tp, count_if(predicted = 1 AND quality = 0) AS fp, count_if(predicted = 0 AND quality = 1) AS fn FROM r)
-        SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM g""",
+        r"""WITH s AS (SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '(!!|\|)')) >= 20), t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0),
+        g AS (SELECT (SELECT count(*) FROM s JOIN t USING (doc_id)) AS tp, (SELECT count(*) FROM s WHERE doc_id NOT IN (SELECT doc_id FROM t)) AS fp, (SELECT count(*) FROM t WHERE doc_id NOT IN (SELECT doc_id FROM s)) AS fn),
+        p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM g)
+        SELECT 'technical_engine' AS engine, tp, fp, fn, 'precision' AS metric, round(p, 4) AS value, 0.9 AS bound, round(p, 4) >= 0.9 AS passed FROM p UNION ALL SELECT 'technical_engine', tp, fp, fn, 'recall', round(r, 4), 0.85, round(r, 4) >= 0.85 FROM p
+        UNION ALL SELECT 'technical_engine', tp, fp, fn, 'f1', CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 4) ELSE 0 END, NULL, NULL FROM p""",
     ),
     redacted_documents=Query(redacted_documents, f"SELECT doc_id, sha256({_REDACT}) AS redacted_sha256, regexp_matches(text, '{'|'.join(tx.CREDENTIALS)}') AS had_credential FROM documents"),
-    first_positions=Query(first_positions, "SELECT conv_id, role, min(turn) AS position FROM conversations GROUP BY ALL"),
-    cannibalized_keywords=Query(cannibalized_keywords, "SELECT p_brand, lower(trim(p_name)) AS keyword, count(*) AS n, string_agg(p_partkey, ',' ORDER BY p_partkey) AS pages FROM part GROUP BY 1, 2 HAVING count(*) > 1"),
-    topic_mining=Query(
-        topic_mining,
-        "WITH b AS (SELECT list_filter(regexp_extract_all(lower(text), '([a-z]{3,})', 1), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")) AS w FROM benchmark), "
-        "p AS (SELECT unnest(w) AS phrase FROM b UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b) "
-        "SELECT phrase, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, phrase LIMIT 20",
-    ),
-    event_relay_counts=Query(
-        event_relay_counts,
-        "SELECT event_type, CASE WHEN value < 0.5 THEN 'dead_lettered' WHEN event_type = 'error' THEN 'failed' ELSE 'delivered' END AS outcome, count(*) AS n FROM events GROUP BY ALL",
+    cannibalized_keywords=Query(
+        cannibalized_keywords,
+        "SELECT p_brand, keyword, n, string_agg(page, ',' ORDER BY page) AS pages FROM (SELECT p_brand, lower(trim(p_name)) AS keyword, lpad(p_partkey::VARCHAR, 9, '0') AS page, count(*) OVER (PARTITION BY p_brand, lower(trim(p_name))) AS n, "
+        "row_number() OVER (PARTITION BY p_brand, lower(trim(p_name)) ORDER BY lpad(p_partkey::VARCHAR, 9, '0')) AS k FROM part) WHERE n > 1 AND k <= 10 GROUP BY ALL",
     ),
 )

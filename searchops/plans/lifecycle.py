@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import content, lifecycle
-from ..sources.tables import shared_root
-from ..streaming import events
 from .registry import QUERIES, Query
 
 
@@ -20,8 +18,9 @@ def issue_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["o_custkey", "o_orderpriority"]
     o = _t(spark, sf, "orders").select(*keys, "o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("day"))
     status = F.when(F.max_by("o_orderstatus", F.struct("day", "o_orderkey")) == "F", "resolved").otherwise("open")
-    old = o.where("day < date '1998-01-01'").groupBy(*keys).agg(status.alias("status"), F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), F.count("*").alias("seen_count"))
-    seen = o.where("day >= date '1998-01-01'").groupBy(*keys).agg(F.max("day").alias("seen_on"))
+    own = [F.max("o_orderstatus").alias("severity"), F.max("o_orderkey").cast("string").alias("detail")]
+    old = o.where("day < date '1998-01-01'").groupBy(*keys).agg(status.alias("status"), *own, F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), F.count("*").alias("seen_count"))
+    seen = o.where("day >= date '1998-01-01'").groupBy(*keys).agg(*own, F.max("day").alias("seen_on"))
     return lifecycle.upsert_issues(old, seen, keys)
 
 
@@ -42,14 +41,20 @@ def judge_cross_check(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("score", lifecycle.cross_checked(F.col("rule_score"), F.col("model_score")))
 
 
+#: Landed rows of orders as the SQL of both engines writes them: domain, keyword, dates and score as text.
+LANDED = {
+    "domain": "CASE WHEN o_orderkey % 5 = 0 THEN 'no domain' WHEN o_orderkey % 3 = 0 THEN 'https://shop.example.com/' ELSE 'example.com' END",
+    "keyword": "CASE WHEN o_orderkey % 7 = 0 THEN ' ' WHEN o_orderkey % 11 = 0 THEN repeat('long ', 50) ELSE o_orderpriority END",
+    "start_on": "CASE WHEN o_orderkey % 13 = 0 THEN 'yesterday' ELSE '2024-03-01' END",
+    "end_on": "CASE WHEN o_orderkey % 17 = 0 THEN '2024-02-29' WHEN o_orderkey % 19 = 0 THEN '2026-03-01' ELSE '2024-12-31' END",
+    "score": "CASE WHEN o_orderkey % 23 = 0 THEN 'high' ELSE CAST(o_orderkey % 130 AS STRING) END",
+}
+
+
 def row_validation(spark: SparkSession, sf: str) -> DataFrame:
-    why = lifecycle.reasons(
-        date_range=F.datediff("l_shipdate", "o_orderdate").between(0, 90),
-        score=F.col("l_discount").between(0.0, 0.05),
-        quantity=F.col("l_quantity") <= 40,
-    )
-    rows = _t(spark, sf, "lineitem").join(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey", "left")
-    return rows.select(why.alias("reasons")).groupBy("reasons").agg(F.count("*").alias("n"))
+    rows = _t(spark, sf, "orders").select("o_orderkey", *(F.expr(x).alias(n) for n, x in LANDED.items()))
+    good, bad = lifecycle.split_valid(rows, lifecycle.validity(*map(F.col, LANDED)))
+    return good.select(F.lit("").alias("reasons")).unionByName(bad.select("reasons")).groupBy("reasons").agg(F.count("*").alias("n"))
 
 
 def vitals_ratings(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,22 +81,14 @@ def report_sections(spark: SparkSession, sf: str) -> DataFrame:
     return content.first_per_group(o, "o_orderpriority", "by", 15, "place").drop("by")
 
 
-def event_stream_hours(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table read as a stream of files."""
-    schema = _t(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    counts = events.hourly_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")))
-    return events.drain(counts, shared_root(spark)).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
-
-
 QUERIES.update(
     issue_lifecycle=Query(
         issue_lifecycle,
         """WITH o AS (SELECT o_custkey, o_orderpriority, o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) AS day FROM orders),
-        old AS (SELECT o_custkey, o_orderpriority, min(day) AS first_seen, max(day) AS last_seen, count(*) AS c,
+        old AS (SELECT o_custkey, o_orderpriority, min(day) AS first_seen, max(day) AS last_seen, count(*) AS c, max(o_orderstatus) AS sev, max(o_orderkey)::VARCHAR AS det,
                   CASE WHEN last(o_orderstatus ORDER BY day, o_orderkey) = 'F' THEN 'resolved' ELSE 'open' END AS s FROM o WHERE day < DATE '1998-01-01' GROUP BY ALL),
-        seen AS (SELECT o_custkey, o_orderpriority, max(day) AS seen_on FROM o WHERE day >= DATE '1998-01-01' GROUP BY ALL)
-        SELECT o_custkey, o_orderpriority, CASE WHEN s IS NULL THEN 'open' WHEN seen_on IS NOT NULL AND s = 'resolved' THEN 'regressed' ELSE s END AS status,
+        seen AS (SELECT o_custkey, o_orderpriority, max(day) AS seen_on, max(o_orderstatus) AS new_sev, max(o_orderkey)::VARCHAR AS new_det FROM o WHERE day >= DATE '1998-01-01' GROUP BY ALL)
+        SELECT o_custkey, o_orderpriority, CASE WHEN s IS NULL THEN 'open' WHEN seen_on IS NOT NULL AND s = 'resolved' THEN 'regressed' ELSE s END AS status, CASE WHEN seen_on IS NOT NULL THEN new_sev ELSE sev END AS severity, CASE WHEN seen_on IS NOT NULL THEN new_det ELSE det END AS detail,
           coalesce(first_seen, seen_on) AS first_seen, coalesce(seen_on, last_seen) AS last_seen, coalesce(c, 0) + CASE WHEN seen_on IS NULL THEN 0 ELSE 1 END AS seen_count
         FROM old FULL OUTER JOIN seen USING (o_custkey, o_orderpriority)""",
     ),
@@ -108,8 +105,9 @@ QUERIES.update(
     ),
     row_validation=Query(
         row_validation,
-        """SELECT concat_ws(',', CASE WHEN NOT coalesce(date_diff('day', o_orderdate, l_shipdate) BETWEEN 0 AND 90, false) THEN 'date_range' END, CASE WHEN NOT l_discount BETWEEN 0.0 AND 0.05 THEN 'score' END,
-          CASE WHEN NOT l_quantity <= 40 THEN 'quantity' END) AS reasons, count(*) AS n FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""",
+        f"""WITH r AS (SELECT {", ".join(f"{x} AS {n}" for n, x in LANDED.items())} FROM orders), d AS (SELECT *, try_cast(CASE WHEN regexp_matches(start_on, '^\\d{{4}}-\\d\\d-\\d\\d$') THEN start_on END AS DATE) AS a, try_cast(end_on AS DATE) AS b FROM r)
+        SELECT concat_ws(',', CASE WHEN NOT regexp_matches(trim(trim(domain), '/'), '{lifecycle.DOMAIN}') THEN 'domain' END, CASE WHEN NOT length(trim(keyword)) BETWEEN 1 AND 200 THEN 'keyword' END,
+          CASE WHEN NOT coalesce(date_diff('day', a, b) BETWEEN 0 AND 370, false) THEN 'date_range' END, CASE WHEN NOT coalesce(try_cast(score AS DOUBLE) BETWEEN 0 AND 100, false) THEN 'score' END) AS reasons, count(*) AS n FROM d GROUP BY 1""",
     ),
     vitals_ratings=Query(
         vitals_ratings,
@@ -125,5 +123,4 @@ QUERIES.update(
         report_sections,
         "SELECT o_orderpriority, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place <= 15",
     ),
-    event_stream_hours=Query(event_stream_hours, "SELECT date_trunc('hour', ts) AS hour, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1, 2"),
 )

@@ -13,21 +13,18 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-#: Confidence of a source; the stand-in is the ship mode of a line.
-SOURCES = (("AIR", 0.98), ("FOB", 0.95), ("MAIL", 0.93), ("RAIL", 0.85), ("SHIP", 0.80), ("TRUCK", 0.60))
 #: Day on which the age of evidence is taken.
 TODAY = "1998-12-01"
-HIGH_RISK = ("HIGH_RISK_WRITE", "IRREVERSIBLE_EXTERNAL_ACTION")
 AUTONOMOUS = ("view", "click")
 
 
 def evidence_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines as evidence from the source of their ship date's month; returned lines are partial, large ones cross-checked."""
-    base = F.element_at(F.array(*(F.lit(c) for _, c in SOURCES)), F.col("l_linenumber") % len(SOURCES) + 1)
+    """Lines as evidence, of all sources and one unknown in turn; returned lines are partial, large ones cross-checked."""
+    names = [n for n, *_ in planning.SOURCES] + ["other"]
+    source = F.element_at(F.array(*map(F.lit, names)), (F.col("l_orderkey") % len(names) + 1).cast("int"))
     age = F.datediff(F.lit(TODAY).cast("date"), F.to_date("l_shipdate"))
-    value = planning.confidence(base, age, F.col("l_quantity") >= 40, F.col("l_returnflag") == "R")
-    rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", value.alias("confidence"))
-    return rows.groupBy("confidence", planning.confidence_label(F.col("confidence")).alias("label")).agg(F.count("*").alias("n"))
+    rows = _t(spark, sf, "lineitem").select(source.alias("source"), age.alias("age_days"), (F.col("l_quantity") >= 40).alias("cross_checked"), (F.col("l_returnflag") == "R").alias("partial"))
+    return planning.rated_evidence(rows).groupBy("source", "first_hand", "confidence", "label").agg(F.count("*").alias("n"))
 
 
 def _changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,25 +40,14 @@ _CHANGES_SQL = """c AS (SELECT event_id, event_type, value, CASE user_id % 4 WHE
 
 
 def approval_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    a, allowed = F.col("action_class"), F.col("event_type").isin(*AUTONOMOUS)
-    decision = (
-        F.when(a == "READ_ONLY", "auto")
-        .when(F.col("mode") == "read_only", "blocked")
-        .when((a == "LOW_RISK_WRITE") & (F.col("mode") == "autonomous") & allowed, "auto")
-        .otherwise("needs_human")
-    )
+    decision = planning.approval(F.col("action_class"), F.col("mode"), F.col("event_type").isin(*AUTONOMOUS), F.col("value") > 20)
     return _changes(spark, sf).groupBy("event_type", "mode", "action_class", decision.alias("decision")).agg(F.count("*").alias("n"))
 
 
 def guardrail_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """The first guardrail that stops each change; an even event is approved, the value is the number of pages."""
-    approved = F.col("event_id") % 2 == 0
-    reason = planning.first_reason(
-        high_risk_unapproved=F.col("action_class").isin(*HIGH_RISK) & ~approved,
-        never_autonomous=F.col("action_class") == "IRREVERSIBLE_EXTERNAL_ACTION",
-        not_on_allow_list=(F.col("action_class") == "LOW_RISK_WRITE") & ~approved & ~F.col("event_type").isin(*AUTONOMOUS),
-        mass_change=(F.col("value") > 50) & ~approved,
-    )
+    k = F.col("event_id")
+    reason = planning.guardrail(F.col("action_class"), k % 2 == 0, F.col("event_type").isin(*AUTONOMOUS), F.col("value"), k % 29, k % 31 == 0, k % 37 != 0)
     return _changes(spark, sf).groupBy("event_type", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -79,26 +65,29 @@ def revise_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return planning.revise_loop(rows, "l_orderkey", "l_linenumber", "verdict")
 
 
-_BASE_SQL = "[" + ", ".join(f"{c}::DOUBLE" for _, c in SOURCES) + f"][l_linenumber % {len(SOURCES)} + 1]"
+_NAMED = [(n, c, first) for n, c, first in planning.SOURCES] + [("other", 0.1, False)]
+_AT = f"l_orderkey % {len(_NAMED)} + 1"
 _NAMES = ", ".join(f"'{n}'" for n in AUTONOMOUS)
 
 QUERIES.update(
     evidence_confidence=Query(
         evidence_confidence,
-        f"""WITH a AS (SELECT {_BASE_SQL} - CASE WHEN d > 365 THEN 0.20::DOUBLE WHEN d > 90 THEN 0.10::DOUBLE WHEN d > 30 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS c, l_quantity >= 40 AS crossed, l_returnflag = 'R' AS part
+        f"""WITH a AS (SELECT {[n for n, *_ in _NAMED]}[{_AT}] AS source, {[f for *_, f in _NAMED]}[{_AT}] AS first_hand, [{", ".join(f"{c}::DOUBLE" for _, c, _ in _NAMED)}][{_AT}]
+            - CASE WHEN d > 365 THEN 0.20::DOUBLE WHEN d > 90 THEN 0.10::DOUBLE WHEN d > 30 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS c, l_quantity >= 40 AS crossed, l_returnflag = 'R' AS part
             FROM (SELECT *, date_diff('day', CAST(l_shipdate AS DATE), DATE '{TODAY}') AS d FROM lineitem)),
-        b AS (SELECT CASE WHEN crossed THEN least(0.99::DOUBLE, c + 0.04::DOUBLE) ELSE c END AS c, part FROM a),
-        v AS (SELECT round(greatest(0.01::DOUBLE, least(0.99::DOUBLE, CASE WHEN part THEN c - 0.15::DOUBLE ELSE c END)), 3) AS confidence FROM b)
-        SELECT confidence, CASE WHEN confidence >= 0.90::DOUBLE THEN 'HIGH' WHEN confidence >= 0.70::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS label, count(*) AS n FROM v GROUP BY ALL""",
+        b AS (SELECT source, first_hand, CASE WHEN crossed THEN least(0.99::DOUBLE, c + 0.04::DOUBLE) ELSE c END AS c, part FROM a),
+        v AS (SELECT source, first_hand, round(greatest(0.01::DOUBLE, least(0.99::DOUBLE, CASE WHEN part THEN c - 0.15::DOUBLE ELSE c END)), 3) AS confidence FROM b)
+        SELECT source, first_hand, confidence, CASE WHEN confidence >= 0.90::DOUBLE THEN 'HIGH' WHEN confidence >= 0.70::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS label, count(*) AS n FROM v GROUP BY ALL""",
     ),
     approval_decisions=Query(
         approval_decisions,
         f"""WITH {_CHANGES_SQL} SELECT event_type, mode, action_class, CASE WHEN action_class = 'READ_ONLY' THEN 'auto' WHEN mode = 'read_only' THEN 'blocked'
-          WHEN action_class = 'LOW_RISK_WRITE' AND mode = 'autonomous' AND event_type IN ({_NAMES}) THEN 'auto' ELSE 'needs_human' END AS decision, count(*) AS n FROM c GROUP BY ALL""",
+          WHEN action_class = 'LOW_RISK_WRITE' AND mode = 'autonomous' AND event_type IN ({_NAMES}) AND value > 20 THEN 'auto' ELSE 'needs_human' END AS decision, count(*) AS n FROM c GROUP BY ALL""",
     ),
     guardrail_reasons=Query(
         guardrail_reasons,
-        f"""WITH {_CHANGES_SQL} SELECT event_type, CASE WHEN action_class IN ('HIGH_RISK_WRITE', 'IRREVERSIBLE_EXTERNAL_ACTION') AND event_id % 2 <> 0 THEN 'high_risk_unapproved'
+        f"""WITH {_CHANGES_SQL} SELECT event_type, CASE WHEN event_id % 29 > 25 THEN 'loop_cap' WHEN event_id % 31 = 0 THEN 'duplicate_action' WHEN event_id % 37 = 0 THEN 'lease_not_held'
+          WHEN action_class IN ('HIGH_RISK_WRITE', 'IRREVERSIBLE_EXTERNAL_ACTION') AND event_id % 2 <> 0 THEN 'high_risk_unapproved'
           WHEN action_class = 'IRREVERSIBLE_EXTERNAL_ACTION' THEN 'never_autonomous' WHEN action_class = 'LOW_RISK_WRITE' AND event_id % 2 <> 0 AND event_type NOT IN ({_NAMES}) THEN 'not_on_allow_list'
           WHEN value > 50 AND event_id % 2 <> 0 THEN 'mass_change' END AS reason, count(*) AS n FROM c GROUP BY ALL""",
     ),

@@ -1,27 +1,148 @@
-"""Event streams: each event once, counted by hour and type."""
+"""Streams: events counted once, the outbox relay with retries and dead letters, and tables that arriving rows keep up to date.
+
+Each sink lives in a folder of the caller's choice that also holds the stream's checkpoint, so a restart with the same
+folder goes on where it stopped. A batch writes only under its own number and reads only what earlier numbers wrote, so
+a batch that runs again after a failure replaces what it wrote and counts nothing twice.
+"""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Attempts after which an event is a dead letter, and events of one pass.
+MAX_ATTEMPTS, PASS = 5, 100
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def drain(stream: DataFrame, folder: str, batch: Callable[[DataFrame, int], None]) -> None:
+    """Run the stream over all that has landed since its checkpoint in ``folder``."""
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def _earlier(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """What batches before ``number`` wrote under ``path``."""
+    return spark.read.parquet(path).where(F.col("batch") < number) if exists(spark, path) else None
+
+
+def hourly_counts(stream: DataFrame, folder: str) -> DataFrame:
+    """hour, event_type, n of stream(event_id, ts, event_type), each event once.
+
+    Event ids are kept by day, and a batch is compared with the days that it holds only. Counts are kept as one summand a batch.
+    """
+    spark = stream.sparkSession
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows = rows.select("event_id", "ts", "event_type", F.to_date("ts").alias("day")).dropDuplicates(["event_id", "day"]).persist()
+        if (seen := _earlier(spark, f"{folder}/ids", number)) is not None:
+            days = [r.day for r in rows.select("day").distinct().collect()]  # the days of one batch
+            new = rows.join(seen.where(F.col("day").isin(days)).select("event_id", "day"), ["event_id", "day"], "left_anti")
+        else:
+            new = rows
+        counts = new.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+        new.select("event_id", "day").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/ids/batch={number}")
+        rows.unpersist()
+
+    drain(stream, folder, batch)
+    return spark.read.parquet(f"{folder}/counts").groupBy("hour", "event_type").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Consumers:
+    """Functions from event rows (with ``attempts`` so far) to event_id, ok and, if the event goes on as another one, emits (its
+    type). A name is registered once for a type."""
+
+    table: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
+
+    def register(self, name: str, event_type: str, run: Callable[[DataFrame], DataFrame]) -> None:
+        self.table.setdefault((name, event_type), run)
+
+
+EVENT = ["event_id", "event_type"]
+
+
+def relay_pass(events: DataFrame, outcomes: DataFrame | None, consumers: Consumers) -> DataFrame:
+    """event_id, event_type, consumer, outcome ("ok", "failed" or "dead_letter"), attempts, emits of one pass over events(event_id,
+    event_type, ..): each consumer of a type gets the events it has not finished by the earlier ``outcomes``."""
+    done = attempts = None
+    if outcomes is not None:
+        done = outcomes.where("outcome <> 'failed'").select("event_id", "consumer").distinct()
+        attempts = outcomes.where("outcome = 'failed'").groupBy("event_id", "consumer").agg(F.count("*").cast("int").alias("attempts"))
+    out = None
+    for (name, kind), run in consumers.table.items():
+        mine = events.where(F.col("event_type") == kind).withColumn("consumer", F.lit(name))
+        if done is not None:
+            mine = mine.join(done, ["event_id", "consumer"], "left_anti").join(attempts, ["event_id", "consumer"], "left")
+            mine = mine.withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+        else:
+            mine = mine.withColumn("attempts", F.lit(0))
+        got = run(mine)
+        got = got if "emits" in got.columns else got.withColumn("emits", F.lit(None).cast("string"))
+        rows = mine.select("event_id", "event_type", "consumer", "attempts").join(got.select("event_id", "ok", "emits"), "event_id")
+        tries = F.col("attempts") + (~F.col("ok")).cast("int")
+        outcome = F.when(F.col("ok"), "ok").when(tries >= MAX_ATTEMPTS, "dead_letter").otherwise("failed")
+        rows = rows.select(*EVENT, "consumer", outcome.alias("outcome"), tries.alias("attempts"), F.when(F.col("ok"), F.col("emits")).alias("emits"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def relay(stream: DataFrame, landed: DataFrame, folder: str, consumers: Consumers, passes: int = 12) -> DataFrame:
+    """All outcomes after draining ``stream`` (events as they land) and retrying until every event is finished.
+
+    ``landed`` are the same events as a table, for retries. An event that a consumer passes on is an event of its own, whose
+    number tells its origin, and runs in the same passes. Each (event, consumer) ends exactly once, as ok or dead letter.
+    """
+    spark, at = landed.sparkSession, f"{folder}/outcomes"
+
+    def batch(rows: DataFrame, number: int) -> None:
+        once = rows.dropDuplicates(["event_id"])
+        relay_pass(once, _earlier(spark, at, number), consumers).write.mode("overwrite").parquet(f"{at}/batch={number}")
+
+    drain(stream, folder, batch)
+    first = spark.read.parquet(at).agg(F.max("batch")).first()[0] + 1
+    for number in range(first, first + passes):
+        outcomes = spark.read.parquet(at).where(F.col("batch") < number)
+        ended = outcomes.where("outcome <> 'failed'").select("event_id", "consumer").distinct()
+        failed = outcomes.where("outcome = 'failed'").select(*EVENT, "consumer").distinct().join(ended, ["event_id", "consumer"], "left_anti")
+        again = landed.join(failed.select("event_id").distinct(), "event_id", "left_semi").select(EVENT)
+        emitted = outcomes.where("emits is not null").select(F.xxhash64("event_id", "emits").alias("event_id"), F.col("emits").alias("event_type")).distinct()
+        # an emitted event goes on until all its consumers have ended
+        todo = emitted.join(_consumers_of(spark, consumers), "event_type").join(ended, ["event_id", "consumer"], "left_anti").select(EVENT).distinct()
+        todo = again.unionByName(todo).distinct()
+        relay_pass(todo, outcomes, consumers).write.mode("overwrite").parquet(f"{at}/batch={number}")
+        if spark.read.parquet(f"{at}/batch={number}").isEmpty():
+            break
+    return spark.read.parquet(at)
+
+
+def _consumers_of(spark: SparkSession, consumers: Consumers) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(list(consumers.table), "consumer string, event_type string"))  # one row a consumer
+
 
-def hourly_counts(stream: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """Counts of stream(event_id, ts, event_type) by hour and type; an event that comes again within ``lateness`` counts once."""
-    once = stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
-    return once.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+def relay_counters(outcomes: DataFrame) -> DataFrame:
+    """Per pass: events scanned, and deliveries, failures and dead letters. A dead letter's last try is a failure too."""
+    count = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    return outcomes.groupBy("batch").agg(F.count_distinct("event_id").alias("scanned"), count("ok").alias("delivered"), count("failed", "dead_letter").alias("failed"), count("dead_letter").alias("dead_lettered"))
 
 
-def drain(counts: DataFrame, folder: str) -> DataFrame:
-    """Run the stream over all that has landed and return the last table; a restart goes on from the checkpoint in ``folder``."""
-    spark: SparkSession = counts.sparkSession
-    at = f"{folder.rstrip('/')}/searchops/stream-{uuid.uuid4().hex}"
+def folded_table(stream: DataFrame, folder: str, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
+    """The table that ``step(table so far, arriving rows)`` makes of all batches; every batch writes a version of its own."""
+    spark, last = stream.sparkSession, [-1]
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.selectExpr("w.start AS hour", "event_type", "n").write.mode("overwrite").parquet(f"{at}/table-{number}")
+    def batch(rows: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{folder}/version={number - 1}") if number and exists(spark, f"{folder}/version={number - 1}") else None
+        step(before, rows).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        last[0] = number
 
-    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{at}/table-{query.lastProgress['batchId']}")
+    drain(stream, folder, batch)
+    if last[0] < 0:  # nothing new: the last version stands
+        last[0] = spark.read.parquet(folder).agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{folder}/version={last[0]}")

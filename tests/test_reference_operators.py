@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from searchops.functions import text as tx
 from searchops.functions import urls as ux
-from searchops.operators import graph, keywords, metrics, opportunities, planning, technical, visibility
+from searchops.functions import html as hx
+from searchops.operators import content, fingerprints, graph, keywords, lifecycle, metrics, opportunities, payloads, planning, serp, sitefiles, technical, verification, visibility
 from searchops.plans import registry
 from searchops.sources.tables import keeper, scoped
 
@@ -24,6 +25,29 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def parsed_once(spark):
+    """The queries on pages share their facts and findings here, so that the pages are parsed once for all tests."""
+    from searchops.plans import technical as plan
+
+    own, made = {n: getattr(plan, n) for n in ("written_facts", "all_findings")}, {}
+
+    def shared(name):
+        def call(session, sf, *more, **named):
+            key = name, sf, more, tuple(named.items())
+            if key not in made:
+                made[key] = keeper(session)(own[name](session, sf, *more, **named))
+            return made[key]
+
+        return call
+
+    for name in own:
+        setattr(plan, name, shared(name))
+    yield
+    for name, f in own.items():
+        setattr(plan, name, f)
+
+
 def plain(v):
     if isinstance(v, float | decimal.Decimal):
         return round(float(v), 6)
@@ -42,7 +66,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_url_functions(spark):
-    rows = [("HTTPS://WWW.Example.com/A/b/?x=1#f", "HTTPS://www.example.com/A/b", "example.com", "/A/b/"), ("http://h", "http://h", "h", "/")]
+    rows = [("HTTPS://WWW.Example.com/A/b/?x=1#f", "HTTPS://www.example.com/A/b", "example.com", "/A/b/"), ("http://h", "http://h/", "h", "/")]
     for url, norm, domain, path in rows:
         got = spark.createDataFrame([(url,)], "u string").select(ux.normal(F.col("u")), ux.domain(F.col("u")), ux.path(F.col("u"))).first()
         assert tuple(got) == (norm, domain, path)
@@ -51,25 +75,170 @@ def test_url_functions(spark):
         assert spark.createDataFrame([(link, base)], "l string, b string").select(ux.resolve(F.col("l"), F.col("b"))).first()[0] == want
 
 
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, final_url string, html string, http_status int, redirect_chain array<string>")
+
+
 def test_technical_golden_pages(spark):
-    page = lambda k, url, body="word " * 200, status=200, robots="", title="Gemstone Rings Buying Guide", links="": (k, url, f"<title>{title}</title><h1>a</h1>{links}<p>{body}</p><script type='application/ld+json'></script>", status, robots, url)
+    s = "https://s.com"
+
+    def page(k, path, words=400, status=200, title="Gemstone Rings — Buying Guide", head="", links="", body="", h1="<h1>Rings</h1>", canonical=None, description="d", schema='{"@type":"Article"}', chain=()):
+        url = s + path
+        tags = f'<link rel="canonical" href="{url if canonical is None else canonical}">' if canonical != "" else ""
+        tags += f'<meta name="description" content="{description}">' if description else ""
+        tags += f'<script type="application/ld+json">{schema}</script>' if schema else ""
+        return (k, url, url, f"<html><head><title>{title}</title>{tags}{head}</head><body>{h1}{links}<p>{body or 'word ' * words}</p></body></html>", status, list(chain))
+
+    home = "".join(f'<a href="{p}">x</a>' for p in ("/a", "/dead", "/short", "/n", "/f?color=red", "/c", "/h", "/i", "/m", "/chain", "/nope"))
     rows = [
-        page(0, "https://s.com/", links='<a href="/a">x</a><a href="/dead">x</a><a href="/short">s</a><a href="/n">n</a><a href="/f?color=red">f</a>', title="Start of the golden site"),
-        page(1, "https://s.com/a"),
-        page(2, "https://s.com/dead", status=404),
-        page(3, "https://s.com/short", title="Tiny", body="page not found"),
-        page(4, "https://s.com/n", robots="noindex", title="Another unlike title"),
-        page(5, "https://s.com/Orphan"),
-        page(6, "https://s.com/f?color=red", title="Filtered list of rings"),
+        page(0, "/", title="Start of the golden site", links=home),
+        page(1, "/a"),
+        page(2, "/dead", status=404),
+        page(3, "/short", title="Tiny", body="page not found"),
+        page(4, "/n", title="Another unlike title", head='<META NAME="robots" content="NoIndex">'),
+        page(5, "/Orphan"),
+        page(6, "/f?color=red", title="Filtered list of rings"),
+        page(7, "/c", title="Canonical to a dead page", canonical="/dead"),
+        page(8, "/h", title="Hreflang to others only", head='<link rel="alternate" hreflang="de" href="/dead">', h1="<h1>a</h1><h1>b</h1>"),
+        page(9, "/i", title="Images without any text", head="<img src=a.png><img src=b.png alt='x'>", schema='[{"name":"n"}]', description="", canonical=""),
+        page(10, "/m", title="", h1="", schema="{broken"),
+        page(11, "/chain", title="Behind a redirect chain", chain=("301", "302")),
+        page(12, "/down", status=503),
+        (13, None, None, None, None, None),
     ]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, http_status int, robots_meta string, canonical string")
-    got = {(r.check_code, r.url or r.url_pattern) for r in technical.site_findings(technical.page_facts(pages)).collect()}
-    s = "https://s.com"
-    assert got == {
-        ("broken_internal_link", s + "/"), ("status_4xx", s + "/dead"), ("title_short", s + "/short"), ("thin_content", s + "/short"), ("soft_404", s + "/short"),
-        ("noindex_on_indexable", s + "/n"), ("orphan_page", s + "/Orphan"), ("url_uppercase", s + "/Orphan"), ("url_query_params", s + "/f?color=red"),
-        ("faceted_nav", s + "/f?color=red"), ("title_duplicate", "title:Gemstone Rings Buying Guide"),
-    }
+    facts = technical.page_facts(pages_of(spark, rows))
+    first = facts.where("page_id = 0").first()
+    assert (first.word_count, len(first.internal_links), first.canonical) == (412, 11, s + "/")
+    sitemap = spark.createDataFrame([("s.com", s + p) for p in ("/", "/a", "/dead", "/short", "/n", "/c", "/h", "/i", "/m", "/chain", "/f")], "site string, url string")
+    sites = spark.createDataFrame([("s.com", s, True, False, 11), ("t.com", "https://t.com", False, True, 0)], "site string, origin string, robots_reachable boolean, robots_has_sitemap boolean, n_sitemap_urls int")
+    prints = facts.select("page_id", fingerprints.simhash_blake2b(F.col("body_text")).alias("fingerprint"))
+    got = {(r.check_code, r.url or r.url_pattern) for r in technical.site_findings(facts.join(prints, "page_id"), sitemap, sites).collect()}
+    assert {g for g in got if g[0] != "near_duplicate"} == {
+        ("broken_internal_link", s + "/"), ("status_4xx", s + "/dead"), ("status_5xx", s + "/down"), ("title_short", s + "/short"), ("thin_content", s + "/short"), ("soft_404", s + "/short"),
+        ("noindex_on_indexable", s + "/n"), ("orphan_page", s + "/Orphan"), ("url_uppercase", s + "/Orphan"), ("crawled_not_in_sitemap", s + "/Orphan"), ("url_query_params", s + "/f?color=red"),
+        ("faceted_nav", s + "/f?*"), ("title_duplicate", "title:Gemstone Rings — Buying Guide"), ("canonical_not_self", s + "/c"), ("canonical_to_non200", s + "/c"),
+        ("hreflang_no_self", s + "/h"), ("hreflang_to_non200", s + "/h"), ("h1_multiple", s + "/h"), ("img_missing_alt", s + "/i"), ("schema_no_type", s + "/i"), ("meta_desc_missing", s + "/i"), ("canonical_missing", s + "/i"),
+        ("title_missing", s + "/m"), ("h1_missing", s + "/m"), ("schema_missing", s + "/m"), ("redirect_chain", s + "/chain"), ("in_sitemap_not_crawlable", s + "/dead"),
+        ("robots_no_sitemap", s + "/robots.txt"), ("robots_unreachable", "https://t.com/robots.txt"), ("sitemap_empty", "https://t.com/sitemap.xml"),
+    } - {("faceted_nav", s + "/f?*")} | {("faceted_nav", s + "/f?color=red")}
+    assert any(g[0] == "near_duplicate" for g in got)
+    assert technical.site_findings(technical.page_facts(pages_of(spark, []))).count() == 0
+
+
+def test_fingerprints(spark):
+    base = "the quick brown fox jumps over the lazy dog near the river bank " * 40
+    rows = [(0, base, base, False), (1, base, base + "one more sentence here.", False), (2, base, "something wholly unlike it in every single word " * 30, True), (3, None, base, True), (4, "", "", False)]
+    df = spark.createDataFrame(rows, "id long, old string, new string, want boolean")
+    for f in (lambda c: df.select("id", fingerprints.simhash_blake2b(F.col(c)).alias("fingerprint")), lambda c: fingerprints.simhashes(df.where(f"{c} is not null"), "id", c)):
+        got = f("old").withColumnRenamed("fingerprint", "a").join(f("new").withColumnRenamed("fingerprint", "b"), "id", "right").join(df, "id")
+        assert all(r.changed == r.want for r in got.select("want", fingerprints.changed(F.col("a"), F.col("b")).alias("changed")).collect())
+    assert fingerprints.simhashes(df.limit(0), "id", "old").count() == 0
+
+
+def test_robots_sitemaps_and_machine_readability(spark):
+    robots = "User-agent: *\nDisallow: /private\nAllow: /private/open\nCrawl-delay: 2.0\n\nUser-agent: GPTBot\nDisallow: /\nSitemap: https://x.com/s.xml"
+    files = spark.createDataFrame([("x.com", robots, "# Title\n- [a](b)"), ("y.com", None, None), ("z.com", "", "text only")], "site string, robots_txt string, llms_txt string")
+    allowed = lambda agent, path: {r.site: r.allowed for r in sitefiles.access(files, [agent], path).collect()}["x.com"]
+    assert [allowed("bot", p) for p in ("/", "/private/x", "/private/open/y")] == [True, False, True] and not allowed("GPTBot", "/open")
+    assert {r.crawl_delay for r in sitefiles.access(files, ["bot"]).collect()} == {2.0, None}
+    assert [r.sitemap for r in sitefiles.sitemaps_in_robots(files).collect()] == ["https://x.com/s.xml"]
+    head = '<?xml version="1.0"?>'
+    maps = [("a", f'{head}<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> /p </loc></url><url><loc>https://a/q</loc></url></urlset>'), ("b", f"{head}<sitemapindex><sitemap><loc>https://b/1.xml</loc></sitemap></sitemapindex>")]
+    df = spark.createDataFrame([(s, f"https://{s}", x) for s, x in maps], "site string, base_url string, sitemap_xml string")
+    assert {tuple(r) for r in sitefiles.sitemap_urls(df).collect()} == {("a", "page", "https://a/p"), ("a", "page", "https://a/q"), ("b", "sitemap", "https://b/1.xml")}
+    blocks = [("x.com", 1, ['{"@graph":[{"@type":"WebPage"},{"@type":["Thing","Organization"],"name":"Acme Inc","sameAs":["u"]}]}']), ("z.com", 1, ['{"@type":"Brand","name":"Other"}'])]
+    org = sitefiles.organizations(spark.createDataFrame(blocks, "site string, page_id long, schema_blocks array<string>"), F.lit("acme"))
+    got = {r.site: r.issues for r in sitefiles.machine_readability(files, org).collect()}
+    assert got == {"x.com": ["ai_crawler_blocked:GPTBot"], "y.com": ["no_organization_schema", "no_llms_txt"], "z.com": ["organization_name_mismatch", "no_same_as_links", "llms_txt_malformed"]}
+
+
+def test_experiments_follow_the_rules(spark):
+    start = datetime.date(2025, 3, 1)
+    days = [start + datetime.timedelta(i) for i in range(-28, 29)]
+    rise = {"flat": (100, 100), "up": (100, 130), "down": (100, 70), "up_little": (100, 102), "better_position": (8, 5), "zero": (0, 5)}
+    rows = [(s, d, float(b if d < start else a) + (i % 3) * 0.01) for s, (b, a) in rise.items() for i, d in enumerate(days)]
+    rows = [(s, d, 0.0 if s == "zero" and d < start else v) for s, d, v in rows]
+    cases = [("up", None, "users", 28, False, "success", 0.6), ("up", "flat", "users", 28, False, "success", 0.8), ("up", "up", "users", 28, False, "neutral", 0.6), ("down", "flat", "users", 28, False, "regression", 0.8),
+             ("up_little", None, "users", 28, False, "neutral", 0.6), ("up", None, "clicks", 20, False, "inconclusive", 0.3), ("up", None, "users", 28, True, "inconclusive", 0.3), ("better_position", None, "position", 28, False, "success", 0.6),
+             ("zero", None, "users", 28, False, "neutral", 0.6), ("absent", None, "users", 28, False, "neutral", 0.6)]
+    x = [(str(i), s, c, m, days[0], start - datetime.timedelta(1), start, n, t) for i, (s, c, m, n, t, *_) in enumerate(cases)]
+    x = spark.createDataFrame(x, "experiment_id string, series string, control_series string, metric string, baseline_start date, baseline_end date, start date, days int, tracking_changed boolean")
+    got = {r.experiment_id: r for r in metrics.experiment_verdicts(spark.createDataFrame(rows, "series string, day date, value double"), x).collect()}
+    for i, case in enumerate(cases):
+        r = got[str(i)]
+        assert (r.verdict, r.confidence, r.causal_language_allowed) == (*case[5:], case[5] in ("success", "regression") and case[1] is not None), case
+    later = x.withColumn("start", F.lit("2026-03-01").cast("date"))
+    assert {tuple(r.confounders) for r in metrics.experiment_verdicts(spark.createDataFrame(rows, "series string, day date, value double"), later.where("not tracking_changed")).collect()} >= {("March 2026 core update",)}
+
+
+def test_page_quality_and_drafts(spark):
+    row = lambda words, kind, heads, links, schema, meta: (words, kind, ["h"] * heads, [], [], ["l"] * links, ["s"] * schema, "m" * meta)
+    df = spark.createDataFrame([row(800, "article", 3, 5, 1, 100), row(100, "product", 1, 1, 0, 10), row(0, "other", 0, 0, 0, 0)], "word_count int, content_type string, h1 array<string>, h2 array<string>, h3 array<string>, internal_links array<string>, schema_blocks array<string>, meta_description string")
+    assert [r.s for r in df.select(content.page_score().alias("s")).collect()] == [100, 36, 0]
+    good = "# Gemstone rings\n" + "gemstone rings are good. " * 200 + "\n## Sizes\n## Care\n## Price\n[a](/b) [c](https://d) [e](/f)"
+    df = spark.createDataFrame([(good, "gemstone rings", 700, ["Sizes", "Care"]), ("short", "gemstone", 700, ["Sizes"]), (None, None, 700, None)], "text string, keyword string, target_words int, expected_headings array<string>")
+    got = content.scored_drafts(df).collect()
+    assert [(r.score, r.verdict) for r in got] == [(85, "PASS"), (5, "FAIL"), (5, "FAIL")] and (got[0].structure, got[0].linking, got[0].coverage) == (9, 9, 30)
+
+
+def test_payload_shapes(spark):
+    p = '{"organic_results":[{"link":"https://www.gia.edu/a","title":"T","snippet":"S"},{"position":7,"link":"u"}],"people_also_ask":[{"question":"q?"}],"local_results":{"a":1},"ai_overview":{"text_blocks":[{"type":"paragraph","snippet":"one"},{"type":"list","list":[{"title":"a","snippet":"b"},{"snippet":"c"}]}],"references":[{"title":"r","link":"https://x"}]},"related_searches":[{"query":"more?"}]}'
+    df = spark.createDataFrame([(1, p), (2, "{}"), (3, "broken"), (4, None)], "run_id long, payload string")
+    assert [tuple(r) for r in payloads.search_results(df).collect()] == [(1, 1, "https://www.gia.edu/a", "T", "S"), (1, 7, "u", "", "")]
+    f = {r.type: r for r in payloads.search_features(df).collect()}
+    assert list(f) == ["people_also_ask", "local_pack", "ai_overview"] and f["ai_overview"].text == "one a b c" and f["ai_overview"].cited_urls == ["https://x"]
+    assert [r.question for r in serp.questions(payloads.search_features(df), payloads.related_searches(df)).orderBy("rank").collect()] == ["q?", "more?"]
+    t = '{"tasks":[{"result":[{"items":[{"type":"organic","rank_absolute":3,"url":"u","title":"t","description":"d"},{"type":"people_also_ask","items":[{"title":"q"}]}]}]}]}'
+    df = spark.createDataFrame([(1, t), (2, None)], "run_id long, payload string")
+    assert [tuple(r) for r in payloads.task_results(df).collect()] == [(1, 3, "u", "t", "d")] and [tuple(r) for r in payloads.task_questions(df).collect()] == [(1, "q")]
+
+
+def test_verifiers(spark):
+    facts = technical.page_facts(pages_of(spark, [(1, "https://s/a", "https://s/a", '<title>T</title><meta name="robots" content="noindex"><link rel="canonical" href="/a/"><a href="/b">b</a><script type="application/ld+json">{"@type":"Product"}</script>', 200, ["301"])]))
+    cases = [("canonical_change", {}, True), ("metadata_change", {"title": " T "}, True), ("metadata_change", {"title": "T", "h1": "x"}, False), ("internal_link_added", {"target": "https://s/b/"}, True), ("internal_link_added", {"target": "https://s/c"}, False),
+             ("schema_change", {"type": "product"}, True), ("schema_change", {"type": "FAQ"}, False), ("redirect_added", {"to": "https://s/a/"}, True), ("noindex_removed", {}, False), ("unknown", {}, False)]
+    df = spark.createDataFrame([(i, "https://s/a", v, e) for i, (v, e, _) in enumerate(cases)] + [(99, "https://gone", "noindex_removed", {})], "change_id int, url string, verifier string, expect map<string,string>")
+    got = {r.change_id: r.passed for r in verification.verify(df, facts).collect()}
+    assert got == {i: want for i, (*_, want) in enumerate(cases)} | {99: False}
+
+
+def test_upserts_and_plans(spark):
+    schema = "site string, opportunity_key string, score double, priority string, type string, url string, ordinal int"
+    rows = spark.createDataFrame([("s", "k", 10.0, "P3", "add_schema", "u", 1), ("s", "k", 70.0, "P0", "add_schema", "u", 2)], schema)
+    none = spark.createDataFrame([], "site string, opportunity_key string, status string, score double, priority string, first_seen date, last_seen date, seen_count long")
+    run = lambda old, day: opportunities.upsert(old, opportunities.folded(rows).withColumn("seen_on", F.lit(day).cast("date")))
+    one = run(none, "2026-01-01")
+    two = run(one.drop("state").withColumn("status", F.lit("failed")), "2026-01-08").first()
+    assert (two.status, two.score, two.seen_count, two.state, str(two.first_seen)) == ("detected", 70.0, 4, "updated", "2026-01-01")
+    df = spark.createDataFrame([(1, "add_schema", "u", None), (2, "improve_thin_content", "u", None), (3, "new_kind", None, None), (4, "consolidate_cannibalization", None, "keyword:k")], "id long, type string, url string, url_pattern string")
+    got = {r.id: r for r in planning.draft_plans(df, F.array(F.lit("add_schema"), F.lit("improve_thin_content"))).collect()}
+    assert [got[i].permission for i in (1, 2, 3, 4)] == ["auto", "approval_required", None, "approval_required"] and got[3].unresolved and got[3].requires_approval
+    assert got[1].objective == "Add valid JSON-LD schema to u" and "keyword:k" in got[4].objective and len(got[1].idempotency_key) == 40
+    rules = lifecycle.validity(*(F.col(c) for c in "abcde"))
+    df = spark.createDataFrame([("x.com", "k", "2026-01-01", "2026-02-01", "5"), ("x", " ", "2026-02-30", "2026-02-01", "500"), (None, None, None, None, None)], "a string, b string, c string, d string, e string")
+    good, bad = lifecycle.split_valid(df, rules)
+    assert good.count() == 1 and {r.reasons for r in bad.collect()} == {"domain,keyword,date_range,score"}
+
+
+def test_streams_resume_and_count_once(spark, tmp_path):
+    from searchops.streaming import events
+
+    def land(name, rows):
+        spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    read = lambda: spark.readStream.schema("event_id long, ts timestamp, event_type string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    at = lambda h: datetime.datetime(2026, 1, 1, h)
+    land("a", [(1, at(1), "view"), (2, at(1), "view"), (1, at(1), "view")])
+    once = lambda: {(r.hour.hour, r.n) for r in events.hourly_counts(read(), f"file://{tmp_path}/hours").collect()}
+    assert once() == {(1, 2)} == once()
+    land("b", [(2, at(1), "view"), (3, at(2), "view")])
+    assert once() == {(1, 2), (2, 1)}
+    c = events.Consumers()
+    c.register("bad", "view", lambda rows: rows.select("event_id", (F.col("event_id") != 2).alias("ok")))
+    landed = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")).select("event_id", "event_type").distinct()
+    for _ in range(2):
+        got = events.relay(read().select("event_id", "event_type"), landed, f"file://{tmp_path}/relay", c)
+        assert {(r.event_id, r.outcome, r.n) for r in got.groupBy("event_id", "outcome").agg(F.count("*").alias("n")).collect()} == {(1, "ok", 1), (3, "ok", 1), (2, "failed", 4), (2, "dead_letter", 1)}
 
 
 def test_private_keys_terms_and_links_of_all_forms(spark):
@@ -85,7 +254,7 @@ def test_private_keys_terms_and_links_of_all_forms(spark):
     ):
         assert one(link, lambda c: ux.resolve(c, F.lit("https://h/a/b/c"))) == want, link
     html = '<TITLE lang="en">T</TITLE><h1 class="x">H</h1><a class="k" href="/u">u</a><a href="/v">v</a><abbr href="/w">'
-    assert one(html, tx.title) == "T" and one(html, lambda c: tx.headings(c, 1)) == ["H"] and one(html, tx.links) == ["/u", "/v"]
+    assert one(html, hx.title) == "T" and one(html, lambda c: hx.texts(c, "h1")) == ["H"] and one(html, lambda c: F.transform(hx.tags(c, "a"), lambda t: hx.attribute(t, "href"))) == ["/u", "/v"]
 
 
 def test_keyword_rules(spark):
