@@ -23,9 +23,19 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name like ``name`` that ``docs`` has not."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told, as they have no letter, go."""
-    return crf_language.with_language(docs).where("lang_shares is not null").select(docs.columns)
+    suffix = "_"
+    while any(c.startswith("lang_") and c.endswith(suffix) for c in docs.columns):
+        suffix += "_"
+    return crf_language.with_language(docs, suffix=suffix).where(f"lang_shares{suffix} is not null").select(docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +46,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     repeated = by_id.where("kept and not all_kept and doc_id is not null").select("doc_id")
     if repeated.isEmpty():
         return out
-    one = out.join(repeated, "doc_id", "left_semi").withColumn("_digest", F.sha2(exact_dedup.normalised(F.col("text")), 256))
-    return _without(out, repeated).unionByName(one.dropDuplicates(["doc_id", "_digest"]).select(docs.columns))
+    digest = _free("digest", docs)
+    one = out.join(repeated, "doc_id", "left_semi").withColumn(digest, F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    return _without(out, repeated).unionByName(one.dropDuplicates(["doc_id", digest]).select(docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
