@@ -4,12 +4,14 @@ A word is the bag of its character 3- to 5-grams (with its ends marked) and itse
 embedding rows, so a misspelling that was never seen shares rows with known words. A passage of ``WINDOW`` words
 is the average of its rows, and a softmax over (clean, toxic) reads it; a text scores as its most toxic passage,
 so a long text does not dilute a few lines. Embeddings and softmax are trained together on the driver on at
-most ``TRAIN_ROWS`` labelled documents (a documented bound); scoring is a map over all whole texts. As
+most ``TRAIN_ROWS`` labelled documents of ``TRAIN_BYTES`` in all (a documented bound), as many of each label as far as there are;
+the bias is then set back to the shares of the labels among all labelled documents. Scoring is a map over all whole texts. As
 the softmax is linear, a row's share in the log-odds is one number, and that table is all a task gets.
 
 Defined results: a null, empty or wordless text gets the score of the empty bag, which is the bias alone; repeated
 rows score alike; a table without rows gives none; without labelled rows of both kinds the score is the prior 0.5;
-null labels and labels without a document are ignored; other columns are not read.
+null labels and labels without a document are ignored; of several labels of an id the largest stands, of several texts the
+smallest; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .samples import first_of_each, texts_of
+from .scratch import Tables
 from .textkernel import ALNUM, BYTE_CODES, LOWER, mix, slices, span_hashes, spans
 
 BUCKETS, DIM, WINDOW = 1 << 18, 8, 64
 GRAMS = (3, 4, 5)
-TRAIN_ROWS, EPOCHS, RATE = 3000, 6, 0.3
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, RATE = 3000, 8 << 20, 6, 0.3
 #: Rows of the embedding table that fewer training documents share carry nothing that generalises.
 MIN_DOCUMENTS = 4
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -37,11 +41,10 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts == part
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, rows: int) -> DataFrame:
-    """(text, y) of the ``rows`` labelled documents outside the held-out part that come first by a hash of the id."""
-    ids = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    ids = ids.where(~held_out(F.col("doc_id"), parts, part)).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+def labels_of(labels: DataFrame, label: str, parts: int, part: int) -> DataFrame:
+    """doc_id, y of the labels outside the held-out part; of labels of one id the largest stands."""
+    rows = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    return rows.where(~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
 def padded(texts: pa.Array) -> pa.Array:
@@ -157,12 +160,21 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 0) -> tupl
     return emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    sample = labelled(docs, labels, "toxic", 4, 2, train_rows).mapInArrow(_bags, "doc_id long, y int, buckets array<int>, sizes array<int>")
-    table = sample.toArrow().sort_by("doc_id")  # the bounded sample, as gram numbers
+    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    known = labels_of(labels, "toxic", 4, 2)
+    share = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows at most
+    tables = Tables(docs.sparkSession, "toxicity")
+    sample = texts_of(docs, first_of_each(known, "y", train_rows), train_bytes, tables)
+    table = sample.select("doc_id", "text", "y").mapInArrow(_bags, "doc_id long, y int, buckets array<int>, sizes array<int>")
+    table = table.toArrow().sort_by("doc_id")  # the bounded sample, as gram numbers
     bags = [(y.as_py(), b.values.to_numpy(), w.values.to_numpy()) for y, b, w in zip(table["y"], table["buckets"], table["sizes"], strict=True)]
-    model = docs.sparkSession.sparkContext.broadcast(train(bags))
+    weights, bias = train(bags)
+    n = np.bincount([y for y, *_ in bags], minlength=2)
+    if n.all():  # the sample has both kinds alike; their shares in all labels are another prior
+        bias += float(np.log(share[1] / share[0]) - np.log(n[1] / n[0]))
+    model = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share, bias = model.value
@@ -181,5 +193,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
             flat = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(flat)], ["doc_id", "score"])
 
-    scored = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(score, "doc_id long, score double")
+    scored = docs.mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id"), 4, 2), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
