@@ -6,11 +6,13 @@ sequences joined from pieces of texts of different languages, so that switches a
 forward-backward: the posterior of each word. A text's language is the one with the largest mean posterior,
 which is its score; the means of the others tell how far it is code-switched.
 
-Training runs on the driver on at most ``TRAIN_ROWS`` documents with a language (a documented bound);
-labelling is a map over all whole texts.
+Training runs on the driver on ``PIECES`` pieces of ``PIECE`` words of each of at most ``TRAIN_ROWS`` documents with a language
+and ``TRAIN_BYTES`` in all (documented bounds), of all languages alike many as far as there are, so a rare one is learned too;
+tasks cut the pieces. Labelling is a map over all whole texts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; words are runs of letters, so a
-text whose letters the word rule misses gets the even posterior; ties go to the first language by name; repeated rows
+text whose letters the word rule misses gets the even posterior; ties go to the first language by name; of several texts or
+languages of one id the smallest is learned from; repeated rows
 are labelled alike; without labelled rows every text is ``und``; a table without rows gives none.
 """
 
@@ -26,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .samples import first_of_each, texts_of
+from .scratch import Tables
 from .subword_toxicity import held_out, padded
 from .textkernel import LETTER, LOWER, SpanHasher, slices, spans
 
 BUCKETS = 1 << 17
-TRAIN_ROWS, PIECE, EPOCHS, RATE, BATCH = 1500, 24, 3, 0.25, 64
+TRAIN_ROWS, TRAIN_BYTES, PIECES, PIECE, EPOCHS, RATE, BATCH = 3000, 8 << 20, 3, 24, 3, 0.25, 64
 SLICE = 4 << 20
 UNKNOWN = "und"
 
@@ -125,31 +129,38 @@ def posteriors(emissions: np.ndarray, size: np.ndarray, transitions: np.ndarray,
     return alpha / alpha.sum(1, keepdims=True)
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most PIECE words of the sampled texts, PIECES of each at most, at places drawn by the document's id."""
+    for batch in batches:
+        ids, langs, pieces = [], [], []
+        for a, _, raw, off in slices(padded(batch["text"]), SLICE):
+            starts, ends, at = spans(raw, off, LETTER)
+            for i in range(len(at) - 1):
+                n, doc = int(at[i + 1] - at[i]), batch["doc_id"][a + i].as_py()
+                rng = np.random.default_rng(doc & (2**63 - 1))
+                for k in sorted({int(x) for x in rng.integers(0, max(1, n - PIECE), PIECES)}) if n else ():
+                    first, last = at[i] + k, min(at[i] + k + PIECE, at[i + 1]) - 1
+                    ids.append(doc)
+                    langs.append(batch["lang"][a + i].as_py())
+                    pieces.append(raw[starts[first] : ends[last]].tobytes().decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(pieces, pa.string())], ["doc_id", "lang", "text"])
+
+
 def train(texts: list[str], langs: list[str], seed: int = 0) -> Model:
-    """Stochastic gradient ascent (AdaGrad) on the log-likelihood of joined pieces."""
+    """Stochastic gradient ascent (AdaGrad) on the log-likelihood of short pieces, one to three of them joined to a sequence."""
     languages = sorted(set(langs))
     k = len(languages)
     rng = np.random.default_rng(seed)
     pieces: list[tuple[int, np.ndarray]] = []  # language, (words, features) bucket table
-    for _, _, raw, off in (x for x in slices(padded(pa.array(texts, pa.large_string())), SLICE)):
+    for a, _, raw, off in slices(padded(pa.array(texts, pa.large_string())), SLICE):
         buf = LOWER[raw]
         starts, ends, at = spans(buf, off, LETTER)
-        hasher = SpanHasher(buf)
-        feats = list(word_features(buf, starts, ends, hasher))
-        word, bucket = (np.concatenate([f[i] for f in feats]) for i in (0, 1))
+        feats = list(word_features(buf, starts, ends, SpanHasher(buf)))
+        word, bucket = (np.concatenate([f[i] for f in feats]).astype(np.int32) for i in (0, 1))
         order = np.argsort(word, kind="stable")
         word, bucket = word[order], bucket[order]
-        row0 = len(pieces)
-        for i in range(len(at) - 1):
-            n = int(at[i + 1] - at[i])
-            for a in sorted({int(x) for x in rng.integers(0, max(1, n - PIECE), 3)}) if n else ():
-                lo, hi = at[i] + a, min(at[i] + a + PIECE, at[i + 1])
-                x, y = np.searchsorted(word, [lo, hi])
-                pieces.append((len(pieces) - row0, np.stack([word[x:y] - lo, bucket[x:y]]), i))
-        pieces[row0:] = [(i, f) for _, f, i in pieces[row0:]]
-        done = len(off) - 1
-        pieces[row0:] = [(languages.index(langs[i]), f) for i, f in pieces[row0:]]
-        langs = langs[done:]
+        edge = np.searchsorted(word, at)
+        pieces += [(languages.index(langs[a + i]), np.stack([word[x:y] - at[i], bucket[x:y]])) for i, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x]
     weights, trans, start = np.zeros((BUCKETS, k), np.float32), np.zeros((k, k)), np.zeros(k)
     g_w, g_t, g_s = np.full((BUCKETS, k), 1e-3, np.float32), np.full((k, k), 1e-3), np.full(k, 1e-3)
     for _ in range(EPOCHS):
@@ -215,17 +226,18 @@ def label_words(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndar
 
 
 def _model(docs: DataFrame, rows: int) -> Model | None:
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", "lang").where("doc_id is not null and text is not null")
-    ids = keyed.where("lang is not null").where(~held_out(F.col("doc_id"), 4, 2))
-    ids = ids.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows)
-    sample = keyed.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(sample["text"].to_pylist(), sample["lang"].to_pylist()) if sample.num_rows else None
+    """The model of a bounded sample, of all languages alike many documents as far as there are; tasks cut the pieces."""
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).where("doc_id is not null and text is not null and lang is not null")
+    known = keyed.where(~held_out(F.col("doc_id"), 4, 2)).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    sample = texts_of(keyed, first_of_each(known, "lang", rows), TRAIN_BYTES, Tables(docs.sparkSession, "language"))
+    cut = sample.select("doc_id", "lang", "text").mapInArrow(_cut, "doc_id long, lang string, text string").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return train(cut["text"].to_pylist(), cut["lang"].to_pylist()) if cut.num_rows else None
 
 
-def with_language(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+def with_language(docs: DataFrame, rows: int = TRAIN_ROWS, suffix: str = "") -> DataFrame:
     """The rows of ``docs`` with lang_pred, lang_score and lang_shares (mean posterior of each language; null
-    for a text without a letter); input columns of these names are replaced."""
-    names = ["lang_pred", "lang_score", "lang_shares"]
+    for a text without a letter), the names with ``suffix``; input columns of these names are replaced."""
+    names = [name + suffix for name in ("lang_pred", "lang_score", "lang_shares")]
     shared = docs.sparkSession.sparkContext.broadcast(_model(docs, rows))
     docs = docs.drop(*names)
 
@@ -247,8 +259,8 @@ def with_language(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
             cols = [pa.array(pred, pa.string()), pa.array(score), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *names])
 
-    kinds = T._parse_datatype_string("lang_pred string, lang_score double, lang_shares map<string,double>")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *kinds.fields]))
+    kinds = (T.StringType(), T.DoubleType(), T.MapType(T.StringType(), T.DoubleType()))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)]))
 
 
 def languages(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
