@@ -97,7 +97,8 @@ def test_near_dedup_equals_brute_force(spark, odd, monkeypatch):
             w[rnd.randrange(len(w))] = f"e{rnd.randrange(40)}"
         rows.append((i, " ".join(w)))
     rows += [(r.doc_id + 1000, r.text) for r in docs_of(spark).collect()]
-    for percent in (80, 85):
+    for percent, earlier in ((80, 64), (85, 2)):
+        monkeypatch.setattr(near_dedup, "EARLIER", earlier)
         got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, percent)
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
@@ -306,26 +307,58 @@ def test_secret_scan_opens_every_layer():
     assert stream.kinds == {0, 2} and stream.refused == 0
 
 
+def template_windows(words, template, size):
+    """The most distinct words of the template in any window of so many words, by sliding."""
+    t, inside, most = set(template), collections.Counter(), 0
+    for i, w in enumerate(words):
+        if w in t:
+            inside[w] += 1
+        if i >= size and words[i - size] in t:
+            inside[words[i - size]] -= 1
+            inside += collections.Counter()
+        most = max(most, len(inside))
+    return most
+
+
 def test_license_scan(spark, odd):
     phrases = {tuple(p.split()): label for p, label in license_scan.PHRASES.items()}
-    texts = ["MIT License. mit license", "the GNU\nGeneral public-license v3", "cc by cc BY", "Kcc by K", "licensed under the apache software license version 2 0", None, "", "İ mit license"]
+    texts = ["MIT License. mit license", "the GNU\nGeneral public-license v3", "cc by cc BY", "Kcc by K", "licensed under the apache software license version 2 0", None, "", "İ mit license"]
+    rnd, every = random.Random(3), license_scan._texts()
+    for _, t in every:  # grants amid other words, whole, with words lost, and torn apart
+        w = list(t)
+        for _ in range(rnd.randrange(0, 3)):
+            w.pop(rnd.randrange(len(w)))
+        texts += [" ".join(["x"] * rnd.randrange(80) + w + ["y"] * 9), " ".join(v for x in t for v in (x, *["z"] * rnd.randrange(4)))]
     docs = docs_of(spark, SF1).select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     got = {r.doc_id: r for r in license_scan.license_places(docs).collect()}
+    n_found = 0
     for r in docs.collect():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r.text or "").translate(UP))
         at = [(i, label) for p, label in phrases.items() for i in range(len(w)) if tuple(w[i : i + len(p)]) == p]
         g = got[r.doc_id]
         want = (len(w), len(at), min((a for a, _ in at), default=None), max((a for a, _ in at), default=None), ",".join(sorted({x for _, x in at})))
         assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) == want
-        found = set()
-        for _, label, text in [(0, k, t) for k, many in license_scan.TEMPLATES.items() for t in many]:
-            t, b = set(text.split()), license_scan.BLOCK
-            if any(len(t & set(w[k * b : k * b + 2 * b])) >= license_scan.THRESHOLD * len(t) for k in range(len(w) // b + 1)):
-                found.add(label)
-        assert set(g.labels.split(",")) - {""} == found | {x for _, x in at}
+        labels = set(g.labels.split(",")) - {""} - {x for _, x in at}
+        must, may = set(), set()
+        for label, t in every:
+            need, step = license_scan.THRESHOLD * len(set(t)), license_scan.block_step(len(t))
+            must |= {label} if template_windows(w, t, step) >= need else set()
+            may |= {label} if template_windows(w, t, 2 * step) >= need else set()
+        assert must - {x for _, x in at} <= labels <= may
+        n_found += len(must)
+    assert n_found >= len(every)
     assert license_scan.license_places(odd).count() == odd.count() and license_scan.license_places(odd.limit(0)).count() == 0
 
 
+def test_license_filters_leave_few_pairs(spark):
+    docs = docs_of(spark, SF1)
+    frequency = license_scan.frequencies(license_scan._spaced(docs))
+    templates = license_scan.ranked_templates(frequency, license_scan.THRESHOLD)
+    rows = license_scan._places(docs, templates)
+    blocks = license_scan._blocks(rows, templates, frequency)
+    assert license_scan._candidates(blocks, templates).count() < rows.select(F.sum(F.size("hits"))).first()[0]
+
+
 def test_language_id(spark, odd):
     truth = {r.doc_id: r.lang for r in docs_of(spark, SF1).collect()}
     rows = queries.op6_language_id(spark, SF1).collect()
