@@ -145,3 +145,12 @@ def frontier(sitemap: DataFrame, most: int) -> DataFrame:
     every = sitemap.select("site", "url", F.col("ordinal").cast("long").alias("ordinal")).unionByName(origin)
     once = every.groupBy("site", ux.normal(F.col("url")).alias("norm")).agg(F.min("ordinal").alias("ordinal"))
     return first_per_group(once.withColumn("by", F.struct("ordinal", "norm")), "site", "by", most, "place").select("site", "norm", "place")
+
+
+def upsert_items(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``new`` in place of those of ``old`` with the same keys, with ``state``; a null in ``new`` keeps what was there."""
+    others = [c for c in new.columns if c not in keys]
+    n = new.select(*keys, *(F.col(c).alias(f"new_{c}") for c in others), F.lit(True).alias("is_new"))
+    both = old.withColumn("is_old", F.lit(True)).join(n, keys, "full_outer")
+    state = F.when(F.col("is_old").isNull(), "new").when(F.col("is_new").isNull(), "kept").otherwise("updated")
+    return both.select(*keys, *(F.coalesce(f"new_{c}", c).alias(c) for c in others), state.alias("state"))

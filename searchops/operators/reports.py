@@ -61,3 +61,23 @@ def executive_sections(metrics: DataFrame, opportunities: DataFrame, changes: Da
     for df, name in ((best, "opportunities"), (recent, "changes"), (seen, "ai_visibility")):
         out = out.unionByName(one(df, name))
     return out
+
+
+def open_issues(issues: DataFrame, severity: str | None = None, project: str | None = None) -> DataFrame:
+    """Issues that are open or have come back, of one severity and project if these are named."""
+    rows = issues.where(F.col("status").isin("open", "regressed"))
+    rows = rows if severity is None else rows.where(F.col("severity") == severity)
+    return rows if project is None else rows.where(F.col("project_id") == project)
+
+
+def loop_summary(plans: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """Per site the plans that wait for approval and the priority opportunities that are open."""
+    waiting = plans.groupBy("site").agg(F.count_if("requires_approval").alias("awaiting_approval"))
+    n = F.count_if(F.col("priority").isin("P0", "P1") & F.col("status").isin("detected", "planned", "awaiting_approval"))
+    return waiting.join(opportunities.groupBy("site").agg(n.alias("priority_open")), "site", "full_outer").na.fill(0)
+
+
+def ranked(rows: DataFrame, key: str, order: list, n: int | None = None) -> DataFrame:
+    """Rows of each key in order, with their ``place``; the first ``n`` if that is given."""
+    out = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return out if n is None else out.where(F.col("place") <= n)

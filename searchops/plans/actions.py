@@ -59,9 +59,13 @@ def known(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return old.unionByName(gone)
 
 
-def upserted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def of_this_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows, lost = detected(spark, sf)
-    one = keeper(spark)(opportunities.folded(rows).withColumn("seen_on", F.expr(DAY)))
+    return keeper(spark)(opportunities.folded(rows).withColumn("seen_on", F.expr(DAY))), lost
+
+
+def upserted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    one, lost = of_this_run(spark, sf)
     return opportunities.upsert(known(spark, one), one), lost
 
 
@@ -84,11 +88,15 @@ def opportunity_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.new_links(links, links.where("cast(substring(evidence_id, 2, 6) AS int) % 3 = 0"))
 
 
-def plan_drafts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = opportunities.folded(detected(spark, sf)[0]).withColumn("id", F.concat_ws("|", "site", "opportunity_key"))
+def drafts(folded: DataFrame) -> DataFrame:
+    rows = folded.withColumn("id", F.concat_ws("|", "site", "opportunity_key"))
     return planning.draft_plans(rows, F.when(F.length("site") % 2 == 0, F.array(F.lit("fix_canonical"), F.lit("improve_thin_content"))).otherwise(F.array(F.lit("add_schema"))))
 
 
+def plan_drafts(spark: SparkSession, sf: str) -> DataFrame:
+    return drafts(opportunities.folded(detected(spark, sf)[0]))
+
+
 def awaiting_plans(spark: SparkSession, sf: str) -> DataFrame:
     return opportunities.awaiting_plans(upserted(spark, sf)[0]).groupBy("site", "priority").agg(F.count("*").alias("n"))
 

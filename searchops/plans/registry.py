@@ -20,6 +20,6 @@ FLAGSHIP = "site_findings"
 
 def load() -> dict[str, Query]:
     """Import the modules that register queries."""
-    from . import actions, analytics, lifecycle, market, planning, sitefiles, streams, technical  # noqa: F401
+    from . import actions, analytics, lifecycle, listings, market, planning, sitefiles, streams, technical  # noqa: F401
 
     return QUERIES

@@ -37,3 +37,8 @@ def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
         return spark.read.schema(df.schema).parquet(path)
 
     return keep
+
+
+def append_by_day(rows: DataFrame, path: str, at: str) -> None:
+    """Append rows to a ledger that is partitioned by the day of ``at``."""
+    rows.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
