@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .samples import first_of_each, texts_of
 from .scratch import Tables
-from .textkernel import ALNUM, BYTE_CODES, LOWER, mix, slices, span_hashes, spans
+from .textkernel import ALNUM, BYTE_CODES, LOWER, frugal, mix, slices, span_hashes, spans
 
 BUCKETS, DIM, WINDOW = 1 << 18, 8, 64
 GRAMS = (3, 4, 5)
@@ -60,8 +60,9 @@ def grams(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
     n = len(buf)
     word = ALNUM[buf]
     number = np.cumsum(np.bincount(starts, minlength=n)[:n]).astype(np.int32) - 1 if n else np.zeros(0, np.int32)
-    code = BYTE_CODES[np.where(word, buf, 32)]
-    inner = word.copy()  # bytes i+1 .. i+g-2 are word bytes
+    n, number = n + 1, np.append(np.int32(0), number)  # a boundary in front of the first text as of all others
+    code = BYTE_CODES[np.append(np.uint8(32), np.where(word, buf, np.uint8(32)))]
+    inner = np.append(False, word)  # bytes i+1 .. i+g-2 are word bytes
     for g in GRAMS:
         m = n - g + 1
         if m <= 0:
@@ -167,7 +168,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
     share = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows at most
     tables = Tables(docs.sparkSession, "toxicity")
     sample = texts_of(docs, first_of_each(known, "y", train_rows), train_bytes, tables)
-    table = sample.select("doc_id", "text", "y").mapInArrow(_bags, "doc_id long, y int, buckets array<int>, sizes array<int>")
+    table = sample.select("doc_id", "text", "y").mapInArrow(frugal(_bags), "doc_id long, y int, buckets array<int>, sizes array<int>")
     table = table.toArrow().sort_by("doc_id")  # the bounded sample, as gram numbers
     bags = [(y.as_py(), b.values.to_numpy(), w.values.to_numpy()) for y, b, w in zip(table["y"], table["buckets"], table["sizes"], strict=True)]
     weights, bias = train(bags)
@@ -193,5 +194,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
             flat = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(flat)], ["doc_id", "score"])
 
-    scored = docs.mapInArrow(score, "doc_id long, score double")
+    scored = docs.mapInArrow(frugal(score), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id"), 4, 2), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
