@@ -31,11 +31,11 @@ from pyspark.sql import types as T
 from .samples import first_of_each, texts_of
 from .scratch import Tables
 from .subword_toxicity import held_out, padded
-from .textkernel import LETTER, LOWER, SpanHasher, slices, spans
+from .textkernel import LETTER, LOWER, SpanHasher, frugal, slices, spans
 
 BUCKETS = 1 << 17
 TRAIN_ROWS, TRAIN_BYTES, PIECES, PIECE, EPOCHS, RATE, BATCH = 3000, 8 << 20, 3, 24, 3, 0.25, 64
-SLICE = 4 << 20
+SLICE = 1 << 20
 UNKNOWN = "und"
 
 
@@ -230,7 +230,7 @@ def _model(docs: DataFrame, rows: int) -> Model | None:
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).where("doc_id is not null and text is not null and lang is not null")
     known = keyed.where(~held_out(F.col("doc_id"), 4, 2)).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     sample = texts_of(keyed, first_of_each(known, "lang", rows), TRAIN_BYTES, Tables(docs.sparkSession, "language"))
-    cut = sample.select("doc_id", "lang", "text").mapInArrow(_cut, "doc_id long, lang string, text string").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    cut = sample.select("doc_id", "lang", "text").mapInArrow(frugal(_cut), "doc_id long, lang string, text string").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return train(cut["text"].to_pylist(), cut["lang"].to_pylist()) if cut.num_rows else None
 
 
@@ -260,7 +260,7 @@ def with_language(docs: DataFrame, rows: int = TRAIN_ROWS, suffix: str = "") ->
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *names])
 
     kinds = (T.StringType(), T.DoubleType(), T.MapType(T.StringType(), T.DoubleType()))
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)]))
 
 
 def languages(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import LOWER, NOT_SPACE, mix, slices, span_hashes, spans
+from .textkernel import LOWER, NOT_SPACE, frugal, mix, slices, span_hashes, spans
 
 MAX_EDIT = 0.2
 RECALL, AGREE, SAMPLES, WALKS = 0.95, 0.7, 4, 4
@@ -223,6 +223,6 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "edits", "n_item_words", "first_word"])
 
-        found = docs.mapInArrow(find, "doc_id long, item_id long, edits int, n_item_words int, first_word long")
+        found = docs.mapInArrow(frugal(find), "doc_id long, item_id long, edits int, n_item_words int, first_word long")
         out = found if out is None else out.unionByName(found)
     return out

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .scratch import Tables
-from .textkernel import mix, shingle_sets
+from .textkernel import frugal, mix, shingle_sets
 
 PERMUTATIONS, LOSS = 96, 1e-4
 WORDS = 5
@@ -98,7 +98,7 @@ def _sets(rows: int | None):
             columns = [pa.array([d[k] for d in digests], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns, _ragged(lists)], ["doc_id", *SET, "shingles" if rows is None else "bands"])
 
-    return run
+    return frugal(run)
 
 
 def _semi_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Tables
 from .subword_toxicity import held_out, padded
-from .textkernel import NOT_SPACE, byte_class, slices, span_hashes, spans
+from .textkernel import NOT_SPACE, byte_class, frugal, slices, span_hashes, spans
 
 TRAIN_ROWS, HIDDEN, EPOCHS, PASSES, BATCH, RATE = 4000, 16, 40, 10, 256, 0.01
 
@@ -212,7 +212,7 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataF
     """doc_id, held_out, score, predicted of every document."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
-    table = Tables(docs.sparkSession, "quality").keep(docs.mapInArrow(_measure, "doc_id long, m array<double>"), "measures")
+    table = Tables(docs.sparkSession, "quality").keep(docs.mapInArrow(frugal(_measure), "doc_id long, m array<double>"), "measures")
     trusted = labels.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where(~held_out(F.col("doc_id"), 3, 1))
     trusted = trusted.groupBy("doc_id").agg(F.min("y").alias("y")).where("y = 1").select("doc_id").orderBy(*first).limit(rows)
     web = table.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("web")), "doc_id").limit(rows)

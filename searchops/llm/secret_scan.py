@@ -30,6 +30,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .textkernel import frugal
+
 #: The kinds in the order in which they are listed, and their patterns.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -375,7 +377,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base and all spans (kind, start, end in code points), n_layers, n_refused: one row per document."""
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(_scan, SCHEMA)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(frugal(_scan), SCHEMA)
 
 
 def sha256_of(text: str) -> str:

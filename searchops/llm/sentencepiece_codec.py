@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import unigram
+from .textkernel import frugal
 from .unigram import MODEL, Vocabulary, automaton, byte_table, load
 
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
@@ -37,7 +38,7 @@ def _map(docs: DataFrame, model: str, fields: list[T.StructField], slices: Calla
             for first, end, *columns in slices(vocabulary.value, batch):
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, *columns], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, *fields]))
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .textkernel import frugal
 from .unigram import MODEL, automaton, chunks, count_pieces, distinct, load
 
 
@@ -35,4 +36,4 @@ def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
             flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, words)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, pa.int64()) for x in flat)], ["doc_id", "n_tokens", "n_chunks"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(count, "doc_id long, n_tokens long, n_chunks long")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(frugal(count), "doc_id long, n_tokens long, n_chunks long")
