@@ -47,9 +47,10 @@ def access(files: DataFrame, agents: list[str] | tuple[str, ...] = AI_CRAWLERS,
     """
     lines = robots_lines(files)
     named = lines.where("field = 'user-agent'").select("site", "group_no", F.lower("value").alias("name"))
-    who = F.broadcast(files.sparkSession.createDataFrame([(a, a.lower()) for a in agents], "agent string, low string"))  # one row an agent
-    fits = named.join(who, (F.col("name") == F.col("low")) | (F.col("name") == "*"))
-    own = F.min(F.when(F.col("name") == F.col("low"), F.col("group_no")))
+    every = F.array(*map(F.lit, agents))  # constant
+    fits = F.when(F.col("name") == "*", every).otherwise(F.filter(every, lambda a: F.lower(a) == F.col("name")))
+    fits = named.select("site", "group_no", "name", F.explode(fits).alias("agent"))
+    own = F.min(F.when(F.col("name") != "*", F.col("group_no")))
     chosen = fits.groupBy("site", "agent").agg(F.coalesce(own, F.min("group_no")).alias("group_no"))
     rules = lines.where("field <> 'user-agent'").join(chosen, ["site", "group_no"])
     allow = F.col("field") == "allow"
@@ -58,8 +59,8 @@ def access(files: DataFrame, agents: list[str] | tuple[str, ...] = AI_CRAWLERS,
         F.max_by(allow, F.when(applies, F.struct(F.length("value").alias("n"), allow.alias("first")))).alias("allowed"),
         F.max_by(F.expr("try_cast(value AS double)"), F.when((F.col("field") == "crawl-delay") & F.expr("try_cast(value AS double)").isNotNull(), F.col("line_no"))).alias("crawl_delay"),
     )
-    every = files.select("site").crossJoin(who.select("agent"))
-    return every.join(got, ["site", "agent"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+    pairs = files.select("site", F.explode(every).alias("agent"))
+    return pairs.join(got, ["site", "agent"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 
 def sitemap_urls(files: DataFrame) -> DataFrame:
