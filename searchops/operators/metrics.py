@@ -113,5 +113,5 @@ def learnings(verdicts: DataFrame, kind: str) -> DataFrame:
     delta = F.when((F.col("verdict") == "success") & sure, 0.1).when((F.col("verdict") == "regression") & sure, -0.15).otherwise(0.0)
     how = F.when(F.col("causal_language_allowed"), "caused").otherwise("associated with")
     control = F.when(F.col("method") == "difference-in-differences", "controlled").otherwise("before/after only")
-    text = F.format_string("%s: %s (%s %+.1f%% on %s; %s)", F.col(kind), F.col("verdict"), how, F.col("effect_pct"), F.col("metric"), control)
+    text = F.format_string("%s: %s (%s %+.1f%% on %s; %s)", F.col(kind), F.col("verdict"), how, F.round("effect_pct", 1), F.col("metric"), control)
     return verdicts.select("experiment_id", F.col(kind).alias("opportunity_type"), "verdict", "confidence", delta.alias("weight_delta"), text.alias("statement"))

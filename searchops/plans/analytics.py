@@ -295,7 +295,7 @@ QUERIES.update(
     experiment_learnings=Query(
         experiment_learnings,
         f"""WITH {_EXPERIMENTS} SELECT experiment_id, split_part(experiment_id, '/', 1) AS opportunity_type, verdict, confidence, CASE WHEN confidence < 0.7 THEN 0.0 WHEN verdict = 'success' THEN 0.1 WHEN verdict = 'regression' THEN -0.15 ELSE 0.0 END AS weight_delta,
-          printf('%s: %s (%s %+.1f%% on %s; %s)', split_part(experiment_id, '/', 1), verdict, CASE WHEN causal_language_allowed THEN 'caused' ELSE 'associated with' END, effect_pct, metric, CASE WHEN method LIKE 'diff%' THEN 'controlled' ELSE 'before/after only' END) AS statement FROM v""",
+          printf('%s: %s (%s %+.1f%% on %s; %s)', split_part(experiment_id, '/', 1), verdict, CASE WHEN causal_language_allowed THEN 'caused' ELSE 'associated with' END, round(effect_pct, 1), metric, CASE WHEN method LIKE 'diff%' THEN 'controlled' ELSE 'before/after only' END) AS statement FROM v""",
     ),
     ai_citations=Query(ai_citations, f"WITH {_CITE} SELECT conv_id, turn, brand_mentioned, brand_position, array_to_string(rivals, ',') AS competitors, len(cited) AS n_cited, own_url_cited, sentiment FROM cites"),
     ai_visibility=Query(ai_visibility, f"WITH {_CITE} SELECT * FROM scored"),
