@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_language, decontaminate, exact_dedup, license_scan, near_dedup, pu_quality, secret_scan, sentencepiece_codec, subword_toxicity, token_counts
+from . import (
+    crf_language,
+    decontaminate,
+    exact_dedup,
+    license_scan,
+    near_dedup,
+    periodic_runs,
+    prefix_trie,
+    pu_quality,
+    secret_scan,
+    sentencepiece_codec,
+    subword_toxicity,
+    token_counts,
+    twins,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +73,45 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.transcode(docs).select("doc_id", "ids", F.size("ids").alias("n_ids"), "round_trip")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), conv - conv % 20, prefix_trie.shared_beginnings).drop("key")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id, text in which every tenth document by crc32 repeats a stretch of its own words from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    rows = rows.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    at = lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), at), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted(_table(spark, sf_dir, "documents")))
+    better = lambda a, b: a["length"] * b["period"] > b["length"] * a["period"]
+    first = F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)), lambda a, b: F.when(better(b, a), b).otherwise(a))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), first.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+#: Host, path and verdict of the rules.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed besides the rules: the URLs of pages whose number is labelled toxic."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.verdicts(pages, rules, pages.join(toxic, "page_id", "left_semi").select("url"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,16 +121,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_toxicity, op2_decontamination, op3_token_counts, op4_near_dedup, op5_license_scan,
-        op6_language_id, op7_exact_dedup, op8_quality, op9_secret_scan, op10_sentencepiece, pipeline,
+        op6_language_id, op7_exact_dedup, op8_quality, op9_secret_scan, op10_sentencepiece, op11_prefix_trie, op12_periodic_runs, op13_url_filter, pipeline,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op7_exact_dedup": r"""
-            WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
-            SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-                   doc_id = min(doc_id) OVER w AS kept, text_sha256
-            FROM t WINDOW w AS (PARTITION BY text_sha256)""",
-    }
+    return {"op7_exact_dedup": twins.EXACT_DEDUP, "op11_prefix_trie": twins.PREFIX_TRIE, "op13_url_filter": twins.url_filter(URL_RULES)}
