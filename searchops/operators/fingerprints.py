@@ -1,9 +1,13 @@
-"""Content fingerprints: 64-bit simhash over three-word shingles, distance, and the delta between crawls."""
+"""Content fingerprints: 64-bit simhash over three-word shingles, distance, and the delta between crawls.
+
+A fingerprint is made of one text in one map: nothing is exploded or shuffled for it.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,44 +18,27 @@ from pyspark.sql.types import StringType
 #: Bits of a fingerprint, words of a shingle, and the distance beyond which a page has changed.
 BITS, WORDS, SAME = 64, 3, 3
 TOKEN = r"([a-z0-9']+)"
+_TOKENS = re.compile(TOKEN)
 
 
-def shingles(text: Column) -> Column:
-    """The three-word shingles of the lower-cased text; the words themselves if there are fewer than three."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
-    n = F.size(w) - (WORDS - 1)
-    part = lambda k: F.slice(w, F.lit(k + 1), F.greatest(n, F.lit(0)))
-    two = F.zip_with(part(0), part(1), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(n >= 1, F.zip_with(two, part(2), lambda a, b: F.concat_ws(" ", a, b))).otherwise(w)
+def _simhash(text: str, digest: Callable[[bytes], bytes]) -> str:
+    """Each shingle votes with the 64 bits of its hash; a bit is set if more than half of the shingles have it."""
+    w = _TOKENS.findall(text.lower())
+    s = w if len(w) < WORDS else map(" ".join, zip(*(w[k:] for k in range(WORDS)), strict=False))
+    votes = np.frombuffer(b"".join(digest(x.encode())[: BITS // 8] for x in s), np.uint8).reshape(-1, BITS // 8)
+    return np.packbits(2 * np.unpackbits(votes, axis=1).sum(0) > len(votes)).tobytes().hex()
 
 
-def simhashes(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, fingerprint (16 hex digits) of each row of unique ``key``, all in the JVM: a shingle votes with the first 64
-    bits of its MD5. Votes are summed before they are shuffled. A text without words has the fingerprint of no votes."""
-    one = rows.select(key, F.explode_outer(shingles(F.col(text))).alias("s"))
-    one = one.select(key, F.conv(F.substring(F.md5("s"), 1, 16), 16, -10).cast("long").alias("h"))
-    votes = one.groupBy(key).agg(*(F.sum(F.shiftright("h", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{b}") for b in range(BITS)))
-    bits = [F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(BITS)]
-    value = bits[0]
-    for b in bits[1:]:
-        value = value.bitwiseOR(b)
-    return votes.select(key, F.lower(F.lpad(F.hex(value), 16, "0")).alias("fingerprint"))
+@F.arrow_udf(StringType())
+def simhash(texts: pa.Array) -> pa.Array:
+    """The fingerprint (16 hex digits) with votes of the first 64 bits of MD5; null, as a text without words, has none of the bits."""
+    return pa.array([_simhash(t or "", lambda x: hashlib.md5(x, usedforsecurity=False).digest()) for t in texts.to_pylist()], pa.string())
 
 
 @F.arrow_udf(StringType())
 def simhash_blake2b(texts: pa.Array) -> pa.Array:
     """The fingerprint with votes of 8-byte BLAKE2b hashes, for comparison with stored ones; null gives null."""
-    out = []
-    for text in texts.to_pylist():
-        if text is None:
-            out.append(None)
-            continue
-        w = re.findall(TOKEN, text.lower())
-        s = w if len(w) < WORDS else [" ".join(w[i : i + WORDS]) for i in range(len(w) - WORDS + 1)]
-        raw = b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in s)
-        ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0)
-        out.append(np.packbits(2 * ones > len(s)).tobytes().hex())
-    return pa.array(out, pa.string())
+    return pa.array([None if t is None else _simhash(t, lambda x: hashlib.blake2b(x, digest_size=8).digest()) for t in texts.to_pylist()], pa.string())
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as ux
+from ..functions.sitemaps import sitemap
 
 #: Crawlers that feed AI answers.
 AI_CRAWLERS = (
@@ -64,13 +65,13 @@ def access(files: DataFrame, agents: list[str] | tuple[str, ...] = AI_CRAWLERS,
 
 
 def sitemap_urls(files: DataFrame) -> DataFrame:
-    """site, kind ("page" or "sitemap"), url of files(site, base_url, sitemap_xml); a sitemap index gives nested sitemaps only."""
-    xml = F.col("sitemap_xml")
-    index = xml.rlike(r"<(\w+:)?sitemapindex[\s>]")
-    loc = lambda path: F.xpath(xml, F.lit(path))
-    urls = F.when(index, loc("/*/*[local-name()='sitemap']/*[local-name()='loc']/text()")).otherwise(loc("/*/*[local-name()='url']/*[local-name()='loc']/text()"))
-    rows = files.select("site", "base_url", F.when(index, "sitemap").otherwise("page").alias("kind"), F.explode(urls).alias("loc"))
-    return rows.select("site", "kind", ux.join(F.trim("loc"), F.col("base_url")).alias("url")).where("url is not null")
+    """site, kind ("page" or "sitemap"), url of files(site, base_url, sitemap_xml); a sitemap index gives nested sitemaps only.
+
+    Files that are cut off or no good XML give what can be read of them (functions.sitemaps); none stops the job.
+    """
+    rows = files.select("site", "base_url", sitemap(F.col("sitemap_xml")).alias("read"))
+    rows = rows.select("site", "base_url", F.when(F.col("read.is_index"), "sitemap").otherwise("page").alias("kind"), F.explode("read.locs").alias("loc"))
+    return rows.select("site", "kind", ux.join(F.col("loc"), F.col("base_url")).alias("url")).where("url is not null")
 
 
 def llms_txt(text: Column) -> Column:

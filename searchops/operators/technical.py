@@ -63,27 +63,21 @@ FINDING = ["site", "page_id", "check_code", "url", "url_pattern", "detail"]
 def page_facts(pages: DataFrame) -> DataFrame:
     """Facts of landed pages(page_id, url, final_url, html, http_status, redirect_chain array<string>).
 
-    A null HTML gives empty facts; a null final_url is the requested one; a null redirect chain is none.
+    Pages are read in one map as they stand (functions.html), URLs are resolved in the JVM. A null HTML gives empty facts; a null
+    final_url is the requested one; a null redirect chain is none.
     """
     final = F.coalesce("final_url", "url")
-    rows = pages.select("page_id", "url", final.alias("final_url"), "http_status", F.coalesce("redirect_chain", F.array().cast("array<string>")).alias("redirect_chain"), "html", hx.visible(F.col("html")).alias("seen"))
-    seen, final = F.col("seen"), F.col("final_url")
-    canonical = hx.attribute(F.try_element_at(hx.link_tags(seen, "canonical"), F.lit(1)), "href")
-    hreflang = F.filter(hx.link_tags(seen, "alternate"), lambda t: hx.attribute(t, "hreflang") != "")
-    anchors = F.transform(hx.tags(seen, "a"), lambda t: ux.target(F.nullif(hx.attribute(t, "href"), F.lit("")), final))
-    source = lambda t: F.coalesce(F.nullif(hx.attribute(t, "src"), F.lit("")), hx.attribute(t, "data-src"))
+    rows = pages.select("page_id", "url", final.alias("final_url"), "http_status", F.coalesce("redirect_chain", F.array().cast("array<string>")).alias("redirect_chain"), hx.parsed(F.col("html")).alias("page"))
+    final = F.col("final_url")
     rows = rows.select(
-        "page_id", "url", "final_url", "http_status", "redirect_chain",
-        hx.title(seen).alias("title"),
-        hx.meta(seen, "description").alias("meta_description"),
-        F.lower(hx.meta(seen, "robots")).alias("robots_meta"),
-        F.coalesce(ux.join(F.nullif(canonical, F.lit("")), final), F.lit("")).alias("canonical"),
-        F.transform(hreflang, lambda t: F.struct(hx.attribute(t, "hreflang").alias("hreflang"), ux.join(hx.attribute(t, "href"), final).alias("href"))).alias("hreflang"),
-        *(hx.texts(seen, level).alias(level) for level in ("h1", "h2", "h3")),
-        F.array_compact(anchors).alias("anchors"),
-        F.transform(F.filter(hx.tags(seen, "img"), lambda t: source(t) != ""), lambda t: F.struct(ux.join(source(t), final).alias("src"), hx.attribute(t, "alt").alias("alt"))).alias("images"),
-        hx.json_ld(F.col("html")).alias("schema_blocks"),
-        hx.body_text(seen).alias("body_text"),
+        "page_id", "url", "final_url", "http_status", "redirect_chain", "page.title", F.col("page.description").alias("meta_description"), F.col("page.robots").alias("robots_meta"),
+        F.coalesce(ux.join(F.nullif("page.canonical", F.lit("")), final), F.lit("")).alias("canonical"),
+        F.transform("page.alternates", lambda t: F.struct(t["hreflang"].alias("hreflang"), ux.join(t["href"], final).alias("href"))).alias("hreflang"),
+        "page.h1", "page.h2", "page.h3",
+        F.array_compact(F.transform("page.hrefs", lambda h: ux.target(h, final))).alias("anchors"),
+        F.transform("page.images", lambda i: F.struct(ux.join(i["src"], final).alias("src"), i["alt"].alias("alt"))).alias("images"),
+        hx.json_objects(F.col("page.json_ld")).alias("schema_blocks"),
+        "page.body_text",
     )
     own = lambda u: ux.same_site(u, final)
     return rows.select(

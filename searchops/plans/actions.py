@@ -39,9 +39,10 @@ def issue_evidence(spark: SparkSession, sf: str) -> DataFrame:
 def detected(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Opportunities of findings with evidence and of content; and the findings that were mapped but have no evidence."""
     keep = keeper(spark)
-    rows = keep(opportunities.with_evidence(opportunities.from_findings(pages.all_findings(spark, sf)), evidence(spark, sf)))
+    facts = pages.written_facts(spark, sf)
+    rows = keep(opportunities.with_evidence(opportunities.from_findings(pages.all_findings(spark, sf, facts)), evidence(spark, sf)))
     groups = content.cannibalization(_t(spark, sf, "part"), ["p_brand"], "p_name", "p_partkey").select(F.col("p_brand").alias("site"), "keyword", "n")
-    thin = pages.typed(spark, sf).where("array_contains(split(flags, ','), 'thin')").select("site", "url")
+    thin = pages.typed(spark, sf, facts).where("array_contains(split(flags, ','), 'thin')").select("site", "url")
     made = opportunities.from_content(groups, thin)
     order = F.struct(F.col("severity_rank").cast("int").alias("severity_rank"), "check_code", "page_id")
     cols = ["site", "type", "action_class", "url", "url_pattern", "score", "priority", "opportunity_key"]

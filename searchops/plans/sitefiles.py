@@ -23,9 +23,16 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     entries = technical.sitemap(spark, sf).groupBy("site").agg(F.array_sort(F.collect_list("url")).alias("urls"))
     entry = F.array_join(F.transform("urls", lambda u: F.concat(F.lit("<url><loc> "), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))), "")
     nested = F.concat(F.lit("<sitemapindex><sitemap><loc>/more.xml</loc></sitemap>"), F.lit("</sitemapindex>"))
-    xml = F.when(F.length("site") % 6 == 0, nested).otherwise(F.concat(F.lit(XML_HEAD), F.coalesce(entry, F.lit("")), F.lit("</urlset>")))
+    whole = F.concat(F.lit(XML_HEAD), F.coalesce(entry, F.lit("")), F.lit("</urlset>"))
+    served = (
+        F.when(F.length("site") % 6 == 0, nested)
+        .when(F.length("site") % 6 == 1, F.left(whole, F.floor(F.length(whole) * 3 / 4).cast("int")))
+        .when(F.length("site") % 6 == 2, F.replace(whole, F.lit("&amp;"), F.lit("&")))
+        .when(F.length("site") % 12 == 3, F.lit("<!DOCTYPE html><html><head><title>Error</title><body><p>Not found<br>&nbsp; <a href=/>home</a>"))
+        .otherwise(whole)
+    )
     rows = sites.join(entries, "site", "left")
-    return rows.select("site", F.concat(F.lit("https://"), "site").alias("base_url"), F.expr(ROBOTS).alias("robots_txt"), F.expr(LLMS).alias("llms_txt"), xml.alias("sitemap_xml"))
+    return rows.select("site", F.concat(F.lit("https://"), "site").alias("base_url"), F.expr(ROBOTS).alias("robots_txt"), F.expr(LLMS).alias("llms_txt"), served.alias("sitemap_xml"))
 
 
 def robots_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +75,12 @@ QUERIES.update(
     crawler_access=Query(crawler_access, f"WITH {ACCESS_SQL} SELECT * FROM access"),
     sitemap_entries=Query(
         sitemap_entries,
-        f"WITH {technical.SITES_SQL} SELECT site, 'page' AS kind, url FROM sitemap WHERE length(site) % 6 <> 0 UNION ALL SELECT site, 'sitemap', 'https://' || site || '/more.xml' FROM sites WHERE length(site) % 6 = 0",
+        f"""WITH {technical.SITES_SQL},
+        whole AS (SELECT site, concat('{XML_HEAD}', string_agg(concat('<url><loc> ', replace(url, '&', '&amp;'), ' </loc></url>'), '' ORDER BY url), '</urlset>') AS xml FROM sitemap GROUP BY 1),
+        served AS (SELECT site, CASE WHEN length(site) % 6 = 1 THEN left(xml, length(xml) * 3 // 4) WHEN length(site) % 6 = 2 THEN replace(xml, '&amp;', '&') ELSE xml END AS xml FROM whole WHERE length(site) % 6 <> 0 AND length(site) % 12 <> 3),
+        locs AS (SELECT site, trim(unnest(regexp_extract_all(xml, '<loc>([^<]*)', 1))) AS loc FROM served)
+        SELECT site, 'page' AS kind, CASE WHEN loc = '' THEN 'https://' || site WHEN regexp_matches(loc, '^https?:') THEN replace(regexp_replace(replace(loc, '&amp;', chr(1)), '&\\w*', '', 'g'), chr(1), '&') ELSE 'https://' || site || '/' || loc END AS url FROM locs
+        UNION ALL SELECT site, 'sitemap', 'https://' || site || '/more.xml' FROM sites WHERE length(site) % 6 = 0""",
     ),
     machine_readability=Query(
         machine_readability,

@@ -71,7 +71,7 @@ def crawl_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as arriving pages: the last fingerprint of each is kept, with the number of times it changed."""
 
     def step(table: DataFrame | None, rows: DataFrame) -> DataFrame:
-        new = fingerprints.simhashes(rows.select("doc_id", "text"), "doc_id", "text").withColumnRenamed("doc_id", "url_hash")
+        new = rows.select(F.col("doc_id").alias("url_hash"), fingerprints.simhash(F.col("text")).alias("fingerprint"))
         if table is None:
             return new.withColumn("changes", F.lit(1))
         both = new.join(table.withColumnRenamed("fingerprint", "old"), "url_hash", "full_outer")

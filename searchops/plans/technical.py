@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import html as hx
 from ..functions import urls as ux
 from ..operators import content, fingerprints, opportunities, technical
 from ..sources.tables import keeper
@@ -29,8 +28,10 @@ STATUS = "CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 23 = 0 THEN 503 ELS
 
 
 def landed(spark: SparkSession, sf: str) -> DataFrame:
+    """The page before is found among numbers and URLs only, so that no page's markup is sorted by host."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    pages = pages.withColumn("before", F.lag("url").over(Window.partitionBy(ux.host(F.col("url"))).orderBy("page_id")))
+    before = F.lag("url").over(Window.partitionBy(ux.host(F.col("url"))).orderBy("page_id"))
+    pages = pages.join(pages.select("page_id", before.alias("before")), "page_id")
     chain = F.when(F.col("page_id") % 11 == 0, F.array(F.lit("301"), F.lit("302"))).otherwise(F.array().cast("array<string>"))
     html = F.replace("html", F.lit("</head>"), F.expr(HEAD))
     return pages.select("page_id", "url", F.col("url").alias("final_url"), html.alias("html"), F.expr(STATUS).alias("http_status"), chain.alias("redirect_chain"))
@@ -40,13 +41,9 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     return technical.page_facts(landed(spark, sf))
 
 
-def written_facts(spark: SparkSession, sf: str, prints: bool = False) -> DataFrame:
-    """The facts as the checks read them, parsed once and written."""
-    keep = keeper(spark)
-    if not prints:
-        return keep(technical.narrow(facts(spark, sf)))
-    whole = keep(facts(spark, sf))
-    return keep(technical.narrow(whole).join(fingerprints.simhashes(whole, "page_id", "body_text"), "page_id", "left"))
+def written_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The facts as the checks read them, with fingerprints, parsed once and written."""
+    return keeper(spark)(technical.narrow(facts(spark, sf).withColumn("fingerprint", fingerprints.simhash(F.col("body_text")))))
 
 
 def sitemap(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,27 +62,34 @@ def q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+#: How the twin reads markup: by patterns that do for these tables, whose values hold no ">" and few entities.
+_ATTRIBUTE = r"""(?is)\s{}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_ELEMENT = r"(?is)<{0}(?:\s[^>]*)?>(.*?)</{0}\s*>"
+_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>"
+_JSON_LD = r"""(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"""
+
+
 def sql_attr(tag: str, name: str) -> str:
-    return f"trim({_unescape('concat(' + ', '.join(f'regexp_extract({tag}, {q(hx.ATTRIBUTE.format(name))}, {k})' for k in (1, 2, 3)) + ')')})"
+    return f"trim({_unescape('concat(' + ', '.join(f'regexp_extract({tag}, {q(_ATTRIBUTE.format(name))}, {k})' for k in (1, 2, 3)) + ')')})"
 
 
 def _unescape(x: str) -> str:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{char}')"
     return x
 
 
 def sql_tags(html: str, name: str) -> str:
-    return f"regexp_extract_all({html}, {q(hx.TAG.format(name))})"
+    return f"regexp_extract_all({html}, '(?is)<{name}\\s[^>]*>')"
 
 
 def sql_plain(x: str) -> str:
-    inner = f"regexp_replace({x}, '{hx.ANY_TAG}', ' ', 'g')"
-    return f"trim(regexp_replace({_unescape(inner)}, '{hx.BLANKS}', ' ', 'g'))"
+    inner = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    return f"trim(regexp_replace({_unescape(inner)}, '[ \\t\\r\\n]+', ' ', 'g'))"
 
 
 def sql_texts(html: str, name: str) -> str:
-    return f"list_filter(list_transform(regexp_extract_all({html}, {q(hx.ELEMENT.format(name))}, 1), lambda t: {sql_plain('t')}), lambda t: t <> '')"
+    return f"list_filter(list_transform(regexp_extract_all({html}, {q(_ELEMENT.format(name))}, 1), lambda t: {sql_plain('t')}), lambda t: t <> '')"
 
 
 def sql_meta(name: str) -> str:
@@ -111,18 +115,18 @@ JOIN = (
 FACTS_SQL = f"""
 landed0 AS (SELECT *, lag(url) OVER (PARTITION BY {HOST.format("url")} ORDER BY page_id) AS before FROM pages),
 landed AS (SELECT page_id, url, replace(html, '</head>', {HEAD}) AS html, {STATUS} AS http_status, CASE WHEN page_id % 11 = 0 THEN 2 ELSE 0 END AS hops FROM landed0),
-facts0 AS MATERIALIZED (SELECT *, regexp_replace(html, '{hx.HIDDEN}', ' ', 'g') AS seen FROM landed),
+facts0 AS MATERIALIZED (SELECT *, regexp_replace(html, '{_HIDDEN}', ' ', 'g') AS seen FROM landed),
 facts1 AS MATERIALIZED (
   SELECT page_id, url, html, http_status, hops, {NORM.format("url")} AS norm, {HOST.format("url")} AS site, {PATH.format("url")} AS path,
-    {sql_plain("regexp_extract(seen, " + q(hx.ELEMENT.format("title")) + ", 1)")} AS title,
+    {sql_plain("regexp_extract(html, " + q(_ELEMENT.format("title")) + ", 1)")} AS title,
     {sql_meta("description")} AS meta_description, lower({sql_meta("robots")}) AS robots_meta,
     nullif({sql_attr(sql_links("canonical") + "[1]", "href")}, '') AS canonical0,
     list_transform(list_filter({sql_links("alternate")}, lambda t: {sql_attr("t", "hreflang")} <> ''), lambda t: {JOIN.format(sql_attr("t", "href"))}) AS hreflang,
     {sql_texts("seen", "h1")} AS h1, {sql_texts("seen", "h2")} AS h2, {sql_texts("seen", "h3")} AS h3,
     list_filter(list_transform({sql_tags("seen", "a")}, lambda t: nullif({sql_attr("t", "href")}, '')), lambda u: u IS NOT NULL AND NOT regexp_matches(u, '(?i)^(#|mailto:|tel:|javascript:|data:)')) AS hrefs,
     list_filter(list_transform({sql_tags("seen", "img")}, lambda t: {{'src': coalesce(nullif({sql_attr("t", "src")}, ''), {sql_attr("t", "data-src")}), 'alt': {sql_attr("t", "alt")}}}), lambda i: i.src <> '') AS images0,
-    list_filter(regexp_extract_all(html, {q(hx.JSON_LD)}, 1), lambda s: json_valid(s)) AS json_ld,
-    {sql_plain("regexp_replace(regexp_replace(seen, '" + hx.BEFORE_BODY + "', ''), " + q(hx.ELEMENT.format("title")) + ", ' ', 'g')")} AS body_text
+    list_filter(regexp_extract_all(html, {q(_JSON_LD)}, 1), lambda s: json_valid(s)) AS json_ld,
+    {sql_plain("seen")} AS body_text
   FROM facts0),
 facts2 AS (SELECT *, CASE WHEN canonical0 IS NULL THEN '' ELSE {JOIN.format("canonical0")} END AS canonical, list_filter(list_transform(hrefs, lambda u: {JOIN.format("u")}), lambda u: regexp_matches(u, '(?i)^https?://')) AS anchors,
     list_transform(images0, lambda i: {{'src': {JOIN.format("i.src")}, 'alt': i.alt}}) AS images,
@@ -207,8 +211,8 @@ findings AS (
   QUALIFY row_number() OVER (PARTITION BY site, normalized_key ORDER BY page_id, detail NULLS FIRST, url NULLS FIRST, url_pattern NULLS FIRST) = 1)"""
 
 
-def all_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return technical.site_findings(written_facts(spark, sf, prints=True), sitemap(spark, sf), sites(spark, sf))
+def all_findings(spark: SparkSession, sf: str, facts: DataFrame | None = None) -> DataFrame:
+    return technical.site_findings(written_facts(spark, sf) if facts is None else facts, sitemap(spark, sf), sites(spark, sf))
 
 
 def site_findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,17 +260,16 @@ def findings_by_severity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    return fingerprints.simhashes(facts(spark, sf), "page_id", "body_text")
+    return facts(spark, sf).select("page_id", fingerprints.simhash(F.col("body_text")).alias("fingerprint"))
 
 
 def second_crawl(spark: SparkSession, sf: str) -> DataFrame:
     """A crawl of the same pages, of which every third has lost the last half of its text, and every fifth is seen for the first time."""
-    f = keeper(spark)(facts(spark, sf).select("page_id", "url", "http_status", "body_text"))
     half = F.when(F.col("page_id") % 3 == 0, F.left("body_text", F.floor(F.length("body_text") / 2).cast("int"))).otherwise(F.col("body_text"))
-    new = fingerprints.simhashes(f.select("page_id", half.alias("body_text")), "page_id", "body_text")
-    old = fingerprints.simhashes(f.where("page_id % 5 <> 0"), "page_id", "body_text")
-    key = f.select("page_id", ux.url_hash(F.col("url")).alias("url_hash"), F.col("http_status").alias("status"))
-    return fingerprints.delta(key.join(new, "page_id"), key.join(old, "page_id").select("url_hash", "fingerprint", F.col("page_id").alias("fetched_at")))
+    rows = facts(spark, sf).select("page_id", ux.url_hash(F.col("url")).alias("url_hash"), F.col("http_status").alias("status"), fingerprints.simhash(half).alias("fingerprint"), fingerprints.simhash(F.col("body_text")).alias("first"))
+    rows = keeper(spark)(rows)
+    old = rows.where("page_id % 5 <> 0").select("url_hash", F.col("first").alias("fingerprint"), F.col("page_id").alias("fetched_at"))
+    return fingerprints.delta(rows.drop("first"), old)
 
 
 def crawl_delta(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,8 +288,8 @@ def snapshot_append(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.new_snapshots(d, old, ["tenant_id", "content_hash"]).select("tenant_id", "content_hash")
 
 
-def typed(spark: SparkSession, sf: str) -> DataFrame:
-    f = written_facts(spark, sf)
+def typed(spark: SparkSession, sf: str, facts: DataFrame | None = None) -> DataFrame:
+    f = written_facts(spark, sf) if facts is None else facts
     rows = content.with_types(f).withColumn("updated_on", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 1000).cast("int")))
     return content.inventory(rows, technical.in_degrees(technical.internal_links(f)), F.lit("2026-06-01").cast("date"))
 
