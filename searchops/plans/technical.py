@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as ux
 from ..operators import content, fingerprints, opportunities, technical
-from ..sources.tables import keeper
+from ..sources.tables import keeper, spread
 from .registry import QUERIES, Query
 
 #: Head tags, in the SQL that both engines read.
@@ -31,7 +31,7 @@ def landed(spark: SparkSession, sf: str) -> DataFrame:
     """The page before is found among numbers and URLs only, so that no page's markup is sorted by host."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     before = F.lag("url").over(Window.partitionBy(ux.host(F.col("url"))).orderBy("page_id"))
-    pages = pages.join(pages.select("page_id", before.alias("before")), "page_id")
+    pages = spread(pages).join(pages.select("page_id", before.alias("before")), "page_id")
     chain = F.when(F.col("page_id") % 11 == 0, F.array(F.lit("301"), F.lit("302"))).otherwise(F.array().cast("array<string>"))
     html = F.replace("html", F.lit("</head>"), F.expr(HEAD))
     return pages.select("page_id", "url", F.col("url").alias("final_url"), html.alias("html"), F.expr(STATUS).alias("http_status"), chain.alias("redirect_chain"))

@@ -39,6 +39,12 @@ def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     return keep
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table that lies in fewer splits than there are cores, dealt to all of them; any larger table stays where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def append_by_day(rows: DataFrame, path: str, at: str) -> None:
     """Append rows to a ledger that is partitioned by the day of ``at``."""
     rows.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
