@@ -44,8 +44,9 @@ def consumers() -> events.Consumers:
 
 
 def event_relay(spark: SparkSession, sf: str) -> DataFrame:
-    landed = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type")
-    return events.relay(_stream(spark, sf, "events").select("event_id", "event_type"), landed, _folder(spark), consumers())
+    """All open events a pass: the number of passes is that of the chain's tries, not of the events."""
+    stream = _stream(spark, sf, "events").select("event_id", "event_type", F.col("ts").alias("created_at"))
+    return events.relay(stream, _folder(spark), consumers(), limit=None)
 
 
 def event_relay_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,34 +54,41 @@ def event_relay_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_relay_passes(spark: SparkSession, sf: str) -> DataFrame:
-    return events.relay_counters(event_relay(spark, sf)).agg(F.sum("delivered").alias("delivered"), F.sum("failed").alias("failed"), F.sum("dead_lettered").alias("dead_lettered"))
+    return events.relay_counters(event_relay(spark, sf)).withColumn("pass", F.col("pass").cast("long"))
 
 
 def metric_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Events a day and type as metric rows that arrive and replace what is there."""
     keys = ["series", "day"]
 
-    def step(table: DataFrame | None, rows: DataFrame) -> DataFrame:
-        new = rows.groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("value"))
+    def arriving(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("value"))
+
+    def step(table: DataFrame | None, new: DataFrame) -> DataFrame:
         return new if table is None else metrics.upsert(table, new, keys).drop("state")
 
-    return events.folded_table(_stream(spark, sf, "events"), _folder(spark), step)
+    return events.folded_table(_stream(spark, sf, "events"), _folder(spark), keys, arriving, step)
 
 
-def crawl_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as arriving pages: the last fingerprint of each is kept, with the number of times it changed."""
+def page_states(table: DataFrame | None, new: DataFrame) -> DataFrame:
+    """url_hash, fingerprint, changes: the last fingerprint of each URL, and how often it was new or changed."""
+    if table is None:
+        return new.withColumn("changes", F.lit(1))
+    both = new.join(table.withColumnRenamed("fingerprint", "old"), "url_hash", "full_outer")
+    moved = F.col("fingerprint").isNotNull() & fingerprints.changed(F.col("old"), F.col("fingerprint"))
+    return both.select("url_hash", F.when(moved, F.col("fingerprint")).otherwise(F.col("old")).alias("fingerprint"), (F.coalesce("changes", F.lit(0)) + moved.cast("int")).alias("changes"))
 
-    def step(table: DataFrame | None, rows: DataFrame) -> DataFrame:
-        new = rows.select(F.col("doc_id").alias("url_hash"), fingerprints.simhash(F.col("text")).alias("fingerprint"))
-        if table is None:
-            return new.withColumn("changes", F.lit(1))
-        both = new.join(table.withColumnRenamed("fingerprint", "old"), "url_hash", "full_outer")
-        moved = F.col("fingerprint").isNotNull() & fingerprints.changed(F.col("old"), F.col("fingerprint"))
-        return both.select("url_hash", F.when(moved, F.col("fingerprint")).otherwise(F.col("old")).alias("fingerprint"), (F.coalesce("changes", F.lit(0)) + moved.cast("int")).alias("changes"))
 
-    return events.folded_table(_stream(spark, sf, "documents"), _folder(spark), step)
+def arriving_pages(rows: DataFrame) -> DataFrame:
+    """The last text of each document that arrives; its fingerprint is made in the same map."""
+    one = rows.select(F.col("doc_id").alias("url_hash"), fingerprints.simhash(F.col("text")).alias("fingerprint"))
+    return one.groupBy("url_hash").agg(F.max("fingerprint").alias("fingerprint"))
 
 
+def crawl_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as arriving pages: the last fingerprint of each is kept, with the number of times it changed."""
+    return events.folded_table(_stream(spark, sf, "documents"), _folder(spark), ["url_hash"], arriving_pages, page_states)
+
 
 QUERIES.update(
     event_stream_hours=Query(event_stream_hours, "SELECT date_trunc('hour', ts) AS hour, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1, 2"),
@@ -95,9 +103,12 @@ QUERIES.update(
     ),
     event_relay_passes=Query(
         event_relay_passes,
-        """WITH e AS (SELECT DISTINCT event_id, event_type FROM events)
-        SELECT CAST(count(*) + count_if(event_type = 'purchase' AND event_id % 50 <> 0) + 3 * count_if(event_type = 'signup') AS BIGINT) AS delivered,
-          CAST(5 * count_if(event_type = 'purchase' AND event_id % 50 = 0) + count_if(event_type = 'purchase' AND event_id % 50 <> 0 AND event_id % 20 = 1) AS BIGINT) AS failed, count_if(event_type = 'purchase' AND event_id % 50 = 0) AS dead_lettered FROM e""",
+        """WITH e AS (SELECT DISTINCT event_id, event_type FROM events), tries AS (
+          SELECT 0 AS pass, event_id, 'ok' AS outcome FROM e UNION ALL SELECT 0, event_id, 'ok' FROM e WHERE event_type = 'signup'
+          UNION ALL SELECT CAST(i AS INT), event_id, CASE WHEN event_id % 50 = 0 THEN CASE WHEN i = 4 THEN 'dead_letter' ELSE 'failed' END WHEN event_id % 20 = 1 AND i = 0 THEN 'failed' ELSE 'ok' END
+            FROM e, range(5) r(i) WHERE event_type = 'purchase' AND i <= CASE WHEN event_id % 50 = 0 THEN 4 WHEN event_id % 20 = 1 THEN 1 ELSE 0 END
+          UNION ALL SELECT CAST(i AS INT), event_id, 'ok' FROM e, range(1, 3) r(i) WHERE event_type = 'signup')
+        SELECT CAST(pass AS BIGINT) AS pass, count(DISTINCT event_id) AS scanned, count_if(outcome = 'ok') AS delivered, count_if(outcome <> 'ok') AS failed, count_if(outcome = 'dead_letter') AS dead_lettered FROM tries GROUP BY 1""",
     ),
     metric_stream=Query(metric_stream, "SELECT event_type AS series, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2"),
     crawl_stream=Query(

@@ -1,8 +1,8 @@
 """Streams: events counted once, the outbox relay with retries and dead letters, and tables that arriving rows keep up to date.
 
 Each sink lives in a folder of the caller's choice that also holds the stream's checkpoint, so a restart with the same
-folder goes on where it stopped. A batch writes only under its own number and reads only what earlier numbers wrote, so
-a batch that runs again after a failure replaces what it wrote and counts nothing twice.
+folder goes on where it stopped, with or without new rows. A batch writes only under its own number and reads only what earlier
+numbers have completed, so a batch that runs again after a failure replaces what it wrote and counts nothing twice.
 """
 
 from __future__ import annotations
@@ -15,11 +15,65 @@ from pyspark.sql import functions as F
 
 #: Attempts after which an event is a dead letter, and events of one pass.
 MAX_ATTEMPTS, PASS = 5, 100
+#: Batches of a ledger that are merged into one.
+COMPACT = 16
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _complete(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers n of folders ``name=n`` under ``path`` that were written to the end."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    named = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(int(n.split("=")[1]) for n in named if n.startswith(f"{name}=") and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+class Ledger:
+    """Rows that batches add, under their numbers. Whenever ``COMPACT`` batches lie side by side they are merged into one table."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def _parts(self, number: int | None) -> tuple[int, list[int]]:
+        """The last merge and the batches after it, of those before ``number``."""
+        before = lambda n: number is None or n < number
+        base = max((n for n in _complete(self.spark, self.path, "upto") if before(n)), default=-1)
+        return base, [n for n in _complete(self.spark, self.path, "batch") if n > base and before(n)]
+
+    def last(self) -> int:
+        base, batches = self._parts(None)
+        return max([base, *batches])
+
+    def read(self, number: int | None = None) -> DataFrame:
+        """All rows, or those of batches before ``number``; no rows if there are none."""
+        base, batches = self._parts(number)
+        paths = [f"{self.path}/upto={base}"] * (base >= 0) + [f"{self.path}/batch={n}" for n in batches]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def add(self, rows: DataFrame, number: int, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+        """Write a batch. A merge keeps what ``keep`` leaves of the rows."""
+        base, batches = self._parts(number)
+        if len(batches) >= COMPACT:
+            keep(self.read(number)).write.mode("overwrite").parquet(f"{self.path}/upto={batches[-1]}")
+            for name, numbers in (("batch", batches), ("upto", [base])):
+                for n in numbers:
+                    _remove(self.spark, f"{self.path}/{name}={n}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
 
 
 def drain(stream: DataFrame, folder: str, batch: Callable[[DataFrame, int], None]) -> None:
@@ -27,122 +81,177 @@ def drain(stream: DataFrame, folder: str, batch: Callable[[DataFrame, int], None
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def _earlier(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    """What batches before ``number`` wrote under ``path``."""
-    return spark.read.parquet(path).where(F.col("batch") < number) if exists(spark, path) else None
-
-
-def hourly_counts(stream: DataFrame, folder: str) -> DataFrame:
-    """hour, event_type, n of stream(event_id, ts, event_type), each event once.
+def hourly_counts(stream: DataFrame, folder: str, horizon_days: int | None = None) -> DataFrame:
+    """hour, event_type, n of stream(event_id, ts, event_type): each id once, whenever it comes again, at its earliest time in the
+    batch that brings it. No event yet gives no rows.
 
-    Event ids are kept by day, and a batch is compared with the days that it holds only. Counts are kept as one summand a batch.
+    With ``horizon_days``, ids of days that lie further back from the newest day are forgotten when the ledger is merged: an event that
+    comes again later than that counts again, and no event is ever left out. Counts are kept as one summand a batch.
     """
     spark = stream.sparkSession
+    ids = Ledger(spark, f"{folder}/ids", "event_id long, day date")
+    counts = Ledger(spark, f"{folder}/counts", "hour timestamp, event_type string, n long")
+
+    def recent(rows: DataFrame) -> DataFrame:
+        if horizon_days is None:
+            return rows
+        newest = rows.agg(F.max("day")).first()[0]
+        return rows.where(F.date_diff(F.lit(newest), "day") <= horizon_days)
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("hour", "event_type").agg(F.sum("n").alias("n"))
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.select("event_id", "ts", "event_type", F.to_date("ts").alias("day")).dropDuplicates(["event_id", "day"]).persist()
-        if (seen := _earlier(spark, f"{folder}/ids", number)) is not None:
-            days = [r.day for r in rows.select("day").distinct().collect()]  # the days of one batch
-            new = rows.join(seen.where(F.col("day").isin(days)).select("event_id", "day"), ["event_id", "day"], "left_anti")
-        else:
-            new = rows
-        counts = new.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"))
-        counts.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
-        new.select("event_id", "day").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/ids/batch={number}")
-        rows.unpersist()
+        once = rows.groupBy(F.col("event_id").cast("long").alias("event_id")).agg(F.min(F.struct("ts", "event_type")).alias("e")).select("event_id", "e.*")
+        new = once.join(ids.read(number), "event_id", "left_anti").persist()
+        counts.add(new.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n")), number, summed)
+        ids.add(new.select("event_id", F.to_date("ts").alias("day")), number, recent)
+        new.unpersist()
 
     drain(stream, folder, batch)
-    return spark.read.parquet(f"{folder}/counts").groupBy("hour", "event_type").agg(F.sum("n").alias("n"))
+    return summed(counts.read())
 
 
 @dataclass
 class Consumers:
-    """Functions from event rows (with ``attempts`` so far) to event_id, ok and, if the event goes on as another one, emits (its
-    type). A name is registered once for a type."""
+    """Functions from event rows (with ``attempts`` so far and the id of the ``origin``) to event_id, ok and, if the event goes on as
+    another one, emits (its type). A name is registered once for a type."""
 
     table: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
     def register(self, name: str, event_type: str, run: Callable[[DataFrame], DataFrame]) -> None:
         self.table.setdefault((name, event_type), run)
 
+    def of_types(self, events: DataFrame) -> DataFrame:
+        """Each event with each of its consumers."""
+        table = events.sparkSession.createDataFrame(list(self.table), "consumer string, event_type string")
+        return events.join(F.broadcast(table), "event_type")  # one row a consumer
+
 
-EVENT = ["event_id", "event_type"]
+PAIR = ["event_id", "consumer"]
+PAIRS = "event_id long, event_type string, created_at timestamp, origin long, consumer string"
+OUTCOMES = "event_id long, event_type string, created_at timestamp, origin long, consumer string, outcome string, attempts int, emits string, pass int"
 
 
-def relay_pass(events: DataFrame, outcomes: DataFrame | None, consumers: Consumers) -> DataFrame:
-    """event_id, event_type, consumer, outcome ("ok", "failed" or "dead_letter"), attempts, emits of one pass over events(event_id,
-    event_type, ..): each consumer of a type gets the events it has not finished by the earlier ``outcomes``."""
-    done = attempts = None
-    if outcomes is not None:
-        done = outcomes.where("outcome <> 'failed'").select("event_id", "consumer").distinct()
-        attempts = outcomes.where("outcome = 'failed'").groupBy("event_id", "consumer").agg(F.count("*").cast("int").alias("attempts"))
+def relay_pass(pairs: DataFrame, consumers: Consumers) -> DataFrame:
+    """outcome ("ok", "failed" or "dead_letter"), attempts and emits of each of pairs(PAIRS .., attempts) of an event and a consumer."""
     out = None
     for (name, kind), run in consumers.table.items():
-        mine = events.where(F.col("event_type") == kind).withColumn("consumer", F.lit(name))
-        if done is not None:
-            mine = mine.join(done, ["event_id", "consumer"], "left_anti").join(attempts, ["event_id", "consumer"], "left")
-            mine = mine.withColumn("attempts", F.coalesce("attempts", F.lit(0)))
-        else:
-            mine = mine.withColumn("attempts", F.lit(0))
+        mine = pairs.where((F.col("event_type") == kind) & (F.col("consumer") == name))
         got = run(mine)
         got = got if "emits" in got.columns else got.withColumn("emits", F.lit(None).cast("string"))
-        rows = mine.select("event_id", "event_type", "consumer", "attempts").join(got.select("event_id", "ok", "emits"), "event_id")
-        tries = F.col("attempts") + (~F.col("ok")).cast("int")
-        outcome = F.when(F.col("ok"), "ok").when(tries >= MAX_ATTEMPTS, "dead_letter").otherwise("failed")
-        rows = rows.select(*EVENT, "consumer", outcome.alias("outcome"), tries.alias("attempts"), F.when(F.col("ok"), F.col("emits")).alias("emits"))
+        rows = mine.join(got.select("event_id", "ok", "emits"), "event_id", "left")
+        ok = F.coalesce("ok", F.lit(False))  # a consumer that says nothing of an event has failed
+        tries = F.col("attempts") + (~ok).cast("int")
+        outcome = F.when(ok, "ok").when(tries >= MAX_ATTEMPTS, "dead_letter").otherwise("failed")
+        rows = rows.select("event_id", "event_type", "created_at", "origin", "consumer", outcome.alias("outcome"), tries.alias("attempts"), F.when(ok, F.col("emits")).alias("emits"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def relay(stream: DataFrame, landed: DataFrame, folder: str, consumers: Consumers, passes: int = 12) -> DataFrame:
-    """All outcomes after draining ``stream`` (events as they land) and retrying until every event is finished.
+def emitted(outcomes: DataFrame) -> DataFrame:
+    """The events that consumers passed on, once each: of their origin's time, numbered by the event and type they come from."""
+    new = outcomes.where("emits is not null").select(F.xxhash64("event_id", "emits").alias("event_id"), F.col("emits").alias("event_type"), "created_at", "origin")
+    return new.dropDuplicates(["event_id"])
+
 
-    ``landed`` are the same events as a table, for retries. An event that a consumer passes on is an event of its own, whose
-    number tells its origin, and runs in the same passes. Each (event, consumer) ends exactly once, as ok or dead letter.
+def relay(stream: DataFrame, folder: str, consumers: Consumers, limit: int | None = PASS) -> DataFrame:
+    """All outcomes (OUTCOMES, one row a try) after draining stream(event_id, event_type, created_at) and running passes until no
+    event is open with any consumer: each (event, consumer) ends exactly once, as ok or dead letter, however long a chain of events is.
+
+    A pass takes the ``limit`` oldest open events, or all of them; with few events a pass, passes are as many as that makes. Landed
+    events and tries are ledgers; what is open is found from them once and handed from pass to pass as a table of its own, so a pass
+    reads and writes only what is open. A pass that failed is run again: consumers may see an event twice, the ledgers don't.
     """
-    spark, at = landed.sparkSession, f"{folder}/outcomes"
+    spark = stream.sparkSession
+    landed, tries = Ledger(spark, f"{folder}/landed", PAIRS), Ledger(spark, f"{folder}/tries", OUTCOMES)
 
     def batch(rows: DataFrame, number: int) -> None:
-        once = rows.dropDuplicates(["event_id"])
-        relay_pass(once, _earlier(spark, at, number), consumers).write.mode("overwrite").parquet(f"{at}/batch={number}")
+        once = rows.select(F.col("event_id").cast("long").alias("event_id"), "event_type", F.col("created_at").cast("timestamp").alias("created_at")).groupBy("event_id").agg(F.min(F.struct("created_at", "event_type")).alias("e"))
+        new = once.select("event_id", "e.*").join(landed.read(number).select("event_id").distinct(), "event_id", "left_anti").withColumn("origin", F.col("event_id"))
+        landed.add(consumers.of_types(new).select(*[c.split()[0] for c in PAIRS.split(", ")]), number)
 
     drain(stream, folder, batch)
-    first = spark.read.parquet(at).agg(F.max("batch")).first()[0] + 1
-    for number in range(first, first + passes):
-        outcomes = spark.read.parquet(at).where(F.col("batch") < number)
-        ended = outcomes.where("outcome <> 'failed'").select("event_id", "consumer").distinct()
-        failed = outcomes.where("outcome = 'failed'").select(*EVENT, "consumer").distinct().join(ended, ["event_id", "consumer"], "left_anti")
-        again = landed.join(failed.select("event_id").distinct(), "event_id", "left_semi").select(EVENT)
-        emitted = outcomes.where("emits is not null").select(F.xxhash64("event_id", "emits").alias("event_id"), F.col("emits").alias("event_type")).distinct()
-        # an emitted event goes on until all its consumers have ended
-        todo = emitted.join(_consumers_of(spark, consumers), "event_type").join(ended, ["event_id", "consumer"], "left_anti").select(EVENT).distinct()
-        todo = again.unionByName(todo).distinct()
-        relay_pass(todo, outcomes, consumers).write.mode("overwrite").parquet(f"{at}/batch={number}")
-        if spark.read.parquet(f"{at}/batch={number}").isEmpty():
+    number, done = tries.last() + 1, tries.read()
+    ended = done.where("outcome <> 'failed'").select(PAIR).distinct()
+    attempts = done.groupBy(PAIR).agg(F.max("attempts").alias("attempts"))
+    open_ = landed.read().unionByName(consumers.of_types(emitted(done)).select(*landed.read().columns))
+    open_ = open_.join(ended, PAIR, "left_anti").join(attempts, PAIR, "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+    at = f"{folder}/open"
+    open_.write.mode("overwrite").parquet(f"{at}/pass={number}")
+    while True:
+        pairs = spark.read.schema(open_.schema).parquet(f"{at}/pass={number}")
+        if pairs.isEmpty():
             break
-    return spark.read.parquet(at)
-
-
-def _consumers_of(spark: SparkSession, consumers: Consumers) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(list(consumers.table), "consumer string, event_type string"))  # one row a consumer
+        if limit is None:
+            now = pairs
+        else:
+            oldest = pairs.select("event_id", "created_at").distinct().orderBy(F.col("created_at").asc_nulls_first(), "event_id").limit(limit)
+            now = pairs.join(F.broadcast(oldest.select("event_id")), "event_id", "left_semi")  # at most ``limit`` rows
+        tries.add(relay_pass(now, consumers).withColumn("pass", F.lit(number)), number)
+        tried = spark.read.schema(OUTCOMES).parquet(f"{tries.path}/batch={number}")
+        again = tried.where("outcome = 'failed'").select(*pairs.columns)
+        rest = pairs.join(tried.select(PAIR), PAIR, "left_anti").select(*pairs.columns).unionByName(again)
+        more = emitted(tried)
+        if not more.isEmpty():
+            more = more.join(emitted(tries.read(number)).select("event_id"), "event_id", "left_anti")
+            rest = rest.unionByName(consumers.of_types(more).withColumn("attempts", F.lit(0)).select(*pairs.columns))
+        rest.write.mode("overwrite").parquet(f"{at}/pass={number + 1}")
+        _remove(spark, f"{at}/pass={number}")
+        number += 1
+    return tries.read()
 
 
 def relay_counters(outcomes: DataFrame) -> DataFrame:
     """Per pass: events scanned, and deliveries, failures and dead letters. A dead letter's last try is a failure too."""
     count = lambda *names: F.count_if(F.col("outcome").isin(*names))
-    return outcomes.groupBy("batch").agg(F.count_distinct("event_id").alias("scanned"), count("ok").alias("delivered"), count("failed", "dead_letter").alias("failed"), count("dead_letter").alias("dead_lettered"))
-
+    return outcomes.groupBy("pass").agg(F.count_distinct("event_id").alias("scanned"), count("ok").alias("delivered"), count("failed", "dead_letter").alias("failed"), count("dead_letter").alias("dead_lettered"))
+
+
+class KeyedTable:
+    """A table in buckets of its keys. A batch writes new versions of the buckets it touches, all others stay as they are; versions that
+    newer ones replace are removed, but for the last one before the batch, from which it can be run again."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 64):
+        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
+
+    def with_bucket(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def versions(self, before: int | None = None) -> dict[int, list[int]]:
+        """The batches that wrote each bucket, in order."""
+        found: dict[int, list[int]] = {}
+        for n in _complete(self.spark, self.path, "batch"):
+            if before is None or n < before:
+                fs, p = _fs(self.spark, f"{self.path}/batch={n}")
+                for s in fs.listStatus(p):
+                    if (name := s.getPath().getName()).startswith("bucket="):
+                        found.setdefault(int(name.split("=")[1]), []).append(n)
+        return found
+
+    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """The rows of all or some buckets, as batches before a number left them; None if there are none."""
+        paths = [f"{self.path}/batch={n[-1]}/bucket={b}" for b, n in self.versions(before).items() if buckets is None or b in buckets]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def fold(self, rows: DataFrame, number: int, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
+        """Replace the buckets of ``rows`` by what ``step(their rows so far, rows)`` makes of them."""
+        rows = self.with_bucket(rows).persist()
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets``
+        if touched:
+            out = self.with_bucket(step(self.read(number, touched), rows.drop("bucket")))
+            out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={number}")
+        rows.unpersist()
+        for b, numbers in self.versions(number).items():
+            for n in numbers[:-1]:
+                _remove(self.spark, f"{self.path}/batch={n}/bucket={b}")
 
-def folded_table(stream: DataFrame, folder: str, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """The table that ``step(table so far, arriving rows)`` makes of all batches; every batch writes a version of its own."""
-    spark, last = stream.sparkSession, [-1]
 
-    def batch(rows: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{folder}/version={number - 1}") if number and exists(spark, f"{folder}/version={number - 1}") else None
-        step(before, rows).write.mode("overwrite").parquet(f"{folder}/version={number}")
-        last[0] = number
+def folded_table(stream: DataFrame, folder: str, keys: list[str], arriving: Callable[[DataFrame], DataFrame], step: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = 64) -> DataFrame | None:
+    """The table by ``keys`` that ``step(rows so far, arriving(rows))`` makes of all batches; None if no row ever came.
 
-    drain(stream, folder, batch)
-    if last[0] < 0:  # nothing new: the last version stands
-        last[0] = spark.read.parquet(folder).agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{folder}/version={last[0]}")
+    ``step`` sees the rows of the touched buckets and returns all of them, so a batch reads and writes no more than that.
+    """
+    table = KeyedTable(stream.sparkSession, f"{folder}/table", keys, buckets)
+    drain(stream, folder, lambda rows, number: table.fold(arriving(rows), number, step))
+    return table.read()

@@ -218,27 +218,6 @@ def test_upserts_and_plans(spark):
     assert good.count() == 1 and {r.reasons for r in bad.collect()} == {"domain,keyword,date_range,score"}
 
 
-def test_streams_resume_and_count_once(spark, tmp_path):
-    from searchops.streaming import events
-
-    def land(name, rows):
-        spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string").coalesce(1).write.parquet(str(tmp_path / "in" / name))
-
-    read = lambda: spark.readStream.schema("event_id long, ts timestamp, event_type string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    at = lambda h: datetime.datetime(2026, 1, 1, h)
-    land("a", [(1, at(1), "view"), (2, at(1), "view"), (1, at(1), "view")])
-    once = lambda: {(r.hour.hour, r.n) for r in events.hourly_counts(read(), f"file://{tmp_path}/hours").collect()}
-    assert once() == {(1, 2)} == once()
-    land("b", [(2, at(1), "view"), (3, at(2), "view")])
-    assert once() == {(1, 2), (2, 1)}
-    c = events.Consumers()
-    c.register("bad", "view", lambda rows: rows.select("event_id", (F.col("event_id") != 2).alias("ok")))
-    landed = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")).select("event_id", "event_type").distinct()
-    for _ in range(2):
-        got = events.relay(read().select("event_id", "event_type"), landed, f"file://{tmp_path}/relay", c)
-        assert {(r.event_id, r.outcome, r.n) for r in got.groupBy("event_id", "outcome").agg(F.count("*").alias("n")).collect()} == {(1, "ok", 1), (3, "ok", 1), (2, "failed", 4), (2, "dead_letter", 1)}
-
-
 def test_private_keys_terms_and_links_of_all_forms(spark):
     one = lambda value, f: spark.createDataFrame([(value,)], "v string").select(f(F.col("v"))).first()[0]
     key = "a -----BEGIN RSA PRIVATE KEY-----\nMIIE\nxyz\n-----END RSA PRIVATE KEY----- b"
