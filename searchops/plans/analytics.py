@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import content, graph, keywords, lifecycle, metrics, visibility
-from ..sources.tables import keeper
+from ..sources.kept import KeyedTable
+from ..sources.tables import keeper, shared_root
 from .registry import QUERIES, Query
 
 
@@ -40,6 +42,15 @@ def metric_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.upsert(old, new, ["series", "day"])
 
 
+def metric_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The same days as a table that lives on: an old state, then a run of which every bucket holds only what it touches."""
+    d, keys = daily(spark, sf), ["series", "day"]
+    table = KeyedTable(spark, f"{shared_root(spark)}/searchops/metrics-{uuid.uuid4().hex}", keys)
+    step = lambda old, new: new if old is None else metrics.upsert(old, new, keys).drop("state")
+    table.merge(d.where("day < date '1999-01-01'"), step)
+    return table.merge(d.where("day >= date '1998-07-01'").withColumn("value", F.col("value") * 2), step).select(*keys, "value")
+
+
 def period_report(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.period_report(daily(spark, sf))
 
@@ -284,6 +295,7 @@ QUERIES.update(
         f"""WITH {DAILY_SQL}, o AS (SELECT * FROM daily WHERE day < DATE '1999-01-01'), n AS (SELECT series, day, value * 2 AS value FROM daily WHERE day >= DATE '1998-07-01')
         SELECT series, day, coalesce(n.value, o.value) AS value, CASE WHEN o.value IS NULL THEN 'new' WHEN n.value IS NULL THEN 'kept' ELSE 'updated' END AS state FROM o FULL OUTER JOIN n USING (series, day)""",
     ),
+    metric_merge=Query(metric_merge, f"WITH {DAILY_SQL} SELECT series, day, CASE WHEN day >= DATE '1998-07-01' THEN value * 2 ELSE value END AS value FROM daily"),
     period_report=Query(
         period_report,
         f"""WITH {DAILY_SQL}, m AS (SELECT series, CAST(date_trunc('month', day) AS DATE) AS month, sum(value) AS current FROM daily GROUP BY ALL),

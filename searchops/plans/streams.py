@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import urls as ux
 from ..operators import fingerprints, metrics
 from ..sources.tables import shared_root
-from ..streaming import events
+from ..streaming import chain, events
+from . import actions, technical
 from .registry import QUERIES, Query
 from .technical import PRINTS_SQL
 
@@ -90,6 +92,22 @@ def crawl_stream(spark: SparkSession, sf: str) -> DataFrame:
     return events.folded_table(_stream(spark, sf, "documents"), _folder(spark), ["url_hash"], arriving_pages, page_states)
 
 
+def event_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Every site's crawl is finished; how many rows the jobs that follow have made of it."""
+    facts = technical.written_facts(spark, sf).withColumn("updated_on", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 1000).cast("int")))
+    own = F.when(F.length("site") % 2 == 0, F.array(F.lit("fix_canonical"))).otherwise(F.array(F.lit("add_schema")))
+    jobs = chain.CrawlChain(facts, technical.sitemap(spark, sf), technical.sites(spark, sf), actions.evidence(spark, sf), _folder(spark), F.lit("2026-06-01").cast("date"), own)
+    site = ux.host(F.col("url"))
+    crawls = _stream(spark, sf, "pages").select(F.xxhash64(site).alias("event_id"), F.lit("crawl.completed").alias("event_type"), F.lit("2026-03-01").cast("timestamp").alias("created_at"), site.alias("payload"))
+    ended = events.relay(crawls, _folder(spark), jobs.consumers(), limit=None)
+    out = ended.where("consumer in ('technical', 'content', 'graph', 'opportunities')").groupBy(F.col("payload").alias("site")).agg(F.count_if(F.col("outcome") == "ok").alias("n_ok"))
+    for name in ("findings", "content", "nodes", "opportunities", "plans"):
+        table = jobs.tables[name].read()
+        n = (out.select("site").limit(0) if table is None else table).groupBy("site").agg(F.count("*").alias(f"n_{name}"))
+        out = out.join(n, "site", "left")
+    return out.na.fill(0)
+
+
 QUERIES.update(
     event_stream_hours=Query(event_stream_hours, "SELECT date_trunc('hour', ts) AS hour, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1, 2"),
     event_relay_counts=Query(
@@ -117,4 +135,13 @@ QUERIES.update(
         + PRINTS_SQL
         + " SELECT page_id AS url_hash, coalesce(fingerprint, '0000000000000000') AS fingerprint, 1 AS changes FROM facts LEFT JOIN prints USING (page_id)",
     ),
+    event_chain=Query(
+        event_chain,
+        f"""WITH {technical.OPPORTUNITIES_SQL}, {technical.INVENTORY_SQL.split(technical.FACTS_SQL + ",", 1)[1]}, {actions.EVIDENCE_SQL},
+        made AS (SELECT site, opportunity_key, last(priority ORDER BY severity_rank, check_code, page_id) AS priority FROM opportunities WHERE url IN (SELECT url FROM evidence) GROUP BY ALL),
+        f AS (SELECT site, count(*) AS n FROM findings GROUP BY 1), c AS (SELECT site, count(*) AS n FROM inventory GROUP BY 1), n AS (SELECT site, count(DISTINCT url) AS n FROM facts WHERE http_status = 200 GROUP BY 1),
+        o AS (SELECT site, count(*) AS n, count_if(priority IN ('P0', 'P1')) AS p FROM made GROUP BY 1)
+        SELECT site, 3 + CASE WHEN f.n > 0 THEN 1 ELSE 0 END AS n_ok, coalesce(f.n, 0) AS n_findings, coalesce(c.n, 0) AS n_content, coalesce(n.n, 0) AS n_nodes, coalesce(o.n, 0) AS n_opportunities, coalesce(o.p, 0) AS n_plans
+        FROM (SELECT DISTINCT site FROM facts) LEFT JOIN f USING (site) LEFT JOIN c USING (site) LEFT JOIN n USING (site) LEFT JOIN o USING (site)""",
+    ),
 )

@@ -10,70 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.kept import KeyedTable, Ledger, remove
+
 #: Attempts after which an event is a dead letter, and events of one pass.
 MAX_ATTEMPTS, PASS = 5, 100
-#: Batches of a ledger that are merged into one.
-COMPACT = 16
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
-
-
-def _complete(spark: SparkSession, path: str, name: str) -> list[int]:
-    """The numbers n of folders ``name=n`` under ``path`` that were written to the end."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    named = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted(int(n.split("=")[1]) for n in named if n.startswith(f"{name}=") and exists(spark, f"{path}/{n}/_SUCCESS"))
-
-
-class Ledger:
-    """Rows that batches add, under their numbers. Whenever ``COMPACT`` batches lie side by side they are merged into one table."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def _parts(self, number: int | None) -> tuple[int, list[int]]:
-        """The last merge and the batches after it, of those before ``number``."""
-        before = lambda n: number is None or n < number
-        base = max((n for n in _complete(self.spark, self.path, "upto") if before(n)), default=-1)
-        return base, [n for n in _complete(self.spark, self.path, "batch") if n > base and before(n)]
-
-    def last(self) -> int:
-        base, batches = self._parts(None)
-        return max([base, *batches])
-
-    def read(self, number: int | None = None) -> DataFrame:
-        """All rows, or those of batches before ``number``; no rows if there are none."""
-        base, batches = self._parts(number)
-        paths = [f"{self.path}/upto={base}"] * (base >= 0) + [f"{self.path}/batch={n}" for n in batches]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def add(self, rows: DataFrame, number: int, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
-        """Write a batch. A merge keeps what ``keep`` leaves of the rows."""
-        base, batches = self._parts(number)
-        if len(batches) >= COMPACT:
-            keep(self.read(number)).write.mode("overwrite").parquet(f"{self.path}/upto={batches[-1]}")
-            for name, numbers in (("batch", batches), ("upto", [base])):
-                for n in numbers:
-                    _remove(self.spark, f"{self.path}/{name}={n}")
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
 
 
 def drain(stream: DataFrame, folder: str, batch: Callable[[DataFrame, int], None]) -> None:
@@ -129,8 +72,8 @@ class Consumers:
 
 
 PAIR = ["event_id", "consumer"]
-PAIRS = "event_id long, event_type string, created_at timestamp, origin long, consumer string"
-OUTCOMES = "event_id long, event_type string, created_at timestamp, origin long, consumer string, outcome string, attempts int, emits string, pass int"
+PAIRS = "event_id long, event_type string, created_at timestamp, origin long, payload string, consumer string"
+OUTCOMES = "event_id long, event_type string, created_at timestamp, origin long, payload string, consumer string, outcome string, attempts int, emits string, pass int"
 
 
 def relay_pass(pairs: DataFrame, consumers: Consumers) -> DataFrame:
@@ -144,19 +87,19 @@ def relay_pass(pairs: DataFrame, consumers: Consumers) -> DataFrame:
         ok = F.coalesce("ok", F.lit(False))  # a consumer that says nothing of an event has failed
         tries = F.col("attempts") + (~ok).cast("int")
         outcome = F.when(ok, "ok").when(tries >= MAX_ATTEMPTS, "dead_letter").otherwise("failed")
-        rows = rows.select("event_id", "event_type", "created_at", "origin", "consumer", outcome.alias("outcome"), tries.alias("attempts"), F.when(ok, F.col("emits")).alias("emits"))
+        rows = rows.select("event_id", "event_type", "created_at", "origin", "payload", "consumer", outcome.alias("outcome"), tries.alias("attempts"), F.when(ok, F.col("emits")).alias("emits"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def emitted(outcomes: DataFrame) -> DataFrame:
-    """The events that consumers passed on, once each: of their origin's time, numbered by the event and type they come from."""
-    new = outcomes.where("emits is not null").select(F.xxhash64("event_id", "emits").alias("event_id"), F.col("emits").alias("event_type"), "created_at", "origin")
+    """The events that consumers passed on, once each: of their origin's time and payload, numbered by the event and type they come from."""
+    new = outcomes.where("emits is not null").select(F.xxhash64("event_id", "emits").alias("event_id"), F.col("emits").alias("event_type"), "created_at", "origin", "payload")
     return new.dropDuplicates(["event_id"])
 
 
 def relay(stream: DataFrame, folder: str, consumers: Consumers, limit: int | None = PASS) -> DataFrame:
-    """All outcomes (OUTCOMES, one row a try) after draining stream(event_id, event_type, created_at) and running passes until no
+    """All outcomes (OUTCOMES, one row a try) after draining stream(event_id, event_type, created_at and, if there is one, payload) and running passes until no
     event is open with any consumer: each (event, consumer) ends exactly once, as ok or dead letter, however long a chain of events is.
 
     A pass takes the ``limit`` oldest open events, or all of them; with few events a pass, passes are as many as that makes. Landed
@@ -167,7 +110,9 @@ def relay(stream: DataFrame, folder: str, consumers: Consumers, limit: int | Non
     landed, tries = Ledger(spark, f"{folder}/landed", PAIRS), Ledger(spark, f"{folder}/tries", OUTCOMES)
 
     def batch(rows: DataFrame, number: int) -> None:
-        once = rows.select(F.col("event_id").cast("long").alias("event_id"), "event_type", F.col("created_at").cast("timestamp").alias("created_at")).groupBy("event_id").agg(F.min(F.struct("created_at", "event_type")).alias("e"))
+        payload = F.col("payload") if "payload" in rows.columns else F.lit(None).cast("string")
+        once = rows.select(F.col("event_id").cast("long").alias("event_id"), "event_type", F.col("created_at").cast("timestamp").alias("created_at"), payload.alias("payload"))
+        once = once.groupBy("event_id").agg(F.min(F.struct("created_at", "event_type", "payload")).alias("e"))
         new = once.select("event_id", "e.*").join(landed.read(number).select("event_id").distinct(), "event_id", "left_anti").withColumn("origin", F.col("event_id"))
         landed.add(consumers.of_types(new).select(*[c.split()[0] for c in PAIRS.split(", ")]), number)
 
@@ -197,7 +142,7 @@ def relay(stream: DataFrame, folder: str, consumers: Consumers, limit: int | Non
             more = more.join(emitted(tries.read(number)).select("event_id"), "event_id", "left_anti")
             rest = rest.unionByName(consumers.of_types(more).withColumn("attempts", F.lit(0)).select(*pairs.columns))
         rest.write.mode("overwrite").parquet(f"{at}/pass={number + 1}")
-        _remove(spark, f"{at}/pass={number}")
+        remove(spark, f"{at}/pass={number}")
         number += 1
     return tries.read()
 
@@ -208,45 +153,6 @@ def relay_counters(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("pass").agg(F.count_distinct("event_id").alias("scanned"), count("ok").alias("delivered"), count("failed", "dead_letter").alias("failed"), count("dead_letter").alias("dead_lettered"))
 
 
-class KeyedTable:
-    """A table in buckets of its keys. A batch writes new versions of the buckets it touches, all others stay as they are; versions that
-    newer ones replace are removed, but for the last one before the batch, from which it can be run again."""
-
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 64):
-        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
-
-    def with_bucket(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
-
-    def versions(self, before: int | None = None) -> dict[int, list[int]]:
-        """The batches that wrote each bucket, in order."""
-        found: dict[int, list[int]] = {}
-        for n in _complete(self.spark, self.path, "batch"):
-            if before is None or n < before:
-                fs, p = _fs(self.spark, f"{self.path}/batch={n}")
-                for s in fs.listStatus(p):
-                    if (name := s.getPath().getName()).startswith("bucket="):
-                        found.setdefault(int(name.split("=")[1]), []).append(n)
-        return found
-
-    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-        """The rows of all or some buckets, as batches before a number left them; None if there are none."""
-        paths = [f"{self.path}/batch={n[-1]}/bucket={b}" for b, n in self.versions(before).items() if buckets is None or b in buckets]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def fold(self, rows: DataFrame, number: int, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
-        """Replace the buckets of ``rows`` by what ``step(their rows so far, rows)`` makes of them."""
-        rows = self.with_bucket(rows).persist()
-        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets``
-        if touched:
-            out = self.with_bucket(step(self.read(number, touched), rows.drop("bucket")))
-            out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={number}")
-        rows.unpersist()
-        for b, numbers in self.versions(number).items():
-            for n in numbers[:-1]:
-                _remove(self.spark, f"{self.path}/batch={n}/bucket={b}")
-
-
 def folded_table(stream: DataFrame, folder: str, keys: list[str], arriving: Callable[[DataFrame], DataFrame], step: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = 64) -> DataFrame | None:
     """The table by ``keys`` that ``step(rows so far, arriving(rows))`` makes of all batches; None if no row ever came.
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from searchops.plans import streams
+from searchops.sources import kept
 from searchops.streaming import events
 
 EVENT = "event_id long, ts timestamp, event_type string"
@@ -28,7 +29,7 @@ def land(spark, tmp_path):
 
 
 def test_counts_once_across_days_batches_and_restarts(spark, land, monkeypatch):
-    monkeypatch.setattr(events, "COMPACT", 2)
+    monkeypatch.setattr(kept, "COMPACT", 2)
     count = lambda **k: {(r.hour.day, r.hour.hour, r.n) for r in events.hourly_counts(land.stream(), f"{land.folder}/hours", **k).collect()}
     assert count() == set() == count()
     land("a", [(1, at(1), "view"), (2, at(1), "view"), (1, at(2), "view")])
@@ -38,11 +39,11 @@ def test_counts_once_across_days_batches_and_restarts(spark, land, monkeypatch):
     for k in range(5):  # merges on the way
         land(f"c{k}", [(1, at(3), "view"), (10 + k, at(3), "view")])
         assert count() == {(1, 1, 2), (2, 1, 1), (3, 1, k + 1)}
-    assert len(list(events._complete(spark, f"{land.folder}/hours/ids", "batch"))) <= 3
+    assert len(list(kept._complete(spark, f"{land.folder}/hours/ids", "batch"))) <= 3
 
 
 def test_ids_beyond_the_horizon_are_forgotten(spark, land, monkeypatch):
-    monkeypatch.setattr(events, "COMPACT", 1)
+    monkeypatch.setattr(kept, "COMPACT", 1)
     count = lambda: sum(r.n for r in events.hourly_counts(land.stream(), f"{land.folder}/hours", horizon_days=7).collect())
     for k, (day, want) in enumerate(((1, 1), (20, 2), (21, 3), (1, 4), (21, 4))):
         land(f"e{k}", [({1: 1, 20: 2, 21: 3}[day], at(day), "view")])
@@ -102,7 +103,7 @@ def test_keyed_tables_restart_and_write_what_they_touch(spark, land, tmp_path):
 
 
 def test_keyed_table_equals_the_batch_form(spark, land):
-    table = events.KeyedTable(spark, f"{land.folder}/t", ["k"], 8)
+    table = kept.KeyedTable(spark, f"{land.folder}/t", ["k"], 8)
     step = lambda old, new: new if old is None else old.unionByName(new).groupBy("k").agg(F.sum("n").alias("n"))
     rows = [spark.range(50 * b, 50 * b + 120).selectExpr("id % 90 k", "1L n").groupBy("k").agg(F.sum("n").alias("n")) for b in range(4)]
     for b, r in enumerate(rows):
@@ -111,3 +112,33 @@ def test_keyed_table_equals_the_batch_form(spark, land):
             table.fold(r, b, step)  # the batch runs again after a failure
     want = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).groupBy("k").agg(F.sum("n").alias("n"))
     assert sorted(map(tuple, table.read().select("k", "n").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_merge_sinks_touch_only_their_buckets_and_survive_a_failed_write(spark, land, tmp_path):
+    from searchops.operators import metrics
+
+    keys = ["series", "day"]
+    rows = lambda df: {(r.series, r.day.day): r.value for r in df.collect()}
+    points = lambda n, value: spark.range(n).selectExpr(f"concat('s', id % 50) series", "date_add(date'2026-01-01', cast(id div 50 as int)) day", f"{value}D value")
+    step = lambda old, new: new if old is None else metrics.upsert(old, new, keys).drop("state")
+    table = kept.KeyedTable(spark, f"{land.folder}/metrics", keys, 16)
+    first = rows(table.merge(points(1000, 1.0), step))
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "metrics").rglob("*.parquet")}
+    new = points(1000, 2.0).where("series = 's3' and day = date'2026-01-05'")
+
+    def fails(old, new):
+        return step(old, new).withColumn("value", F.when(F.col("series") == "s3", F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("value")))
+
+    with pytest.raises(Exception, match="lost"):
+        table.merge(new, fails)
+    assert rows(table.read()) == first
+    assert rows(table.merge(new, step)) == {**first, ("s3", 5): 2.0}
+    assert {f: f.stat().st_mtime_ns for f in files} == files and len(list((tmp_path / "metrics/batch=1").glob("bucket=*"))) == 1
+    by_site = kept.KeyedTable(spark, f"{land.folder}/sites", ["site"], 4)
+    rows_of = lambda *r: spark.createDataFrame(r, "site string, x long")
+    sites = lambda *names: spark.createDataFrame([(n,) for n in names], "site string")
+    by_site.replace(rows_of(("a", 1), ("a", 2), ("b", 1)), sites("a", "b"))
+    got = by_site.replace(rows_of(("a", 3), ("c", 1)), sites("a", "c"))
+    assert sorted((r.site, r.x) for r in got.collect()) == [("a", 3), ("b", 1), ("c", 1)]
+    got = by_site.replace(rows_of(("a", 3)).limit(0), sites("a", "nobody"))  # a group that has no rows any more
+    assert sorted((r.site, r.x) for r in got.collect()) == [("b", 1), ("c", 1)]
