@@ -38,7 +38,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+")
+ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|(?:\\u\{0*(?:10|[0-9A-Fa-f])?[0-9A-Fa-f]{1,4}\})+|(?:\\U00(?:10|0[0-9A-Fa-f])[0-9A-Fa-f]{4})+")
+_CODES = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\U([0-9A-Fa-f]{8})")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of base64, as mail and PEM wrap them.
 LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}(?![A-Za-z0-9+/_-]))+")
@@ -51,7 +52,7 @@ _LEADING = re.compile(r"[A-Za-z0-9+/_\r\n-]*")
 _TO_BASE64 = {ord("-"): "+", ord("_"): "/", ord("\r"): None, ord("\n"): None}
 
 #: Texts without a match hold no finding of any layer (a superset of what each pattern needs).
-_WORTH = r"(?i:passw(or)?d|secret|token|api_?key)|AKIA|[0-9a-f]{16}|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|[A-Za-z0-9+/_-]{16}"
+_WORTH = r"(?i:passw(or)?d|secret|token|api_?key)|AKIA|[0-9a-f]{16}|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f{]{2}|\\U00|[A-Za-z0-9+/_-]{16}"
 
 Span = tuple[int, int, int]  # start, end, index of the kind
 
@@ -83,8 +84,8 @@ class Layer:
 
 
 def _unescaped(layer: Layer) -> Layer | None:
-    """The layer with its percent and backslash-u runs decoded; None if nothing changes."""
-    if "%" not in layer.text and "\\u" not in layer.text:
+    """The layer with its percent and backslash runs decoded; None if nothing changes."""
+    if "%" not in layer.text and "\\" not in layer.text:
         return None
     out, places, last, size = [], [], 0, 0
 
@@ -101,13 +102,17 @@ def _unescaped(layer: Layer) -> Layer | None:
 
     for m in ESCAPES.finditer(layer.text):
         run = m.group()
-        if run[0] == "%":
-            new = bytes.fromhex(run.replace("%", "")).decode(errors="surrogateescape")
-            step = [3 * len(c.encode(errors="surrogateescape")) for c in new]
-            new = [chr(ord(c) - 0xDC00) if 0xDC80 <= ord(c) <= 0xDCFF else c for c in new]
-        else:
+        if run[:2] == "\\U" or run[2] == "{":
+            codes = [(c[1] or c[2], len(c[0])) for c in _CODES.finditer(run)]
+            new, step = [chr(int(n, 16)) for n, _ in codes], [length for _, length in codes]
+        elif run[:2] == "\\u":
             new = bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "surrogatepass")
             step = [6 * (len(c.encode("utf-16-be", "surrogatepass")) // 2) for c in new]
+        else:
+            width = 3 if run[0] == "%" else 4
+            new = bytes.fromhex(run.replace("%", "").replace("\\x", "")).decode(errors="surrogateescape")
+            step = [width * len(c.encode(errors="surrogateescape")) for c in new]
+            new = [chr(ord(c) - 0xDC00) if 0xDC80 <= ord(c) <= 0xDCFF else c for c in new]
         copy(last, m.start())
         at = m.start()
         for c, n in zip(new, step, strict=True):
@@ -123,6 +128,9 @@ def _unescaped(layer: Layer) -> Layer | None:
 
 def _readable(data: bytes) -> str | None:
     """The bytes as text; of what is not fully readable only where a pattern matches."""
+    for first, coding in ((1, "utf-16-le"), (0, "utf-16-be")):  # letters of two bytes, of which one is zero
+        if len(data) > 7 and 4 * data[first::2].count(0) > len(data):
+            return data.decode(coding, "replace").lstrip("\ufeff")
     try:
         text = data.decode()
         if not _CONTROL.search(text):
@@ -153,6 +161,54 @@ def _inflated(data: bytes) -> bytes | None:
     return bytes(out) or None
 
 
+def _opens(raw: str, at: int, window: int) -> bool:
+    """Whether a compressed stream of a kind (zlib's ``wbits``) starts at a place of base64 characters. Its first bytes are read, then
+    more: what only looks like one breaks off there."""
+    for size in (128, 8192):
+        part = raw[at : at + size]
+        try:
+            if not zlib.decompressobj(window).decompress(base64.b64decode(part + "=" * (-len(part) % 4))):
+                return False
+        except (zlib.error, binascii.Error):
+            return False
+    return True
+
+
+def _taken(raw: str, at: int, window: int) -> int:
+    """How many base64 characters from a place on the compressed streams there take; 128 if they break off, none if a bare deflate
+    stream does, or a short one has no end."""
+    d = zlib.decompressobj(window)
+    for i in range(at, len(raw), 1 << 16):
+        part = raw[i : i + (1 << 16)]
+        data = base64.b64decode(part[: len(part) - (len(part) % 4 == 1)] + "=" * (-len(part) % 4 % 3))
+        while data:
+            try:
+                d.decompress(data, 1 << 20)
+            except zlib.error:
+                return 128 if window > 0 else 0
+            if not d.eof:
+                data = d.unconsumed_tail
+            elif window > 0 and _zipped(d.unused_data[:2]):
+                data, d = d.unused_data, zlib.decompressobj(window)
+            else:
+                return i + len(part) - at - len(d.unused_data) * 4 // 3 if window > 0 or not d.unused_data else 0
+    return len(raw) - at if window > 0 or len(raw) - at > 8192 else 0
+
+
+def _deflated(data: bytes) -> bytes | None:
+    """The content of a bare deflate stream that ends where the data ends, if it is text; OverflowError beyond MAX_LAYER bytes."""
+    if len(data) < 16 or data[0] & 6 not in (2, 4):
+        return None
+    d = zlib.decompressobj(-zlib.MAX_WBITS)
+    try:
+        out = d.decompress(data, MAX_LAYER + 1)
+    except zlib.error:
+        return None
+    if len(out) > MAX_LAYER:
+        raise OverflowError
+    return out if d.eof and not d.unused_data and not _CONTROL.search(out.decode("latin-1")) else None
+
+
 class TextStream:
     """Kinds of secrets in a text that comes in pieces, and in all that is encoded in it."""
 
@@ -286,13 +342,41 @@ class ByteStream:
             self.refused += self.inner.refused
 
 
+#: How zlib and gzip streams begin in base64, and what separates a name or path from the run behind it.
+_ZIP = re.compile("H4sI|e[AFJN]")
+_BORDER = re.compile("[/_-]")
+
+
+def _starts(run: str, raw: str) -> Iterator[int]:
+    """Where a run's payload may begin behind a name or path: text is found at each of the four alignments, compressed data only at its
+    very start. What lies inside a stream is not looked at again."""
+    places = [(m.start(), zlib.MAX_WBITS | 32) for m in _ZIP.finditer(raw)] + [(m.end(), -zlib.MAX_WBITS) for m in _BORDER.finditer(run)]
+    behind, opened = 0, {0, 1, 2, 3}
+    for at, window in sorted(places):
+        if at >= behind and len(raw) - at >= 16 and _opens(raw, at, window):
+            behind = at + _taken(raw, at, window)
+            if at == 0 and behind >= len(raw) - 4:
+                opened = {0}
+                break
+            opened.add(at)
+    yield from sorted(opened)
+
+
+def _parts(start: int, end: int, run: str) -> Iterator[tuple[int, int, str]]:
+    raw = run.rstrip("=").translate(_PLAIN)
+    for k in _starts(run, raw):
+        part = raw[k:]
+        if len(part) >= 16:
+            yield start + k, end, part[: len(part) - (len(part) % 4 == 1)]
+
+
+_PLAIN = str.maketrans("-_", "+/")
+
+
 def _runs(text: str) -> Iterator[tuple[int, int, str]]:
     """Start, end and base64 characters of the runs, and of the lines that make one wrapped run."""
-    plain = str.maketrans("-_", "+/")
     for m in BASE64.finditer(text):
-        raw = m.group().rstrip("=").translate(plain)
-        if len(raw) % 4 != 1:
-            yield m.start(), m.end(), raw
+        yield from _parts(m.start(), m.end(), m.group())
     for m in LINES.finditer(text) if "\n" in text else ():
         lines = [(x.start(), x.end(), x.group()) for x in LINE.finditer(text, m.start(), m.end())]
         i = 0
@@ -303,8 +387,7 @@ def _runs(text: str) -> Iterator[tuple[int, int, str]]:
                 if len(lines[j - 1][2]) < width:
                     break
             if j - i > 1:
-                raw = "".join(x[2] for x in lines[i:j]).rstrip("=").translate(plain)
-                yield lines[i][0], lines[j - 1][1], raw[: len(raw) - (len(raw) % 4 == 1)]
+                yield from _parts(lines[i][0], lines[j - 1][1], "".join(x[2] for x in lines[i:j]))
             i = max(i + 1, j if j - i > 1 else 0)
 
 
@@ -317,7 +400,7 @@ def _wrapped(layer: Layer) -> Iterator[Layer | tuple[tuple[int, int], ByteStream
             continue
         try:
             below = {data}
-            while (more := _inflated(data)) is not None and more not in below:
+            while (more := _inflated(data) or _deflated(data)) is not None and more not in below:
                 below.add(data := more)
         except OverflowError:
             stream = ByteStream(0)

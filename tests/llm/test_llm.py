@@ -312,6 +312,28 @@ def test_secret_scan_refuses_no_layer(monkeypatch):
     assert kinds(several) == {(0, len(several))}
 
 
+def test_secrets_behind_names_and_paths():
+    found = lambda t: {(a, b) for a, b, _ in secret_scan.scan(t)[1]}
+    secret = b"x password=abcdefghijkl0123 and more text behind it, that is not any secret at all"
+    deflate = lambda x: (c := zlib.compressobj(9, zlib.DEFLATED, -15)).compress(x) + c.flush()
+    packed = {"plain": secret, "zlib": zlib.compress(secret), "gzip": gzip.compress(secret), "deflate": deflate(secret)}
+    for prefix in ("", "/", "p/", "api/v1/", "https://h.io/p/", "id-", "run_", "a-b_c/", "s3/key_7/x-", "k8s/prod/eu-west-1/db/"):
+        for name, data in packed.items():
+            for coded in (base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode().rstrip("=")):
+                spans = found(f"see {prefix}{coded} end")
+                assert spans and all(4 <= a < b <= 4 + len(prefix + coded) for a, b in spans), (prefix, name)
+    hide = lambda form: "".join(form.format(ord(c)) for c in "password")
+    for form in ("%{:02X}", "\\u{:04x}", "\\x{:02x}", "\\U{:08X}"):
+        text = f"a {hide(form)}=abcdefghijkl0123 b"
+        assert found(text) == {(2, len(text) - 2)}, form
+    text = "a " + "".join(f"\\u{{{ord(c):x}}}" for c in "password") + "=abcdefghijkl0123 b"
+    assert found(text) == {(2, len(text) - 2)}
+    for coding in ("utf-16-le", "utf-16-be", "utf-16"):
+        assert found("q " + base64.b64encode(secret.decode().encode(coding)).decode() + " r")
+    plain = "Donaudampfschifffahrtsgesellschaft /usr/local/share/doc/packages/README_first-of-all some-long_name/with/parts 0123456789abcdeX"
+    assert found(plain) == set()
+
+
 def test_secret_scan_opens_every_layer():
     s = "x password=abcdef1234567890 y"
     b64 = lambda data: base64.b64encode(data).decode()
