@@ -29,6 +29,11 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(host(url), r"^www\.", "")
 
 
+def host_name(url: Column) -> Column:
+    """The host alone, without user, port and a leading "www."; what domains of brands and rivals are compared with."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host(url), "^.*@", ""), ":[0-9]*$", ""), r"^www\.", "")
+
+
 def url_hash(url: Column) -> Column:
     """SHA-256 of the normal form, a question mark and the query."""
     return F.sha2(F.concat(normal(url), F.lit("?"), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)), 256)

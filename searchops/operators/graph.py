@@ -123,3 +123,8 @@ def topic_coverage(covers: DataFrame, topics: DataFrame) -> DataFrame:
     """topic, n_pages, weak: the number of covering nodes of each topics(topic); those with the fewest matter most."""
     n = covers.groupBy(F.col("dst").alias("topic")).agg(F.count_distinct("src").alias("n_pages"))
     return topics.join(n, "topic", "left").fillna(0, ["n_pages"]).withColumn("weak", F.col("n_pages") == 0)
+
+
+def least_covered(coverage: DataFrame, limit: int) -> DataFrame:
+    """The topics with the fewest covering pages, fewest first; a top-k, so no task sorts all."""
+    return coverage.orderBy("n_pages", "topic").limit(limit)

@@ -27,7 +27,7 @@ def tagged(results: DataFrame, params: DataFrame) -> DataFrame:
     bare = lambda c: F.regexp_replace(c, r"^www\.", "")
     rivals = F.transform(F.coalesce("competitor_domains", F.array().cast("array<string>")), bare)
     rows = results.join(params.select("run_id", bare("own_domain").alias("own"), rivals.alias("rivals")), "run_id", "left")
-    rows = rows.withColumn("domain", ux.domain(F.col("url")))
+    rows = rows.withColumn("domain", ux.host_name(F.col("url")))
     return rows.withColumns({"is_own": F.coalesce(F.col("domain") == F.col("own"), F.lit(False)), "is_competitor": F.coalesce(F.array_contains("rivals", F.col("domain")), F.lit(False))}).drop("own", "rivals")
 
 

@@ -40,11 +40,10 @@ def sitemaps_in_robots(files: DataFrame) -> DataFrame:
     return files.select("site", F.explode(F.regexp_extract_all("robots_txt", F.lit(SITEMAP_LINE), F.lit(1))).alias("sitemap"))
 
 
-def access(files: DataFrame, agents: list[str] | tuple[str, ...] = AI_CRAWLERS, path: str = "/") -> DataFrame:
-    """site, agent, allowed, crawl_delay of every file and agent.
+def _rules(files: DataFrame, agents: list[str] | tuple[str, ...]) -> DataFrame:
+    """site, agent, field, value, line_no: the directives that apply to each agent.
 
-    The first group that names the agent applies, else the first that names "*", and only that group. The longest matching
-    rule decides; of equal ones an allow. Without a rule, a group or a file a path is allowed.
+    The first group that names the agent applies, else the first that names "*", and only that group.
     """
     lines = robots_lines(files)
     named = lines.where("field = 'user-agent'").select("site", "group_no", F.lower("value").alias("name"))
@@ -53,7 +52,15 @@ def access(files: DataFrame, agents: list[str] | tuple[str, ...] = AI_CRAWLERS,
     fits = named.select("site", "group_no", "name", F.explode(fits).alias("agent"))
     own = F.min(F.when(F.col("name") != "*", F.col("group_no")))
     chosen = fits.groupBy("site", "agent").agg(F.coalesce(own, F.min("group_no")).alias("group_no"))
-    rules = lines.where("field <> 'user-agent'").join(chosen, ["site", "group_no"])
+    return lines.where("field <> 'user-agent'").join(chosen, ["site", "group_no"])
+
+
+def access(files: DataFrame, agents: list[str] | tuple[str, ...] = AI_CRAWLERS, path: str = "/") -> DataFrame:
+    """site, agent, allowed, crawl_delay of every file and agent, for one path.
+
+    The longest matching rule decides; of equal ones an allow. Without a rule, a group or a file a path is allowed.
+    """
+    every, rules = F.array(*map(F.lit, agents)), _rules(files, agents)
     allow = F.col("field") == "allow"
     applies = F.col("field").isin("allow", "disallow") & (F.col("value") != "") & F.lit(path).startswith(F.col("value"))
     got = rules.groupBy("site", "agent").agg(
@@ -64,6 +71,23 @@ def access(files: DataFrame, agents: list[str] | tuple[str, ...] = AI_CRAWLERS,
     return pairs.join(got, ["site", "agent"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 
+def url_access(urls: DataFrame, files: DataFrame, agents: list[str] | tuple[str, ...] = AI_CRAWLERS) -> DataFrame:
+    """site, path, agent, allowed of each of urls(site, path) for every agent, by the rules of ``access``.
+
+    A path meets rules only as one of its own beginnings of a length that the site's rules have: an equi-join on site and beginning,
+    whose longest hit decides. A hub site's paths are many rows of many keys.
+    """
+    rules = _rules(files, agents).where("field in ('allow', 'disallow') and value <> ''")
+    rules = rules.groupBy("site", "agent", F.col("value").alias("prefix")).agg(F.bool_or(F.col("field") == "allow").alias("allow"))
+    lengths = rules.groupBy("site").agg(F.collect_set(F.length("prefix")).alias("lengths"))  # no more than one file has
+    urls = urls.select("site", "path").distinct()
+    begins = urls.join(lengths, "site").select("site", "path", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    hits = begins.select("site", "path", F.col("path").substr(F.lit(1), F.col("n")).alias("prefix"), "n").join(rules, ["site", "prefix"])
+    best = hits.groupBy("site", "path", "agent").agg(F.max_by("allow", "n").alias("allowed"))
+    every = urls.select("site", "path", F.explode(F.array(*map(F.lit, agents))).alias("agent"))
+    return every.join(best, ["site", "path", "agent"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+
+
 def sitemap_urls(files: DataFrame) -> DataFrame:
     """site, kind ("page" or "sitemap"), url of files(site, base_url, sitemap_xml); a sitemap index gives nested sitemaps only.
 

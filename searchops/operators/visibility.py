@@ -24,14 +24,14 @@ def citations(answers: DataFrame, brand: str, own_domain: str, competitors: list
     cited = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(URL), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,);]+$", "")))
     around = F.substring(low, F.greatest(F.lit(1), at - 160), at + 160 - F.greatest(F.lit(1), at - 160))
     rows = answers.withColumns({"_rivals": rivals, "_cited": cited})
-    domains = F.array_distinct(F.filter(F.transform("_cited", ux.domain), lambda d: d.isin(*map(bare, competitor_domains)) & ~F.array_contains(F.transform("_rivals", lambda r: F.lower(r)), d)))
+    domains = F.array_distinct(F.filter(F.transform("_cited", ux.host_name), lambda d: d.isin(*map(bare, competitor_domains)) & ~F.array_contains(F.transform("_rivals", lambda r: F.lower(r)), d)))
     return rows.select(
         *(c for c in answers.columns if c != "text"),
         (at > 0).alias("brand_mentioned"),
         F.when(at > 0, F.regexp_count(F.substring(low, F.lit(1), at - 1), F.lit("\n")) + 1).alias("brand_position"),
         F.concat("_rivals", domains).alias("competitors"),
         F.col("_cited").alias("cited"),
-        F.exists("_cited", lambda u: ux.domain(u) == bare(own_domain)).alias("own_url_cited"),
+        F.exists("_cited", lambda u: ux.host_name(u) == bare(own_domain)).alias("own_url_cited"),
         F.when(at > 0, F.when(around.rlike(NEGATIVE), "negative").when(around.rlike(POSITIVE), "positive")).alias("tone"),
     ).withColumn("sentiment", F.coalesce("tone", F.lit("neutral"))).drop("tone")
 

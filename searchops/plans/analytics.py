@@ -192,6 +192,10 @@ def topic_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return graph.topic_coverage(covers, p.select(F.explode(F.array("p_name", "p_type")).alias("topic")).distinct())
 
 
+def least_covered_topics(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.least_covered(topic_coverage(spark, sf), 30)
+
+
 def token_budget(spark: SparkSession, sf: str) -> DataFrame:
     n = F.sum(tx.approx_tokens(F.col("text")))
     return _t(spark, sf, "conversations").groupBy("conv_id").agg(n.alias("tokens"), F.count("*").alias("messages")).withColumn("over_cap", F.col("tokens") > lifecycle.CALL_TOKENS)
@@ -342,6 +346,9 @@ QUERIES.update(
           AND NOT EXISTS (SELECT 1 FROM l WHERE l.src = s.node AND l.dst = w.node) ORDER BY target, source, topic LIMIT 50)""",
     ),
     topic_coverage=Query(topic_coverage, "SELECT topic, count(DISTINCT p_partkey) AS n_pages, count(DISTINCT p_partkey) = 0 AS weak FROM (SELECT p_name AS topic, p_partkey FROM part UNION ALL SELECT DISTINCT p_type, NULL FROM part) GROUP BY 1"),
+    least_covered_topics=Query(
+        least_covered_topics, "SELECT topic, count(DISTINCT p_partkey) AS n_pages, count(DISTINCT p_partkey) = 0 AS weak FROM (SELECT p_name AS topic, p_partkey FROM part UNION ALL SELECT DISTINCT p_type, NULL FROM part) GROUP BY 1 ORDER BY n_pages, topic LIMIT 30"
+    ),
     token_budget=Query(token_budget, "SELECT conv_id, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens, count(*) AS messages, sum(greatest(1, length(text) // 4)) > 180000 AS over_cap FROM conversations GROUP BY 1"),
     usage_rollup=Query(
         usage_rollup,

@@ -24,6 +24,13 @@ def issue_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.upsert_issues(old, seen, keys)
 
 
+def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as fetched evidence of two kinds, of which every fifth is known."""
+    kind = F.when(F.col("doc_id") % 2 == 0, "crawl_page").otherwise("serp")
+    rows = _t(spark, sf, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), kind.alias("kind"), "doc_id")
+    return lifecycle.evidence_rows(rows, rows.where("doc_id % 5 = 0")).select("content_hash", "kind")
+
+
 def change_verification(spark: SparkSession, sf: str) -> DataFrame:
     changes = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     checks = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey", "l_returnflag").alias("place"), "l_returnflag")
@@ -92,6 +99,11 @@ QUERIES.update(
           coalesce(first_seen, seen_on) AS first_seen, coalesce(seen_on, last_seen) AS last_seen, coalesce(c, 0) + CASE WHEN seen_on IS NULL THEN 0 ELSE 1 END AS seen_count
         FROM old FULL OUTER JOIN seen USING (o_custkey, o_orderpriority)""",
     ),
+    evidence_rows=Query(
+        evidence_rows,
+        """WITH e AS (SELECT sha256(coalesce(text, '')) AS content_hash, CASE WHEN doc_id % 2 = 0 THEN 'crawl_page' ELSE 'serp' END AS kind, doc_id FROM documents)
+        SELECT content_hash, kind FROM e GROUP BY ALL HAVING count_if(doc_id % 5 = 0) = 0""",
+    ),
     change_verification=Query(
         change_verification,
         """WITH f AS (SELECT l_orderkey AS o_orderkey, first(l_returnflag ORDER BY l_linenumber, l_partkey, l_returnflag) AS first_result, count(*) AS n_checks FROM lineitem GROUP BY 1)

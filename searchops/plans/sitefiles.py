@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import urls as ux
 from ..operators import sitefiles
 from . import technical
 from .registry import QUERIES, Query
@@ -47,6 +48,14 @@ def crawler_access(spark: SparkSession, sf: str) -> DataFrame:
     return sitefiles.access(files(spark, sf))
 
 
+def url_access(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's path for every crawler; some sites shut out paths that pages have."""
+    url = F.col("url")
+    urls = spark.read.parquet(f"{sf}/pages.parquet").select(ux.host(url).alias("site"), ux.path(url).alias("path"))
+    more = F.concat("robots_txt", F.lit("\nUser-agent: *\nDisallow: /none\n\nUser-agent: PerplexityBot\nDisallow: /de/\nDisallow: /en/1\nAllow: /en/12\nAllow: /de/\n"))
+    return sitefiles.url_access(urls, files(spark, sf).withColumn("robots_txt", more))
+
+
 def sitemap_entries(spark: SparkSession, sf: str) -> DataFrame:
     return sitefiles.sitemap_urls(files(spark, sf))
 
@@ -73,6 +82,14 @@ QUERIES.update(
     robots_rules=Query(robots_rules, f"WITH {LINES_SQL} SELECT * FROM lines"),
     robots_sitemaps=Query(robots_sitemaps, f"SELECT DISTINCT {technical.HOST.format('url')} AS site, 'https://' || {technical.HOST.format('url')} || '/sitemap.xml' AS sitemap FROM pages"),
     crawler_access=Query(crawler_access, f"WITH {ACCESS_SQL} SELECT * FROM access"),
+    url_access=Query(
+        url_access,
+        f"""WITH {LINES_SQL}, u AS (SELECT DISTINCT {technical.HOST.format("url")} AS site, {technical.PATH.format("url")} AS path FROM pages),
+        e AS (SELECT site, path, agent, coalesce((SELECT min(group_no) FROM lines l WHERE l.site = u.site AND field = 'user-agent' AND lower(value) = lower(agent)), (SELECT min(group_no) FROM lines l WHERE l.site = u.site AND field = 'user-agent' AND value = '*')) AS group_no
+          FROM u, (SELECT unnest({list(sitefiles.AI_CRAWLERS)}) AS agent) w)
+        SELECT site, path, agent, CASE WHEN agent = 'PerplexityBot' THEN starts_with(path, '/en/12') OR NOT starts_with(path, '/en/1')
+          ELSE coalesce((SELECT first(field = 'allow' ORDER BY length(value) DESC, field) FROM lines l WHERE l.site = e.site AND l.group_no = e.group_no AND field IN ('allow', 'disallow') AND value <> '' AND starts_with(path, value)), true) END AS allowed FROM e""",
+    ),
     sitemap_entries=Query(
         sitemap_entries,
         f"""WITH {technical.SITES_SQL},

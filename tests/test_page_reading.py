@@ -89,3 +89,18 @@ def test_fingerprints_need_no_shuffle(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = docs.select("doc_id", fingerprints.simhash(F.col("text")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_hosts_and_access_of_many_urls(spark):
+    from searchops.functions import urls as ux
+
+    one = lambda u: spark.createDataFrame([(u,)], "u string").select(ux.host_name(F.col("u"))).first()[0]
+    assert one("https://u:p@WWW.Ex.com:443/a") == "ex.com" and one("http://ex.com") == "ex.com" and one("x") == ""
+    robots = "User-agent: *\nDisallow: /admin\nDisallow: /cart\nAllow: /admin/help\n\nUser-agent: GPTBot\nUser-agent: b\nDisallow: /\nAllow: /x\n\nUser-agent: GPTBot\nAllow: /"
+    files = spark.createDataFrame([("s", robots), ("none", None)], "site string, robots_txt string")
+    paths = ["/", "/admin", "/admin/users", "/admin/help/x", "/cart", "/blog", "", "/x/y"]
+    urls = spark.createDataFrame([(s, p) for s in ("s", "none", "unknown") for p in paths * 2], "site string, path string")
+    got = {(r.site, r.path, r.agent): r.allowed for r in sitefiles.url_access(urls, files, ["GPTBot", "other"]).collect()}
+    assert len(got) == 48 and all(v for (s, _, _), v in got.items() if s != "s")
+    assert {p for p in paths if got["s", p, "other"]} == {"/", "/admin/help/x", "/blog", "", "/x/y"}
+    assert {p for p in paths if got["s", p, "GPTBot"]} == {"", "/x/y"}
