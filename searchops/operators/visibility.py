@@ -14,24 +14,43 @@ POSITIVE = r"\b(best|excellent|recommended|top choice|great|trusted|high quality
 
 
 def citations(answers: DataFrame, brand: str, own_domain: str, competitors: list[str], competitor_domains: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """One row per answers(answer_id, text): mention, its paragraph, competitors by name and then by cited domain, cited URLs,
-    own citation, tone. A null text cites nothing."""
-    answers = answers.withColumn("text", F.coalesce("text", F.lit("")))
-    low, name = F.lower("text"), brand.lower()
-    bare = lambda d: d.removeprefix("www.")
-    at = F.instr(low, name)
-    rivals = F.array_compact(F.array(*(F.when(low.contains(c.lower()), F.lit(c)) for c in competitors if c.lower() != name), F.lit(None).cast("string")))
+    """One row per answers(answer_id, text) for one brand: mention, its paragraph, competitors by name and then by cited domain, cited
+    URLs, own citation, tone. A null text cites nothing."""
+    texts = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    return _cited(answers, F.lit(brand), F.lit(own_domain), texts(competitors), texts(competitor_domains))
+
+
+def project_citations(answers: DataFrame, brands: DataFrame) -> DataFrame:
+    """The same of answers(project_id, answer_id, text) of many projects in one job, each with the names and domains of its own
+    project: brands(project_id, brand, own_domain, competitor_names, competitor_domains), one row a project.
+
+    An answer is compared with its project's names only. A project that has no brands mentions nothing; empty names are no names.
+    """
+    own = {c: f"_{c}" for c in ("brand", "own_domain", "competitor_names", "competitor_domains")}
+    rows = answers.join(brands.select("project_id", *own).withColumnsRenamed(own), "project_id", "left")
+    none = F.array().cast("array<string>")
+    text, texts = (lambda c: F.coalesce(F.col(own[c]), F.lit(""))), (lambda c: F.array_compact(F.coalesce(F.col(own[c]), none)))
+    return _cited(rows, text("brand"), text("own_domain"), texts("competitor_names"), texts("competitor_domains")).drop(*own.values())
+
+
+def _cited(answers: DataFrame, brand: Column, own_domain: Column, names: Column, domains: Column) -> DataFrame:
+    bare = lambda d: F.regexp_replace(d, r"^www\.", "")
+    rows = answers.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_low", F.lower("text")).withColumn("_name", F.lower(brand))
+    low, name = F.col("_low"), F.col("_name")
+    rivals = F.filter(names, lambda c: (c != "") & low.contains(F.lower(c)) & (F.lower(c) != name))
     cited = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(URL), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,);]+$", "")))
-    around = F.substring(low, F.greatest(F.lit(1), at - 160), at + 160 - F.greatest(F.lit(1), at - 160))
-    rows = answers.withColumns({"_rivals": rivals, "_cited": cited})
-    domains = F.array_distinct(F.filter(F.transform("_cited", ux.host_name), lambda d: d.isin(*map(bare, competitor_domains)) & ~F.array_contains(F.transform("_rivals", lambda r: F.lower(r)), d)))
+    rows = rows.withColumns({"_rivals": rivals, "_cited": cited, "_at": F.when(name != "", F.position(name, low)).otherwise(0)})
+    at, first = F.col("_at"), F.greatest(F.lit(1), F.col("_at") - 160)
+    around = F.substring(low, first, at + 160 - first)
+    known = F.transform(domains, bare)
+    by_domain = F.array_distinct(F.filter(F.transform("_cited", ux.host_name), lambda d: F.array_contains(known, d) & ~F.array_contains(F.transform("_rivals", lambda r: F.lower(r)), d)))
     return rows.select(
         *(c for c in answers.columns if c != "text"),
         (at > 0).alias("brand_mentioned"),
         F.when(at > 0, F.regexp_count(F.substring(low, F.lit(1), at - 1), F.lit("\n")) + 1).alias("brand_position"),
-        F.concat("_rivals", domains).alias("competitors"),
+        F.concat("_rivals", by_domain).alias("competitors"),
         F.col("_cited").alias("cited"),
-        F.exists("_cited", lambda u: ux.host_name(u) == bare(own_domain)).alias("own_url_cited"),
+        F.exists("_cited", lambda u: (ux.host_name(u) == bare(own_domain)) & (own_domain != "")).alias("own_url_cited"),
         F.when(at > 0, F.when(around.rlike(NEGATIVE), "negative").when(around.rlike(POSITIVE), "positive")).alias("tone"),
     ).withColumn("sentiment", F.coalesce("tone", F.lit("neutral"))).drop("tone")
 

@@ -103,6 +103,22 @@ def ai_citations(spark: SparkSession, sf: str) -> DataFrame:
     return cited(spark, sf).select("conv_id", "turn", "brand_mentioned", "brand_position", F.array_join("competitors", ",").alias("competitors"), F.size("cited").alias("n_cited"), "own_url_cited", "sentiment")
 
 
+#: A brand and a rival of a project, by the number of its region.
+WORDS, FOES = ["than", "ment", "lich", "ando", "no such"], ["que", "keit", "tion", "der", ""]
+
+
+def project_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """The answers dealt to six projects, of which five have brands, all in one job."""
+    at = F.col("r_regionkey").cast("int") + 1
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), at)
+    brands = _t(spark, sf, "region").select(
+        F.col("r_regionkey").cast("long").alias("project_id"), pick(WORDS).alias("brand"), F.when(at % 2 == 1, "www.example.com").otherwise("other.org").alias("own_domain"),
+        F.array(pick(FOES), F.lit("les")).alias("competitor_names"), F.when(at > 2, F.array(F.lit("www.rival.org"))).alias("competitor_domains"),
+    )
+    rows = answers(spark, sf).select("conv_id", "turn", (F.col("conv_id") % 6).alias("project_id"), "text")
+    return visibility.project_citations(rows, brands).select("conv_id", "turn", "project_id", "brand_mentioned", "brand_position", F.array_join("competitors", ",").alias("competitors"), F.size("cited").alias("n_cited"), "own_url_cited")
+
+
 def ai_visibility(spark: SparkSession, sf: str) -> DataFrame:
     return visibility.scores(cited(spark, sf), ["cluster", "provider", "week"])
 
@@ -314,6 +330,15 @@ QUERIES.update(
           printf('%s: %s (%s %+.1f%% on %s; %s)', split_part(experiment_id, '/', 1), verdict, CASE WHEN causal_language_allowed THEN 'caused' ELSE 'associated with' END, round(effect_pct, 1), metric, CASE WHEN method LIKE 'diff%' THEN 'controlled' ELSE 'before/after only' END) AS statement FROM v""",
     ),
     ai_citations=Query(ai_citations, f"WITH {_CITE} SELECT conv_id, turn, brand_mentioned, brand_position, array_to_string(rivals, ',') AS competitors, len(cited) AS n_cited, own_url_cited, sentiment FROM cites"),
+    project_citations=Query(
+        project_citations,
+        f"""WITH a AS (SELECT conv_id, turn, conv_id % 6 AS project_id, {ANSWER} AS text FROM conversations WHERE role = 'assistant'),
+        b AS (SELECT r_regionkey AS project_id, {WORDS}[r_regionkey + 1] AS brand, {FOES}[r_regionkey + 1] AS foe FROM region),
+        c AS (SELECT *, coalesce(instr(lower(text), brand), 0) AS spot, list_distinct(list_transform(regexp_extract_all(text, '(https?://[^\\s)\\]}}>"'']+)', 1), lambda u: regexp_replace(u, '[.,);]+$', ''))) AS cited FROM a LEFT JOIN b USING (project_id))
+        SELECT conv_id, turn, project_id, spot > 0 AS brand_mentioned, CASE WHEN spot > 0 THEN length(left(text, spot - 1)) - length(replace(left(text, spot - 1), chr(10), '')) + 1 END AS brand_position,
+          concat_ws(',', CASE WHEN foe <> '' AND contains(lower(text), foe) THEN foe END, CASE WHEN brand IS NOT NULL AND contains(lower(text), 'les') THEN 'les' END, CASE WHEN project_id BETWEEN 2 AND 4 AND contains(text, 'rival.org') THEN 'rival.org' END) AS competitors,
+          len(cited) AS n_cited, project_id IN (0, 2, 4) AND contains(text, 'www.example.com/a') AS own_url_cited FROM c""",
+    ),
     ai_visibility=Query(ai_visibility, f"WITH {_CITE} SELECT * FROM scored"),
     weekly_visibility=Query(weekly_visibility, f"WITH {_CITE} SELECT cluster, provider, week, score FROM scored UNION ALL SELECT cluster, provider, week - 70, score FROM scored s WHERE provider = 'p0' AND NOT EXISTS (SELECT 1 FROM scored n WHERE n.cluster IS NOT DISTINCT FROM s.cluster AND n.provider = s.provider AND n.week = s.week - 70)"),
     prompt_library=Query(prompt_library, f"WITH {_PROMPTS} SELECT * FROM library"),

@@ -104,3 +104,16 @@ def test_hosts_and_access_of_many_urls(spark):
     assert len(got) == 48 and all(v for (s, _, _), v in got.items() if s != "s")
     assert {p for p in paths if got["s", p, "other"]} == {"/", "/admin/help/x", "/blog", "", "/x/y"}
     assert {p for p in paths if got["s", p, "GPTBot"]} == {"", "/x/y"}
+
+
+def test_citations_of_several_projects(spark):
+    from searchops.operators import visibility
+
+    text = "Acme is the best,\nsee https://www.acme.com:443/x). Rival and https://u@foe.org/y, too"
+    answers = spark.createDataFrame([(p, k, t) for k, (p, t) in enumerate([("a", text), ("b", text), ("c", text), ("a", None)])], "project_id string, answer_id long, text string")
+    brands = spark.createDataFrame([("a", "Acme", "acme.com", ["Rival", "acme", ""], ["www.foe.org"]), ("b", "rival", "www.foe.org", None, ["acme.com", "foe.org"])], "project_id string, brand string, own_domain string, competitor_names array<string>, competitor_domains array<string>")
+    a, b, c, null = sorted(visibility.project_citations(answers, brands).collect(), key=lambda r: r.answer_id)
+    assert (a.brand_mentioned, a.brand_position, a.competitors, a.own_url_cited, a.sentiment) == (True, 1, ["Rival", "foe.org"], True, "positive")
+    assert (b.brand_mentioned, b.brand_position, b.competitors, b.own_url_cited, b.sentiment) == (True, 2, ["acme.com", "foe.org"], True, "positive")
+    assert (c.brand_mentioned, c.competitors, c.own_url_cited, len(c.cited)) == (False, [], False, 2) and (null.brand_mentioned, null.cited) == (False, [])
+    assert set(visibility.project_citations(answers, brands).columns) == {"project_id", "answer_id", "brand_mentioned", "brand_position", "competitors", "cited", "own_url_cited", "sentiment"}
