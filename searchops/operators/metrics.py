@@ -14,6 +14,8 @@ DEFAULT_DAYS, NOISE_FLOOR = 21, 3.0
 UPDATES = ((datetime.date(2026, 3, 5), datetime.date(2026, 3, 20), "March 2026 core update"), (datetime.date(2026, 6, 10), datetime.date(2026, 6, 25), "June 2026 core update"))
 #: What to look at when a metric is out of line.
 CHECKLIST = ("gsc", "rankings", "indexation", "deployment_history", "crawl_errors")
+#: Days of a bucket in which points and the windows of experiments meet.
+BUCKET_DAYS = 32
 WINDOW_DAYS, MIN_Z, MIN_PERCENT = 28, 2.5, 15.0
 
 
@@ -76,12 +78,17 @@ def experiment_verdicts(points: DataFrame, experiments: DataFrame, updates: tupl
 
     The effect is the change of the mean in percent, of either sign better for a position that falls; with a control series
     its change is taken off. An effect within the noise of the baseline, and of 3 % at least, is neutral; a confounder or too
-    short a window makes it inconclusive. No points or a zero mean give no effect.
+    short a window makes it inconclusive. No points or a zero mean give no effect. Points meet only experiments that read days of
+    their ``BUCKET_DAYS``, however many experiments and days a series has.
     """
     arm = lambda series, control: experiments.select("experiment_id", F.col(series).alias("series"), F.lit(control).alias("control"), "baseline_start", "baseline_end", "start", "days")
     arms = arm("series", False).unionByName(arm("control_series", True).where("series is not null"))
-    day = F.col("day")
-    rows = points.join(arms, "series")
+    day, place = F.col("day"), lambda c: F.floor(F.unix_date(c) / BUCKET_DAYS)
+    none = F.array().cast("array<bigint>")
+    span = lambda a, b: F.coalesce(F.when(a <= b, F.sequence(place(a), place(b))), none)
+    places = F.concat(span(F.col("baseline_start"), F.col("baseline_end")), span(F.col("start"), F.date_add("start", F.col("days"))))
+    arms = arms.withColumn("bucket", F.explode(F.array_distinct(places)))
+    rows = points.withColumn("bucket", place(day)).join(arms, ["series", "bucket"])
     rows = rows.withColumn("before", day.between(F.col("baseline_start"), F.col("baseline_end"))).where(F.col("before") | day.between(F.col("start"), F.date_add("start", F.col("days"))))
     of = lambda control, before: F.when((F.col("control") == control) & (F.col("before") == before), F.col("value"))
     got = rows.groupBy("experiment_id").agg(
