@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Similarity above which a label is found.
-LEAST_SIMILAR = 0.1
+from ..functions.stems import stems
+
+#: Fixed values of the text rank: the weight of a word, the sum of 1 / k squared, and words so far apart that they count nothing.
+WEIGHT = 0.1
+SQUARES = 1.64493406685
+FARTHEST = 100
 
 
 def node_id(project: Column, kind: Column, ref: Column) -> Column:
@@ -22,11 +26,12 @@ def nodes(rows: DataFrame) -> DataFrame:
 
 
 def edges(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """One edge for each (src, dst, relation) of rows(src, dst, relation, weight, ordinal) that joins two known nodes, not a node
-    with itself; the last weight stands."""
-    got = rows.where("src <> dst").groupBy("src", "dst", "relation").agg(F.max_by("weight", F.struct("ordinal", "weight")).alias("weight"))
+    """One edge for each (src, dst, relation) of rows(src, dst, relation, weight, position, ordinal) that joins two known nodes, not
+    a node with itself; the last weight and position stand. A position is null but for "ranks_for"."""
+    last = F.max_by(F.struct("weight", "position"), F.struct("ordinal", "position", "weight"))
+    got = rows.where("src <> dst").groupBy("src", "dst", "relation").agg(last.alias("last")).select("src", "dst", "relation", "last.*")
     ids = known.select("id")
-    return got.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "relation", "weight")
+    return got.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "relation", "weight", "position")
 
 
 def counters(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
@@ -54,24 +59,92 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(pieces))
 
 
-def search(node_table: DataFrame, queries: DataFrame, limit: int = 20, kind: str | None = None) -> DataFrame:
-    """query, id, label, similarity, matched, score, rank: the best nodes of each queries(query) by trigram similarity plus the
-    share of the query's words that the label has.
+def text_rank(asked: Column, label: Column) -> Column:
+    """Rank of the stems of a label (in their places, null for words left out) for the distinct stems asked for, from 0 to 1.
+
+    One stem: its occurrences, the k-th with weight 1 / k squared. More: each two places of different stems count the more the
+    nearer they stand, as 1 - prod(1 - w); a label need not have all stems, but two of them.
+    """
+    at = F.filter(F.transform(label, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(asked, x["w"]))
+    n = F.size(at)
+    once = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda s, k: s + WEIGHT / (k * k)) / SQUARES).otherwise(0.0)
+    near = lambda a, b: 1 - WEIGHT * F.sqrt(1 / (1.005 + 0.05 * F.exp((b["i"] - a["i"]) / 1.5 - 2)))
+    left = lambda s, a: F.aggregate(F.filter(at, lambda b: (b["i"] > a["i"]) & (b["i"] - a["i"] <= FARTHEST) & (b["w"] != a["w"])), s, lambda t, b: t * near(a, b))
+    return F.when(F.size(asked) == 1, once).when(F.size(asked) > 1, 1 - F.aggregate(at, F.lit(1.0), left)).otherwise(0.0)
+
+
+def search_candidates(node_table: DataFrame, queries: DataFrame, kind: str | None = None) -> DataFrame:
+    """Pairs of a query and a node that meet in the index, each with all that its score needs; a pair comes once for each half.
 
-    A node must share a trigram with the query, so labels are joined on trigrams, never with all queries; the counts of a
-    query are reduced to its first ``limit`` rows before they meet.
+    The index has the trigrams and stems of the labels. Of a query, trigrams are looked up from the rarest on: with the i-th
+    of m as the first that both have, m - i is the most they can share, and 11 * shared > n_label + n_query is what a
+    similarity over 0.1 needs. This one condition cuts the frequent trigrams of the query, labels that are too long and late
+    places; so a frequent trigram meets short labels only. Of its stems only the rarest is looked up, as all must be there.
     """
+    scope = ["project_id"] if "project_id" in queries.columns else []
     rows = node_table if kind is None else node_table.where(F.col("type") == kind)
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    mine = rows.select("id", "label", F.size(trigrams(F.col("label"))).alias("nl"), F.explode(trigrams(F.col("label"))).alias("t"))
-    asked = queries.select("query").distinct().select("query", F.size(trigrams(F.col("query"))).alias("nq"), F.explode(trigrams(F.col("query"))).alias("t"))
-    met = mine.join(asked, "t").groupBy("query", "id", "label", "nl", "nq").agg(F.count("*").alias("common"))
-    similarity = F.col("common") / (F.col("nl") + F.col("nq") - F.col("common"))
-    matched = F.size(F.array_intersect(words("query"), words("label"))) / F.greatest(F.lit(1), F.size(words("query")))
-    met = met.withColumns({"similarity": similarity, "matched": matched}).where((F.col("similarity") > LEAST_SIMILAR) | (F.col("matched") == 1))
-    met = met.withColumn("score", F.round(F.col("similarity") + F.col("matched"), 6))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= limit).select("query", "id", "label", F.round("similarity", 6).alias("similarity"), "score", "rank")
+    labels = rows.select(*scope, "id", "type", "label", trigrams(F.coalesce("label", F.lit(""))).alias("lt"), stems(F.concat_ws(" ", "label", "type")).alias("ls"))
+    tagged = lambda tag, pieces: F.transform(F.array_distinct(F.array_compact(pieces)), lambda x: F.concat(F.lit(tag), x))
+    index = labels.select("*", F.explode(F.concat(tagged("t", F.col("lt")), tagged("s", F.col("ls")))).alias("key"))
+    asked = queries.where("query is not null").select(*scope, "query").distinct().select(*scope, "query", trigrams(F.col("query")).alias("qt"), F.array_distinct(F.array_compact(stems(F.col("query")))).alias("qs"))
+    often = index.groupBy(*scope, "key").agg(F.count("*").alias("n"))
+    keyed = asked.select(*scope, "query", "qs", F.size("qt").alias("nq"), F.explode(F.concat(tagged("t", F.col("qt")), tagged("s", F.col("qs")))).alias("key"))
+    # keys that no label has can't be shared; what is left comes rarest first
+    keys = keyed.join(often, [*scope, "key"]).groupBy(*scope, "query").agg(F.first("qs").alias("qs"), F.first("nq").alias("nq"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    of = lambda tag: F.transform(F.filter("keys", lambda k: k["key"].startswith(tag)), lambda k: F.substring(k["key"], 2, 1 << 20))
+    keys = keys.withColumns({"p": of("t"), "s": of("s")})
+    first = F.transform("p", lambda x, i: F.struct(F.concat(F.lit("t"), x).alias("key"), i.alias("i")))
+    whole = F.when((F.size("qs") > 0) & (F.size("s") == F.size("qs")), F.array(F.struct(F.concat(F.lit("s"), F.get("s", 0)).alias("key"), F.lit(-1).alias("i")))).otherwise(F.array().cast("array<struct<key:string,i:int>>"))
+    probes = keys.select(*scope, "query", "qs", "nq", "p", F.inline(F.concat(first, whole)))
+    n = F.size("lt") + F.col("nq")
+    may = (F.col("i") < 0) | ((n < 11 * (F.size("p") - F.col("i"))) & (F.col("nq") < 10 * F.size("lt")) & (F.size("lt") < 10 * F.col("nq")))
+    return index.join(probes, [*scope, "key"]).where(may)
+
+
+def search(node_table: DataFrame, queries: DataFrame, limit: int = 20, kind: str | None = None) -> DataFrame:
+    """query, id, label, similarity, text_rank, score, rank: the best nodes of each queries(query) by the sum of trigram similarity
+    and text rank (the label and its type, English stems); found are those with a similarity over 0.1 or with all stems.
+
+    With a column ``project_id`` in queries, each finds only nodes of its project. Null queries find nothing. Ties go by id. A
+    text that many nodes have is scored once, and only its first ``limit`` nodes can be among a query's first; a hot key's
+    rows are split by adaptive execution; the first ``limit`` of a query are cut in each task before they meet.
+    """
+    scope = ["project_id"] if "project_id" in queries.columns else []
+    rows = node_table.select(*scope, "id", "type", "label") if kind is None else node_table.where(F.col("type") == kind).select(*scope, "id", "type", "label")
+    met = search_candidates(rows.groupBy(*scope, "type", "label").agg(F.min("id").alias("id")), queries)
+    both = F.array_intersect("p", "lt")
+    n = F.size("lt") + F.col("nq")
+    near = 11 * F.size(both) > n
+    # found by its first common trigram, or by its stems if it is not near enough
+    once = F.when(F.col("i") < 0, ~near & (F.size(F.array_except("qs", "ls")) == 0)).otherwise(near & (F.col("key") == F.concat(F.lit("t"), F.get(both, 0))))
+    met = met.where(once).select(*scope, "query", "id", "type", "label", (F.size(both) / (n - F.size(both))).alias("similarity"), text_rank(F.col("qs"), F.col("ls")).alias("text_rank"))
+    met = met.withColumn("score", F.round(F.col("similarity") + F.col("text_rank"), 6))
+    rank = F.row_number().over(Window.partitionBy(*scope, "query").orderBy(F.desc("score"), "id"))
+    best = met.withColumn("rank", rank).where(F.col("rank") <= limit).drop("id", "rank")
+    place = F.row_number().over(Window.partitionBy(*scope, "type", "label").orderBy("id"))
+    held = rows.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+    b, h = best.alias("b"), held.alias("h")
+    same = F.expr(" AND ".join(f"b.{c} <=> h.{c}" for c in [*scope, "type", "label"]))
+    met = b.join(h, same).select(*(f"b.{c}" for c in scope), "b.query", "h.id", "b.label", "b.similarity", "b.text_rank", "b.score").withColumn("rank", rank).where(F.col("rank") <= limit)
+    return met.select(*scope, "query", "id", "label", F.round("similarity", 6).alias("similarity"), F.round("text_rank", 6).alias("text_rank"), "score", "rank")
+
+
+def orphan_pages(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """Page nodes that no link leads to."""
+    linked = edge_table.where("relation = 'links_to'").select(F.col("dst").alias("id"))
+    return node_table.where("type = 'Page'").join(linked, "id", "left_anti")
+
+
+def content_topics(items: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Node rows and edge rows of items(project_id, url, topic_id, ordinal) that cover one of topics(project_id, topic_id, slug, name):
+    the page, whether or not it was crawled, the topic, and "covers" between them. Items of no known topic give nothing."""
+    got = items.join(topics, ["project_id", "topic_id"])
+    ref = F.sha2("url", 256)
+    page = got.select("project_id", F.lit("Page").alias("type"), ref.alias("ref_id"), F.col("url").alias("label"), "ordinal")
+    topic = got.select("project_id", F.lit("Topic").alias("type"), F.col("slug").alias("ref_id"), F.col("name").alias("label"), "ordinal")
+    src, dst = node_id(F.col("project_id"), F.lit("Page"), ref), node_id(F.col("project_id"), F.lit("Topic"), F.col("slug"))
+    edge = got.select(src.alias("src"), dst.alias("dst"), F.lit("covers").alias("relation"), F.lit(1.0).alias("weight"), F.lit(None).cast("int").alias("position"), "ordinal")
+    return page.unionByName(topic), edge
 
 
 def traverse(edges: DataFrame, starts: DataFrame, max_depth: int, keep: Callable[[DataFrame], DataFrame], relation: str | None = None) -> DataFrame:

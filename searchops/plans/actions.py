@@ -124,12 +124,13 @@ def page_differences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Pages and their links; parts as keywords in topics (their names); orders' customers as queries that suppliers, of which every
-    second is a competitor, rank for."""
+    """Pages and their links; parts as keywords in topics (their names); brands as queries that suppliers, of which every second is a
+    competitor, rank for; pages as content items that cover the topic of the part of their number, and every fifth once more
+    under an address that was not crawled."""
     project = F.lit("p")
     node = lambda df, kind, ref, label, at: df.select(project.alias("project_id"), F.lit(kind).alias("type"), ref.cast("string").alias("ref_id"), label.alias("label"), at.cast("long").alias("ordinal"))
     ident = lambda kind, ref: graph.node_id(project, F.lit(kind), ref.cast("string"))
-    edge = lambda df, src, dst, relation, weight, at: df.select(src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), weight.cast("double").alias("weight"), at.cast("long").alias("ordinal"))
+    edge = lambda df, src, dst, relation, at, place=F.lit(None): df.select(src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), F.lit(1.0).alias("weight"), place.cast("int").alias("position"), at.cast("long").alias("ordinal"))
     f = keeper(spark)(pages.facts(spark, sf).where("http_status = 200").select("page_id", "url", "title", "internal_links"))
     page = lambda u: ident("Page", tx.content_hash(u))
     links = f.select("page_id", "url", F.explode("internal_links").alias("to"))
@@ -146,10 +147,15 @@ def graph_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     ]
     sold = ps.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     all_edges = [
-        edge(links, page(F.col("url")), page(F.col("to")), "links_to", F.lit(1.0), F.col("page_id")),
-        edge(part, ident("Keyword", F.col("p_partkey")), ident("Topic", tx.slug(F.col("p_name"))), "appears_in", F.lit(1.0), F.col("p_partkey")),
-        edge(sold, graph.node_id(project, kind, ref), ident("Query", tx.content_hash(F.col("p_brand"))), "ranks_for", F.col("l_linenumber"), F.col("l_orderkey") * 10 + F.col("l_linenumber")),
+        edge(links, page(F.col("url")), page(F.col("to")), "links_to", F.col("page_id")),
+        edge(part, ident("Keyword", F.col("p_partkey")), ident("Topic", tx.slug(F.col("p_name"))), "appears_in", F.col("p_partkey")),
+        edge(sold, graph.node_id(project, kind, ref), ident("Query", tx.content_hash(F.col("p_brand"))), "ranks_for", F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_linenumber")),
     ]
+    item = _t(spark, sf, "pages").select(project.alias("project_id"), F.col("page_id").alias("topic_id"), F.col("page_id").alias("ordinal"), F.inline(F.array(F.struct("url"), F.struct(F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("?draft"))).alias("url")))))
+    topics = part.select(project.alias("project_id"), F.col("p_partkey").alias("topic_id"), tx.slug(F.col("p_name")).alias("slug"), F.col("p_name").alias("name"))
+    page_and_topic, covers = graph.content_topics(item.where("url is not null"), topics)
+    all_nodes.append(page_and_topic)
+    all_edges.append(covers)
     join = lambda rows: rows[0] if len(rows) == 1 else rows[0].unionByName(join(rows[1:]))
     return join(all_nodes), join(all_edges)
 
@@ -182,7 +188,11 @@ def graph_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def graph_search(spark: SparkSession, sf: str) -> DataFrame:
     """Every topic's name as a query over keywords."""
     n, _ = knowledge(spark, sf)
-    return graph.search(n, n.where("type = 'Topic'").select(F.col("label").alias("query")), 5, "Keyword").select("query", "label", "similarity", "score", "rank")
+    return graph.search(n, n.where("type = 'Topic'").select(F.col("label").alias("query")), 5, "Keyword").select("query", "label", "similarity", "text_rank", "score", "rank")
+
+
+def graph_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.orphan_pages(*knowledge(spark, sf)).select("id", "label")
 
 
 def technical_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,13 +236,16 @@ _RECIPES = "(VALUES " + ", ".join("('{}', '{}', '{}', '{}', '{}', '{}')".format(
 _ID = "sha256('p|{0}|' || {1})"
 GRAPH_SQL = f"""{pages.FACTS_SQL}, live AS (SELECT page_id, url, internal0 FROM facts WHERE http_status = 200),
   sellers AS (SELECT DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 'Competitor' ELSE 'Page' END AS type, l_suppkey FROM lineitem),
+  items AS (SELECT page_id, u AS url, p_name FROM (SELECT page_id, unnest(CASE WHEN page_id % 5 = 0 THEN [url, url || '?draft'] ELSE [url] END) AS u FROM pages) JOIN part ON p_partkey = page_id),
   node_rows AS (SELECT 'Page' AS type, sha256(url) AS ref_id, url AS label, page_id AS ordinal FROM live UNION ALL SELECT 'Keyword', p_partkey::VARCHAR, p_name || ' ' || lower(p_type), p_partkey FROM part
-    UNION ALL SELECT 'Topic', replace(lower(p_name), ' ', '-'), p_name, p_partkey FROM part UNION ALL SELECT 'Query', sha256(p_brand), p_brand, p_partkey FROM part UNION ALL SELECT type, sha256(l_suppkey::VARCHAR), l_suppkey::VARCHAR, 0 FROM sellers),
+    UNION ALL SELECT 'Topic', replace(lower(p_name), ' ', '-'), p_name, p_partkey FROM part UNION ALL SELECT 'Query', sha256(p_brand), p_brand, p_partkey FROM part UNION ALL SELECT type, sha256(l_suppkey::VARCHAR), l_suppkey::VARCHAR, 0 FROM sellers
+    UNION ALL SELECT 'Page', sha256(url), url, page_id FROM items UNION ALL SELECT 'Topic', replace(lower(p_name), ' ', '-'), p_name, page_id FROM items),
   nodes AS (SELECT sha256('p|' || type || '|' || ref_id) AS id, 'p' AS project_id, type, ref_id, last(label ORDER BY ordinal, label) AS label FROM node_rows GROUP BY type, ref_id),
-  edge_rows AS (SELECT sha256('p|Page|' || sha256(url)) AS src, sha256('p|Page|' || sha256(target)) AS dst, 'links_to' AS relation, 1.0::DOUBLE AS weight, page_id AS ordinal FROM (SELECT page_id, url, unnest(internal0) AS target FROM live)
-    UNION ALL SELECT sha256('p|Keyword|' || p_partkey), sha256('p|Topic|' || replace(lower(p_name), ' ', '-')), 'appears_in', 1.0, p_partkey FROM part
+  edge_rows AS (SELECT sha256('p|Page|' || sha256(url)) AS src, sha256('p|Page|' || sha256(target)) AS dst, 'links_to' AS relation, NULL::INT AS position, page_id AS ordinal FROM (SELECT page_id, url, unnest(internal0) AS target FROM live)
+    UNION ALL SELECT sha256('p|Keyword|' || p_partkey), sha256('p|Topic|' || replace(lower(p_name), ' ', '-')), 'appears_in', NULL, p_partkey FROM part
+    UNION ALL SELECT sha256('p|Page|' || sha256(url)), sha256('p|Topic|' || replace(lower(p_name), ' ', '-')), 'covers', NULL, page_id FROM items
     UNION ALL SELECT sha256('p|' || CASE WHEN l_suppkey % 2 = 0 THEN 'Competitor' ELSE 'Page' END || '|' || sha256(l_suppkey::VARCHAR)), sha256('p|Query|' || sha256(p_brand)), 'ranks_for', l_linenumber, l_orderkey * 10 + l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey),
-  edges AS (SELECT src, dst, relation, last(weight ORDER BY ordinal, weight) AS weight FROM edge_rows WHERE src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) GROUP BY ALL)"""
+  edges AS (SELECT src, dst, relation, 1.0::DOUBLE AS weight, last(position ORDER BY ordinal, position) AS position FROM edge_rows WHERE src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) GROUP BY ALL)"""
 _WANT = "CASE WHEN page_id % 3 = 0 THEN 'x' ELSE title END"
 _SEV = technical.SEVERITIES
 
@@ -276,9 +289,12 @@ QUERIES.update(
     graph_search=Query(
         graph_search,
         f"""WITH {GRAPH_SQL}, pieces AS (SELECT id, type, label, list_distinct(flatten(list_transform(regexp_extract_all(lower(label), '[a-z0-9]+'), lambda w: list_transform(range(1, len(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS t, list_distinct(regexp_extract_all(lower(label), '[a-z0-9]+')) AS w FROM nodes WHERE type IN ('Topic', 'Keyword')),
-        met AS (SELECT q.label AS query, k.id, k.label, len(list_intersect(q.t, k.t)) / len(list_distinct(list_concat(q.t, k.t))) AS s, len(list_intersect(q.w, k.w)) / greatest(1, len(q.w)) AS m FROM pieces q JOIN pieces k ON q.type = 'Topic' AND k.type = 'Keyword' WHERE len(list_intersect(q.t, k.t)) > 0)
-        SELECT query, label, round(s, 6) AS similarity, round(s + m, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(s + m, 6) DESC, id) AS rank FROM met WHERE s > 0.1 OR m = 1 QUALIFY rank <= 5""",
+        met AS (SELECT q.label AS query, k.id, k.label, len(list_intersect(q.t, k.t)) / len(list_distinct(list_concat(q.t, k.t))) AS s, len(list_intersect(q.w, k.w)) = len(q.w) AS every, q.w[1] AS one, q.w[2] AS two, list_append(regexp_extract_all(lower(k.label), '[a-z0-9]+'), 'keyword') AS kw
+          FROM pieces q JOIN pieces k ON q.type = 'Topic' AND k.type = 'Keyword' WHERE len(list_intersect(q.t, k.t)) > 0),
+        ranked AS (SELECT query, id, label, s, every, 1 - list_aggregate(flatten(list_transform(range(1, len(kw) + 1), lambda i: list_transform(range(1, len(kw) + 1), lambda j: CASE WHEN kw[i] = one AND kw[j] = two THEN 1 - 0.1 * sqrt(1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(i - j) / 1.5::DOUBLE - 2))) ELSE 1.0::DOUBLE END))), 'product') AS r FROM met)
+        SELECT query, label, round(s, 6) AS similarity, round(r, 6) AS text_rank, round(s + r, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(s + r, 6) DESC, id) AS rank FROM ranked WHERE s > 0.1 OR every QUALIFY rank <= 5""",
     ),
+    graph_orphans=Query(graph_orphans, f"WITH {GRAPH_SQL} SELECT id, label FROM nodes WHERE type = 'Page' AND id NOT IN (SELECT dst FROM edges WHERE relation = 'links_to')"),
     technical_report=Query(
         technical_report,
         f"""WITH {pages.FINDINGS_SQL}, i AS (SELECT *, coalesce(url, url_pattern, '*') AS spot, row_number() OVER (PARTITION BY site, severity ORDER BY check_code, coalesce(url, url_pattern, '*')) AS place FROM findings),

@@ -75,7 +75,7 @@ class CrawlChain:
         rows = live.select(F.col("site").alias("project_id"), F.lit("Page").alias("type"), tx.content_hash(F.col("final_url")).alias("ref_id"), F.col("final_url").alias("label"), F.col("page_id").alias("ordinal"))
         nodes = graph.nodes(rows)
         links = live.select("site", "page_id", F.col("final_url").alias("url"), F.explode("internal_links").alias("to"))
-        edges = graph.edges(links.select(page(F.col("site"), F.col("url")).alias("src"), page(F.col("site"), F.col("to")).alias("dst"), F.lit("links_to").alias("relation"), F.lit(1.0).alias("weight"), F.col("page_id").alias("ordinal")), nodes)
+        edges = graph.edges(links.select(page(F.col("site"), F.col("url")).alias("src"), page(F.col("site"), F.col("to")).alias("dst"), F.lit("links_to").alias("relation"), F.lit(1.0).alias("weight"), F.lit(None).cast("int").alias("position"), F.col("page_id").alias("ordinal")), nodes)
         site_of = nodes.select(F.col("id").alias("src"), F.col("project_id").alias("site"))
         self._write("nodes", nodes.withColumnRenamed("project_id", "site"), events)
         return self._write("edges", edges.join(site_of, "src"), events)
