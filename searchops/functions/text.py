@@ -108,6 +108,26 @@ def json_object(text: Column) -> Column:
     return F.when((cut != "") & F.try_parse_json(cut).isNotNull(), cut)
 
 
+#: What a field of an object may be, and what the type of such a JSON value begins with.
+KINDS = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
+
+
+def rejection(text: Column, fields: dict[str, str]) -> Column:
+    """Why the object cut from a text is not one of these fields: null if it is, "no object", or what is wrong by field.
+
+    fields has a kind for each name; with "?" behind it the field may be left out or null. Other fields may be there.
+    """
+    cut = json_object(text)
+    value = F.try_parse_json(cut)
+    wrong = []
+    for name, kind in fields.items():
+        got = F.coalesce(F.schema_of_variant(F.try_variant_get(value, f"$['{name}']", "variant")), F.lit("VOID"))
+        right = got.rlike("^(" + "|".join(KINDS[kind.rstrip("?")]) + ")")
+        absent = F.lit(None).cast("string") if kind.endswith("?") else F.lit(f"{name}: missing")
+        wrong.append(F.when(got == "VOID", absent).when(~right, F.lit(f"{name}: not {kind.rstrip('?')}")))
+    return F.when(cut.isNull(), "no object").otherwise(F.nullif(F.concat_ws(", ", *wrong), F.lit("")))
+
+
 def content_hash(data: Column) -> Column:
     return F.sha2(data, 256)
 

@@ -216,11 +216,12 @@ KEYWORD = "CASE WHEN doc_id % 7 = 0 THEN '' ELSE lower(split_part(coalesce(text,
 
 
 def model_objects(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON objects cut from answers, of which every third is broken."""
-    return _t(spark, sf, "conversations").select("conv_id", "turn", tx.json_object(F.expr(OBJECT)).alias("object"))
+    """JSON objects cut from answers, of which every third is broken, and why some are not the object that was asked for."""
+    rows = _t(spark, sf, "conversations").select("conv_id", "turn", F.expr(OBJECT).alias("answer"))
+    return rows.select("conv_id", "turn", tx.json_object(F.col("answer")).alias("object"), tx.rejection(F.col("answer"), {"score": "integer", "notes": "object?"}).alias("rejected"))
 
 
-OBJECT = "concat('Sure: ', CASE WHEN turn % 3 = 0 THEN '{\"score\": ' ELSE concat('{\"score\": ', CAST(conv_id AS STRING), ', \"notes\": {}} done') END)"
+OBJECT = """concat('Sure: ', CASE WHEN turn % 3 = 0 THEN '{"score": ' WHEN conv_id % 5 = 0 THEN '{"notes": null} done' WHEN conv_id % 7 = 0 THEN '{"score": "9", "notes": [1]}' ELSE concat('{"score": ', CAST(conv_id AS STRING), ', "notes": {}} done') END)"""
 
 _COLS = "site, type, action_class, url, url_pattern, score, priority, opportunity_key"
 DETECTED_SQL = f"""{pages.OPPORTUNITIES_SQL}, {EVIDENCE_SQL}, {GROUPS_SQL}, {pages.INVENTORY_SQL.split(pages.FACTS_SQL + ",", 1)[1].replace("typed AS", "typed9 AS").replace("FROM typed)", "FROM typed9)").replace("scored AS", "scored9 AS").replace("FROM scored)", "FROM scored9)")},
@@ -314,5 +315,11 @@ QUERIES.update(
         r AS (SELECT doc_id, score, CASE WHEN score >= 70 THEN 'PASS' WHEN score >= 45 THEN 'REVISE' ELSE 'FAIL' END AS verdict, w + covers AS coverage, h2 * 3 AS structure, opening + mentions AS keyword_alignment, links * 3 AS linking, round(least(20, score / 5), 2) AS depth FROM s)
         SELECT *, array_to_string(list_transform(list_sort([{{'v': coverage::DOUBLE, 'i': 0, 'd': 'coverage'}}, {{'v': structure::DOUBLE, 'i': 1, 'd': 'structure'}}, {{'v': keyword_alignment::DOUBLE, 'i': 2, 'd': 'keyword_alignment'}}, {{'v': linking::DOUBLE, 'i': 3, 'd': 'linking'}}, {{'v': depth::DOUBLE, 'i': 4, 'd': 'depth'}}])[1:2], lambda x: x.d), ',') AS weakest FROM r""",
     ),
-    model_objects=Query(model_objects, "SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN concat('{\"score\": ', conv_id, ', \"notes\": {}}') END AS object FROM conversations"),
+    model_objects=Query(
+        model_objects,
+        """WITH o AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL WHEN conv_id % 5 = 0 THEN '{"notes": null}' WHEN conv_id % 7 = 0 THEN '{"score": "9", "notes": [1]}' ELSE concat('{"score": ', conv_id, ', "notes": {}}') END AS object FROM conversations),
+        t AS (SELECT *, json_type(object, '$.score') AS score, json_type(object, '$.notes') AS notes FROM o)
+        SELECT conv_id, turn, object, CASE WHEN object IS NULL THEN 'no object' ELSE nullif(concat_ws(', ', CASE WHEN coalesce(score, 'NULL') = 'NULL' THEN 'score: missing' WHEN score NOT IN ('UBIGINT', 'BIGINT') THEN 'score: not integer' END,
+          CASE WHEN coalesce(notes, 'NULL') NOT IN ('NULL', 'OBJECT') THEN 'notes: not object' END), '') END AS rejected FROM t""",
+    ),
 )

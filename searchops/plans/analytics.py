@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import content, graph, keywords, lifecycle, metrics, visibility
+from ..operators import agreement, content, graph, keywords, lifecycle, metrics, visibility
 from ..sources.kept import KeyedTable
 from ..sources.tables import keeper, shared_root
 from .registry import QUERIES, Query
@@ -245,6 +245,24 @@ def label_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.judged(tall, bounds)
 
 
+def rank_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Of lines by return flag: do their prices rank as their quantities do, of which there are few distinct ones?"""
+    return agreement.rank_correlation(_t(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice", keeper(spark))
+
+
+def engine_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """The thresholds of rank correlation and of false alarms: lines' prices as scores of an order by quantity; a rule that flags
+    documents, on those that are labelled good."""
+    lines = _t(spark, sf, "lineitem").select(F.lit("opportunity_scoring").alias("engine"), "l_quantity", "l_extendedprice")
+    rho = agreement.rank_correlation(lines, ["engine"], "l_quantity", "l_extendedprice", keeper(spark)).select("engine", F.lit("rank_correlation").alias("metric"), F.round("rank_correlation", 4).alias("value"))
+    engine = F.lit("anomaly_detector").alias("engine")
+    said = _t(spark, sf, "documents").where(F.regexp_count("text", F.lit("!!")) >= 1).select(engine, "doc_id")
+    clean = _t(spark, sf, "labels").where("quality = 1").select(engine, "doc_id")
+    alarms = agreement.false_positive_rate(said, clean, ["engine", "doc_id"]).select("engine", F.lit("false_positive_rate").alias("metric"), F.col("false_positive_rate").alias("value"))
+    bounds = spark.createDataFrame(lifecycle.THRESHOLDS, "engine string, metric string, bound double, lower_is_better boolean")
+    return lifecycle.judged(rho.unionByName(alarms), bounds)
+
+
 def redacted_documents(spark: SparkSession, sf: str) -> DataFrame:
     key = F.concat(F.lit("ghp_"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 24), F.lit(" npg_"), F.substring(F.md5("source"), 1, 14))
     text = F.concat_ws(" ", "text", key)
@@ -256,6 +274,10 @@ def cannibalized_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_brand", "keyword", "n", F.array_join("urls", ",").alias("pages"))
 
 
+_RHO = (
+    "lines AS (SELECT {0} AS g, l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL), "
+    "ranked AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2 AS ry FROM lines)"
+)
 _CHANGE = "CASE WHEN coalesce({0}, 0) <> 0 THEN (coalesce({1}, 0) - {0}) / {0} * 100 * sign ELSE 0 END"
 _EXPERIMENTS = f"""{DAILY_SQL}, x AS (SELECT series || '/' || m AS experiment_id, series, CASE WHEN m % 2 = 0 THEN CASE WHEN series = '1-URGENT' THEN '2-HIGH' ELSE '1-URGENT' END END AS control, ['clicks', 'position', 'users', 'revenue'][m % 4 + 1] AS metric,
     make_date(1998, m::INT, 1) AS start, CASE WHEN m % 5 = 0 THEN 10 ELSE 28 END AS days, m % 7 = 0 AS moved FROM (SELECT DISTINCT series FROM daily), range(1, 13) r(m)),
@@ -389,6 +411,13 @@ QUERIES.update(
         SELECT 'technical_engine' AS engine, tp, fp, fn, 'precision' AS metric, round(p, 4) AS value, 0.9 AS bound, round(p, 4) >= 0.9 AS passed FROM p UNION ALL SELECT 'technical_engine', tp, fp, fn, 'recall', round(r, 4), 0.85, round(r, 4) >= 0.85 FROM p
         UNION ALL SELECT 'technical_engine', tp, fp, fn, 'f1', CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 4) ELSE 0 END, NULL, NULL FROM p""",
     ),
+    rank_agreement=Query(rank_agreement, f"WITH {_RHO.format('l_returnflag')} SELECT g AS l_returnflag, count(*) AS n, round(corr(rx, ry), 6) AS rank_correlation FROM ranked GROUP BY g"),
+    engine_verdicts=Query(
+        engine_verdicts,
+        f"""WITH {_RHO.format("1")}, a AS (SELECT count(*) AS n, count_if(doc_id IN (SELECT doc_id FROM documents WHERE contains(text, '!!'))) AS k FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1))
+        SELECT 'opportunity_scoring' AS engine, 'rank_correlation' AS metric, round(corr(rx, ry), 4) AS value, 0.7 AS bound, round(corr(rx, ry), 4) >= 0.7 AS passed FROM ranked
+        UNION ALL SELECT 'anomaly_detector', 'false_positive_rate', round(k / n, 4), 0.1, round(k / n, 4) <= 0.1 FROM a""",
+    ),
     redacted_documents=Query(redacted_documents, f"SELECT doc_id, sha256({_REDACT}) AS redacted_sha256, regexp_matches(text, '{'|'.join(tx.CREDENTIALS)}') AS had_credential FROM documents"),
     cannibalized_keywords=Query(
         cannibalized_keywords,
