@@ -4,13 +4,14 @@ A word is the bag of its character 3- to 5-grams (with its ends marked) and itse
 embedding rows, so a misspelling that was never seen shares rows with known words. A passage of ``WINDOW`` words
 is the average of its rows, and a softmax over (clean, toxic) reads it; a text scores as its most toxic passage,
 so a long text does not dilute a few lines. Embeddings and softmax are trained together on the driver on at
-most ``TRAIN_ROWS`` labelled documents of ``TRAIN_BYTES`` in all (a documented bound), as many of each label as far as there are;
-the bias is then set back to the shares of the labels among all labelled documents. Scoring is a map over all whole texts. As
-the softmax is linear, a row's share in the log-odds is one number, and that table is all a task gets.
+most ``TRAIN_ROWS`` labelled documents of ``TRAIN_BYTES`` in all (a documented bound), as many of each label as far as there are.
+The bias is then set so that a score of ``CUT`` is where recall and the share of clean documents kept are greatest in sum, as
+found on the same documents by models that were trained without them (``FOLDS`` parts). Scoring is a map over all whole texts.
+As the softmax is linear, a row's share in the log-odds is one number, and that table is all a task gets.
 
 Defined results: a null, empty or wordless text gets the score of the empty bag, which is the bias alone; repeated
 rows score alike; a table without rows gives none; without labelled rows of both kinds the score is the prior 0.5;
-null labels and labels without a document are ignored; of several labels of an id the largest stands, of several texts the
+with fewer than ``FOLDS`` of a kind the bias stays as it was trained; null labels and labels without a document are ignored; of several labels of an id the largest stands, of several texts the
 smallest; other columns are not read.
 """
 
@@ -28,11 +29,10 @@ from .samples import first_of_each, texts_of
 from .scratch import Tables
 from .textkernel import ALNUM, BYTE_CODES, LOWER, frugal, mix, slices, span_hashes, spans
 
-BUCKETS, DIM, WINDOW = 1 << 18, 8, 64
+BUCKETS, DIM, WINDOW = 1 << 18, 8, 8
 GRAMS = (3, 4, 5)
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, RATE = 3000, 8 << 20, 6, 0.3
-#: Rows of the embedding table that fewer training documents share carry nothing that generalises.
-MIN_DOCUMENTS = 4
+CUT, FOLDS = 0.3, 3
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.random.default_rng(3).integers(1, 1 << 63, 8, dtype=np.uint64)
 
@@ -117,10 +117,9 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 0) -> tupl
     if len(ys) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0
     rng = np.random.default_rng(seed)
-    shared = np.zeros(BUCKETS, np.int32)
+    known = np.zeros(BUCKETS, bool)
     for _, bucket, _ in bags:
-        shared[np.unique(bucket)] += 1
-    known = shared >= MIN_DOCUMENTS
+        known[bucket] = True
     emb = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
     emb[~known] = 0
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
@@ -139,11 +138,8 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 0) -> tupl
                 rows = bucket[edge[k] : edge[k] + size[k]]
             else:
                 rows = bucket
-            total = len(rows)
-            rows, times = np.unique(rows[known[rows]], return_counts=True)
-            if not len(rows):
-                continue
-            weight = (times / total).astype(np.float32)
+            rows, times = np.unique(rows, return_counts=True)
+            weight = (times / times.sum()).astype(np.float32)
             mean = weight @ emb[rows]
             z = mean @ soft + bias
             p = np.exp(z - z.max())
@@ -161,20 +157,49 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 0) -> tupl
     return emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
 
 
+def log_odds(model: tuple[np.ndarray, float], bags: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Of each bag, as for a text: its most toxic window."""
+    weights, bias = model
+    out = np.full(len(bags), float(bias))
+    for i, (_, bucket, size) in enumerate(bags):
+        size = size[size > 0]
+        if len(size):
+            out[i] += (np.add.reduceat(weights[bucket].astype(np.float64), np.cumsum(size) - size) / size).max()
+    return out
+
+
+def best_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """Halfway below the log-odds down to which recall less the share of clean documents hit is greatest; ties: the higher one."""
+    values, of = np.unique(z, return_inverse=True)
+    hit = [np.cumsum(np.bincount(of[y == k], minlength=len(values))[::-1]) / max(1, (y == k).sum()) for k in (1, 0)]
+    values, k = values[::-1], int(np.argmax(hit[0] - hit[1]))
+    return float((values[k] + values[min(k + 1, len(values) - 1)]) / 2)
+
+
+def calibrated(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """The model of all bags, its bias moved so that the best cut of models that did not see what they score is at CUT."""
+    weights, bias = train(bags)
+    y = np.array([b[0] for b in bags], int)
+    if min(np.bincount(y, minlength=2)) < FOLDS:
+        return weights, bias
+    fold, z = np.zeros(len(bags), int), np.zeros(len(bags))
+    for label in (0, 1):
+        fold[y == label] = np.arange((y == label).sum()) % FOLDS
+    for k in range(FOLDS):
+        z[fold == k] = log_odds(train([b for b, f in zip(bags, fold, strict=True) if f != k]), [b for b, f in zip(bags, fold, strict=True) if f == k])
+    return weights, bias + float(np.log(CUT / (1 - CUT))) - best_cut(z, y)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     known = labels_of(labels, "toxic", 4, 2)
-    share = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows at most
     tables = Tables(docs.sparkSession, "toxicity")
     sample = texts_of(docs, first_of_each(known, "y", train_rows), train_bytes, tables)
     table = sample.select("doc_id", "text", "y").mapInArrow(frugal(_bags), "doc_id long, y int, buckets array<int>, sizes array<int>")
     table = table.toArrow().sort_by("doc_id")  # the bounded sample, as gram numbers
     bags = [(y.as_py(), b.values.to_numpy(), w.values.to_numpy()) for y, b, w in zip(table["y"], table["buckets"], table["sizes"], strict=True)]
-    weights, bias = train(bags)
-    n = np.bincount([y for y, *_ in bags], minlength=2)
-    if n.all():  # the sample has both kinds alike; their shares in all labels are another prior
-        bias += float(np.log(share[1] / share[0]) - np.log(n[1] / n[0]))
+    weights, bias = calibrated(bags)
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,4 +220,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(flat)], ["doc_id", "score"])
 
     scored = docs.mapInArrow(frugal(score), "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id"), 4, 2), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id"), 4, 2), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

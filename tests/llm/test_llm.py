@@ -536,3 +536,17 @@ def test_pipeline_equals_brute_force(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         got = stage(spark, clash, SF)
         assert set(clash.columns) <= set(got.columns) and {tuple(r) for r in got.select(clash.columns[3:]).collect()} == {tuple("abcdefg")}
+
+
+def test_toxicity_cut_is_found_on_texts_the_model_did_not_see():
+    z, y = np.array([3.0, 2.0, 2.0, 1.0, 0.0, -1.0]), np.array([1, 1, 0, 1, 0, 0])
+    j = lambda c: (z[y == 1] >= c).mean() - (z[y == 0] >= c).mean()
+    cut = subword_toxicity.best_cut(z, y)
+    assert cut == 0.5 and all(j(cut) >= j(c) for c in z)
+    rng = np.random.default_rng(4)
+    bags = [(k % 2, np.append(rng.integers(0, 50, 20), 60 + rng.integers(0, 3) if k % 2 else 50).astype(np.int32), np.array([21], np.int32)) for k in range(240)]
+    model = subword_toxicity.calibrated(bags[:180])
+    score = 1 / (1 + np.exp(-subword_toxicity.log_odds(model, bags[180:])))
+    assert np.mean((score >= subword_toxicity.CUT) == np.array([b[0] for b in bags[180:]])) > 0.95
+    few = bags[:180:2] + bags[1:5:2]  # two toxic ones: the bias stays
+    assert subword_toxicity.calibrated(few)[1] == subword_toxicity.train(few)[1]
