@@ -117,6 +117,12 @@ def cluster_rollup(members: DataFrame, first_intents: DataFrame) -> DataFrame:
     return got.select(F.col("seed").alias("name"), tx.slug(F.col("seed")).alias("slug"), "size", "volume_sum", "intents", "primary_intent")
 
 
+def overview(clusters: DataFrame) -> DataFrame:
+    """Clusters by falling volume, then size, then name, each with the number of keywords in all clusters."""
+    total = clusters.agg(F.sum("size").alias("n_keywords"))
+    return clusters.join(F.broadcast(total)).orderBy(F.desc("volume_sum"), F.desc("size"), "name")  # one row
+
+
 def replaced(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """A replace-all sink: the rows of every key in ``rows`` take the place of the table's."""
     keep = table.join(rows.select(key).distinct(), key, "left_anti")

@@ -40,6 +40,11 @@ def anomalies(points: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return hits.select("series", "day", F.when(F.col("value") < F.col("baseline"), "drop").otherwise("spike").alias("direction"), F.col("value").alias("observed"), F.round("baseline", 4).alias("baseline"), F.round("percent", 2).alias("magnitude_pct"), F.round("z", 3).alias("z_score"))
 
 
+def investigations(hits: DataFrame, checklist: tuple[str, ...] = CHECKLIST) -> DataFrame:
+    """New anomalies as open cases, each with what is to be looked at."""
+    return hits.withColumns({"status": F.lit("open"), "checklist": F.array(*map(F.lit, checklist))})
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New values replace old ones of the same key; ``state`` tells new, updated and kept rows."""
     o, n = old.withColumnRenamed("value", "old_value"), new.withColumnRenamed("value", "new_value")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,3 +116,29 @@ def reading_fingerprint(rows: DataFrame) -> DataFrame:
     """vitals rows with the SHA-256 of their readings, by which the same reading is taken once; a null reads "None"."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     return rows.withColumn("content_hash", F.sha2(F.concat_ws("|", *map(text, ("url", "strategy", "source", *(v for v, *_ in VITALS)))), 256))
+
+
+def asked_questions(payloads: DataFrame) -> DataFrame:
+    """run_id, question of the first payload shape; related questions stand before those that people also ask."""
+    p = F.from_json("payload", _SEARCH)
+    asked = F.when(F.size(p["related_questions"]) > 0, p["related_questions"]).otherwise(p["people_also_ask"])
+    return payloads.select("run_id", F.explode(asked).alias("q")).select("run_id", _or("q.question").alias("question"))
+
+
+#: What each provider's payloads are read by; callers may give others of the same two forms.
+PROVIDERS = {"search": (search_results, asked_questions), "tasks": (task_results, task_questions)}
+
+
+def provider_results(payloads: DataFrame, providers: dict = PROVIDERS) -> DataFrame:
+    """provider, run_id, position, url, title, snippet of payloads(run_id, provider, payload), each read in its provider's shape;
+    payloads of a provider that is not known give nothing."""
+    return _by_provider(payloads, providers, 0)
+
+
+def provider_questions(payloads: DataFrame, providers: dict = PROVIDERS) -> DataFrame:
+    return _by_provider(payloads, providers, 1)
+
+
+def _by_provider(payloads: DataFrame, providers: dict, part: int) -> DataFrame:
+    rows = [read[part](payloads.where(F.col("provider") == name)).withColumn("provider", F.lit(name)) for name, read in providers.items()]
+    return reduce(DataFrame.unionByName, rows)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import agreement, content, graph, keywords, lifecycle, metrics, visibility
 from ..sources.kept import KeyedTable
-from ..sources.tables import keeper, shared_root
+from ..sources.tables import keeper, scoped, shared_root
 from .registry import QUERIES, Query
 
 
@@ -35,6 +35,18 @@ def metric_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.anomalies(d, known)
 
 
+def anomaly_cases(spark: SparkSession, sf: str) -> DataFrame:
+    cases = metrics.investigations(metric_anomalies(spark, sf))
+    return cases.select("series", "day", "direction", "magnitude_pct", "status", F.explode("checklist").alias("step"))
+
+
+def scoped_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with their priority as tenant and their status as project: what one tenant sees of all projects and of one."""
+    o = _t(spark, sf, "orders").select(F.col("o_orderpriority").alias("tenant_id"), F.col("o_orderstatus").alias("project_id"), "o_orderkey")
+    every, one = scoped(o, "1-URGENT"), scoped(o, "1-URGENT", "F")
+    return every.withColumn("of", F.lit("tenant")).unionByName(one.withColumn("of", F.lit("project")))
+
+
 def metric_upsert(spark: SparkSession, sf: str) -> DataFrame:
     d = daily(spark, sf)
     old = d.where("day < date '1999-01-01'")
@@ -322,15 +334,22 @@ _REDACT = "concat_ws(' ', text, concat('ghp_', substring(md5(CAST(doc_id AS VARC
 for _p in tx.CREDENTIALS:
     _REDACT = f"regexp_replace({_REDACT}, '{_p}', '{tx.PLACEHOLDER}', 'g')"
 
-QUERIES.update(
-    metric_anomalies=Query(
-        metric_anomalies,
-        f"""WITH {DAILY_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day) AS place,
+ANOMALIES_SQL = f"""WITH {DAILY_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day) AS place,
             count(value) OVER s AS n_s, avg(value) OVER s AS m_s, stddev_pop(value) OVER s AS d_s, count(value) OVER e AS n_e, avg(value) OVER e AS m_e, stddev_pop(value) OVER e AS d_e
           FROM daily WINDOW s AS (PARTITION BY series, dayofweek(day) ORDER BY day {_W28}), e AS (PARTITION BY series ORDER BY day {_W28})),
         p AS (SELECT *, CASE WHEN n_s >= 3 THEN n_s ELSE n_e END AS n, CASE WHEN n_s >= 3 THEN m_s ELSE m_e END AS m, coalesce(nullif(CASE WHEN n_s >= 3 THEN d_s ELSE d_e END, 0), 1e-9) AS sd FROM w)
         SELECT series, day, CASE WHEN value < m THEN 'drop' ELSE 'spike' END AS direction, value AS observed, round(m, 4) AS baseline, round((value - m) / m * 100, 2) AS magnitude_pct, round((value - m) / sd, 3) AS z_score
-        FROM p WHERE place > 4 AND n >= 3 AND abs((value - m) / sd) >= 2.5 AND abs((value - m) / m * 100) >= 15 AND month(day) <> 3""",
+        FROM p WHERE place > 4 AND n >= 3 AND abs((value - m) / sd) >= 2.5 AND abs((value - m) / m * 100) >= 15 AND month(day) <> 3"""
+
+QUERIES.update(
+    metric_anomalies=Query(metric_anomalies, ANOMALIES_SQL),
+    anomaly_cases=Query(
+        anomaly_cases,
+        f"SELECT series, day, direction, magnitude_pct, 'open' AS status, unnest(['gsc', 'rankings', 'indexation', 'deployment_history', 'crawl_errors']) AS step FROM ({ANOMALIES_SQL})",
+    ),
+    scoped_orders=Query(
+        scoped_orders,
+        "SELECT o_orderpriority AS tenant_id, o_orderstatus AS project_id, o_orderkey, unnest(CASE WHEN o_orderstatus = 'F' THEN ['tenant', 'project'] ELSE ['tenant'] END) AS of FROM orders WHERE o_orderpriority = '1-URGENT'",
     ),
     metric_upsert=Query(
         metric_upsert,

@@ -57,6 +57,28 @@ def search_results(spark: SparkSession, sf: str) -> DataFrame:
     return payloads.search_results(search_payloads(spark, sf))
 
 
+def provider_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second run's payload as the other provider sends it."""
+    one = landed(spark, sf).withColumn("provider", F.when(F.col("run_id") % 2 == 0, "search").otherwise("tasks"))
+    odd, even = one.where("run_id % 2 = 1"), one.where("run_id % 2 = 0")
+    item = "struct<type:string,rank_absolute:int,url:string,title:string,description:string,items:array<struct<title:string>>>"
+    got = odd.select("run_id", "provider", F.from_json("payload", "struct<organic_results:array<struct<position:int,link:string,title:string,snippet:string>>,related_questions:array<struct<question:string>>>").alias("p"))
+    none = F.lit(None).cast("string")
+    organic = F.transform("p.organic_results", lambda r, i: F.struct(F.lit("organic").alias("type"), F.coalesce(r["position"], i + 1).alias("rank_absolute"), r["link"].alias("url"), r["title"].alias("title"), r["snippet"].alias("description"), F.lit(None).cast("array<struct<title:string>>").alias("items")))
+    asked = F.struct(F.lit("people_also_ask").alias("type"), F.lit(None).cast("int").alias("rank_absolute"), none.alias("url"), none.alias("title"), none.alias("description"), F.transform("p.related_questions", lambda q: F.struct(q["question"].alias("title"))).alias("items"))
+    items = F.concat(organic.cast(f"array<{item}>"), F.array(asked).cast(f"array<{item}>"))
+    tasks = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(items.alias("items"))).alias("result"))).alias("tasks")))
+    return got.select("run_id", "provider", tasks.alias("payload")).unionByName(even.select("run_id", "provider", "payload"))
+
+
+def provider_results(spark: SparkSession, sf: str) -> DataFrame:
+    return payloads.provider_results(provider_payloads(spark, sf))
+
+
+def provider_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return payloads.provider_questions(provider_payloads(spark, sf))
+
+
 def search_features(spark: SparkSession, sf: str) -> DataFrame:
     f = payloads.search_features(search_payloads(spark, sf))
     return f.select("run_id", "type", F.array_join("items", "|").alias("items"), F.coalesce("text", F.lit("")).alias("text"), F.array_join("cited_urls", "|").alias("cited_urls"))
@@ -158,6 +180,11 @@ def keyword_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return keywords.cluster_rollup(members, first).withColumn("intents", F.array_join("intents", ","))
 
 
+def keyword_overview(spark: SparkSession, sf: str) -> DataFrame:
+    """All clusters of the greedy clustering, the largest first, with the number of keywords."""
+    return keywords.overview(keyword_clusters(spark, sf))
+
+
 def replaced_intents(spark: SparkSession, sf: str) -> DataFrame:
     """Intents of all terms are there; those of terms about a widget are written anew with their rank only."""
     every = keywords.intents(terms(spark, sf)).select("term", "rank", "intent")
@@ -179,6 +206,8 @@ VITALS_SQL = """v AS (SELECT url, 'mobile' AS strategy, 'field' AS source, (page
 
 QUERIES.update(
     search_results=Query(search_results, f"WITH {RESULTS_SQL} SELECT run_id, position, url, title, snippet FROM results"),
+    provider_results=Query(provider_results, f"WITH {RESULTS_SQL} SELECT if(run_id % 2 = 0, 'search', 'tasks') AS provider, run_id, position, url, title, snippet FROM results"),
+    provider_questions=Query(provider_questions, f"WITH {RESULTS_SQL} SELECT if(run_id % 2 = 0, 'search', 'tasks') AS provider, run_id, question FROM asked"),
     search_features=Query(
         search_features,
         f"""WITH {RESULTS_SQL}, first AS (SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY turn) = 1)
@@ -224,6 +253,7 @@ QUERIES.update(
         QUALIFY row_number() OVER (PARTITION BY project_id, normalized ORDER BY ordinal, term) = 1""",
     ),
     keyword_clusters=Query(keyword_clusters),
+    keyword_overview=Query(keyword_overview),
     replaced_intents=Query(
         replaced_intents,
         f"""WITH {TERMS_SQL}, s AS (SELECT term, ' ' || lower(trim(term)) || ' ' AS s FROM terms), l AS ({" UNION ALL ".join(f"SELECT term, {i} AS place, '{k}' AS intent, CAST({x} AS DOUBLE) AS confidence FROM s" for i, k, x in INTENT_SQL)}),

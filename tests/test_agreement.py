@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from searchops.functions import text as tx
-from searchops.operators import agreement
+from searchops.operators import agreement, keywords, payloads
 from searchops.sources.tables import keeper
 
 
@@ -67,3 +67,16 @@ def test_objects_are_checked_by_field(spark):
     ]
     got = spark.createDataFrame(cases, "t string, want string").select("t", "want", tx.rejection(F.col("t"), fields).alias("got")).collect()
     assert [(r.t, r.got) for r in got] == cases
+
+
+def test_overview_lists_the_largest_cluster_first(spark):
+    rows = [("b", 2, 10), ("a", 2, 10), ("c", 3, 10), ("d", 1, 50)]
+    got = keywords.overview(spark.createDataFrame(rows, "name string, size long, volume_sum long")).collect()
+    assert [(r.name, r.n_keywords) for r in got] == [("d", 8), ("c", 8), ("a", 8), ("b", 8)]
+
+
+def test_payloads_of_unknown_and_broken_providers(spark):
+    rows = [(1, "search", '{"organic_results":[{"link":"u"}],"people_also_ask":[{"question":"q"}]}'), (2, "tasks", '{"tasks":[{"result":[{"items":[{"type":"organic","url":"v"}]}]}]}'), (3, "other", "{}"), (4, "tasks", "broken"), (5, None, None)]
+    df = spark.createDataFrame(rows, "run_id long, provider string, payload string").withColumn("title", F.lit("clash"))
+    assert sorted((r.provider, r.run_id, r.position, r.url) for r in payloads.provider_results(df).collect()) == [("search", 1, 1, "u"), ("tasks", 2, 1, "v")]
+    assert [tuple(r) for r in payloads.provider_questions(df).select("provider", "run_id", "question").collect()] == [("search", 1, "q")]
