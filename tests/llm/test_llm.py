@@ -507,7 +507,8 @@ def test_classifiers(spark, odd):
     big = "/root/testdata/sf0.1"
     rows = queries.op1_toxicity(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out").collect()
     good, bad = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
-    assert np.mean(np.array(good)[:, None] > np.array(bad)) >= 0.93
+    assert np.mean(np.array(good)[:, None] > np.array(bad)) >= 0.95
+    assert np.mean([r.predicted for r in rows if r.toxic]) >= 0.9 and np.mean([1 - r.predicted for r in rows if not r.toxic]) >= 0.95
     none = labels.limit(0)
     for got in (pu_quality.quality(odd, labels), subword_toxicity.toxicity(odd, labels), pu_quality.quality(odd, none), subword_toxicity.toxicity(odd, none)):
         assert all(0 <= r.score <= 1 for r in got.collect()) and got.count() == odd.count()
