@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,15 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of files: a stream's path may be a file only where it is a pattern."""
     schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("recursiveFileLookup", "true").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{table}.parque[t]")
+
+
+def _folded(stream: DataFrame, folder: str, keys: list[str], arriving: Callable[[DataFrame], DataFrame], step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
+    """The folded table; one without rows if none ever came."""
+    got = events.folded_table(stream, folder, keys, arriving, step)
+    return step(None, arriving(stream.sparkSession.createDataFrame([], stream.schema))) if got is None else got
 
 
 def event_stream_hours(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +77,7 @@ def metric_stream(spark: SparkSession, sf: str) -> DataFrame:
     def step(table: DataFrame | None, new: DataFrame) -> DataFrame:
         return new if table is None else metrics.upsert(table, new, keys).drop("state")
 
-    return events.folded_table(_stream(spark, sf, "events"), _folder(spark), keys, arriving, step)
+    return _folded(_stream(spark, sf, "events"), _folder(spark), keys, arriving, step)
 
 
 def page_states(table: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -89,7 +97,7 @@ def arriving_pages(rows: DataFrame) -> DataFrame:
 
 def crawl_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as arriving pages: the last fingerprint of each is kept, with the number of times it changed."""
-    return events.folded_table(_stream(spark, sf, "documents"), _folder(spark), ["url_hash"], arriving_pages, page_states)
+    return _folded(_stream(spark, sf, "documents"), _folder(spark), ["url_hash"], arriving_pages, page_states)
 
 
 def event_chain(spark: SparkSession, sf: str) -> DataFrame:
