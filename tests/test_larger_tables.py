@@ -31,3 +31,17 @@ def test_streams_of_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     got = streams.crawl_stream(spark, str(tmp_path))
     assert got.columns == ["url_hash", "fingerprint", "changes"] and got.isEmpty()
+
+
+@pytest.fixture
+def twin_urls(spark, tmp_path):
+    """Pages of which every two have one URL."""
+    p = spark.read.parquet(f"{SF}/pages.parquet")
+    urls = p.select((F.col("page_id") + F.col("page_id") % 2).alias("k"), "page_id").join(p.select(F.col("page_id").alias("k"), F.col("url").alias("u")), "k")
+    p.join(urls, "page_id").withColumn("url", F.col("u")).select(p.columns).write.parquet(f"{tmp_path}/pages.parquet")
+    return tmp_path
+
+
+def test_changes_of_pages_with_one_url(spark, twin_urls):
+    rows = equal_to_sql(spark, "change_assertions", twin_urls, ["pages"])
+    assert len({r[0] for r in rows}) == len(rows)
