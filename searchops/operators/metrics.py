@@ -77,6 +77,12 @@ def confounders(start: Column, days: Column, tracking_changed: Column, updates:
     return F.array_compact(F.array(*names))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Rounded half away from zero as the double stands; what is below zero keeps its sign where it rounds to zero."""
+    near = F.round(value * 10.0**places) / 10.0**places
+    return F.when((near == 0) & value.cast("string").startswith("-"), F.lit(-0.0)).otherwise(near)
+
+
 def experiment_verdicts(points: DataFrame, experiments: DataFrame, updates: tuple = UPDATES) -> DataFrame:
     """The verdict of each experiment(experiment_id, series, control_series, metric, baseline_start, baseline_end, start, days,
     tracking_changed) on points(series, day, value).
@@ -105,7 +111,7 @@ def experiment_verdicts(points: DataFrame, experiments: DataFrame, updates: tupl
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     change = lambda b, t: F.when(zero(b) != 0, (zero(t) - zero(b)) / zero(b) * 100 * sign).otherwise(0.0)
     controlled = F.col("cb").isNotNull() & F.col("ct").isNotNull()
-    rows = rows.withColumns({"effect": change("b", "t"), "controlled": controlled, "adjusted": F.when(controlled, change("b", "t") - change("cb", "ct"))})
+    rows = rows.withColumns({"effect": change("b", "t") + 0.0, "controlled": controlled, "adjusted": F.when(controlled, change("b", "t") - change("cb", "ct"))})
     noise = F.when((F.col("n") >= 3) & (zero("b") != 0), F.col("sd") / F.col("b") * 100).otherwise(0.0)
     rows = rows.withColumns({"noise": noise, "confounders": confounders(F.col("start"), F.col("days"), F.col("tracking_changed"), updates), "window_ok": F.col("days") >= min_days(F.col("metric"))})
     signal, clear = F.coalesce("adjusted", "effect"), (F.size("confounders") == 0) & F.col("window_ok")
@@ -114,7 +120,7 @@ def experiment_verdicts(points: DataFrame, experiments: DataFrame, updates: tupl
     decided = F.col("verdict").isin("success", "regression")
     sure = F.when(F.col("verdict") == "inconclusive", 0.3).when(decided & F.col("controlled"), 0.8).otherwise(0.6)
     return rows.select(
-        "experiment_id", "metric", F.round("effect", 2).alias("effect_pct"), F.round("adjusted", 2).alias("control_adjusted_pct"), F.round("noise", 2).alias("noise_band_pct"), "window_ok", "confounders",
+        "experiment_id", "metric", rounded(F.col("effect"), 2).alias("effect_pct"), rounded(F.col("adjusted"), 2).alias("control_adjusted_pct"), rounded(F.col("noise"), 2).alias("noise_band_pct"), "window_ok", "confounders",
         F.when(F.col("controlled"), "difference-in-differences").otherwise("before/after").alias("method"), "verdict", sure.alias("confidence"), (decided & F.col("controlled")).alias("causal_language_allowed"),
     )
 
@@ -125,5 +131,5 @@ def learnings(verdicts: DataFrame, kind: str) -> DataFrame:
     delta = F.when((F.col("verdict") == "success") & sure, 0.1).when((F.col("verdict") == "regression") & sure, -0.15).otherwise(0.0)
     how = F.when(F.col("causal_language_allowed"), "caused").otherwise("associated with")
     control = F.when(F.col("method") == "difference-in-differences", "controlled").otherwise("before/after only")
-    text = F.format_string("%s: %s (%s %+.1f%% on %s; %s)", F.col(kind), F.col("verdict"), how, F.round("effect_pct", 1), F.col("metric"), control)
+    text = F.format_string("%s: %s (%s %+.1f%% on %s; %s)", F.col(kind), F.col("verdict"), how, rounded(F.col("effect_pct"), 1), F.col("metric"), control)
     return verdicts.select("experiment_id", F.col(kind).alias("opportunity_type"), "verdict", "confidence", delta.alias("weight_delta"), text.alias("statement"))

@@ -53,3 +53,13 @@ def test_changes_of_pages_with_one_url(spark, twin_urls):
 def test_differences_of_pages_with_one_url(spark, twin_urls):
     n = spark.read.parquet(f"{twin_urls}/pages.parquet").count()
     assert len(equal_to_sql(spark, "page_differences", twin_urls, ["pages"])) == n
+
+
+def test_small_losses_keep_their_sign(spark, tmp_path):
+    """A fall of 0.02 % is written -0.0 %, as the SQL writes it, and so is one of 0.002 %."""
+    days = "explode(sequence(date '1997-12-01', date '1998-12-31')) AS day"
+    spark.sql(f"SELECT {days}").selectExpr("day", "explode(sequence(1, CASE WHEN day = date '1998-03-03' THEN 199 WHEN day = date '1998-08-03' THEN 1999 WHEN month(day) IN (7, 8) THEN 2000 ELSE 200 END)) AS i").selectExpr(
+        "'1-URGENT' AS o_orderpriority", "cast(day AS timestamp) AS o_orderdate", "i AS o_orderkey"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    rows = equal_to_sql(spark, "experiment_learnings", tmp_path, ["orders"])
+    assert sum("-0.0%" in str(r) for r in rows) >= 2
