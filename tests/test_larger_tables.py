@@ -3,9 +3,12 @@
 import decimal
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from searchops.functions import batches, html
+from searchops.operators import fingerprints
 from searchops.plans import registry, streams
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +66,15 @@ def test_small_losses_keep_their_sign(spark, tmp_path):
     ).write.parquet(f"{tmp_path}/orders.parquet")
     rows = equal_to_sql(spark, "experiment_learnings", tmp_path, ["orders"])
     assert sum("-0.0%" in str(r) for r in rows) >= 2
+
+
+def test_pages_are_read_in_slices():
+    """No more than a slice of a batch is held as Python objects; order and nulls stay."""
+    texts = ["<title>" + str(k) + "</title>" + "x" * (k % 7 * 100_000) if k % 5 else None for k in range(700)]
+    parts = list(html.parsed.func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert max(map(len, parts)) <= batches.ROWS and len(parts) > 100
+    assert [p["title"] for part in parts for p in part.to_pylist()] == [str(k) if k % 5 else "" for k in range(700)]
+    seen = []
+    assert sum(map(len, batches.sliced(pa.array(texts), lambda s: seen.append(sum(len(t or "") for t in s)) or pa.array(s)))) == 700
+    assert max(seen) <= batches.BYTES
+    assert fingerprints.simhash.func(pa.array(texts)).to_pylist()[:2] == ["0" * 16, fingerprints.simhash.func(pa.array(texts[1:2])).to_pylist()[0]]
