@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from searchops.functions import batches, html
 from searchops.operators import fingerprints
 from searchops.plans import registry, streams
+from searchops.plans import sitefiles as site_plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +79,13 @@ def test_pages_are_read_in_slices():
     assert sum(map(len, batches.sliced(pa.array(texts), lambda s: seen.append(sum(len(t or "") for t in s)) or pa.array(s)))) == 700
     assert max(seen) <= batches.BYTES
     assert fingerprints.simhash.func(pa.array(texts)).to_pylist()[:2] == ["0" * 16, fingerprints.simhash.func(pa.array(texts[1:2])).to_pylist()[0]]
+
+
+def test_sitemaps_of_sites_with_many_pages(spark, tmp_path):
+    """No file holds more than its share of a site's entries, also where a site's list is cut off or has bare ampersands."""
+    host = F.element_at(F.array(*(F.lit(f"www.shop{'x' * k}.example.com") for k in (1, 6, 11))), (F.floor(F.col("id") / 3) % 3 + 1).cast("int"))
+    url = F.concat(F.lit("https://"), host, F.lit("/en/"), F.col("id"), F.lit("?page=2&ref=x"))
+    spark.range(12000).select(F.col("id").alias("page_id"), url.alias("url"), F.lit("").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    assert len(equal_to_sql(spark, "sitemap_entries", tmp_path, ["pages"])) > 7000
+    files = site_plans.sitemap_files(spark, str(tmp_path)).select(F.size(F.split("sitemap_xml", "<loc>")).alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert files[0] <= site_plans.ENTRIES + 1 and files[1] > 6
