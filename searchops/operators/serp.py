@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions import text as tx
 from ..functions import urls as ux
+from ..functions.batches import ROWS
 
 #: Words that are no topic of a result, the form of a word, and what a run keeps at most.
 STOP = ("with", "your", "from", "this", "that", "have", "will", "what", "when", "which", "guide", "best", "how", "and", "the", "for", "you", "are", "our", "can", "get", "top", "vs")
@@ -45,15 +50,30 @@ def positions(firsts: DataFrame) -> DataFrame:
     return got
 
 
+_TOPIC = pa.struct([("phrase", pa.string()), ("n", pa.int64()), ("rank", pa.int32())])
+
+
+def _first_topics(runs: list[list[str] | None]) -> pa.Array:
+    """Of each run's phrases the most frequent; those of one count stand in the order in which they first came."""
+    found = [[(w, n, k) for k, (w, n) in enumerate(Counter(r or ()).most_common(ENTITIES), 1) if n >= LEAST] for r in runs]
+    return pa.array([[{"phrase": w, "n": n, "rank": k} for w, n, k in r] for r in found], pa.list_(_TOPIC))
+
+
+@F.arrow_udf(from_arrow_schema(pa.schema([("t", pa.list_(_TOPIC))]))["t"].dataType)
+def first_topics(phrase_lists: pa.Array) -> pa.Array:
+    """phrase, n and rank of the topics of each list of phrases."""
+    return pa.concat_arrays([_first_topics(phrase_lists.slice(k, ROWS).to_pylist()) for k in range(0, max(1, len(phrase_lists)), ROWS)])
+
+
 def topics(results: DataFrame) -> DataFrame:
     """run_id, phrase, n, weight, rank: the phrases of titles and snippets by count, ties by first place, the first ENTITIES of
-    these that occur LEAST times; weight is the count by results. A run's texts are one row: a page of results."""
+    these that occur LEAST times; weight is the count by results. A run's texts are one row, a page of results, and its phrases are counted
+    in that row: no task groups or sorts the phrases of many runs."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))
     runs = results.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("position", text.alias("t")))).alias("all"), F.count("*").alias("results"))
-    rows = runs.select("run_id", "results", F.posexplode(phrases(F.array_join(F.transform("all", lambda x: x["t"]), " "))).alias("at", "phrase"))
-    counts = rows.groupBy("run_id", "results", "phrase").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("n"), "at"))).where(F.col("rank") <= ENTITIES).where(F.col("n") >= LEAST)
-    return ranked.select("run_id", "phrase", "n", F.round(F.col("n") / F.greatest(F.lit(1), "results"), 3).alias("weight"), "rank")
+    rows = runs.select("run_id", "results", first_topics(phrases(F.array_join(F.transform("all", lambda x: x["t"]), " "))).alias("topics"))
+    rows = rows.select("run_id", "results", F.inline("topics"))
+    return rows.select("run_id", "phrase", "n", F.round(F.col("n") / F.greatest(F.lit(1), "results"), 3).alias("weight"), "rank")
 
 
 def questions(features: DataFrame, related: DataFrame) -> DataFrame:

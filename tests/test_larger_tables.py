@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from searchops.functions import batches, html
-from searchops.operators import fingerprints
+from searchops.operators import fingerprints, serp
 from searchops.plans import registry, streams
 from searchops.plans import sitefiles as site_plans
 
@@ -89,3 +89,16 @@ def test_sitemaps_of_sites_with_many_pages(spark, tmp_path):
     assert len(equal_to_sql(spark, "sitemap_entries", tmp_path, ["pages"])) > 7000
     files = site_plans.sitemap_files(spark, str(tmp_path)).select(F.size(F.split("sitemap_xml", "<loc>")).alias("n")).agg(F.max("n"), F.count("*")).first()
     assert files[0] <= site_plans.ENTRIES + 1 and files[1] > 6
+
+
+def test_topics_are_counted_in_their_run(spark, capsys):
+    """Nothing groups or ranks the phrases of many runs; ties stand by first place, and what occurs once is no topic."""
+    words = ["zeta", "beta", "zeta", "beta", "once"] + [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(25)] * 3
+    rows = spark.createDataFrame([(1, 1, None, " ".join(words)), (2, 1, "solo", None)], "run_id long, position int, title string, snippet string")
+    got = serp.topics(rows)
+    got.explain()
+    assert "Window" not in capsys.readouterr().out
+    first = sorted(map(tuple, got.select("rank", "phrase", "n").collect()))
+    assert len(first) == serp.ENTITIES and first[0] == (1, "waa", 3) and [r[0] for r in first] == list(range(1, 21))
+    few = serp.first_topics.func(pa.array([["b", "a", "a", "b", "c"], None, []])).to_pylist()
+    assert few == [[{"phrase": "b", "n": 2, "rank": 1}, {"phrase": "a", "n": 2, "rank": 2}], [], []]
