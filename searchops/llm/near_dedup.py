@@ -86,25 +86,43 @@ def _ragged(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *lists]))
 
 
-def _sets(rows: int | None):
-    """A map from doc_id and text to doc_id, size, both hashes and the bands of ``rows`` rows, or the whole set if that is None."""
+def _sketches(rows: int):
+    """A map from doc_id and text to doc_id, size, both hashes and the bands of ``rows`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, lists = [], []
             for s in shingle_sets(batch["text"], WORDS):
                 digests.append(_digest(s))
-                lists.append(s.view(np.int64) if rows is None else band_keys(min_max_signature(s), rows) if len(s) else np.zeros(0, np.int64))
+                lists.append(band_keys(min_max_signature(s), rows) if len(s) else np.zeros(0, np.int64))
             columns = [pa.array([d[k] for d in digests], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns, _ragged(lists)], ["doc_id", *SET, "shingles" if rows is None else "bands"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns, _ragged(lists)], ["doc_id", *SET, "bands"])
 
     return frugal(run)
 
 
-def _semi_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids; ids are broadcast only after their number is checked."""
-    few = ids.count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A map from text, class and the class's digest to class and set; other texts of the same doc_id go."""
+    for batch in batches:
+        wanted = zip(*(batch[c].to_pylist() for c in SET), strict=True)
+        own = [(i, s.view(np.int64)) for i, (s, d) in enumerate(zip(shingle_sets(batch["text"], WORDS), wanted, strict=True)) if _digest(s) == d]
+        yield pa.RecordBatch.from_arrays([batch["class"].take(pa.array([i for i, _ in own], pa.int64())), _ragged([s for _, s in own])], ["class", "shingles"])
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` of a written table, to be broadcast if their number, which is checked first, is small."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_IDS else rows
+
+
+def _sets_of(docs: DataFrame, met: DataFrame, tables: Tables) -> DataFrame:
+    """(class, shingles) of each row of ``met``. No set is shuffled, unless rows repeat a doc_id and its text."""
+    texts = docs.join(_few(met), "doc_id").select("class", *SET, "text")
+    sets = tables.keep(texts.mapInArrow(frugal(_whole_sets), "class long, shingles array<long>"), "sets")
+    if sets.count() == met.count():
+        return sets
+    once = tables.keep(sets.dropDuplicates(["class"]), "sets-once")
+    tables.remove("sets")
+    return once
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -159,9 +177,14 @@ def _pairs_of(buckets: DataFrame, tested: DataFrame | None, tables: Tables, i: i
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Whether each pair is linked, and of star pairs the shingles outside the centre and how many of these to index."""
-    pairs = pairs.join(sets.select(F.col("class").alias("r"), F.col("shingles").alias("rs")), "r")
-    pairs = pairs.join(sets.select("class", F.col("shingles").alias("xs")), "class")
+    """Whether each pair is linked, and of star pairs the shingles outside the centre and how many of these to index.
+
+    If the pairs are few, only the sets of their members are shuffled, each once, and a centre's set once a pair.
+    """
+    few = _few(pairs)
+    own = sets if few is pairs else sets.join(F.broadcast(pairs.select("class").distinct()), "class", "left_semi")
+    pairs = sets.select(F.col("class").alias("r"), F.col("shingles").alias("rs")).join(few, "r")
+    pairs = pairs.join(own.select("class", F.col("shingles").alias("xs")), "class")
     nr, nx, common, need = (F.col(c) for c in ("nr", "nx", "common", "need"))
     tested = pairs.select("r", "class", "star", F.size("rs").alias("nr"), F.size("xs").alias("nx"), F.array_except("xs", "rs").alias("outside"))
     tested = tested.withColumn("common", nx - F.size("outside")).withColumn("need", F.ceil((nr + nx) * percent / (100 + percent)))
@@ -218,9 +241,11 @@ def _labels(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int,
     """(node, component) over ``links`` and all links between the buckets' members; see the module's text."""
     tested, labels = None, _merged(None, links, tables, "repeated")
     for i in itertools.count():
-        new = _compared(_pairs_of(buckets, tested, tables, i), sets, percent)
-        tables.write(new, f"tested/round={i}")  # one folder for all rounds, so that plans do not grow with them
+        pairs = tables.keep(_pairs_of(buckets, tested, tables, i), f"pairs-{i}")
         tables.remove(f"centre-{i}", f"buckets-{i}")
+        new = _compared(pairs, sets, percent)
+        tables.write(new, f"tested/round={i}")  # one folder for all rounds, so that plans do not grow with them
+        tables.remove(f"pairs-{i}")
         tested = tables.spark.read.schema(StructType([*new.schema, StructField("round", IntegerType())])).parquet(tables.path("tested"))
         links = tested.where("linked").where(F.col("round") == i).select(F.least("r", "class").alias("u"), F.greatest("r", "class").alias("v"))
         labels = _merged(labels, links, tables, f"{i}")
@@ -246,26 +271,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     tables = Tables(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    digest = "doc_id long, n_shingles long, one long, two long"
-    rows = tables.keep(docs.mapInArrow(_sets(band_rows(percent)), f"{digest}, bands array<long>"), "sketches")
-    named = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy(*SET).agg(F.min(F.struct("doc_id", "bands")).alias("first"))
+    sketches = docs.mapInArrow(_sketches(band_rows(percent)), "doc_id long, n_shingles long, one long, two long, bands array<long>")
+    sketches = tables.keep(sketches, "sketches")
+    classes = sketches.where("n_shingles > 0 and doc_id is not null").groupBy(*SET).agg(F.min(F.struct("doc_id", "bands")).alias("first"))
     classes = classes.select(*SET, "first.doc_id", "first.bands", F.monotonically_increasing_id().alias("class"))
-    classes = tables.keep(classes, "classes")  # from here on the numbers of the classes are fixed
-    members = classes.select("class", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "key"))
-    members = members.select(F.xxhash64("band", "key").alias("bucket"), "class", "size", F.col("class").alias("component"))
+    banded = tables.keep(classes, "banded")  # from here on the numbers of the classes are fixed
+    rows = tables.keep(sketches.drop("bands"), "rows")
+    tables.remove("sketches")  # bands are most of it
+    named = rows.where("n_shingles > 0 and doc_id is not null")
+    members = banded.select("class", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "key"))
+    members = members.select(F.xxhash64("band", "key").alias("bucket"), "class", "size")
     shared = tables.keep(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
-    buckets = tables.keep(members.join(shared, "bucket", "left_semi"), "buckets-0")
+    buckets = members.join(_few(shared), "bucket", "left_semi").withColumn("component", F.col("class"))
+    buckets = tables.keep(buckets, "buckets-0")
+    classes = tables.keep(banded.drop("bands"), "classes")
+    tables.remove("banded", "shared")
     met = buckets.select("class").distinct().join(classes.select("class", "doc_id", *SET), "class")
     met = tables.keep(met, "candidates")
-    sets = _semi_by_id(docs, met.select("doc_id").distinct()).mapInArrow(_sets(None), f"{digest}, shingles array<long>").drop("doc_id")
-    sets = tables.keep(sets.join(met.select("class", *SET), SET).select("class", "shingles").dropDuplicates(["class"]), "sets")
+    sets = _sets_of(docs, met, tables)
     labels = _labels(buckets, sets, _repeated_ids(named, classes, tables), percent, tables)
     own = classes.select("class", "doc_id", *SET).join(labels.withColumnRenamed("node", "class"), "class", "left")
     own = tables.keep(own.select("doc_id", *SET, F.coalesce("component", "class").alias("component")), "labels")
     least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     own = tables.keep(own.join(least, "component").select(*SET, "component_id"), "components")
-    tables.remove("shared", "candidates", "sets", "tested", "classes", "repeated", "of-repeated", "labels")
+    tables.remove("candidates", "sets", "sets-once", "tested", "classes", "repeated", "of-repeated", "labels")
     out = rows.select("doc_id", *SET).join(own, SET, "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -2,6 +2,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import os
 import random
 import re
 import urllib.parse
@@ -119,6 +120,31 @@ def test_near_dedup_of_repeated_ids(spark):
         assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (5, 5), (5, 5)]
 
 
+def test_near_dedup_of_repeated_rows(spark, monkeypatch):
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [(1, b), (1, b), (2, b + " x"), (2, "other words"), (3, b + " y"), (3, b + " y"), (4, "lone words")]
+    for most in (near_dedup.MAX_BROADCAST_IDS, 0):
+        monkeypatch.setattr(near_dedup, "MAX_BROADCAST_IDS", most)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 1), (3, 1), (4, 4)]
+
+
+def test_near_dedup_shuffles_few_sets(spark, monkeypatch):
+    plans, kept, write = {}, {}, near_dedup.Tables.write
+
+    def spy(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        folder = self.folder.removeprefix("file://")
+        kept[name] = os.listdir(folder) if os.path.isdir(folder) else []
+        write(self, df, name)
+
+    monkeypatch.setattr(near_dedup.Tables, "write", spy)
+    assert near_dedup.near_duplicates(docs_of(spark, SF1), 85).count() == docs_of(spark, SF1).count()
+    assert "Exchange hashpartitioning" not in plans["sets"]
+    assert not {"sketches", "banded"} & set(kept["sets"])  # no bands lie beside the sets
+    assert "LeftSemi" in plans["tested/round=0"]  # sets of others than the pairs' members stay where they are
+
+
 def test_decontamination(spark, odd):
     items = [r.text for r in spark.read.parquet(f"{SF1}/benchmark.parquet").collect()]
     docs = docs_of(spark, SF1)
