@@ -102,3 +102,12 @@ def test_topics_are_counted_in_their_run(spark, capsys):
     assert len(first) == serp.ENTITIES and first[0] == (1, "waa", 3) and [r[0] for r in first] == list(range(1, 21))
     few = serp.first_topics.func(pa.array([["b", "a", "a", "b", "c"], None, []])).to_pylist()
     assert few == [[{"phrase": "b", "n": 2, "rank": 1}, {"phrase": "a", "n": 2, "rank": 2}], [], []]
+
+
+def test_plans_of_orders_do_not_broadcast_orders(spark, tmp_path):
+    for name in ("orders", "lineitem"):
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        (rows.unionByName(rows.where("o_orderkey % 3 = 0")) if name == "orders" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    plan = registry.load()["opportunity_plans"].spark(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+    equal_to_sql(spark, "opportunity_plans", tmp_path, ["orders", "lineitem"])
